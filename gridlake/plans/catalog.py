@@ -54,3 +54,178 @@ def batch_text_search(spark, d):
     docs = ix.build_postings(load(spark, d, "documents"), "text", ["doc_id"])
     items = load(spark, d, "benchmark")
     return sr.batch_text_search(items, docs, "item_id", "text", ["doc_id"])
+
+
+# ---------------------------------------------------------------- windows and profiles
+
+from gridlake.functions.values import parse_money  # noqa: E402
+from gridlake.operators import paging as pg  # noqa: E402
+from gridlake.operators import profile as pf  # noqa: E402
+from gridlake.operators import window as wn  # noqa: E402
+
+
+@query
+def window_scan(spark, d):
+    return wn.read_window(grid_cells(spark, d), 10, 59, 1, 3, sheet="part").select("row", "col", "value")
+
+
+@query
+def chunk_scan(spark, d):
+    cells = wn.row_batches(wn.sheet_range(grid_cells(spark, d), 1, 3), 100)
+    return cells.groupBy("sheet", "batch", "start_row").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query
+def sheet_profile(spark, d):
+    p = pf.sheet_profile(grid_cells(spark, d))
+    return p.select("sheet", "n_rows", "n_cols", "nonempty", F.round("density", 6).alias("density"), "footprint")
+
+
+@query
+def sheet_chunks(spark, d):
+    return pf.sheet_chunks(grid_cells(spark, d), chunk_size=2).select("chunk_id", "size_bytes", "streaming")
+
+
+@query
+def sheet_zones(spark, d):
+    return pf.sheet_zones(pf.sheet_profile(grid_cells(spark, d))).select("sheet", "zone_id", "rng", "compressed")
+
+
+@query
+def nav_pages(spark, d):
+    p = pg.sheet_pages(pf.sheets(grid_cells(spark, d)), window_size=2)
+    return p.select("sheet", F.col("page").cast("int").alias("page"), "next_sheet", "prev_sheet")
+
+
+@query
+def key_points(spark, d):
+    return pf.key_points(grid_cells(spark, d)).select("sheet", "ref", "role")
+
+
+@query
+def hot_zones(spark, d):
+    z = pf.hot_zones(grid_cells(spark, d))
+    return z.select("sheet", "first_row", "first_col", F.round("density", 6).alias("density"))
+
+
+@query
+def value_types(spark, d):
+    return pf.value_types(grid_cells(spark, d)).select("sheet", "n_number", "n_text", "n_empty")
+
+
+@query
+def column_stats(spark, d):
+    s = pf.column_stats(grid_cells(spark, d))
+    return s.select("sheet", "col", "n", "lo", "hi", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@query
+def outliers(spark, d):
+    li = load(spark, d, "lineitem")
+    return pf.outliers(li, ["l_returnflag"], "l_extendedprice", 1.7).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+# ---------------------------------------------------------------- search
+
+@query
+def exact_gate(spark, d):
+    probes = load(spark, d, "region").select(F.concat(F.lit("NATION_"), F.col("r_regionkey")).alias("value"))
+    return sr.exact_gate(grid_cells(spark, d), probes).select("sheet", "row", "col")
+
+
+@query
+def numeric_range(spark, d):
+    return sr.search_numeric(grid_cells(spark, d), 10, 20).select("sheet", "row", "col", "num")
+
+
+@query
+def numeric_last_wins(spark, d):
+    n = ix.build_numeric_index(grid_cells(spark, d), dedupe="last")
+    return n.select("sheet", "num", "row", F.col("col").cast("bigint").alias("col"))
+
+
+@query
+def range_batch(spark, d):
+    part = load(spark, d, "part").select(
+        "p_partkey", (F.col("p_retailprice") * F.col("p_size")).alias("lo"),
+        (F.col("p_retailprice") * (F.col("p_size") + 1)).alias("hi"))
+    return sr.range_count(part, load(spark, d, "lineitem"), ["p_partkey"], "lo", "hi", "l_extendedprice")
+
+
+@query
+def rect_search(spark, d):
+    return sr.search_rect(grid_cells(spark, d), 1, 5, 2, 10).select("sheet", "row", "col", "value")
+
+
+@query
+def rect_batch(spark, d):
+    k = F.col("r_regionkey")
+    rects = load(spark, d, "region").select(k.alias("q"), F.lit(0).alias("x"), (k * 7).alias("y"),
+                                             (k + 1).alias("w"), F.lit(30).alias("h"))
+    pairs = sr.rect_join(rects, grid_cells(spark, d))
+    return pairs.groupBy("q", "sheet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sheet_match(spark, d):
+    return sr.scan_sheets(grid_cells(spark, d), "Io", max_sheets=10, max_rows=50).select(
+        "sheet", "sheet_idx", "truncated", "n")
+
+
+@query
+def wildcard(spark, d):
+    return sr.search_wildcard(grid_cells(spark, d), "c*d w?dget").select("sheet", "row", "col", "value")
+
+
+@query
+def hit_context(spark, d):
+    cells = grid_cells(spark, d)
+    hits = cells.filter((F.col("sheet") == "part") & (F.col("value") == "Brand#17")).select(
+        "workbook", "sheet", "row", "col")
+    return sr.hit_context(hits, cells, 1).select("sheet", "row", "col", "heading", "nearby")
+
+
+@query
+def hybrid_union(spark, d):
+    cells = grid_cells(spark, d)
+    u = sr.union_hits(sr.search_numeric(cells, 10, 20), cells.filter(F.col("sheet") == "nation"))
+    return u.select("sheet", "row", "col")
+
+
+# ---------------------------------------------------------------- values and names
+
+@query
+def money_parse(spark, d):
+    o = load(spark, d, "orders")
+    s = F.regexp_replace(o["o_totalprice"].cast("decimal(18,2)").cast("string"), "[.]", ",")
+    text = F.concat(F.substring(s, 1, 1), F.lit(" "), F.substring(s, 2, 1 << 20))
+    text = F.when(o["o_orderkey"] % 9 == 0, F.concat(F.lit("abc"), text)).otherwise(text)
+    return o.select("o_orderkey", parse_money(text).alias("num"))
+
+
+def _pattern_names(spark, d):
+    c = F.col
+    nm = (F.when(c("p_size") == 1, F.concat_ws("_", c("p_size"), c("p_brand")))
+          .when(c("p_size") == 2, F.lit("y2024")).when(c("p_size") == 3, c("p_brand")).otherwise(c("p_name")))
+    return load(spark, d, "part").select("p_size", nm.alias("nm"))
+
+
+@query
+def name_patterns(spark, d):
+    return pf.naming_patterns(_pattern_names(spark, d), ["p_size"], "nm").select(
+        "p_size", "underscore", "space", "digit", "has_year")
+
+
+@query
+def name_groups(spark, d):
+    p = load(spark, d, "part").withColumn("g", F.floor(F.col("p_partkey") / 10).cast("bigint"))
+    return pf.structural_groups(p, ["g"], "p_name")
+
+
+@query
+def formula_class(spark, d):
+    li = load(spark, d, "lineitem")
+    f = F.when(F.col("l_returnflag") == "R", "A1+1").when(F.col("l_returnflag") == "A", "IF(A1,1,2)")
+    cells = li.select("l_orderkey", f.alias("formula"))
+    return pf.formula_complexity(cells, ["l_orderkey"], sample_sheets=None, sample=None).select("l_orderkey", "cls")

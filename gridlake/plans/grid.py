@@ -17,7 +17,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MEMO: dict = {}
+
+
 def grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "tables") -> DataFrame:
+    """The grid, built once per session and folder (the plan is lazy; memoising it only saves
+    the row-numbering bounds jobs).  See :func:`build_grid_cells`."""
+    key = (id(spark), sf_dir, workbook)
+    if key not in _MEMO:
+        _MEMO[key] = build_grid_cells(spark, sf_dir, workbook)
+    return _MEMO[key]
+
+
+def build_grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "tables") -> DataFrame:
     """Five tables as sheets: region 0, nation 1, supplier 2, customer 3, part 4.
 
     Row = rank by primary key; doubles as two-decimal text; a few blanks are introduced on
@@ -57,4 +69,4 @@ def big_grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "sales") ->
                         decimal_text("l_extendedprice"), decimal_text("l_discount"), c("l_returnflag"),
                         c("l_linestatus")], 6, workbook),
     ]
-    return reduce(DataFrame.unionByName, [grid_cells(spark, sf_dir, workbook)] + extra)
+    return reduce(DataFrame.unionByName, [build_grid_cells(spark, sf_dir, workbook)] + extra)

@@ -64,4 +64,93 @@ SELECT item_id, doc_id FROM q JOIN d USING (tok) GROUP BY item_id, doc_id, n HAV
 
 
 def oracles() -> dict[str, str]:
-    return {k: (CELLS + v if k in _NEEDS_CELLS else v) for k, v in _SQL.items()}
+    """Name -> SQL.  Strings marked ``cells=True`` are prefixed with the CELLS ``WITH`` clause;
+    one that starts with ``,`` adds more CTEs to it."""
+    return {k: (CELLS.rstrip() + ("\n" if v.lstrip().startswith(",") else "\n") + v.strip()
+                if k in _NEEDS_CELLS else v.strip()) for k, v in _SQL.items()}
+
+sql("window_scan", "SELECT row, col, value FROM cells WHERE sheet = 'part' AND row - 1 BETWEEN 10 AND 59 AND col - 1 BETWEEN 1 AND 3",
+    cells=True)
+sql("chunk_scan", """
+SELECT sheet, (row - 1) // 100 AS batch, (row - 1) // 100 * 100 AS start_row, COUNT(*) AS n_cells
+FROM cells WHERE sheet_idx BETWEEN 1 AND 3 GROUP BY ALL""", cells=True)
+sql("sheet_profile", """
+SELECT sheet, MAX(row) AS n_rows, CAST(MAX(col) AS BIGINT) AS n_cols, COUNT(*) AS nonempty,
+  round(COUNT(*) / (MAX(row) * MAX(col)), 6) AS density, COUNT(*) * 50 AS footprint FROM cells GROUP BY sheet""", cells=True)
+sql("sheet_chunks", """
+, r AS (SELECT sheet_idx, row, MAX(col) AS len FROM cells GROUP BY ALL)
+SELECT 'chunk_' || MIN(sheet_idx) || '_' || MAX(sheet_idx) AS chunk_id, CAST(SUM(len) * 50 AS BIGINT) AS size_bytes,
+  SUM(len) * 50 > 10*1024*1024 AS streaming FROM r GROUP BY sheet_idx // 2""", cells=True)
+sql("sheet_zones", """
+, p AS (SELECT sheet, MAX(row) AS n, MAX(col) AS c FROM cells GROUP BY sheet),
+z AS (SELECT sheet, n, c, unnest(range(0, n, 1000)) AS s FROM p)
+SELECT sheet, 'zone_' || s // 1000 AS zone_id, 'A' || (s + 1) || ':' || chr(CAST(64 + c AS INT)) || least(s + 1000, n) AS rng,
+  least(s + 1000, n) - s > 500 AS compressed FROM z""", cells=True)
+sql("nav_pages", """
+, s AS (SELECT DISTINCT sheet, sheet_idx FROM cells)
+SELECT sheet, sheet_idx // 2 AS page, lead(sheet) OVER (ORDER BY sheet_idx) AS next_sheet,
+  lag(sheet) OVER (ORDER BY sheet_idx) AS prev_sheet FROM s""", cells=True)
+sql("key_points", """
+SELECT sheet, 'A1' AS ref, 'corner' AS role FROM cells WHERE row = 1 AND col = 1
+UNION ALL SELECT sheet, chr(CAST(64 + col AS INT)) || '1', 'header' FROM (SELECT sheet, unnest(range(1, least(MAX(col), 5) + 1)) AS col FROM cells WHERE row = 1 GROUP BY sheet)
+UNION ALL SELECT sheet, 'A' || row, 'first_col' FROM (SELECT sheet, unnest(range(1, least(MAX(row), 5) + 1)) AS row FROM cells GROUP BY sheet)""",
+    cells=True)
+sql("hot_zones", """
+, len AS (SELECT sheet, row, MAX(col) AS l FROM cells GROUP BY ALL), n AS (SELECT sheet, MAX(row) AS n FROM cells GROUP BY sheet),
+t AS (SELECT sheet, (row-1)//10 AS tr, (col-1)//10 AS tc, COUNT(*) AS k FROM cells WHERE col <= 50 GROUP BY ALL),
+d AS (SELECT sheet, (row-1)//10 AS tr, tc, SUM(greatest(least(l - tc*10, 10), 0)) AS tot FROM len, (SELECT unnest(range(5)) AS tc) GROUP BY ALL)
+SELECT t.sheet, t.tr * 10 + 1 AS first_row, t.tc * 10 + 1 AS first_col, round(k / tot, 6) AS density FROM t JOIN d USING (sheet, tr, tc) JOIN n USING (sheet)
+WHERE t.tr * 10 < n - 10 AND k / tot > 0.7""", cells=True)
+sql("value_types", """
+SELECT sheet, COUNT(num) AS n_number, COUNT(*) - COUNT(num) AS n_text, CAST(MAX(row) * MAX(col) - COUNT(*) AS BIGINT) AS n_empty
+FROM cells GROUP BY sheet""", cells=True)
+sql("column_stats", """
+SELECT sheet, col, COUNT(num) AS n, MIN(num) AS lo, MAX(num) AS hi, round(AVG(num), 4) AS mean, round(stddev_samp(num), 4) AS sd
+FROM cells WHERE num IS NOT NULL GROUP BY ALL""", cells=True)
+sql("outliers", """
+WITH s AS (SELECT l_returnflag AS g, AVG(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem JOIN s ON g = l_returnflag
+WHERE abs(l_extendedprice - m) > 1.7 * sd""")
+sql("exact_gate", "SELECT sheet, row, col FROM cells WHERE value IN (SELECT 'NATION_' || r_regionkey FROM region)", cells=True)
+sql("numeric_range", "SELECT sheet, row, col, num FROM cells WHERE num >= 10 AND num < 20", cells=True)
+sql("numeric_last_wins", """
+SELECT sheet, num, CAST(MAX(row * 100 + col) // 100 AS BIGINT) AS row, CAST(MAX(row * 100 + col) % 100 AS BIGINT) AS col
+FROM cells WHERE num IS NOT NULL GROUP BY ALL""", cells=True)
+sql("range_batch", """
+SELECT p_partkey, COUNT(*) AS n FROM part JOIN lineitem
+  ON l_extendedprice >= p_retailprice * p_size AND l_extendedprice < p_retailprice * (p_size + 1)
+GROUP BY p_partkey""")
+sql("rect_search", "SELECT sheet, row, col, value FROM cells WHERE col - 1 >= 1 AND col - 1 < 3 AND row - 1 >= 5 AND row - 1 < 15",
+    cells=True)
+sql("rect_batch", """
+SELECT r_regionkey AS q, sheet, COUNT(*) AS n FROM region JOIN cells
+  ON row > r_regionkey * 7 AND row <= r_regionkey * 7 + 30 AND col <= r_regionkey + 1 GROUP BY ALL""", cells=True)
+sql("sheet_match", """
+SELECT sheet, sheet_idx, MAX(row) > 50 AS truncated, COUNT(*) FILTER (row <= 50) AS n FROM cells
+WHERE contains(upper(sheet), upper('Io')) AND sheet_idx < 10 GROUP BY ALL""", cells=True)
+sql("wildcard", "SELECT sheet, row, col, value FROM cells WHERE value ILIKE 'c%d w_dget'", cells=True)
+sql("hit_context", """
+SELECT h.sheet, h.row, h.col, f.value AS heading, n.value AS nearby FROM cells h
+LEFT JOIN cells f ON f.sheet = h.sheet AND f.col = h.col AND f.row = 1
+JOIN cells n ON n.sheet = h.sheet AND n.row = h.row AND abs(n.col - h.col) = 1
+WHERE h.sheet = 'part' AND h.value = 'Brand#17'""", cells=True)
+sql("hybrid_union", """
+SELECT sheet, row, col FROM cells WHERE num >= 10 AND num < 20 UNION SELECT sheet, row, col FROM cells WHERE sheet = 'nation'""",
+    cells=True)
+sql("money_parse", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS num
+FROM orders""")
+sql("name_patterns", """
+SELECT p_size, bool_or(contains(nm, '_')) AS underscore, bool_or(contains(nm, ' ')) AS space,
+  bool_or(regexp_matches(nm, '^[0-9]')) AS digit,
+  bool_or(contains(nm, '2023') OR contains(nm, '2024') OR contains(nm, '2025')) AS has_year
+FROM (SELECT p_size, CASE WHEN p_size = 1 THEN p_size || '_' || p_brand WHEN p_size = 2 THEN 'y2024'
+                          WHEN p_size = 3 THEN p_brand ELSE p_name END AS nm FROM part) GROUP BY p_size""")
+sql("name_groups", """
+SELECT p_partkey // 10 AS g, COUNT(DISTINCT CASE WHEN instr(p_name, '_') > 1 THEN substr(p_name, 1, instr(p_name, '_') - 1)
+  WHEN instr(p_name, ' ') > 1 THEN substr(p_name, 1, instr(p_name, ' ') - 1) ELSE p_name END) AS n_groups FROM part GROUP BY g""")
+sql("formula_class", """
+SELECT l_orderkey, CASE WHEN COUNT(*) FILTER (l_returnflag <> 'N') = 0 THEN 'none'
+  WHEN COUNT(*) FILTER (l_returnflag = 'A') = 0 THEN 'simple'
+  WHEN COUNT(*) FILTER (l_returnflag = 'A') / COUNT(*) FILTER (l_returnflag <> 'N') > 0.3 THEN 'complex'
+  ELSE 'mixed' END AS cls FROM lineitem GROUP BY l_orderkey""")
