@@ -229,3 +229,187 @@ def formula_class(spark, d):
     f = F.when(F.col("l_returnflag") == "R", "A1+1").when(F.col("l_returnflag") == "A", "IF(A1,1,2)")
     cells = li.select("l_orderkey", f.alias("formula"))
     return pf.formula_complexity(cells, ["l_orderkey"], sample_sheets=None, sample=None).select("l_orderkey", "cls")
+
+
+# ---------------------------------------------------------------- changes and links
+
+from gridlake.operators import compare as cm  # noqa: E402
+from gridlake.operators import links as lk  # noqa: E402
+from gridlake.sources.tables import decimal_text, with_cell_fields  # noqa: E402
+
+
+@query
+def checksum_change(spark, d):
+    docs = load(spark, d, "documents")
+    k = F.col("doc_id")
+    current = docs.select("doc_id", F.sha2("text", 256).alias("checksum"))
+    known = docs.filter(k % 10 != 0).select(
+        "doc_id", F.when(k % 10 == 1, F.lit("stale")).otherwise(F.sha2("text", 256)).alias("checksum"))
+    return cm.changed_checksums(current, known, ["doc_id"]).select("doc_id", "checksum", "changed")
+
+
+@query
+def validated_lookup(spark, d):
+    docs = load(spark, d, "documents")
+    requests = docs.select("doc_id", F.lit(100).alias("now"),
+                           F.when(F.col("lang") == "en", F.lit("")).otherwise(F.sha2("text", 256)).alias("expected_checksum"))
+    entries = docs.join(load(spark, d, "labels"), "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise(F.lit("stale")).alias("checksum"),
+        F.col("n_chars").alias("expires_at"))
+    return cm.validated_lookup(requests, entries, ["doc_id"]).select("doc_id")
+
+
+@query
+def sheet_compare(spark, d):
+    ev = load(spark, d, "events")
+    side = lambda t: ev.filter(F.col("event_type") == t).groupBy("user_id").agg(F.sum("value").alias("v"))
+    c = cm.compare_sheets(side("click"), side("view"), "user_id", "v")
+    return c.select("user_id", *[F.round(x, 2).alias(x) for x in ("v_a", "v_b", "diff")])
+
+
+def _order_cells(df):
+    cols = [F.col("o_custkey"), F.col("o_orderstatus"), decimal_text("o_totalprice"),
+            F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority")]
+    pairs = F.array(*[F.struct(F.lit(i + 1).alias("col"), c.cast("string").alias("value")) for i, c in enumerate(cols)])
+    cells = df.select(F.lit("tables").alias("workbook"), F.lit("orders").alias("sheet"), F.lit(0).alias("sheet_idx"),
+                      (F.col("o_orderkey") + 1).alias("row"), F.inline(pairs))
+    return with_cell_fields(cells.filter(F.col("value").isNotNull()))
+
+
+@query
+def snapshot_diff(spark, d):
+    o = load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    old = o.filter((k % 17 != 0) | (k % 11 == 0) | (k % 13 == 0))
+    new = o.filter(k % 11 != 0).withColumn(
+        "o_orderstatus", F.when(k % 13 == 0, F.concat("o_orderstatus", F.lit("*"))).otherwise(F.col("o_orderstatus")))
+    diff = cm.diff_snapshots(_order_cells(old), _order_cells(new))
+    return diff.select((F.col("row") - 1).alias("o_orderkey"), "change").distinct()
+
+
+@query
+def delta_apply(spark, d):
+    ev = load(spark, d, "events")
+    key = ["user_id", "event_type"]
+    base = ev.groupBy(*key).agg(F.min_by("value", F.struct("ts", "event_id")).alias("value"))
+    out = cm.apply_deltas(base, ev, key, ["ts", "event_id"], ["value"])
+    return out.select("user_id", F.col("event_type").alias("cell"), "value")
+
+
+@query
+def bulk_impact(spark, d):
+    return cm.bulk_impact(load(spark, d, "events"), ["user_id"], None, threshold=70)
+
+
+@query
+def formula_links(spark, d):
+    li = load(spark, d, "lineitem")
+    f = (F.when(F.col("l_quantity") < 10, F.concat(F.lit("part!B"), F.col("l_partkey") + 1, F.lit("*2")))
+         .otherwise(F.concat(F.lit("A"), F.col("l_linenumber"), F.lit("*2"))))
+    df = li.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("lineitem").alias("sheet"), f.alias("formula"))
+    return lk.formula_links(df).select("l_orderkey", "l_linenumber", "l_partkey", "target_sheet", "target_row", "target_col")
+
+
+@query
+def cyclic_core(spark, d):
+    p = load(spark, d, "part")
+    edges = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 2 + 1) % 500).alias("dst"))
+    return lk.cyclic_core(edges)
+
+
+@query
+def sheet_similarity(spark, d):
+    p = load(spark, d, "part").select("p_brand", F.concat_ws("/", "p_type", F.col("p_size") % 8).alias("t"))
+    s = lk.similar_sets(p, "p_brand", "t", 0.4)
+    return s.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+# ---------------------------------------------------------------- budgets, cursors, pages
+
+from gridlake.functions import budget as bg  # noqa: E402
+from gridlake.functions.cursor import decode_cursor, encode_cursor  # noqa: E402
+from gridlake.functions.values import sanitise as sanitise_text  # noqa: E402
+from gridlake.operators import budget as bo  # noqa: E402
+
+
+@query
+def token_totals(spark, d):
+    return bo.token_totals(load(spark, d, "documents"), ["source"], "text")
+
+
+@query
+def budget_columns(spark, d):
+    docs = load(spark, d, "documents")
+    m = F.col("doc_id") % 4
+    model = (F.when(m == 0, "sonnet-4").when(m == 1, "sonnet-4-beta").when(m == 2, "opus-4-1")
+             .otherwise("an-unknown-model"))
+    t = bg.with_model_limits(docs.select("doc_id", bg.estimate_tokens("text").alias("tok"), model.alias("model")))
+    limit = F.lit(1000)
+    track = bg.token_tracking("tok", limit)
+    return t.select("doc_id", "tok", track["remaining"].alias("remaining"), bg.over_limit("tok", limit).alias("over"),
+                    bg.ladder_a("tok", limit).alias("ladder_a"), bg.ladder_b("tok", limit).alias("ladder_b"),
+                    bg.estimate_compressed("tok", "gzip").alias("est_gzip"), bg.chunks_needed("tok", limit).alias("n_chunks"),
+                    "safe_buffer", bg.optimal_chunk_tokens("safe_buffer").alias("optimal"))
+
+
+@query
+def truncate_text(spark, d):
+    return load(spark, d, "documents").select("doc_id", bg.truncate_text("text", 100).alias("out"))
+
+
+@query
+def running_budget(spark, d):
+    conv = load(spark, d, "conversations").withColumn("tok", bg.estimate_tokens("text"))
+    r = bo.running_budget(conv, ["conv_id"], ["turn"], "tok", 200)
+    return r.groupBy("conv_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+
+
+NOW_SECONDS = 1_706_745_600  # 2024-02-01 00:00:00 UTC, the cursor checks' "now"
+
+
+@query
+def cursor_roundtrip(spark, d):
+    docs = load(spark, d, "documents")
+    k = F.col("doc_id")
+    ts = F.lit(NOW_SECONDS) - F.when(k % 7 == 0, 25 * 3600).otherwise(3600)
+    version = F.when(k % 10 == 0, 2).otherwise(1)
+    enc = docs.select("doc_id", encode_cursor(F.concat(F.lit("chunk_"), k), "n_chars", F.sha2("text", 256), ts,
+                                              version=version).alias("cursor"))
+    dec = enc.select("doc_id", decode_cursor("cursor", F.lit(NOW_SECONDS)).alias("c"))
+    return dec.select("doc_id", "c.chunk_id", F.col("c.offset").alias("offset_"), "c.version", "c.error")
+
+
+@query
+def page_two(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    order = [("o_totalprice", False), ("o_orderkey", True)]
+    cursor = pg.last_key(pg.keyset_page(o, order, 100), order)
+    return pg.keyset_page(o, order, 100, after=cursor)
+
+
+@query
+def query_tags(spark, d):
+    b = load(spark, d, "benchmark")
+    m = F.col("item_id") % 4
+    q = F.concat(F.lower("text"), F.when(m == 0, " SUM(x)").when(m == 1, " COUNT(x)").when(m == 2, " sum(x)").otherwise(""))
+    tags = bo.query_tags(q, F.length("text"), high_volume=200)
+    return b.select("item_id", F.array_contains(tags, "high_volume_query").alias("high_volume"),
+                    F.array_contains(tags, "aggregation_query").alias("aggregation"))
+
+
+@query
+def response_profile(spark, d):
+    docs = load(spark, d, "documents")
+    m = F.col("doc_id") % 3
+    model = F.when(m == 0, "sonnet-4-beta").when(m == 1, "sonnet-4").otherwise("opus-4-1")
+    prof = F.broadcast(bg.response_profiles(spark))  # fixed three rows
+    t = docs.select("doc_id", "text", bg.model_family(model).alias("family")).join(prof, "family")
+    cc = bg.cache_control(F.sha2("text", 256), F.col("doc_id") % 2 == 0)
+    return t.select("doc_id", "max_results", "window_rows", cc["ttl"].alias("ttl"), cc["cache_key"].alias("cache_key"))
+
+
+@query
+def sanitise(spark, d):
+    docs = load(spark, d, "documents")
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("="), F.col("lang"))).otherwise(F.col("lang"))
+    return docs.select("doc_id", sanitise_text(t).alias("out"))

@@ -154,3 +154,59 @@ SELECT l_orderkey, CASE WHEN COUNT(*) FILTER (l_returnflag <> 'N') = 0 THEN 'non
   WHEN COUNT(*) FILTER (l_returnflag = 'A') = 0 THEN 'simple'
   WHEN COUNT(*) FILTER (l_returnflag = 'A') / COUNT(*) FILTER (l_returnflag <> 'N') > 0.3 THEN 'complex'
   ELSE 'mixed' END AS cls FROM lineitem GROUP BY l_orderkey""")
+
+sql("checksum_change", "SELECT doc_id, sha256(text) AS checksum, doc_id % 10 IN (0, 1) AS changed FROM documents")
+sql("validated_lookup", """
+SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 100 AND (lang = 'en' OR quality = 1)""")
+sql("sheet_compare", """
+SELECT coalesce(a.user_id, b.user_id) AS user_id, round(a.v, 2) AS v_a, round(b.v, 2) AS v_b, round(a.v - b.v, 2) AS diff
+FROM (SELECT user_id, SUM(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1) a
+FULL JOIN (SELECT user_id, SUM(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1) b ON a.user_id = b.user_id""")
+sql("snapshot_diff", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'removed' WHEN o_orderkey % 13 = 0 THEN 'cell_update' ELSE 'added' END AS change
+FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0""")
+sql("delta_apply", "SELECT user_id, event_type AS cell, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+sql("bulk_impact", """
+SELECT user_id, COUNT(*) AS affected, CASE WHEN COUNT(*) > 70 THEN 'rebuild' ELSE 'incremental' END AS action
+FROM events GROUP BY user_id""")
+sql("formula_links", """
+SELECT l_orderkey, l_linenumber, l_partkey, 'part' AS target_sheet, l_partkey + 1 AS target_row, 2 AS target_col
+FROM lineitem WHERE l_quantity < 10
+UNION ALL
+SELECT l_orderkey, l_linenumber, l_partkey, 'lineitem', l_linenumber, 1 FROM lineitem WHERE NOT (l_quantity < 10)""")
+sql("cyclic_core", """
+WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 2 + 1) % 500 AS b FROM part),
+r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON e.a = r.b WHERE n < 500 AND r.b <> r.a)
+SELECT DISTINCT a AS node FROM r WHERE a = b""")
+sql("sheet_similarity", """
+WITH h AS (SELECT DISTINCT p_brand, p_type || '/' || p_size % 8 AS t FROM part), c AS (SELECT p_brand, COUNT(*) AS n FROM h GROUP BY ALL),
+i AS (SELECT x.p_brand AS a, y.p_brand AS b, COUNT(*) AS k FROM h x JOIN h y ON x.t = y.t AND x.p_brand < y.p_brand GROUP BY ALL)
+SELECT a, b, round(k / (ca.n + cb.n - k), 6) AS jaccard FROM i JOIN c ca ON ca.p_brand = a JOIN c cb ON cb.p_brand = b
+WHERE k / (ca.n + cb.n - k) >= 0.4""")
+sql("token_totals", "SELECT source, CAST(SUM(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, COUNT(*) AS n FROM documents GROUP BY source")
+sql("budget_columns", """
+WITH t AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM documents), r AS (SELECT *, tok / 1000.0 AS x FROM t)
+SELECT doc_id, tok, 1000 - tok AS remaining, tok > 1000 AS over,
+  CASE WHEN x < 0.5 THEN 'none' WHEN x < 0.8 THEN 'gzip' WHEN x < 1.0 THEN 'brotli-4' ELSE 'brotli-11-truncated' END AS ladder_a,
+  CASE WHEN x < 0.5 THEN 'none' WHEN x < 0.7 THEN 'gzip' WHEN x < 0.9 THEN 'brotli' ELSE 'brotli-aggressive' END AS ladder_b,
+  CAST(trunc(tok * CAST(0.7 AS DOUBLE)) AS BIGINT) AS est_gzip, greatest(1, (tok + 999) // 1000) AS n_chunks,
+  CAST(CASE doc_id % 4 WHEN 1 THEN 950000 ELSE 180000 END AS BIGINT) AS safe_buffer,
+  CAST(CASE doc_id % 4 WHEN 1 THEN 760000 ELSE 144000 END AS BIGINT) AS optimal FROM r""")
+sql("truncate_text", """
+WITH t AS (SELECT doc_id, text, substr(text, 1, 400) AS cut FROM documents), p AS (SELECT *, length(cut) - instr(reverse(cut), ' ') AS sp FROM t)
+SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN contains(cut, ' ') AND sp > 200 THEN substr(cut, 1, sp) || '... [truncated]'
+  ELSE cut || '... [truncated]' END AS out FROM p""")
+sql("running_budget", """
+WITH t AS (SELECT conv_id, turn, SUM(ceil(length(text) / 4.0)) OVER (PARTITION BY conv_id ORDER BY turn) AS cum,
+  COUNT(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, COUNT(*) FILTER (cum <= 200) AS kept, MAX(n) - COUNT(*) FILTER (cum <= 200) AS dropped FROM t GROUP BY conv_id""")
+sql("cursor_roundtrip", """
+SELECT doc_id, 'chunk_' || doc_id AS chunk_id, n_chars AS offset_, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS version,
+  CASE WHEN doc_id % 10 = 0 THEN 'version' WHEN doc_id % 7 = 0 THEN 'expired' END AS error FROM documents""")
+sql("page_two", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 100")
+sql("query_tags", "SELECT item_id, length(text) > 200 AS high_volume, item_id % 4 IN (0, 1) AS aggregation FROM benchmark")
+sql("response_profile", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 500 ELSE 100 END AS max_results,
+  CASE doc_id % 3 WHEN 0 THEN 5000 WHEN 1 THEN 1000 ELSE 800 END AS window_rows,
+  CASE WHEN doc_id % 2 = 0 THEN 600 ELSE 300 END AS ttl, 'nav_' || sha256(text) AS cache_key FROM documents""")
+sql("sanitise", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '''=' || lang ELSE lang END AS out FROM documents")
