@@ -413,3 +413,28 @@ def sanitise(spark, d):
     docs = load(spark, d, "documents")
     t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("="), F.col("lang"))).otherwise(F.col("lang"))
     return docs.select("doc_id", sanitise_text(t).alias("out"))
+
+
+# ---------------------------------------------------------------- time: hot keys, ticks, sessions
+
+from gridlake.streaming import hotkeys as hk  # noqa: E402
+from gridlake.streaming import metrics as mt  # noqa: E402
+
+
+@query
+def hot_keys(spark, d):
+    ev = load(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "event_id")
+    acc = hk.hot_key_accesses(ev, ["k"], "ts", "event_id", ttl_seconds=600, hot_ttl_seconds=1200, promote_after=3)
+    s = hk.hot_key_stats(acc, ["k"])
+    return s.select("k", "accesses", "hits", "promotions", F.round("hit_ratio", 6).alias("hit_ratio"))
+
+
+@query
+def tick_metrics(spark, d):
+    return mt.tick_counts(load(spark, d, "events"), "ts", "1 minute")
+
+
+@query
+def key_sessions(spark, d):
+    ev = load(spark, d, "events").select("user_id", "ts", "event_id")
+    return mt.session_summary(mt.gap_sessions(ev, ["user_id"], "ts", "event_id", 5 * 3600), ["user_id"])

@@ -210,3 +210,19 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 500 ELSE 100 END AS max_results,
   CASE doc_id % 3 WHEN 0 THEN 5000 WHEN 1 THEN 1000 ELSE 800 END AS window_rows,
   CASE WHEN doc_id % 2 = 0 THEN 600 ELSE 300 END AS ttl, 'nav_' || sha256(text) AS cache_key FROM documents""")
 sql("sanitise", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '''=' || lang ELSE lang END AS out FROM documents")
+
+sql("hot_keys", """
+WITH RECURSIVE o AS (SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT k, ts, rn, 1 AS c, INTERVAL 10 MINUTE AS ttl, 0 AS hit, 0 AS promo FROM o WHERE rn = 1
+  UNION ALL SELECT o.k, o.ts, o.rn, CASE WHEN o.ts - r.ts > r.ttl THEN 1 ELSE r.c + 1 END,
+    CASE WHEN o.ts - r.ts > r.ttl THEN INTERVAL 10 MINUTE WHEN r.c + 1 > 3 THEN INTERVAL 20 MINUTE ELSE r.ttl END,
+    CASE WHEN o.ts - r.ts > r.ttl THEN 0 ELSE 1 END,
+    CASE WHEN o.ts - r.ts <= r.ttl AND r.c + 1 > 3 AND r.ttl = INTERVAL 10 MINUTE THEN 1 ELSE 0 END
+  FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)
+SELECT k, COUNT(*) AS accesses, CAST(SUM(hit) AS BIGINT) AS hits, CAST(SUM(promo) AS BIGINT) AS promotions,
+  round(SUM(hit) / COUNT(*), 6) AS hit_ratio FROM r GROUP BY k""")
+sql("tick_metrics", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS tick, COUNT(*) AS n FROM events GROUP BY tick")
+sql("key_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 HOUR THEN 0 ELSE 1 END AS nw FROM events),
+s AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+SELECT user_id, MIN(ts) AS first_ts, COUNT(*) AS n FROM s GROUP BY user_id, sid""")

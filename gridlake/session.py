@@ -50,3 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="gridlake-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut a long lineage: write ``df`` to the session's checkpoint folder (reliable storage,
+    so a lost executor does not replay the plan) and read it back."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
