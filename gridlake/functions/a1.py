@@ -47,8 +47,8 @@ def ref_row(ref) -> Column:
 def parse_location(text) -> Column:
     """``Sheet!B7`` -> struct(sheet, ref, row, col); null unless exactly two parts."""
     parts = F.split(_c(text), "!")
-    ref = parts.getItem(1)
-    loc = F.struct(parts.getItem(0).alias("sheet"), ref.alias("ref"),
+    ref = F.get(parts, 1)
+    loc = F.struct(F.get(parts, 0).alias("sheet"), ref.alias("ref"),
                    ref_row(ref).alias("row"), ref_col(ref).alias("col"))
     return F.when((F.size(parts) == 2) & ref_row(ref).isNotNull(), loc)
 

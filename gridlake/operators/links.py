@@ -25,7 +25,7 @@ def formula_links(df: DataFrame, formula: str = "formula", sheet: str = "sheet")
     qual = F.regexp_extract("_ref", r"^(?:'([^']+)'|([^!]+))!", 1)
     bare = F.regexp_extract("_ref", r"^(?:'([^']+)'|([^!]+))!", 2)
     cells = F.regexp_replace(F.regexp_replace("_ref", r"^.*!", ""), r"\$", "")
-    first, last = F.split(cells, ":").getItem(0), F.split(cells, ":").getItem(1)
+    first, last = F.get(F.split(cells, ":"), 0), F.get(F.split(cells, ":"), 1)
     tsheet = F.when(qual != "", qual).when(bare != "", bare).otherwise(F.col(sheet))
     return (out.withColumn("target_sheet", tsheet)
             .withColumn("target_row", ref_row(first)).withColumn("target_col", ref_col(first))

@@ -53,13 +53,17 @@ def memory_estimate(n_sheets) -> Column:
     return F.lit(MEMORY_BASE) + n.cast("bigint") * MEMORY_PER_SHEET
 
 
-def complexity_score(cells: DataFrame, sample_sheets: int = 5, sample: int = 10) -> DataFrame:
-    """A2: per workbook ``least(10, 0.1·sheets + Σ over the first 5 sheets of
-    (0.001·rows + 0.1·formulas in the top-left 10×10))``."""
+def complexity_score(cells: DataFrame, sheets: DataFrame | None = None, sample_sheets: int = 5,
+                     sample: int = 10) -> DataFrame:
+    """A2 (+A4): per workbook ``least(10, 0.1·sheets + Σ over the first 5 sheets of
+    (0.001·rows + 0.1·formulas in the top-left 10×10))`` and the memory estimate.
+    ``sheets`` (workbook, sheet_idx, sheet) lists empty sheets too; default: sheets with cells."""
     per_sheet = (cells.groupBy(*SHEET)
                  .agg(F.max("row").alias("n_rows"),
                       F.count_if(F.col("formula").isNotNull() & (F.col("row") <= sample)
                                  & (F.col("col") <= sample)).alias("n_f")))
+    if sheets is not None:
+        per_sheet = sheets.select(*SHEET).join(per_sheet, SHEET, "left").fillna(0, ["n_rows", "n_f"])
     return (per_sheet.groupBy("workbook")
             .agg(F.count(F.lit(1)).alias("sheets_count"),
                  F.sum(F.when(F.col("sheet_idx") < sample_sheets,

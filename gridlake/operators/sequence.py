@@ -41,7 +41,7 @@ def scan_lags(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: s
              .filter(F.col("_mark") == 0).select(*part, "_carry"))
     out = df.join(carry, part).withColumn("_pos", F.row_number().over(w))
     for j in range(1, n + 1):
-        from_carry = F.element_at(F.col("_carry"), (F.lit(j) - F.col("_pos") + 1).cast("int"))
+        from_carry = F.get(F.col("_carry"), (F.lit(j) - F.col("_pos")).cast("int"))
         out = out.withColumn(f"_lag{j}", F.when(F.col("_pos") > j, F.lag(col, j).over(w)).otherwise(from_carry))
     return out.drop("_carry", "_pos")
 
