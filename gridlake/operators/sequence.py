@@ -29,16 +29,14 @@ def scan_lags(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: s
     part = [*key, bucket]
     w = Window.partitionBy(*part).orderBy(*order)
     w_desc = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
-    # each bucket's last n rows, plus a marker copy of its first row: at most n+1 rows per bucket
-    ends = (df.select(*part, *order, F.col(col).alias("_v"))
-            .withColumn("_ra", F.row_number().over(w)).withColumn("_rd", F.row_number().over(w_desc))
-            .filter((F.col("_ra") == 1) | (F.col("_rd") <= n)))
-    tail = ends.filter(F.col("_rd") <= n).select(*part, *order, "_v", F.lit(1).alias("_mark"))
-    head = ends.filter(F.col("_ra") == 1).select(*part, *order, "_v", F.lit(0).alias("_mark"))
-    # the marker sorts before a real row with the same order key, so its lags are strictly earlier rows
-    wk = Window.partitionBy(*key).orderBy(*order, "_mark")
-    carry = (tail.unionByName(head).withColumn("_carry", F.array(*[F.lag("_v", j).over(wk) for j in range(1, n + 1)]))
-             .filter(F.col("_mark") == 0).select(*part, "_carry"))
+    # each bucket's last n rows: at most n rows per bucket, a small table
+    tail = (df.select(*part, *order, F.col(col).alias("_v"))
+            .withColumn("_rd", F.row_number().over(w_desc)).filter(F.col("_rd") <= n))
+    # in that table the rows just before a bucket's first tail row are the previous buckets' last rows
+    wk = Window.partitionBy(*key).orderBy(*order)
+    carry = (tail.withColumn("_carry", F.array(*[F.lag("_v", j).over(wk) for j in range(1, n + 1)]))
+             .withColumn("_top", F.max("_rd").over(Window.partitionBy(*part)))
+             .filter(F.col("_rd") == F.col("_top")).select(*part, "_carry"))
     out = df.join(carry, part).withColumn("_pos", F.row_number().over(w))
     for j in range(1, n + 1):
         from_carry = F.get(F.col("_carry"), (F.lit(j) - F.col("_pos")).cast("int"))
