@@ -56,7 +56,7 @@ def test_envelope(spark):
 
 
 def test_budgeted_export(spark, tmp_path):
-    items = spark.createDataFrame([(1, "a" * 100), (2, "b " * 1800), (3, "c" * 3000)], "id int, text string")
+    items = spark.createDataFrame([(1, "a" * 100), (2, "b " * 1800), (3, "c" * 5000)], "id int, text string")
     plan = {r["id"]: (r["tokens"], r["method"], len(r["payload"])) for r in export.plan_export(items, "text", 1000).collect()}
     assert plan[1] == (25, "none", 100)
     assert plan[2][1] == "brotli-4"
