@@ -69,13 +69,13 @@ def test_budgeted_export(spark, tmp_path):
 
 def test_persisted_index_prunes(spark, tmp_path):
     cells = spark.createDataFrame(
-        [("wb", "S", 0, r, c, f"w{r % 50} x{c}", float(r * c)) for r in range(1, 400) for c in range(1, 4)],
+        [("wb", "S", 0, r, c, f"word{r % 50} col{c}", float(r * c)) for r in range(1, 400) for c in range(1, 4)],
         "workbook string, sheet string, sheet_idx int, row long, col int, value string, num double")
     cells = cells.withColumn("ref", F.lit(None).cast("string")).withColumn("formula", F.lit(None).cast("string")) \
                  .withColumn("kind", F.lit("text"))
     ix.write_index(cells, str(tmp_path / "idx"), files_per_table=4)
     t = ix.read_index(spark, str(tmp_path / "idx"))
-    hits = t["postings"].filter(F.col("token") == "w7")
+    hits = t["postings"].filter(F.col("token") == "word7")
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "token" in plan
     assert hits.count() == 8 * 3
