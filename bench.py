@@ -121,7 +121,7 @@ def main():
 
     def parse_and_analyse():
         files = wbk.workbook_files(spark, str(book_dir))
-        c = wbk.read_cells(files, target_bytes=8 << 20)
+        c = wbk.read_cells(files)
         path = str(work / "book_cells")
         c.write.parquet(path)
         bc = spark.read.parquet(path)

@@ -10,6 +10,7 @@ one task (the zip bytes travel once per group, not once per sheet).
 from __future__ import annotations
 
 import datetime as dt
+import html
 import io
 import posixpath
 import re
@@ -17,6 +18,7 @@ import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,76 +134,212 @@ def serial_to_iso(serial: float) -> str:
     return t.date().isoformat() if t.time() == dt.time(0) else t.isoformat(sep=" ")
 
 
-def parse_sheet(zf: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[tuple]:
-    """Stream (row, col, value, formula, is_date, serial) of one sheet part; empty cells without
-    a formula are skipped; shared formulas give their dependents the master's text."""
-    shared_f: dict[str, str] = {}
+def _cells_of_row(row, row_no: int, strings: list[str], dates: set[int], shared_f: dict) -> list[tuple]:
+    """(row, col, value, formula, is_date, serial) of the cells of one ``<row>`` element;
+    empty cells without a formula are skipped; shared formulas give their dependents the
+    master's text."""
+    out, col_no = [], 0
+    for elem in row.iter(NS + "c"):
+        ref = elem.get("r")
+        m = _REF.match(ref) if ref else None
+        col_no = _col_number(m.group(1)) if m else col_no + 1
+        t = elem.get("t", "n")
+        v = elem.find(NS + "v")
+        raw = v.text if v is not None and v.text is not None else None
+        f = elem.find(NS + "f")
+        formula = None
+        if f is not None:
+            si = f.get("si")
+            if f.text:
+                formula = f.text
+                if si is not None:
+                    shared_f[si] = f.text
+            elif si is not None:
+                formula = shared_f.get(si)
+        value, is_date, serial = None, False, None
+        if t == "s" and raw is not None:
+            idx = int(raw)
+            value = strings[idx] if 0 <= idx < len(strings) else None
+        elif t == "inlineStr":
+            value = _text_of(elem.find(NS + "is"))
+        elif t == "b" and raw is not None:
+            value = "TRUE" if raw.strip() in ("1", "true") else "FALSE"
+        elif t in ("str", "e", "d"):
+            value = raw
+        elif raw is not None:
+            value = raw
+            style = elem.get("s")
+            if style is not None and int(style) in dates:
+                try:
+                    serial = float(raw)
+                    value, is_date = serial_to_iso(serial), True
+                except (ValueError, OverflowError):
+                    pass
+        if value == "":
+            value = None
+        if value is not None or formula is not None:
+            out.append((row_no, col_no, value, formula, is_date, serial))
+    return out
+
+
+# Fast path: one compiled regex pass per chunk of whole <row> elements, decoded column-wise.
+# A chunk whose cells do not all match (unusual attribute order, missing r=) is parsed by
+# ElementTree instead, so the fast path never drops a cell.
+_CELL = re.compile(
+    rb'<c r="([A-Z]{1,3})([0-9]+)"(?: s="([0-9]+)")?(?: t="([a-zA-Z]+)")?(?: s="([0-9]+)")?'
+    rb'(?: (?:cm|vm|ph)="[^"]*")*\s*'
+    rb'(?:/>|>(?:<f((?: [a-zA-Z]+="[^"]*")*)\s*(?:/>|>([^<]*)</f>))?(?:<v>([^<]*)</v>)?'
+    rb'(?:<is><t(?: [^>]*)?>([^<]*)</t></is>|<is>(.*?)</is>)?</c>)', re.S)
+_CELL_START = re.compile(rb"<c[ >/]")
+_SI = re.compile(rb'si="([0-9]+)"')
+_XML_T = re.compile(r"<t(?: [^>]*)?>([^<]*)</t>")
+
+
+def _row_chunks(fh, block: int = 8 << 20) -> Iterator[bytes]:
+    """Chunks of whole ``<row>`` elements from a sheet part stream (sheetData body only)."""
+    buf, started = b"", False
+    while True:
+        data = fh.read(block)
+        buf += data
+        if not started:
+            i = buf.find(b"<sheetData")
+            if i < 0:
+                if not data:
+                    return
+                continue
+            j = buf.find(b">", i)
+            if buf[j - 1:j] == b"/":  # <sheetData/>: no rows
+                return
+            buf, started = buf[j + 1:], True
+        end = buf.find(b"</sheetData>")
+        if end >= 0:
+            if buf[:end].strip():
+                yield buf[:end]
+            return
+        cut = buf.rfind(b"</row>")
+        if cut >= 0 and (len(buf) >= block or not data):
+            yield buf[:cut + 6]
+            buf = buf[cut + 6:]
+        if not data:
+            if buf.strip():
+                yield buf
+            return
+
+
+def _unescape(b: bytes) -> str:
+    t = b.decode("utf-8")
+    return html.unescape(t) if "&" in t else t
+
+
+def _fast_chunk(chunk: bytes, strings: list[str], dates: set[int], shared_f: dict) -> pd.DataFrame | None:
+    found = _CELL.findall(chunk)
+    if len(found) != len(_CELL_START.findall(chunk)):
+        return None
+    n_str = len(strings)
+    rows, cols, vals, forms, is_date, serial = [], [], [], [], [], []
+    col_of: dict[bytes, int] = {}
+    any_f = any_d = False
+    for letters, rw, s1, t, s2, fat, ftext, v, inl, rich in found:
+        if t == b"s":
+            k = int(v) if v else -1
+            value = strings[k] if 0 <= k < n_str else None
+        elif t == b"inlineStr":
+            if inl or not rich:
+                value = inl.decode("utf-8")
+                if "&" in value:
+                    value = html.unescape(value)
+            else:
+                value = "".join(html.unescape(x) for x in _XML_T.findall(rich.decode("utf-8")))
+        elif t == b"b":
+            value = ("TRUE" if v.strip() in (b"1", b"true") else "FALSE") if v else None
+        elif v:
+            value = v.decode("utf-8")
+            if "&" in value:
+                value = html.unescape(value)
+        else:
+            value = None
+        date_flag, ser = False, None
+        if dates and value is not None and (s1 or s2) and t in (b"", b"n") and int(s1 or s2) in dates:
+            try:
+                ser = float(value)
+                value, date_flag, any_d = serial_to_iso(ser), True, True
+            except (ValueError, OverflowError):
+                pass
+        formula = None
+        if fat or ftext:
+            si = _SI.search(fat)
+            if ftext:
+                formula = _unescape(ftext)
+                if si:
+                    shared_f[si.group(1)] = formula
+            elif si:
+                formula = shared_f.get(si.group(1))
+            any_f = any_f or formula is not None
+        if value == "":
+            value = None
+        if value is None and formula is None:
+            continue
+        c = col_of.get(letters)
+        if c is None:
+            c = col_of[letters] = _col_number(letters.decode())
+        rows.append(int(rw))
+        cols.append(c)
+        vals.append(value)
+        forms.append(formula)
+        is_date.append(date_flag)
+        serial.append(ser)
+    k = len(rows)
+    return pd.DataFrame({
+        "row": np.array(rows, dtype=np.int64), "col": np.array(cols, dtype=np.int32),
+        "value": pd.array(vals, dtype=object), "formula": forms if any_f else [None] * k,
+        "is_date": np.array(is_date, dtype=bool) if any_d else np.zeros(k, dtype=bool),
+        "serial": np.array(serial, dtype=float) if any_d else np.full(k, np.nan)})
+
+
+def _slow_chunk(chunk: bytes, strings, dates, shared_f: dict, row_no: int) -> tuple[list[tuple], int]:
+    """ElementTree parse of one chunk (wrapped in a root carrying the namespace)."""
+    root = ET.fromstring(b'<x xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">' + chunk + b"</x>")
+    out = []
+    for row in root.iter(NS + "row"):
+        r = row.get("r")
+        row_no = int(r) if r else row_no + 1
+        out.extend(_cells_of_row(row, row_no, strings, dates, shared_f))
+    return out, row_no
+
+
+def parse_sheet_frames(zf: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[pd.DataFrame]:
+    """A sheet part as DataFrames of (row, col, value, formula, is_date, serial)."""
+    shared_f: dict = {}
     row_no = 0
+    cols = ["row", "col", "value", "formula", "is_date", "serial"]
     with zf.open(part) as fh:
-        col_no = 0
-        sheet_data = None
-        for ev, elem in ET.iterparse(fh, events=("start", "end")):
-            tag = elem.tag
-            if ev == "start":
-                if tag == NS + "row":
-                    r = elem.get("r")
-                    row_no = int(r) if r else row_no + 1
-                    col_no = 0
-                elif tag == NS + "sheetData":
-                    sheet_data = elem
-                continue
-            if tag != NS + "c":
-                if tag == NS + "row" and sheet_data is not None:
-                    sheet_data.clear()  # drop finished rows: memory stays one row deep
+        for chunk in _row_chunks(fh):
+            fast = _fast_chunk(chunk, strings, dates, shared_f)
+            if fast is not None:
+                if len(fast):
+                    row_no = int(fast["row"].iloc[-1])
+                    yield fast
                 continue
-            ref = elem.get("r")
-            m = _REF.match(ref) if ref else None
-            col_no = _col_number(m.group(1)) if m else col_no + 1
-            t = elem.get("t", "n")
-            v = elem.find(NS + "v")
-            raw = v.text if v is not None and v.text is not None else None
-            f = elem.find(NS + "f")
-            formula = None
-            if f is not None:
-                si = f.get("si")
-                if f.text:
-                    formula = f.text
-                    if si is not None:
-                        shared_f[si] = f.text
-                elif si is not None:
-                    formula = shared_f.get(si)
-            value, is_date, serial = None, False, None
-            if t == "s" and raw is not None:
-                idx = int(raw)
-                value = strings[idx] if 0 <= idx < len(strings) else None
-            elif t == "inlineStr":
-                value = _text_of(elem.find(NS + "is"))
-            elif t == "b" and raw is not None:
-                value = "TRUE" if raw.strip() in ("1", "true") else "FALSE"
-            elif t in ("str", "e", "d"):
-                value = raw
-            elif raw is not None:
-                value = raw
-                style = elem.get("s")
-                if style is not None and int(style) in dates:
-                    try:
-                        serial = float(raw)
-                        value, is_date = serial_to_iso(serial), True
-                    except (ValueError, OverflowError):
-                        pass
-            if value == "":
-                value = None
-            if value is not None or formula is not None:
-                yield row_no, col_no, value, formula, is_date, serial
-            elem.clear()
+            rows, row_no = _slow_chunk(chunk, strings, dates, shared_f, row_no)
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
+
+
+def open_zip(path: str) -> zipfile.ZipFile:
+    """Open a workbook where it lives (local, HDFS, S3, … through ``pyarrow.fs``) as a seekable
+    file: a task reads the zip directory and the parts it needs, not the whole file."""
+    import pyarrow.fs as pafs
+
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return zipfile.ZipFile(fs.open_input_file(inner))
 
 
 def _listing_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path in pdf["path"]:
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                with open_zip(path) as zf:
                     for i, name, part, size in list_sheets(zf):
                         rows.append((path, i, name, part, size, None))
             except Exception as e:  # noqa: BLE001 - a bad file becomes an error row, the job goes on
@@ -214,22 +352,18 @@ def _parse_fn(batch_rows: int):
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content, sheets in zip(pdf["path"], pdf["content"], pdf["sheets"]):
+            for path, sheets in zip(pdf["path"], pdf["sheets"]):
                 try:
-                    zf = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                    zf = open_zip(path)
+                except (zipfile.BadZipFile, OSError):
                     continue  # reported by the listing step
                 with zf:
                     strings, dates = shared_strings(zf), date_styles(zf)
                     for s in sheets:
-                        buf = []
-                        for r, c, v, f, isd, ser in parse_sheet(zf, s["part"], strings, dates):
-                            buf.append((path, s["sheet"], s["sheet_idx"], r, c, v, f, isd, ser))
-                            if len(buf) >= batch_rows:
-                                yield pd.DataFrame(buf, columns=cols)
-                                buf = []
-                        if buf:
-                            yield pd.DataFrame(buf, columns=cols)
+                        for frame in parse_sheet_frames(zf, s["part"], strings, dates):
+                            for i in range(0, len(frame), batch_rows):
+                                part = frame.iloc[i:i + batch_rows]
+                                yield part.assign(workbook=path, sheet=s["sheet"], sheet_idx=s["sheet_idx"])[cols]
     return fn
 
 
@@ -247,24 +381,28 @@ def workbook_files(spark: SparkSession, paths: str | Sequence[str], max_file_siz
 def sheet_listing(files: DataFrame) -> DataFrame:
     """(path, sheet_idx, sheet, part, part_bytes, error) — one row per sheet, or one error
     row for a file that is not a readable workbook (the job does not fail)."""
-    return files.select("path", "content").mapInPandas(_listing_fn, LISTING_SCHEMA)
+    return files.select("path").mapInPandas(_listing_fn, LISTING_SCHEMA)
 
 
-def read_cells(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 64 << 20,
+def read_cells(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 4 << 20,
                batch_rows: int = 65_536) -> DataFrame:
     """S3 + S4: the ``cells`` table of all workbooks (workbook = file path).
 
     Sheets are grouped per workbook by cumulative XML size (a window over the small sheet
-    listing); each (workbook, group) task gets the zip bytes once and streams its sheets.
+    listing, one row per sheet); each (workbook, group) is one task that opens the zip
+    itself and streams only its sheets, so no file content is shuffled.  Tasks are spread
+    evenly by a range partition on a dense task number (the task table is small).
     """
     listing = sheet_listing(files) if listing is None else listing
     ok = listing.filter(F.col("error").isNull())
     w = Window.partitionBy("path").orderBy("sheet_idx").rowsBetween(Window.unboundedPreceding, 0)
     grouped = ok.withColumn("_grp", F.floor(F.sum("part_bytes").over(w) / F.lit(target_bytes)).cast("bigint"))
     tasks = grouped.groupBy("path", "_grp").agg(
-        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets"))
-    work = tasks.join(files.select("path", "content"), "path").repartition("path", "_grp")
-    raw = work.select("path", "content", "sheets").mapInPandas(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
+        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets"),
+        F.sum("part_bytes").alias("_bytes"))
+    n = max(files.sparkSession.sparkContext.defaultParallelism, 1) * 4
+    work = tasks.repartitionByRange(n, F.col("_bytes").desc(), "path", "_grp")
+    raw = work.select("path", "sheets").mapInPandas(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
     cells = (raw.withColumn("ref", cell_ref("col", "row"))
              .withColumn("num", F.when(F.col("is_date"), F.col("serial")).otherwise(parse_number("value")))
              .withColumn("kind", F.when(F.col("is_date") & F.col("formula").isNull(), F.lit("date"))

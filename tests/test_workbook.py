@@ -133,3 +133,32 @@ def test_metadata_and_size_filter(spark, books):
     assert meta["many.xlsx"]["memory_estimate"] == 1024 * 1024 + 120 * 500 * 1024
     small = wbk.workbook_files(spark, str(d), max_file_size=len(raw) - 1)
     assert "many.xlsx" not in {r["path"].split("/")[-1] for r in small.select("path").collect()}
+
+
+def test_fast_and_fallback_parsers_agree():
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    fast_xml = (f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c>'
+                '<c r="B1" s="1" t="str"><f t="shared" si="0" ref="B1:B2">A1&amp;"x"</f><v>ax</v></c></row>'
+                '<row r="2"><c r="A2"><v>2</v></c><c r="B2" t="str"><f t="shared" si="0"/><v>2x</v></c>'
+                '<c r="C2" t="inlineStr"><is><t>a &lt; b</t></is></c></row></sheetData></worksheet>')
+    # same cells written with t before r and rows/cells without coordinates: the fallback path
+    slow_xml = (f'<worksheet xmlns="{main}"><sheetData><row><c t="s" r="A1"><v>0</v></c>'
+                '<c t="str" s="1" r="B1"><f t="shared" si="0" ref="B1:B2">A1&amp;"x"</f><v>ax</v></c></row>'
+                '<row><c><v>2</v></c><c t="str"><f t="shared" si="0"/><v>2x</v></c>'
+                '<c t="inlineStr"><is><t>a &lt; b</t></is></c></row></sheetData></worksheet>')
+    frames = []
+    for xml in (fast_xml, slow_xml):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("s.xml", xml)
+        with zipfile.ZipFile(buf) as z:
+            df = __import__("pandas").concat(list(wbk.parse_sheet_frames(z, "s.xml", ["hello"], set()))).astype(object)
+            frames.append(sorted(tuple(None if x != x else x for x in r) for r in df.values.tolist()))
+    assert frames[0] == frames[1]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in frames[0]}
+    assert got[(1, 1)] == ("hello", None)
+    assert got[(2, 2)] == ("2x", 'A1&"x"')  # shared formula dependent gets the master text
+    assert got[(2, 3)] == ("a < b", None)
