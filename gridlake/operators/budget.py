@@ -42,7 +42,7 @@ def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], te
     group, order = list(group), list(order)
     w = Window.partitionBy(*group).orderBy(*order)
     whole = Window.partitionBy(*group)
-    t = (df.withColumn("_tok", estimate_tokens(text)).withColumn("pos", F.row_number().over(w) - 1)
+    t = (df.withColumn("_tok", estimate_tokens(text)).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
          .withColumn("_cum", F.sum("_tok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_n", F.count(F.lit(1)).over(whole)))
     first_over = F.min(F.when(F.col("_cum") > target, F.col("pos"))).over(whole)

@@ -41,10 +41,12 @@ def extract_sheet(cells: DataFrame, max_rows: int = 1000, max_cols: int = 21, mo
             .withColumn("money", parse_money("value", money_mode)))
 
 
-def extract_wide(cells: DataFrame, max_rows: int = 1000, max_cols: int = 21) -> DataFrame:
-    """S7 wide view: one row per sheet row, columns ``c1..c{max_cols}``; a fixed pivot list,
-    so Spark needs no extra job to find the distinct columns."""
+def extract_wide(cells: DataFrame, max_rows: int = 1000, max_cols: int = 21, parse_money_values: bool = False) -> DataFrame:
+    """S7 wide view: one row per sheet row, columns ``c1..c{max_cols}`` (a fixed pivot list,
+    so Spark needs no extra job to find the distinct columns).  Values are the cell texts, or
+    with ``parse_money_values`` the F6 numbers (text where a value is not a number)."""
     cols = list(range(1, max_cols + 1))
+    v = F.coalesce(F.col("money").cast("string"), F.col("value")) if parse_money_values else F.col("value")
     return (extract_sheet(cells, max_rows, max_cols).groupBy("workbook", "sheet", "row")
-            .pivot("col", cols).agg(F.first(F.coalesce(F.col("money").cast("string"), F.col("value"))))
+            .pivot("col", cols).agg(F.first(v))
             .select("workbook", "sheet", "row", *[F.col(str(c)).alias(f"c{c}") for c in cols]))

@@ -438,3 +438,99 @@ def tick_metrics(spark, d):
 def key_sessions(spark, d):
     ev = load(spark, d, "events").select("user_id", "ts", "event_id")
     return mt.session_summary(mt.gap_sessions(ev, ["user_id"], "ts", "event_id", 5 * 3600), ["user_id"])
+
+
+# ---------------------------------------------------------------- index upkeep, navigation, exports
+
+from gridlake.sinks import events as evs  # noqa: E402
+from gridlake.sinks import export as xp  # noqa: E402
+
+
+@query
+def index_stats(spark, d):
+    cells = grid_cells(spark, d)
+    s = ix.index_stats(cells, ix.build_postings(cells), ix.build_numeric_index(cells))
+    return s.select("numeric_items", "distinct_tokens", "spatial_points")
+
+
+@query
+def spatial_tiles(spark, d):
+    t = ix.spatial_tiles(grid_cells(spark, d))
+    return t.groupBy("sheet", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def postings_update(spark, d):
+    """The nation sheet's names are rewritten (lower case + suffix); the postings are
+    updated incrementally; the result must equal postings rebuilt from the new cells."""
+    cells = grid_cells(spark, d)
+    touched = cells.filter((F.col("sheet") == "nation") & (F.col("col") == 1))
+    new_vals = touched.withColumn("value", F.concat(F.lower("value"), F.lit(" updated")))
+    new_cells = cells.join(touched.select("workbook", "sheet", "row", "col"), ["workbook", "sheet", "row", "col"],
+                           "left_anti").unionByName(new_vals)
+    upd = cm.update_postings(ix.build_postings(cells), new_cells, touched)
+    return ix.token_stats(upd).select("token", "tf", "df")
+
+
+@query
+def nav_page(spark, d):
+    p = pg.nav_page(pf.sheets(grid_cells(spark, d)), offset=1, window_size=2)
+    return p.select("sheet", "sheet_idx", "total_pages")
+
+
+@query
+def chunk_cursors(spark, d):
+    c = pg.chunk_cursors(pf.sheet_chunks(grid_cells(spark, d), chunk_size=2))
+    return c.select("chunk_id", "next_chunk", "prev_chunk", "remaining", "eta_seconds")
+
+
+def _event_fields(ev):
+    j = F.col("line")
+    return ev.select(F.get_json_object(j, "$.type").alias("type"), F.get_json_object(j, "$.data.sheet").alias("sheet"),
+                     F.get_json_object(j, "$.data.start_row").cast("bigint").alias("start_row"),
+                     F.json_array_length(F.get_json_object(j, "$.data.rows")).cast("bigint").alias("n_rows"),
+                     F.get_json_object(j, "$.data.rows[0]").alias("first_row"))
+
+
+@query
+def row_events(spark, d):
+    return _event_fields(evs.row_batch_events(grid_cells(spark, d), 100))
+
+
+@query
+def window_events(spark, d):
+    return _event_fields(evs.window_events(grid_cells(spark, d), "customer", 0, 149, 0, 1, 50))
+
+
+@query
+def export_plan(spark, d):
+    p = xp.plan_export(load(spark, d, "documents"), "text", 1000)
+    return p.select("doc_id", "tokens", "method", F.length("payload").cast("bigint").alias("payload_chars"))
+
+
+@query
+def truncate_items(spark, d):
+    t = bo.truncate_items(load(spark, d, "conversations"), ["conv_id"], ["turn"], "text", 200)
+    return t.select("conv_id", "pos", "is_summary", F.length("text").cast("bigint").alias("chars"), "_truncated_items",
+                    "_total_items")
+
+
+@query
+def tick_hit_ratio(spark, d):
+    ev = load(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "event_id")
+    acc = hk.hot_key_accesses(ev, ["k"], "ts", "event_id", ttl_seconds=600, hot_ttl_seconds=1200, promote_after=3)
+    r = mt.tick_hit_ratio(acc, "ts", "1 hour")
+    return r.select("tick", "accesses", "hits", F.round("hit_ratio", 6).alias("hit_ratio"))
+
+
+@query
+def text_and_range(spark, d):
+    cells = grid_cells(spark, d)
+    words = sr.search_text(ix.build_postings(cells), "economy")
+    return sr.intersect_hits(words, cells.filter(F.col("row") <= 1000)).select("sheet", "row", "col")
+
+
+@query
+def wide_extract(spark, d):
+    w = wn.extract_wide(grid_cells(spark, d).filter(F.col("sheet") == "part"), max_rows=1000, max_cols=21)
+    return w.select("row", "c1", "c2", "c3", "c4", "c5", "c6", "c21")

@@ -226,3 +226,81 @@ sql("key_sessions", """
 WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 HOUR THEN 0 ELSE 1 END AS nw FROM events),
 s AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
 SELECT user_id, MIN(ts) AS first_ts, COUNT(*) AS n FROM s GROUP BY user_id, sid""")
+
+sql("index_stats", f"""
+, t AS (SELECT unnest(string_split_regex(lower(value), '\\s+')) AS tok FROM cells)
+SELECT (SELECT COUNT(num) FROM cells) AS numeric_items,
+  (SELECT COUNT(DISTINCT tok) FROM t WHERE strlen(tok) > 2 AND tok NOT IN {STOP}) AS distinct_tokens,
+  (SELECT COUNT(*) FROM cells) AS spatial_points""", cells=True)
+sql("spatial_tiles", "SELECT sheet, (row - 1) // 10 AS tile_row, CAST((col - 1) // 10 AS BIGINT) AS tile_col, COUNT(*) AS n FROM cells GROUP BY ALL",
+    cells=True)
+sql("postings_update", f"""
+, c2 AS (SELECT sheet, row, col, CASE WHEN sheet = 'nation' AND col = 1 THEN lower(value) || ' updated' ELSE value END AS value FROM cells),
+t AS (SELECT sheet, row, col, unnest(string_split_regex(lower(value), '\\s+')) AS token FROM c2),
+p AS (SELECT token, sheet, row, col, COUNT(*) AS tf FROM t WHERE strlen(token) > 2 AND token NOT IN {STOP} GROUP BY ALL)
+SELECT token, SUM(tf)::BIGINT AS tf, COUNT(*) AS df FROM p GROUP BY token""", cells=True)
+sql("nav_page", """
+, s AS (SELECT DISTINCT sheet, sheet_idx FROM cells)
+SELECT sheet, sheet_idx, CAST(ceil((SELECT COUNT(*) FROM s) / 2) AS BIGINT) AS total_pages FROM s WHERE sheet_idx BETWEEN 1 AND 2""",
+    cells=True)
+sql("chunk_cursors", """
+, c AS (SELECT sheet_idx // 2 AS ch, 'chunk_' || MIN(sheet_idx) || '_' || MAX(sheet_idx) AS chunk_id, MIN(sheet_idx) AS f
+        FROM (SELECT DISTINCT sheet_idx FROM cells) GROUP BY ALL)
+SELECT chunk_id, lead(chunk_id) OVER (ORDER BY f) AS next_chunk, lag(chunk_id) OVER (ORDER BY f) AS prev_chunk,
+  COUNT(*) OVER (ORDER BY f ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS remaining,
+  COUNT(*) OVER (ORDER BY f ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) * 2 AS eta_seconds FROM c""", cells=True)
+
+_FIRST_ROW = """(SELECT to_json(list(coalesce(x.value, '') ORDER BY g.c))::VARCHAR FROM (SELECT unnest(range(1, (SELECT MAX(col) FROM cells z
+  WHERE z.sheet = {s} AND z.row = {r}) + 1)) AS c) g LEFT JOIN cells x ON x.sheet = {s} AND x.row = {r} AND x.col = g.c)"""
+sql("row_events", """
+, e AS (SELECT sheet, MAX(row) AS n FROM cells GROUP BY sheet), b AS (SELECT sheet, n, unnest(range(0, n, 100)) AS s FROM e)
+SELECT 'metadata' AS type, NULL AS sheet, NULL::BIGINT AS start_row, NULL::BIGINT AS n_rows, NULL AS first_row
+UNION ALL SELECT 'complete', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'sheet_start', sheet, NULL, NULL, NULL FROM e
+UNION ALL SELECT 'sheet_complete', sheet, NULL, NULL, NULL FROM e
+UNION ALL SELECT 'rows', sheet, s, least(100, n - s), CASE WHEN EXISTS (SELECT 1 FROM cells x WHERE x.sheet = b.sheet AND x.row = s + 1)
+  THEN """ + _FIRST_ROW.format(s="b.sheet", r="b.s + 1") + """ ELSE '[]' END FROM b""", cells=True)
+sql("window_events", """
+, w AS (SELECT * FROM cells WHERE sheet = 'customer' AND row <= 150 AND col <= 2),
+b AS (SELECT unnest(range(0, 150, 50)) AS s)
+SELECT 'window_start' AS type, 'customer' AS sheet, NULL::BIGINT AS start_row, NULL::BIGINT AS n_rows, NULL AS first_row
+UNION ALL SELECT 'window_complete', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'window_data', NULL, s, 50, (SELECT to_json(list(coalesce(x.value, '') ORDER BY g.c))::VARCHAR FROM
+  (SELECT unnest(range(1, (SELECT MAX(col) FROM w z WHERE z.row = b.s + 1) + 1)) AS c) g
+  LEFT JOIN w x ON x.row = b.s + 1 AND x.col = g.c) FROM b""", cells=True)
+sql("export_plan", """
+WITH t AS (SELECT doc_id, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM documents),
+c AS (SELECT *, substr(text, 1, 2800) AS cut FROM t), p AS (SELECT *, length(cut) - instr(reverse(cut), ' ') AS sp FROM c)
+SELECT doc_id, tok AS tokens,
+  CASE WHEN tok / 1000.0 < 0.5 THEN 'none' WHEN tok / 1000.0 < 0.8 THEN 'gzip' WHEN tok / 1000.0 < 1.0 THEN 'brotli-4'
+       ELSE 'brotli-11-truncated' END AS method,
+  CASE WHEN tok < 1000 THEN length(text) WHEN length(text) <= 2800 THEN length(text)
+       WHEN contains(cut, ' ') AND sp > 1400 THEN sp + 15 ELSE 2800 + 15 END AS payload_chars FROM p""")
+sql("truncate_items", """
+WITH t AS (SELECT conv_id, turn, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, COUNT(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT *, SUM(tok) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS cum FROM t),
+f AS (SELECT *, MIN(CASE WHEN cum > 200 THEN pos END) OVER (PARTITION BY conv_id) AS fo FROM c),
+o AS (SELECT *, 200 - (cum - tok) AS lft, substr(text, 1, CAST((200 - (cum - tok)) * 4 AS INT)) AS cut FROM f WHERE pos = fo)
+SELECT conv_id, pos, false AS is_summary, length(text) AS chars, NULL::BIGINT AS _truncated_items, NULL::BIGINT AS _total_items
+  FROM f WHERE fo IS NULL OR pos < fo
+UNION ALL SELECT conv_id, pos, false, CASE WHEN contains(cut, ' ') AND length(cut) - instr(reverse(cut), ' ') > floor(lft * 4 / 2)
+  THEN length(cut) - instr(reverse(cut), ' ') ELSE length(cut) END + 15, NULL, NULL FROM o WHERE lft > 0
+UNION ALL SELECT conv_id, pos + 1, true, NULL, n - pos - 1, n FROM o WHERE pos < n - 1""")
+sql("tick_hit_ratio", """
+WITH RECURSIVE o AS (SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT k, ts, rn, 1 AS c, INTERVAL 10 MINUTE AS ttl, 0 AS hit FROM o WHERE rn = 1
+  UNION ALL SELECT o.k, o.ts, o.rn, CASE WHEN o.ts - r.ts > r.ttl THEN 1 ELSE r.c + 1 END,
+    CASE WHEN o.ts - r.ts > r.ttl THEN INTERVAL 10 MINUTE WHEN r.c + 1 > 3 THEN INTERVAL 20 MINUTE ELSE r.ttl END,
+    CASE WHEN o.ts - r.ts > r.ttl THEN 0 ELSE 1 END
+  FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS tick, COUNT(*) AS accesses, CAST(SUM(hit) AS BIGINT) AS hits,
+  round(SUM(hit) / COUNT(*), 6) AS hit_ratio FROM r GROUP BY tick""")
+sql("text_and_range", """
+SELECT sheet, row, col FROM cells WHERE list_contains(string_split_regex(lower(value), '\\s+'), 'economy') AND row <= 1000""",
+    cells=True)
+sql("wide_extract", """
+SELECT row, MAX(CASE WHEN col = 1 THEN value END) AS c1, MAX(CASE WHEN col = 2 THEN value END) AS c2,
+  MAX(CASE WHEN col = 3 THEN value END) AS c3, MAX(CASE WHEN col = 4 THEN value END) AS c4,
+  MAX(CASE WHEN col = 5 THEN value END) AS c5, NULL::VARCHAR AS c6, NULL::VARCHAR AS c21
+FROM cells WHERE sheet = 'part' AND row <= 1000 GROUP BY row""", cells=True)
