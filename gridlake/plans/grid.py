@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.sources.tables import decimal_text, table_to_cells
+from gridlake.sources.tables import table_to_cells, to_decimal
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -41,14 +41,14 @@ def build_grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "tables")
         table_to_cells(t("region"), "region", "r_regionkey", [c("r_name")], 0, workbook),
         table_to_cells(t("nation"), "nation", "n_nationkey", [c("n_name"), c("n_regionkey")], 1, workbook),
         table_to_cells(t("supplier"), "supplier", "s_suppkey",
-                       [c("s_name"), c("s_nationkey"), decimal_text("s_acctbal")], 2, workbook),
+                       [c("s_name"), c("s_nationkey"), to_decimal("s_acctbal")], 2, workbook),
         table_to_cells(t("customer"), "customer", "c_custkey",
                        [c("c_name"), F.when(c("c_nationkey") % 4 != 0, c("c_nationkey")), c("c_mktsegment")],
                        3, workbook),
         table_to_cells(t("part"), "part", "p_partkey",
                        [c("p_name"), c("p_brand"), F.when(c("p_partkey") % 5 != 0, c("p_type")),
                         F.when(c("p_size") % 3 != 0, c("p_size")),
-                        F.when(c("p_partkey") % 7 != 0, decimal_text("p_retailprice"))], 4, workbook),
+                        F.when(c("p_partkey") % 7 != 0, to_decimal("p_retailprice"))], 4, workbook),
     ]
     return reduce(DataFrame.unionByName, sheets)
 
@@ -62,11 +62,11 @@ def big_grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "sales") ->
                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     extra = [
         table_to_cells(t("orders"), "orders", "o_orderkey",
-                       [c("o_custkey"), c("o_orderstatus"), decimal_text("o_totalprice"),
+                       [c("o_custkey"), c("o_orderstatus"), to_decimal("o_totalprice"),
                         F.date_format("o_orderdate", "yyyy-MM-dd"), c("o_orderpriority")], 5, workbook),
         table_to_cells(t("lineitem"), "lineitem", li_order,
                        [c("l_orderkey"), c("l_partkey"), c("l_suppkey"), c("l_quantity").cast("int"),
-                        decimal_text("l_extendedprice"), decimal_text("l_discount"), c("l_returnflag"),
+                        to_decimal("l_extendedprice"), to_decimal("l_discount"), c("l_returnflag"),
                         c("l_linestatus")], 6, workbook),
     ]
     return reduce(DataFrame.unionByName, [build_grid_cells(spark, sf_dir, workbook)] + extra)

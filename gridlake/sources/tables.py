@@ -42,33 +42,58 @@ def number_rows(df: DataFrame, order_cols: Sequence[str], row_col: str = "row",
 
 def decimal_text(c) -> Column:
     """A double as spreadsheet text with two decimals (``73.0`` -> ``73.00``)."""
+    return to_decimal(c).cast("string")
+
+
+def to_decimal(c) -> Column:
+    """A double as a two-decimal number (its cell text is ``73.00``, its ``num`` 73.0)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast("decimal(18,2)").cast("string")
+    return c.cast("decimal(18,2)")
+
+
+def _letters(n: int) -> str:
+    s = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        s = chr(65 + r) + s
+    return s
 
 
 def with_cell_fields(cells: DataFrame) -> DataFrame:
-    """Add ``ref``, ``num``, ``kind`` (and a null ``formula`` if absent) to (…, row, col, value)."""
+    """Add ``ref``, ``num`` and ``kind`` (and a null ``formula``) where absent to (…, row, col, value)."""
     if "formula" not in cells.columns:
         cells = cells.withColumn("formula", F.lit(None).cast("string"))
-    return (cells.withColumn("ref", cell_ref("col", "row"))
-            .withColumn("num", parse_number("value"))
-            .withColumn("kind", cell_kind("value", "num", "formula")))
+    if "ref" not in cells.columns:
+        cells = cells.withColumn("ref", cell_ref("col", "row"))
+    if "num" not in cells.columns:
+        cells = cells.withColumn("num", parse_number("value"))
+    return cells.withColumn("kind", cell_kind("value", "num", "formula"))
 
 
 def table_to_cells(df: DataFrame, sheet: str, key: str | Sequence[str], columns: Sequence[Column],
                    sheet_idx: int = 0, workbook: str = "tables") -> DataFrame:
     """A table as one sheet of the ``cells`` model.
 
-    Row = rank by ``key`` (W1); column i (1-based) = ``columns[i-1]`` cast to text; null and
-    empty texts are absent cells, as in a workbook.  One pass: numbering, then an ``inline``
-    of an array of (col, value) structs, no shuffle beyond the numbering's bucket sort.
+    Row = rank by ``key`` (W1); column i (1-based) = ``columns[i-1]`` as text; null and empty
+    texts are absent cells, as in a workbook.  A numeric column's ``num`` is the value itself
+    (no text round trip); a text column's is parsed (F7).  The column letters are constants of
+    the plan.  One ``inline`` of an array of (col, ref prefix, value, num) structs, no shuffle
+    beyond the numbering's bucket sort.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    vals = [c.cast("string").alias(f"_v{i + 1}") for i, c in enumerate(columns)]
+    vals = [c.alias(f"_v{i + 1}") for i, c in enumerate(columns)]
     numbered = number_rows(df.select(*[F.col(k) for k in keys], *vals), keys)
-    pairs = F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(f"_v{i + 1}").alias("value"))
-                      for i in range(len(vals))])
+    types = dict(numbered.dtypes)
+    structs = []
+    for i in range(len(vals)):
+        v = F.col(f"_v{i + 1}")
+        text = v.cast("string")
+        numeric = types[f"_v{i + 1}"].startswith(("int", "bigint", "smallint", "tinyint", "double", "float", "decimal"))
+        num = v.cast("double") if numeric else parse_number(text)
+        structs.append(F.struct(F.lit(i + 1).alias("col"), F.lit(_letters(i + 1)).alias("_letters"),
+                                text.alias("value"), num.alias("num")))
     cells = (numbered.select(F.lit(workbook).alias("workbook"), F.lit(sheet).alias("sheet"),
-                             F.lit(sheet_idx).cast("int").alias("sheet_idx"), "row", F.inline(pairs))
-             .filter(F.col("value").isNotNull() & (F.col("value") != "")))
+                             F.lit(sheet_idx).cast("int").alias("sheet_idx"), "row", F.inline(F.array(*structs)))
+             .filter(F.col("value").isNotNull() & (F.col("value") != ""))
+             .withColumn("ref", F.concat("_letters", F.col("row").cast("string"))).drop("_letters"))
     return with_cell_fields(cells).select(*CELL_COLUMNS)
