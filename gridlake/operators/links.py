@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import ref_col, ref_row
-from gridlake.session import checkpoint_dir
+from gridlake.session import checkpoint_dir, materialize
 
 # A reference: optional sheet (quoted or bare) and '!', a cell, optionally ':' and a second cell.
 # Not preceded by a name character and not followed by '(' (so LOG10( is a function, not a cell).
@@ -50,7 +50,8 @@ def similar_sets(items: DataFrame, set_col: str, item_col: str, threshold: float
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    s = items.select(F.col(set_col).alias("s"), F.col(item_col).alias("t")).distinct()
+    # read four times below: written once to the checkpoint folder instead of recomputed
+    s = materialize(items.select(F.col(set_col).alias("s"), F.col(item_col).alias("t")).distinct())
     sizes = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     freq = s.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     from pyspark.sql import Window

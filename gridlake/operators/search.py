@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlake.functions.a1 import idiv, location_text
 from gridlake.functions.values import tokenize
 from gridlake.schema import LOCATION
+from gridlake.session import materialize
 
 
 def _c(c) -> Column:
@@ -42,7 +43,7 @@ def search_text(postings: DataFrame, query: str, key: Sequence[str] = LOCATION)
 
 
 def batch_text_search(queries: DataFrame, postings: DataFrame, query_id: str = "query_id",
-                      text: str = "text", key: Sequence[str] = LOCATION) -> DataFrame:
+                      text: str = "text", key: Sequence[str] = LOCATION, materialize_used: bool = True) -> DataFrame:
     """J3 (text): AND search of many queries at once -> (query_id, key…).
 
     Plan, exact and without a candidate cap:
@@ -52,10 +53,14 @@ def batch_text_search(queries: DataFrame, postings: DataFrame, query_id: str = "
     3. every candidate is checked against all of the query's tokens by an equi join on
        (token, key) and kept when the match count equals the query's token count.
     A query with a token absent from the index has no candidates, as in the reference.
+    The postings of the used tokens are checkpointed once (``materialize_used``), since
+    three branches read them and column pruning keeps Spark from reusing one exchange.
     """
     key = list(key)
     qtok = (queries.select(query_id, F.explode(F.array_distinct(tokenize(text))).alias("token")))
     used = postings.select("token", *key).join(qtok.select("token").distinct(), "token", "left_semi")
+    # read three times below: written once to the checkpoint folder instead of recomputed
+    used = materialize(used) if materialize_used else used
     df_tok = used.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     ranked = qtok.join(df_tok, "token", "left")
     rare = (ranked.groupBy(query_id)
