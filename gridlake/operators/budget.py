@@ -38,32 +38,32 @@ def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], te
     within ``target``; the first item that overflows is cut to the tokens left (F19) and kept
     if anything remains; when items follow it, one summary row per group carries
     ``_truncated_items`` and ``_total_items``.  Output: group, ``pos`` (0-based), text,
-    ``is_summary``, ``_truncated_items``, ``_total_items``."""
+    ``is_summary``, ``_truncated_items``, ``_total_items``.  One windowed pass: the overflow
+    row emits its cut text and the summary row through one ``inline``."""
     group, order = list(group), list(order)
     w = Window.partitionBy(*group).orderBy(*order)
     whole = Window.partitionBy(*group)
     t = (df.withColumn("_tok", estimate_tokens(text)).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
          .withColumn("_cum", F.sum("_tok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_n", F.count(F.lit(1)).over(whole)))
-    first_over = F.min(F.when(F.col("_cum") > target, F.col("pos"))).over(whole)
-    t = t.withColumn("_first_over", first_over)
+    t = t.withColumn("_first_over", F.min(F.when(F.col("_cum") > target, F.col("pos"))).over(whole))
+    t = t.filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
+    is_over = F.col("pos") == F.coalesce(F.col("_first_over"), F.lit(-1))
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
-    kept = t.filter(F.col("_first_over").isNull() | (F.col("pos") < F.col("_first_over")))
-    over = t.filter(F.col("pos") == F.col("_first_over"))
-    # per-row budget: F19 with the tokens left; a text cut to nothing is dropped
     n_chars = left * 4
     head = F.substring(F.col(text), F.lit(1), n_chars.cast("int"))
     last_space = F.length(head) - F.instr(F.reverse(head), " ")
-    trimmed = F.when((F.instr(head, " ") > 0) & (last_space > F.floor(n_chars / 2)), F.substring(head, F.lit(1), last_space)).otherwise(head)
-    over = over.filter(left > 0).withColumn(text, F.concat(trimmed, F.lit("... [truncated]")))
-    items = kept.unionByName(over).select(*group, "pos", text, F.lit(False).alias("is_summary"),
-                                          F.lit(None).cast("bigint").alias("_truncated_items"),
-                                          F.lit(None).cast("bigint").alias("_total_items"))
-    summary = (t.filter((F.col("pos") == F.col("_first_over")) & (F.col("pos") < F.col("_n") - 1))
-               .select(*group, (F.col("pos") + 1).alias("pos"), F.lit(None).cast("string").alias(text),
+    trimmed = F.when((F.instr(head, " ") > 0) & (last_space > F.floor(n_chars / 2)),
+                     F.substring(head, F.lit(1), last_space)).otherwise(head)
+    out_text = F.when(is_over, F.concat(trimmed, F.lit("... [truncated]"))).otherwise(F.col(text))
+    null_long = F.lit(None).cast("bigint")
+    item = F.struct(F.col("pos").alias("pos"), out_text.alias(text), F.lit(False).alias("is_summary"),
+                    null_long.alias("_truncated_items"), null_long.alias("_total_items"))
+    summary = F.struct((F.col("pos") + 1).alias("pos"), F.lit(None).cast("string").alias(text),
                        F.lit(True).alias("is_summary"), (F.col("_n") - F.col("pos") - 1).cast("bigint").alias("_truncated_items"),
-                       F.col("_n").cast("bigint").alias("_total_items")))
-    return items.unionByName(summary)
+                       F.col("_n").cast("bigint").alias("_total_items"))
+    rows = F.array(F.when(~is_over | (left > 0), item), F.when(is_over & (F.col("pos") < F.col("_n") - 1), summary))
+    return t.select(*group, F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
 def truncate_fields(fields: DataFrame, group: Sequence[str], field: str = "field", value: str = "value",

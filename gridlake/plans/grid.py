@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.session import write_table
 from gridlake.sources.tables import table_to_cells, to_decimal
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -21,11 +22,14 @@ _MEMO: dict = {}
 
 
 def grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "tables") -> DataFrame:
-    """The grid, built once per session and folder (the plan is lazy; memoising it only saves
-    the row-numbering bounds jobs).  See :func:`build_grid_cells`."""
+    """The grid, built once per session and folder and written as a Parquet table in the
+    shared checkpoint folder (sorted by sheet, row, col), so every query — and every branch of
+    a query that reads the cells several times — scans the written table with pushdown
+    instead of recomputing the numbering.  See :func:`build_grid_cells`."""
     key = (id(spark), sf_dir, workbook)
     if key not in _MEMO:
-        _MEMO[key] = build_grid_cells(spark, sf_dir, workbook)
+        _MEMO[key] = write_table(build_grid_cells(spark, sf_dir, workbook), "grid",
+                                 ["workbook", "sheet", "row", "col"])
     return _MEMO[key]
 
 

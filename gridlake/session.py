@@ -57,3 +57,17 @@ def materialize(df):
     so a lost executor does not replay the plan) and read it back."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df, name: str, sort_by: list[str] | None = None):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back: a table
+    built once (e.g. the cells of many workbooks) and then scanned with pushdown by every
+    query, instead of a plan recomputed by each branch that uses it."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
