@@ -36,6 +36,31 @@ def estimate_tokens(text) -> Column:
     return F.ceil(F.coalesce(F.length(_c(text)), F.lit(0)) / CHARS_PER_TOKEN).cast("bigint")
 
 
+def bpe_token_count(encoding: str = "cl100k_base"):
+    """F11 exact form: a pandas UDF counting BPE tokens with ``tiktoken``.
+
+    Off by default: the encoding's vocabulary must already be available locally (tiktoken's
+    cache, ``TIKTOKEN_CACHE_DIR``); it is loaded once per Python worker.  Raises at call time
+    when the package or vocabulary is missing, so callers fall back to :func:`estimate_tokens`.
+    """
+    import pandas as pd
+    import tiktoken  # noqa: F401  (checked here, loaded in the workers)
+
+    tiktoken.get_encoding(encoding)  # fails fast on the driver when the vocabulary is absent
+    cache = {}
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        enc = cache.get(encoding)
+        if enc is None:
+            import tiktoken as tk
+
+            enc = cache[encoding] = tk.get_encoding(encoding)
+        return pd.Series([len(enc.encode(t, disallowed_special=())) if t is not None else 0 for t in texts])
+
+    return count
+
+
 def json_tokens(col) -> Column:
     """F11 + F30: tokens of a value's JSON text (non-strings are JSON-encoded first)."""
     return estimate_tokens(F.to_json(F.struct(_c(col).alias("v"))))

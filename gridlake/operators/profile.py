@@ -36,11 +36,16 @@ def sheets(cells: DataFrame) -> DataFrame:
 
 
 def sheet_profile(cells: DataFrame) -> DataFrame:
-    """A1: rows, cols (max row length), non-empty cells, density, formulas, footprint, per sheet."""
+    """A1 (+A8): rows, cols (max row length), non-empty cells, density, formulas, footprint,
+    and the cell counts per kind and implied empty cells — one aggregation per sheet."""
+    k = F.col("kind")
     return (cells.groupBy(*SHEET)
             .agg(F.max("row").alias("n_rows"), F.max("col").cast("bigint").alias("n_cols"),
                  F.count_if(_nonempty()).alias("nonempty"),
-                 F.bool_or(F.col("formula").isNotNull()).alias("has_formulas"))
+                 F.bool_or(F.col("formula").isNotNull()).alias("has_formulas"),
+                 F.count_if(k == "number").alias("n_number"), F.count_if(k == "text").alias("n_text"),
+                 F.count_if(k == "formula").alias("n_formula"), F.count_if(k == "date").alias("n_date"))
+            .withColumn("n_empty", (F.col("n_rows") * F.col("n_cols") - F.col("nonempty")).cast("bigint"))
             .withColumn("density", F.coalesce(F.try_divide(F.col("nonempty").cast("double"),
                                                            F.col("n_rows") * F.col("n_cols")), F.lit(0.0)))
             .withColumn("footprint", F.col("nonempty") * BYTES_PER_CELL)
@@ -120,14 +125,9 @@ def formula_complexity(cells: DataFrame, group: Sequence[str] = ("workbook",), s
 
 
 def value_types(cells: DataFrame) -> DataFrame:
-    """Counts per kind, and implied empty cells = rows·cols − non-empty, per sheet."""
-    k = F.col("kind")
-    return (cells.groupBy(*SHEET)
-            .agg(F.count_if(k == "number").alias("n_number"), F.count_if(k == "text").alias("n_text"),
-                 F.count_if(k == "formula").alias("n_formula"), F.count_if(k == "date").alias("n_date"),
-                 F.count_if(_nonempty()).alias("_ne"), F.max("row").alias("_r"), F.max("col").alias("_c"))
-            .withColumn("n_empty", (F.col("_r") * F.col("_c") - F.col("_ne")).cast("bigint"))
-            .drop("_ne", "_r", "_c"))
+    """Counts per kind, and implied empty cells = rows·cols − non-empty, per sheet (the
+    same single aggregation as :func:`sheet_profile`)."""
+    return sheet_profile(cells).select(*SHEET, "n_number", "n_text", "n_formula", "n_date", "n_empty")
 
 
 def hot_zones(cells: DataFrame, window: int = 10, threshold: float = 0.7, max_cols: int = 50,

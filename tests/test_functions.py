@@ -89,3 +89,21 @@ def test_model_limits_default(spark):
     df = spark.createDataFrame([("sonnet-4-beta",), ("nope",)], "model string")
     got = {r["model"]: r["safe_buffer"] for r in budget.with_model_limits(df).collect()}
     assert got == {"sonnet-4-beta": 950000, "nope": 180000}
+
+
+def test_rects_intersect(spark):
+    from gridlake.operators.search import rects_intersect
+
+    cases = [((0, 0, 10, 10), (5, 5, 10, 10), True), ((0, 0, 10, 10), (10, 0, 5, 5), False),
+             ((0, 0, 10, 10), (2, 2, 1, 1), True), ((0, 0, 1, 1), (0, 1, 1, 1), False)]
+    for a, b, want in cases:
+        assert one(spark, rects_intersect(*[F.lit(x) for x in a + b])) is want, (a, b)
+
+
+def test_bpe_counter_is_optional():
+    import pytest
+
+    try:
+        budget.bpe_token_count()
+    except Exception:  # noqa: BLE001 - no vocabulary offline: the estimate is the default
+        pytest.skip("BPE vocabulary not available")
