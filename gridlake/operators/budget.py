@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.budget import estimate_tokens
+from gridlake.operators.sequence import scan_sum
 
 # Fixed values of the reference: fields kept first when a map is cut, in this order.
 PRIORITY_FIELDS = ["metadata", "summary", "index", "pagination"]
@@ -22,32 +23,41 @@ def token_totals(df: DataFrame, group: Sequence[str], text: str = "text") -> Dat
                                   F.count(F.lit(1)).alias("n"))
 
 
-def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], tokens: str, target: int) -> DataFrame:
+def _bucket_of(order_col: str, width: int):
+    return F.floor(F.col(order_col) / width).cast("bigint")
+
+
+def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], tokens: str, target: int,
+                   bucket_width: int = 4096) -> DataFrame:
     """Cumulative tokens per group in ``order`` and ``kept`` = cumulative ≤ target.
 
-    The window is partitioned by the group (one list = one partition key, e.g. one
-    conversation); Spark's window buffer spills, so a long list is slow but never fails.
+    The running sum is a bucketed scan (``scan_sum``): a list is cut into buckets of
+    ``bucket_width`` positions of its first (numeric) order column, so one very long list is
+    spread over many tasks.  Ties in ``order`` count together, like SQL's default RANGE frame.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    cum = F.sum(tokens).over(w)
-    return df.withColumn("cum_tokens", cum).withColumn("kept", F.col("cum_tokens") <= target)
+    group, order = list(group), list(order)
+    d = df.withColumn("_bucket", _bucket_of(order[0], bucket_width))
+    peers = d.groupBy(*group, "_bucket", *order).agg(F.sum(tokens).alias("_peer_tok"))
+    cum = scan_sum(peers, group, order, "_bucket", {"cum_tokens": (F.col("_peer_tok"), True)})
+    return (d.join(cum.select(*group, *order, "cum_tokens"), [*group, *order])
+            .withColumn("kept", F.col("cum_tokens") <= target).drop("_bucket"))
 
 
-def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, target: int) -> DataFrame:
+def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, target: int,
+                   bucket_width: int = 4096) -> DataFrame:
     """the reference's list truncation.  Items are kept while the running total stays
     within ``target``; the first item that overflows is cut to the tokens left (F19) and kept
     if anything remains; when items follow it, one summary row per group carries
     ``_truncated_items`` and ``_total_items``.  Output: group, ``pos`` (0-based), text,
-    ``is_summary``, ``_truncated_items``, ``_total_items``.  One windowed pass: the overflow
-    row emits its cut text and the summary row through one ``inline``."""
+    ``is_summary``, ``_truncated_items``, ``_total_items``.  ``order`` must be unique within
+    a group.  Positions and running totals are bucketed scans (a long list is spread over many
+    tasks); list sizes and the first overflow are per-group aggregates joined back."""
     group, order = list(group), list(order)
-    w = Window.partitionBy(*group).orderBy(*order)
-    whole = Window.partitionBy(*group)
-    t = (df.withColumn("_tok", estimate_tokens(text)).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
-         .withColumn("_cum", F.sum("_tok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_n", F.count(F.lit(1)).over(whole)))
-    t = t.withColumn("_first_over", F.min(F.when(F.col("_cum") > target, F.col("pos"))).over(whole))
-    t = t.filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
+    d = df.withColumn("_tok", estimate_tokens(text)).withColumn("_bucket", _bucket_of(order[0], bucket_width))
+    d = scan_sum(d, group, order, "_bucket", {"pos": (F.lit(1).cast("bigint"), False), "_cum": (F.col("_tok"), True)})
+    n = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
+                              F.min(F.when(F.col("_cum") > target, F.col("pos"))).alias("_first_over"))
+    t = d.join(n, group).filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
     is_over = F.col("pos") == F.coalesce(F.col("_first_over"), F.lit(-1))
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
     n_chars = left * 4

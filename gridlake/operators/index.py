@@ -69,18 +69,21 @@ def write_index(cells: DataFrame, path: str, mode: str = "overwrite", files_per_
 
     Each table is range-partitioned and sorted on its lookup key so Parquet min/max statistics
     prune row groups for equality and range predicates; ``value`` and ``token`` also get a
-    Parquet Bloom filter (the reference's Bloom pre-check).  ``cells`` is partitioned on disk by
-    workbook so per-workbook reads and rewrites touch one folder.
+    Parquet Bloom filter (the reference's Bloom pre-check).  The range keys end with the cell
+    location, so a token (or number) holding a third of all entries is still cut over many
+    partitions.  ``cells`` is partitioned on disk by workbook so per-workbook reads and
+    rewrites touch one folder.
     """
     n = files_per_table or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = build_postings(cells)
     numeric = build_numeric_index(cells)
-    (cells.repartitionByRange(n, "workbook", "sheet", "row").sortWithinPartitions("workbook", "sheet", "row", "col")
+    (cells.repartitionByRange(n, "workbook", "sheet", "row", "col").sortWithinPartitions("workbook", "sheet", "row", "col")
      .write.mode(mode).option("parquet.bloom.filter.enabled#value", "true")
      .partitionBy("workbook").parquet(f"{path}/cells"))
-    (postings.repartitionByRange(n, "token").sortWithinPartitions("token", *LOCATION)
+    (postings.repartitionByRange(n, "token", *LOCATION).sortWithinPartitions("token", *LOCATION)
      .write.mode(mode).option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings"))
-    (numeric.repartitionByRange(n, "num").sortWithinPartitions("num", "workbook", "sheet", "row", "col")
+    (numeric.repartitionByRange(n, "num", "workbook", "sheet", "row", "col")
+     .sortWithinPartitions("num", "workbook", "sheet", "row", "col")
      .write.mode(mode).parquet(f"{path}/numeric_index"))
 
 

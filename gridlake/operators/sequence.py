@@ -60,3 +60,22 @@ def scan_max(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: st
         frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         out = out.withColumn(n, F.greatest(F.col(f"_c_{n}"), F.max(tmp[n]).over(frame)))
     return out.drop(*tmp.values(), *[f"_c_{n}" for n in values])
+
+
+def scan_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: str,
+             values: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """Add running sums per key in ``order``: ``name -> (expression, inclusive)`` gives the
+    sum of the expression over the rows up to this one (inclusive) or strictly before it
+    (0 for the first row).  Same bucket carry as :func:`scan_max`."""
+    key, order = list(key), list(order)
+    part = [*key, bucket]
+    tmp = {n: f"_x_{n}" for n in values}
+    d = df.select("*", *[e.alias(tmp[n]) for n, (e, _) in values.items()])
+    per = d.groupBy(*part).agg(*[F.sum(tmp[n]).alias(f"_b_{n}") for n in values])
+    wb = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*part, *[F.coalesce(F.sum(f"_b_{n}").over(wb), F.lit(0)).alias(f"_c_{n}") for n in values])
+    out = d.join(carry, part)
+    for n, (_, inclusive) in values.items():
+        frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        out = out.withColumn(n, F.col(f"_c_{n}") + F.coalesce(F.sum(tmp[n]).over(frame), F.lit(0)))
+    return out.drop(*tmp.values(), *[f"_c_{n}" for n in values])

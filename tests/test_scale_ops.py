@@ -171,3 +171,26 @@ def test_keyset_pages_cover_all_rows(spark):
     assert [r[0] for r in hm] == [False]
     hm2 = paging.with_has_more(df, order, 95, mode="at_least").select("has_more").distinct().collect()
     assert [r[0] for r in hm2] == [True]
+
+
+def test_budget_scans_across_buckets(spark):
+    rnd = random.Random(8)
+    rows = [(g, i, "x" * rnd.randint(0, 60)) for g in range(5) for i in range(rnd.randint(1, 40))]
+    df = spark.createDataFrame(rows, "g int, i int, text string")
+    got = {(r["g"], r["i"]): (r["cum_tokens"], r["kept"])
+           for r in bo.running_budget(df.withColumn("tok", F.ceil(F.length("text") / 4)), ["g"], ["i"], "tok", 50,
+                                      bucket_width=3).collect()}
+    out = {(r["g"], r["pos"], r["is_summary"]): r for r in bo.truncate_items(df, ["g"], ["i"], "text", 50, bucket_width=3).collect()}
+    for g in range(5):
+        items = [t for gg, _, t in rows if gg == g]
+        cum, first_over = 0, None
+        for i, t in enumerate(items):
+            cum += -(-len(t) // 4)
+            assert got[(g, i)] == (cum, cum <= 50)
+            if cum > 50 and first_over is None:
+                first_over = i
+        kept = [k for k in out if k[0] == g and not k[2]]
+        limit = len(items) if first_over is None else first_over + 1
+        assert {k[1] for k in kept} <= set(range(limit)) and {k[1] for k in kept} >= set(range(min(limit, first_over or limit)))
+        if first_over is not None and first_over < len(items) - 1:
+            assert out[(g, first_over + 1, True)]["_truncated_items"] == len(items) - first_over - 1
