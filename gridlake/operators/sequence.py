@@ -16,10 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_bucket(ts, seconds: int) -> Column:
-    """Bucket number of a timestamp (works for TIMESTAMP and TIMESTAMP_NTZ)."""
-    t = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(t.cast("timestamp")) / (seconds * 1_000_000)).cast("bigint")
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP (an instant) or TIMESTAMP_NTZ (a wall
+    clock, read as UTC) column, without going through the session time zone, so gaps between
+    wall-clock times do not depend on it (no daylight-saving jumps)."""
+    t = F.col(ts)
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        day = F.unix_date(F.to_date(t)).cast("bigint") * 86_400_000_000
+        tod = (F.hour(t).cast("bigint") * 3600 + F.minute(t).cast("bigint") * 60) * 1_000_000
+        return day + tod + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return F.unix_micros(t)
+
+
+def time_bucket(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Bucket number of a timestamp column (see :func:`epoch_micros`)."""
+    return F.floor(epoch_micros(df, ts) / (seconds * 1_000_000)).cast("bigint")
 
 
 def scan_lags(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: str, col: str, n: int) -> DataFrame:

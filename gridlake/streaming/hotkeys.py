@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.session import materialize
-from gridlake.operators.sequence import scan_lags, scan_max, time_bucket
+from gridlake.operators.sequence import epoch_micros, scan_lags, scan_max, time_bucket
 
 # Fixed values of the reference: TTL 5 min, 10 min once hot, hot after more than 3 accesses.
 TTL_SECONDS = 300
@@ -42,11 +42,10 @@ def hot_key_accesses(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str,
     key = list(key)
     order = [ts, tiebreak]
     p = promote_after
-    d = df.withColumn("_bucket", time_bucket(ts, bucket_seconds))
-    d = scan_lags(d, key, order, "_bucket", ts, p)
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    times = [ts] + [f"_lag{j}" for j in range(1, p + 1)]
-    gaps = [us(times[j]) - us(times[j + 1]) for j in range(p)]  # gaps[0] is this access's gap
+    d = df.withColumn("_us", epoch_micros(df, ts)).withColumn("_bucket", time_bucket(df, ts, bucket_seconds))
+    d = scan_lags(d, key, order, "_bucket", "_us", p)
+    times = ["_us"] + [f"_lag{j}" for j in range(1, p + 1)]
+    gaps = [F.col(times[j]) - F.col(times[j + 1]) for j in range(p)]  # gaps[0] is this access's gap
     short = [g.isNotNull() & (g <= ttl_seconds * 1_000_000) for g in gaps]
     run = short[0]
     for s_ in short[1:]:
@@ -61,7 +60,7 @@ def hot_key_accesses(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str,
     })
     locked = F.coalesce(F.col("_run_before") >= F.col("_seg"), F.lit(False))
     miss = F.col("_start") | (~F.col("_short") & ~locked)
-    drop = ["_bucket", "_short", "_run", "_start", "_seg", "_run_before"] + [f"_lag{j}" for j in range(1, p + 1)]
+    drop = ["_us", "_bucket", "_short", "_run", "_start", "_seg", "_run_before"] + [f"_lag{j}" for j in range(1, p + 1)]
     return d.withColumn("hit", ~miss).withColumn("promotion", F.col("_run") & ~locked).drop(*drop)
 
 

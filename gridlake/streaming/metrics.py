@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.session import materialize
-from gridlake.operators.sequence import scan_lags, scan_max, time_bucket
+from gridlake.operators.sequence import epoch_micros, scan_lags, scan_max, time_bucket
 
 
 def tick_counts(df: DataFrame, ts: str, every: str = "1 minute", group: Sequence[str] = ()) -> DataFrame:
@@ -33,14 +33,15 @@ def gap_sessions(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, gap_
     parallel; the streaming form is ``session_window``."""
     key = list(key)
     order = [ts, tiebreak]
-    d = scan_lags(df.withColumn("_bucket", time_bucket(ts, bucket_seconds)), key, order, "_bucket", ts, 1)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_lag1").cast("timestamp"))
+    d = df.withColumn("_us", epoch_micros(df, ts)).withColumn("_bucket", time_bucket(df, ts, bucket_seconds))
+    d = scan_lags(d, key, order, "_bucket", "_us", 1)
+    gap = F.col("_us") - F.col("_lag1")
     start = F.col("_lag1").isNull() | (gap >= gap_seconds * 1_000_000)
     d = materialize(d.withColumn("_start", start))  # read twice below: written once instead of recomputed
     start = F.col("_start")
     # timestamps grow along the order, so the latest start so far is the running max
     d = scan_max(d, key, order, "_bucket", {"session_start": (F.when(start, F.col(ts)), True)})
-    return d.drop("_bucket", "_lag1", "_start")
+    return d.drop("_us", "_bucket", "_lag1", "_start")
 
 
 def session_summary(sessions: DataFrame, key: Sequence[str]) -> DataFrame:
