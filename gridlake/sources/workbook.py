@@ -1,8 +1,9 @@
 """Workbooks (.xlsx/.xlsm zips) -> sheet list, ``cells`` and file metadata.
 
-Spark reads the files with the ``binaryFile`` source; the only Python is the XML parse of
-a sheet part, run by ``mapInPandas`` and streamed with ``iterparse`` in Arrow batches, so a
-sheet is never held whole.  A big workbook is split into groups of sheets of about
+Spark lists the files with the ``binaryFile`` source; the only Python is the XML parse of
+a sheet part, run by ``mapInArrow`` over chunks of whole rows (a compiled regex pass decoded
+with Arrow kernels, ElementTree for chunks the regex does not fully cover), so a sheet is
+never held whole.  A big workbook is split into groups of sheets of about
 ``target_bytes`` of sheet XML, each group its own task, so one huge workbook does not become
 one task (the zip bytes travel once per group, not once per sheet).
 """
@@ -18,8 +19,9 @@ import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,69 +233,95 @@ def _unescape(b: bytes) -> str:
     return html.unescape(t) if "&" in t else t
 
 
-def _fast_chunk(chunk: bytes, strings: list[str], dates: set[int], shared_f: dict) -> pd.DataFrame | None:
+_OUT_FIELDS = [("row", pa.int64()), ("col", pa.int32()), ("value", pa.string()), ("formula", pa.string()),
+               ("is_date", pa.bool_()), ("serial", pa.float64())]
+
+
+def _empty_batch() -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([], t) for _, t in _OUT_FIELDS], names=[n for n, _ in _OUT_FIELDS])
+
+
+def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict) -> pa.RecordBatch | None:
+    """Decode one chunk column-wise with Arrow kernels; per-cell Python runs only for rare
+    cells (rich inline strings, XML entities, dates, formulas)."""
     found = _CELL.findall(chunk)
     if len(found) != len(_CELL_START.findall(chunk)):
         return None
-    n_str = len(strings)
-    rows, cols, vals, forms, is_date, serial = [], [], [], [], [], []
-    col_of: dict[bytes, int] = {}
-    any_f = any_d = False
-    for letters, rw, s1, t, s2, fat, ftext, v, inl, rich in found:
-        if t == b"s":
-            k = int(v) if v else -1
-            value = strings[k] if 0 <= k < n_str else None
-        elif t == b"inlineStr":
-            if inl or not rich:
-                value = inl.decode("utf-8")
-                if "&" in value:
-                    value = html.unescape(value)
-            else:
-                value = "".join(html.unescape(x) for x in _XML_T.findall(rich.decode("utf-8")))
-        elif t == b"b":
-            value = ("TRUE" if v.strip() in (b"1", b"true") else "FALSE") if v else None
-        elif v:
-            value = v.decode("utf-8")
-            if "&" in value:
-                value = html.unescape(value)
-        else:
-            value = None
-        date_flag, ser = False, None
-        if dates and value is not None and (s1 or s2) and t in (b"", b"n") and int(s1 or s2) in dates:
-            try:
-                ser = float(value)
-                value, date_flag, any_d = serial_to_iso(ser), True, True
-            except (ValueError, OverflowError):
-                pass
-        formula = None
-        if fat or ftext:
-            si = _SI.search(fat)
-            if ftext:
-                formula = _unescape(ftext)
+    if not found:
+        return _empty_batch()
+    letters, rows, s1, t, s2, fat, ftext, v, inl, rich = zip(*found)
+    b = lambda x: pa.array(x, pa.binary())
+    T, V = b(t), b(v)
+    row = b(rows).cast(pa.string()).cast(pa.int64())
+    L = b(letters)
+    uniq = pc.unique(L)
+    col = pc.take(pa.array([_col_number(x.decode()) for x in uniq.to_pylist()], pa.int32()), pc.index_in(L, value_set=uniq))
+    value = pc.if_else(pc.equal(V, b""), pa.scalar(None, pa.string()), V.cast(pa.string()))
+    is_s = pc.equal(T, b"s")
+    if pc.any(is_s).as_py():
+        idx = pc.if_else(pc.and_(is_s, pc.not_equal(V, b"")), V, b"-1").cast(pa.string()).cast(pa.int64())
+        ok = pc.and_(pc.greater_equal(idx, 0), pc.less(idx, len(strings)))
+        looked = pc.take(strings, pc.if_else(ok, idx, 0)) if len(strings) else pa.nulls(len(idx), pa.string())
+        value = pc.if_else(is_s, pc.if_else(ok, looked, pa.scalar(None, pa.string())), value)
+    is_inl = pc.equal(T, b"inlineStr")
+    if pc.any(is_inl).as_py():
+        inline = b(inl).cast(pa.string())
+        R = b(rich)
+        has_rich = pc.and_(is_inl, pc.and_(pc.equal(b(inl), b""), pc.not_equal(R, b"")))
+        if pc.any(has_rich).as_py():
+            vals = inline.to_pylist()
+            for i in pc.indices_nonzero(has_rich).to_pylist():
+                vals[i] = "".join(html.unescape(x) for x in _XML_T.findall(rich[i].decode("utf-8")))
+            inline = pa.array(vals, pa.string())
+        value = pc.if_else(is_inl, inline, value)
+    is_b = pc.equal(T, b"b")
+    if pc.any(is_b).as_py():
+        truth = pc.or_(pc.equal(V, b"1"), pc.equal(V, b"true"))
+        bval = pc.if_else(pc.equal(V, b""), pa.scalar(None, pa.string()), pc.if_else(truth, "TRUE", "FALSE"))
+        value = pc.if_else(is_b, bval, value)
+    fix = {}
+    amp = pc.fill_null(pc.match_substring(value, "&"), False)
+    if pc.any(amp).as_py():
+        for i in pc.indices_nonzero(amp).to_pylist():
+            fix[i] = html.unescape(value[i].as_py())
+    n = len(found)
+    is_date = serial = None
+    if dates:
+        d_flags, d_serial = [False] * n, [None] * n
+        for i in range(n):
+            st = s1[i] or s2[i]
+            if st and t[i] in (b"", b"n") and int(st) in dates and v[i]:
+                try:
+                    d_serial[i] = float(v[i])
+                    fix[i], d_flags[i] = serial_to_iso(d_serial[i]), True
+                except (ValueError, OverflowError):
+                    pass
+        if any(d_flags):
+            is_date, serial = pa.array(d_flags, pa.bool_()), pa.array(d_serial, pa.float64())
+    if fix:
+        vals = value.to_pylist()
+        for i, x in fix.items():
+            vals[i] = x
+        value = pa.array(vals, pa.string())
+    value = pc.if_else(pc.fill_null(pc.equal(value, ""), False), pa.scalar(None, pa.string()), value)
+    has_f = pc.or_(pc.not_equal(b(fat), b""), pc.not_equal(b(ftext), b""))
+    if pc.any(has_f).as_py():
+        forms = [None] * n
+        for i in pc.indices_nonzero(has_f).to_pylist():
+            si = _SI.search(fat[i])
+            if ftext[i]:
+                forms[i] = _unescape(ftext[i])
                 if si:
-                    shared_f[si.group(1)] = formula
+                    shared_f[si.group(1)] = forms[i]
             elif si:
-                formula = shared_f.get(si.group(1))
-            any_f = any_f or formula is not None
-        if value == "":
-            value = None
-        if value is None and formula is None:
-            continue
-        c = col_of.get(letters)
-        if c is None:
-            c = col_of[letters] = _col_number(letters.decode())
-        rows.append(int(rw))
-        cols.append(c)
-        vals.append(value)
-        forms.append(formula)
-        is_date.append(date_flag)
-        serial.append(ser)
-    k = len(rows)
-    return pd.DataFrame({
-        "row": np.array(rows, dtype=np.int64), "col": np.array(cols, dtype=np.int32),
-        "value": pd.array(vals, dtype=object), "formula": forms if any_f else [None] * k,
-        "is_date": np.array(is_date, dtype=bool) if any_d else np.zeros(k, dtype=bool),
-        "serial": np.array(serial, dtype=float) if any_d else np.full(k, np.nan)})
+                forms[i] = shared_f.get(si.group(1))
+        formula = pa.array(forms, pa.string())
+    else:
+        formula = pa.nulls(n, pa.string())
+    if is_date is None:
+        is_date, serial = pa.repeat(pa.scalar(False), n), pa.nulls(n, pa.float64())
+    batch = pa.RecordBatch.from_arrays([row, col, value, formula, is_date, serial], names=[x for x, _ in _OUT_FIELDS])
+    return batch.filter(pc.or_(pc.is_valid(value), pc.is_valid(formula)))
 
 
 def _slow_chunk(chunk: bytes, strings, dates, shared_f: dict, row_no: int) -> tuple[list[tuple], int]:
@@ -307,22 +335,32 @@ def _slow_chunk(chunk: bytes, strings, dates, shared_f: dict, row_no: int) -> tu
     return out, row_no
 
 
-def parse_sheet_frames(zf: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[pd.DataFrame]:
-    """A sheet part as DataFrames of (row, col, value, formula, is_date, serial)."""
+def parse_sheet_batches(zf: zipfile.ZipFile, part: str, strings: pa.Array, dates: set[int]) -> Iterator[pa.RecordBatch]:
+    """A sheet part as Arrow batches of (row, col, value, formula, is_date, serial)."""
     shared_f: dict = {}
     row_no = 0
-    cols = ["row", "col", "value", "formula", "is_date", "serial"]
+    py_strings = None
     with zf.open(part) as fh:
         for chunk in _row_chunks(fh):
             fast = _fast_chunk(chunk, strings, dates, shared_f)
             if fast is not None:
-                if len(fast):
-                    row_no = int(fast["row"].iloc[-1])
+                if fast.num_rows:
+                    row_no = fast.column(0)[-1].as_py()
                     yield fast
                 continue
-            rows, row_no = _slow_chunk(chunk, strings, dates, shared_f, row_no)
+            if py_strings is None:
+                py_strings = strings.to_pylist()
+            rows, row_no = _slow_chunk(chunk, py_strings, dates, shared_f, row_no)
             if rows:
-                yield pd.DataFrame(rows, columns=cols)
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _OUT_FIELDS)],
+                                                 names=[x for x, _ in _OUT_FIELDS])
+
+
+def parse_sheet_frames(zf: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[pd.DataFrame]:
+    """The same as pandas frames (for tests and local use)."""
+    for batch in parse_sheet_batches(zf, part, pa.array(strings, pa.string()), dates):
+        yield batch.to_pandas()
 
 
 def open_zip(path: str) -> zipfile.ZipFile:
@@ -348,22 +386,28 @@ def _listing_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _parse_fn(batch_rows: int):
-    cols = [f.name for f in RAW_CELLS_SCHEMA.fields]
+    names = [f.name for f in RAW_CELLS_SCHEMA.fields]
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, sheets in zip(pdf["path"], pdf["sheets"]):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for task in rb.to_pylist():
+                path, sheets = task["path"], task["sheets"]
                 try:
                     zf = open_zip(path)
                 except (zipfile.BadZipFile, OSError):
                     continue  # reported by the listing step
                 with zf:
-                    strings, dates = shared_strings(zf), date_styles(zf)
+                    strings, dates = pa.array(shared_strings(zf), pa.string()), date_styles(zf)
                     for s in sheets:
-                        for frame in parse_sheet_frames(zf, s["part"], strings, dates):
-                            for i in range(0, len(frame), batch_rows):
-                                part = frame.iloc[i:i + batch_rows]
-                                yield part.assign(workbook=path, sheet=s["sheet"], sheet_idx=s["sheet_idx"])[cols]
+                        for batch in parse_sheet_batches(zf, s["part"], strings, dates):
+                            for off in range(0, batch.num_rows, batch_rows):
+                                part = batch.slice(off, batch_rows)
+                                n = part.num_rows
+                                cols = {"workbook": pa.repeat(pa.scalar(path, pa.string()), n),
+                                        "sheet": pa.repeat(pa.scalar(s["sheet"], pa.string()), n),
+                                        "sheet_idx": pa.repeat(pa.scalar(s["sheet_idx"], pa.int32()), n)}
+                                arrays = [cols[x] if x in cols else part.column(x) for x in names]
+                                yield pa.RecordBatch.from_arrays(arrays, names=names)
     return fn
 
 
@@ -402,7 +446,7 @@ def read_cells(files: DataFrame, listing: DataFrame | None = None, target_bytes:
         F.sum("part_bytes").alias("_bytes"))
     n = max(files.sparkSession.sparkContext.defaultParallelism, 1) * 4
     work = tasks.repartitionByRange(n, F.col("_bytes").desc(), "path", "_grp")
-    raw = work.select("path", "sheets").mapInPandas(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
+    raw = work.select("path", "sheets").mapInArrow(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
     cells = (raw.withColumn("ref", cell_ref("col", "row"))
              .withColumn("num", F.when(F.col("is_date"), F.col("serial")).otherwise(parse_number("value")))
              .withColumn("kind", F.when(F.col("is_date") & F.col("formula").isNull(), F.lit("date"))
