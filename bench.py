@@ -111,7 +111,7 @@ def main():
     idx = str(work / "index")
     timed("build_index", lambda: ix.write_index(cells, idx, files_per_table=CPUS * 2))
     t = ix.read_index(spark, idx)
-    timed("query_index", lambda: sr.search_text(t["postings"], "cold widget").join(t["cells"], ["workbook", "sheet", "row", "col"]).collect())
+    timed("query_index", lambda: sr.fetch_cells(t["cells"], sr.top_hits(sr.search_text(t["postings"], "cold widget"), 100)).collect())
     timed("query_numeric", lambda: sr.search_numeric(t["cells"], 1000, 1010).collect())
     timed("window_1000", lambda: read_window(t["cells"], 100_000, 100_999, 0, 20, sheet="lineitem").collect())
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import idiv, location_text
-from gridlake.functions.values import tokenize
+from gridlake.functions.values import MIN_TOKEN_BYTES, STOP_WORDS, tokenize
 from gridlake.schema import LOCATION
 from gridlake.session import materialize
 
@@ -19,11 +20,19 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------- text
 
-def query_tokens(spark: SparkSession, query: str) -> list[str]:
-    """The distinct tokens of one query string, tokenised by the same Column expression as the
-    index (so Java regex and lower-casing rules agree).  The only data sent to the driver."""
-    row = spark.range(1).select(F.array_distinct(tokenize(F.lit(query))).alias("t")).first()
-    return list(row["t"] or [])
+_JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")  # Java's \s, as in the index's split
+
+
+def query_tokens(spark: SparkSession | None, query: str) -> list[str]:
+    """The distinct tokens of one query string, by the index's rules (F5): lower case, split
+    on Java's whitespace class, keep words over 2 UTF-8 bytes that are not stop words.
+    Computed on the driver (no job); ``tests/test_functions.py`` checks it against the Column
+    expression."""
+    out: list[str] = []
+    for w in _JAVA_SPACE.split(query.lower()):
+        if len(w.encode("utf-8")) > MIN_TOKEN_BYTES and w not in STOP_WORDS and w not in out:
+            out.append(w)
+    return out
 
 
 def search_text(postings: DataFrame, query: str, key: Sequence[str] = LOCATION) -> DataFrame:
@@ -223,6 +232,23 @@ def top_hits(hits: DataFrame, n: int = 100, order: Sequence[str] = LOCATION) ->
     return hits.orderBy(*order).limit(n)
 
 
+def fetch_cells(cells: DataFrame, page: DataFrame, max_locations: int = 1000) -> DataFrame:
+    """L1 + P11: the cells of a page of hits (at most ``max_locations``).  The page's
+    locations come to the driver (a result page is small by definition) and become a literal
+    filter that reaches the Parquet scan, so a table sorted by (workbook, sheet, row) reads
+    only the row groups holding the hits."""
+    locs = page.select(*LOCATION).limit(max_locations + 1).collect()
+    if len(locs) > max_locations:
+        raise ValueError(f"a page holds at most {max_locations} locations")
+    if not locs:
+        return cells.limit(0)
+    cond = F.lit(False)
+    for r in locs:
+        cond = cond | ((F.col("workbook") == r["workbook"]) & (F.col("sheet") == r["sheet"])
+                       & (F.col("row") == r["row"]) & (F.col("col") == r["col"]))
+    return cells.filter(cond)
+
+
 def with_location_text(hits: DataFrame) -> DataFrame:
     """``Sheet!B7`` text of each hit (needs ``sheet`` and ``ref``)."""
     return hits.withColumn("location", location_text("sheet", "ref"))

@@ -107,3 +107,11 @@ def test_bpe_counter_is_optional():
         budget.bpe_token_count()
     except Exception:  # noqa: BLE001 - no vocabulary offline: the estimate is the default
         pytest.skip("BPE vocabulary not available")
+
+
+def test_query_tokens_match_column_tokenizer(spark):
+    from gridlake.operators.search import query_tokens
+
+    for q in ["The  Cold widget, and an ox ABC", "Ünïcode ÉTÉ été\tx\nyy zzz", "a b", "Brand#17 brand#17 ΣΑΣ"]:
+        col = one(spark, F.array_distinct(values.tokenize(F.lit(q))))
+        assert query_tokens(None, q) == col, q

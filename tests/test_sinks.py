@@ -81,3 +81,16 @@ def test_persisted_index_prunes(spark, tmp_path):
     assert hits.count() == 8 * 3
     assert t["numeric_index"].filter((F.col("num") >= 10) & (F.col("num") < 20)).count() == \
         cells.filter((F.col("num") >= 10) & (F.col("num") < 20)).count()
+
+
+def test_fetch_cells_page(spark, tmp_path):
+    from gridlake.operators import search as sr
+
+    cells = spark.createDataFrame([("wb", "S", r, c, f"v{r}_{c}") for r in range(1, 300) for c in range(1, 4)],
+                                  "workbook string, sheet string, row long, col int, value string")
+    cells.sortWithinPartitions("workbook", "sheet", "row", "col").write.parquet(str(tmp_path / "c"))
+    t = spark.read.parquet(str(tmp_path / "c"))
+    page = t.filter(F.col("value").endswith("_2")).select("workbook", "sheet", "row", "col")
+    got = sr.fetch_cells(t, sr.top_hits(page, 5))
+    assert sorted(r["value"] for r in got.collect()) == [f"v{r}_2" for r in range(1, 6)]
+    assert "PushedFilters" in got._jdf.queryExecution().executedPlan().toString()
