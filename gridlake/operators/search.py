@@ -234,19 +234,20 @@ def top_hits(hits: DataFrame, n: int = 100, order: Sequence[str] = LOCATION) ->
 
 def fetch_cells(cells: DataFrame, page: DataFrame, max_locations: int = 1000) -> DataFrame:
     """L1 + P11: the cells of a page of hits (at most ``max_locations``).  The page's
-    locations come to the driver (a result page is small by definition) and become a literal
-    filter that reaches the Parquet scan, so a table sorted by (workbook, sheet, row) reads
-    only the row groups holding the hits."""
+    locations come to the driver (a result page is small by definition): their sheets and row
+    numbers become ``IN`` filters that reach the Parquet scan (a table sorted by (workbook,
+    sheet, row) reads only the row groups holding the hits), and the exact locations are
+    matched by a semi join with the page, broadcast with its proven bound."""
     locs = page.select(*LOCATION).limit(max_locations + 1).collect()
     if len(locs) > max_locations:
         raise ValueError(f"a page holds at most {max_locations} locations")
     if not locs:
         return cells.limit(0)
-    cond = F.lit(False)
-    for r in locs:
-        cond = cond | ((F.col("workbook") == r["workbook"]) & (F.col("sheet") == r["sheet"])
-                       & (F.col("row") == r["row"]) & (F.col("col") == r["col"]))
-    return cells.filter(cond)
+    spark = cells.sparkSession
+    exact = spark.createDataFrame([tuple(r) for r in locs], page.select(*LOCATION).schema)
+    cand = cells.filter(F.col("sheet").isin(sorted({r["sheet"] for r in locs}))
+                        & F.col("row").isin(sorted({r["row"] for r in locs})))
+    return cand.join(F.broadcast(exact), list(LOCATION), "left_semi")
 
 
 def with_location_text(hits: DataFrame) -> DataFrame:
