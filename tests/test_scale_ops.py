@@ -194,3 +194,27 @@ def test_budget_scans_across_buckets(spark):
         assert {k[1] for k in kept} <= set(range(limit)) and {k[1] for k in kept} >= set(range(min(limit, first_over or limit)))
         if first_over is not None and first_over < len(items) - 1:
             assert out[(g, first_over + 1, True)]["_truncated_items"] == len(items) - first_over - 1
+
+
+def _cycle_nodes(edges):
+    """Brute force: nodes left after peeling sources and sinks one at a time."""
+    e = set(edges)
+    while True:
+        srcs = {a for a, _ in e}
+        dsts = {b for _, b in e}
+        keep = {(a, b) for a, b in e if a in dsts and b in srcs}
+        if keep == e:
+            return {a for a, _ in e}
+        e = keep
+
+
+def test_cyclic_core_long_chains_and_cycles(spark):
+    rnd = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 300)]                 # a long chain into ...
+    edges += [(300, 301), (301, 302), (302, 300)]              # ... a 3-cycle
+    edges += [(302, 400 + i) for i in range(1)] + [(400 + i, 401 + i) for i in range(150)]  # a long tail out of it
+    edges += [(1000 + i, 1000 + (2 * i + 1) % 97) for i in range(200)]  # a functional graph with several cycles
+    edges += [(rnd.randrange(2000, 2060), rnd.randrange(2000, 2060)) for _ in range(90)]  # a random dense part
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["node"] for r in links.cyclic_core(df).collect()}
+    assert got == _cycle_nodes(edges)
