@@ -137,20 +137,22 @@ def hot_zones(cells: DataFrame, window: int = 10, threshold: float = 0.7, max_co
     Reproduces the reference exactly (D14): tiles start at columns below ``max_cols``; the last
     full row window is not examined (``start_row < rows - window``) unless ``include_tail``;
     the denominator counts only cells inside ragged rows: Σ over the tile's rows of
-    ``clamp(len - first_col, 0, window)``.  Each row is exploded to at most max_cols/window
-    column tiles, so the work is linear in rows.
+    ``clamp(len - first_col, 0, window)``.  One aggregate per row carries its length and its
+    non-empty count in each of the max_cols/window column tiles; rows then fold into tiles,
+    so the cells are scanned for that and for the row count only, and the work is linear.
     """
     n_tiles = -(-max_cols // window)
-    lens = row_lengths(cells)
-    denom = (lens.select(*SHEET, idiv(F.col("row") - 1, window).alias("tr"), "len",
-                         F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("tc"))
-             .groupBy(*SHEET, "tr", "tc")
-             .agg(F.sum(F.greatest(F.least(F.col("len") - F.col("tc") * window, F.lit(window)), F.lit(0))).alias("tot")))
-    nums = (cells.filter(_nonempty() & (F.col("col") <= n_tiles * window))
-            .groupBy(*SHEET, idiv(F.col("row") - 1, window).alias("tr"), idiv(F.col("col") - 1, window).alias("tc"))
-            .agg(F.count(F.lit(1)).alias("k")))
-    n_rows = cells.groupBy(*SHEET).agg(F.max("row").alias("_n"))
-    out = nums.join(denom, [*SHEET, "tr", "tc"]).join(n_rows, SHEET)
+    c = F.col("col")
+    per_row = cells.groupBy(*SHEET, "row").agg(
+        F.max("col").alias("len"),
+        *[F.count_if(_nonempty() & (c > t * window) & (c <= (t + 1) * window)).alias(f"_k{t}") for t in range(n_tiles)])
+    tiles = per_row.select(*SHEET, idiv(F.col("row") - 1, window).alias("tr"), F.inline(F.array(*[
+        F.struct(F.lit(t).alias("tc"), F.col(f"_k{t}").alias("k"),
+                 F.greatest(F.least(F.col("len") - t * window, F.lit(window)), F.lit(0)).alias("tot"))
+        for t in range(n_tiles)])))
+    agg = (tiles.groupBy(*SHEET, "tr", "tc").agg(F.sum("k").alias("k"), F.sum("tot").alias("tot"))
+           .filter(F.col("k") > 0))
+    out = agg.join(cells.groupBy(*SHEET).agg(F.max("row").alias("_n")), SHEET)
     if not include_tail:
         out = out.filter(F.col("tr") * window < F.col("_n") - window)
     out = out.withColumn("density", F.col("k") / F.col("tot")).filter(F.col("density") > threshold)
