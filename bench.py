@@ -19,7 +19,6 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from gridlake.operators import index as ix  # noqa: E402
 from gridlake.operators import profile as pf  # noqa: E402

@@ -11,10 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.functions import budget as bg
 from gridlake.functions.a1 import col_letters
+from gridlake.functions.cursor import decode_cursor, encode_cursor
+from gridlake.functions.values import parse_money
+from gridlake.functions.values import sanitise as sanitise_text
+from gridlake.operators import budget as bo
+from gridlake.operators import compare as cm
 from gridlake.operators import index as ix
+from gridlake.operators import links as lk
+from gridlake.operators import paging as pg
+from gridlake.operators import profile as pf
 from gridlake.operators import search as sr
+from gridlake.operators import window as wn
 from gridlake.plans.grid import grid_cells, load
+from gridlake.sinks import events as evs
+from gridlake.sinks import export as xp
+from gridlake.sources.tables import decimal_text, with_cell_fields
+from gridlake.streaming import hotkeys as hk
+from gridlake.streaming import metrics as mt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,11 +73,6 @@ def batch_text_search(spark, d):
 
 # ---------------------------------------------------------------- windows and profiles
 
-from gridlake.functions.values import parse_money  # noqa: E402
-from gridlake.operators import paging as pg  # noqa: E402
-from gridlake.operators import profile as pf  # noqa: E402
-from gridlake.operators import window as wn  # noqa: E402
-
 
 @query
 def window_scan(spark, d):
@@ -233,10 +243,6 @@ def formula_class(spark, d):
 
 # ---------------------------------------------------------------- changes and links
 
-from gridlake.operators import compare as cm  # noqa: E402
-from gridlake.operators import links as lk  # noqa: E402
-from gridlake.sources.tables import decimal_text, with_cell_fields  # noqa: E402
-
 
 @query
 def checksum_change(spark, d):
@@ -326,11 +332,6 @@ def sheet_similarity(spark, d):
 
 # ---------------------------------------------------------------- budgets, cursors, pages
 
-from gridlake.functions import budget as bg  # noqa: E402
-from gridlake.functions.cursor import decode_cursor, encode_cursor  # noqa: E402
-from gridlake.functions.values import sanitise as sanitise_text  # noqa: E402
-from gridlake.operators import budget as bo  # noqa: E402
-
 
 @query
 def token_totals(spark, d):
@@ -417,9 +418,6 @@ def sanitise(spark, d):
 
 # ---------------------------------------------------------------- time: hot keys, ticks, sessions
 
-from gridlake.streaming import hotkeys as hk  # noqa: E402
-from gridlake.streaming import metrics as mt  # noqa: E402
-
 
 @query
 def hot_keys(spark, d):
@@ -442,9 +440,6 @@ def key_sessions(spark, d):
 
 # ---------------------------------------------------------------- index upkeep, navigation, exports
 
-from gridlake.sinks import events as evs  # noqa: E402
-from gridlake.sinks import export as xp  # noqa: E402
-
 
 @query
 def index_stats(spark, d):

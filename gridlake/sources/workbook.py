@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import datetime as dt
 import html
-import io
 import posixpath
 import re
 import zipfile
