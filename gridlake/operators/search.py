@@ -140,9 +140,12 @@ def in_range(col, lo=None, hi=None, lo_inclusive: bool = True, hi_inclusive: boo
 
 
 def search_numeric(cells: DataFrame, lo=None, hi=None, lo_inclusive: bool = True,
-                   hi_inclusive: bool = False) -> DataFrame:
-    """Numeric cells in a range, ordered by (num, workbook, sheet, row, col) when sorted."""
-    return cells.filter(F.col("num").isNotNull() & in_range("num", lo, hi, lo_inclusive, hi_inclusive))
+                   hi_inclusive: bool = False, ordered: bool = False) -> DataFrame:
+    """Numeric cells in a range; ``ordered`` sorts ascending by (num, workbook, sheet,
+    row, col) like the reference's B-tree walk (a range-partitioned sort; on a
+    ``numeric_index`` written by ``write_index`` the files are already in that order)."""
+    out = cells.filter(F.col("num").isNotNull() & in_range("num", lo, hi, lo_inclusive, hi_inclusive))
+    return out.orderBy("num", *LOCATION) if ordered else out
 
 
 def range_join(ranges: DataFrame, values: DataFrame, lo: str, hi: str, value: str, width: float,

@@ -115,3 +115,27 @@ def test_query_tokens_match_column_tokenizer(spark):
     for q in ["The  Cold widget, and an ox ABC", "Ünïcode ÉTÉ été\tx\nyy zzz", "a b", "Brand#17 brand#17 ΣΑΣ"]:
         col = one(spark, F.array_distinct(values.tokenize(F.lit(q))))
         assert query_tokens(None, q) == col, q
+
+
+def test_compare_predicates(spark):
+    from gridlake.operators.search import compare
+
+    df = spark.createDataFrame([(x,) for x in range(10)], "v int")
+    count = lambda *a: df.filter(compare("v", *a)).count()
+    assert [count("=", 3), count("<>", 3), count("<", 3), count("<=", 3), count(">", 3), count(">=", 3),
+            count("between", 2, 5)] == [1, 9, 3, 4, 6, 7, 4]
+
+
+def test_location_text_and_ordered_numeric(spark):
+    from gridlake.operators.search import search_numeric, with_location_text
+
+    cells = spark.createDataFrame([("wb", "Data", 7, 2, "B7", 5.0), ("wb", "Data", 1, 1, "A1", 2.0),
+                                   ("wb", "Calc", 3, 1, "A3", 5.0)],
+                                  "workbook string, sheet string, row long, col int, ref string, num double")
+    got = [(r["location"], r["num"]) for r in with_location_text(search_numeric(cells, 1, 10, ordered=True)).collect()]
+    assert got == [("Data!A1", 2.0), ("Calc!A3", 5.0), ("Data!B7", 5.0)]
+
+
+def test_json_tokens(spark):
+    got = one(spark, budget.json_tokens(F.struct(F.lit("abcd").alias("k"))))
+    assert got == -(-len('{"v":{"k":"abcd"}}') // 4)
