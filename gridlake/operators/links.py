@@ -60,11 +60,22 @@ def similar_sets(items: DataFrame, set_col: str, item_col: str, threshold: float
     ranked = s.join(freq, "t").join(sizes, "s").withColumn("pos", F.row_number().over(w))
     prefix_len = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     pre = ranked.filter(F.col("pos") <= prefix_len).select("s", "t", "n")
-    a, b = pre.alias("a"), pre.alias("b")
-    cand = (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.s") < F.col("b.s")))
-            .filter((F.col("b.n") >= F.col("a.n") * threshold - 1e-9) & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9))
-            .select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-            .distinct())
+    # size bands of ratio 1/t: a pair can only reach t when |b| is within [t|a|, |a|/t], i.e. in
+    # the same or a neighbouring band, so each prefix row meets only its band and the two next
+    # to it (one band of margin for floating-point rounding at band edges)
+    band = (F.floor(F.log(F.col("n")) / math.log(1.0 / threshold) + 1e-9) if threshold < 1 else F.col("n")).cast("bigint")
+    pre = pre.withColumn("_band", band)
+    a = pre.select(F.col("s").alias("a"), "t", F.col("n").alias("na"),
+                   F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    b = pre.select(F.col("s").alias("b"), "t", F.col("n").alias("nb"), "_band")
+    pairs = (a.join(b, ["t", "_band"]).filter(F.col("a") != F.col("b"))
+             .filter((F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)))
+    lo = F.when(F.col("a") < F.col("b"), F.struct(F.col("a").alias("s"), F.col("na").alias("n"))).otherwise(
+        F.struct(F.col("b").alias("s"), F.col("nb").alias("n")))
+    hi = F.when(F.col("a") < F.col("b"), F.struct(F.col("b").alias("s"), F.col("nb").alias("n"))).otherwise(
+        F.struct(F.col("a").alias("s"), F.col("na").alias("n")))
+    cand = pairs.select(lo.alias("_x"), hi.alias("_y")).select(
+        F.col("_x.s").alias("a"), F.col("_y.s").alias("b"), F.col("_x.n").alias("na"), F.col("_y.n").alias("nb")).distinct()
     inter = (cand.join(s.withColumnRenamed("s", "a"), "a")
              .join(s.withColumnRenamed("s", "b"), ["b", "t"], "left_semi")
              .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")))
