@@ -23,6 +23,18 @@ def token_totals(df: DataFrame, group: Sequence[str], text: str = "text") -> Dat
                                   F.count(F.lit(1)).alias("n"))
 
 
+def cut_to_tokens(text, tokens_left) -> Column:
+    """F19 with a per-row budget: cut at ``4·tokens_left`` characters, back to the last space
+    when it lies past half of the cut, and mark ``... [truncated]``."""
+    t = F.col(text) if isinstance(text, str) else text
+    n_chars = tokens_left * 4
+    head = F.substring(t, F.lit(1), n_chars.cast("int"))
+    last_space = F.length(head) - F.instr(F.reverse(head), " ")
+    trimmed = F.when((F.instr(head, " ") > 0) & (last_space > F.floor(n_chars / 2)),
+                     F.substring(head, F.lit(1), last_space)).otherwise(head)
+    return F.concat(trimmed, F.lit("... [truncated]"))
+
+
 def _bucket_of(order_col: str, width: int):
     return F.floor(F.col(order_col) / width).cast("bigint")
 
@@ -60,12 +72,7 @@ def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], te
     t = d.join(n, group).filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
     is_over = F.col("pos") == F.coalesce(F.col("_first_over"), F.lit(-1))
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
-    n_chars = left * 4
-    head = F.substring(F.col(text), F.lit(1), n_chars.cast("int"))
-    last_space = F.length(head) - F.instr(F.reverse(head), " ")
-    trimmed = F.when((F.instr(head, " ") > 0) & (last_space > F.floor(n_chars / 2)),
-                     F.substring(head, F.lit(1), last_space)).otherwise(head)
-    out_text = F.when(is_over, F.concat(trimmed, F.lit("... [truncated]"))).otherwise(F.col(text))
+    out_text = F.when(is_over, cut_to_tokens(text, left)).otherwise(F.col(text))
     null_long = F.lit(None).cast("bigint")
     item = F.struct(F.col("pos").alias("pos"), out_text.alias(text), F.lit(False).alias("is_summary"),
                     null_long.alias("_truncated_items"), null_long.alias("_total_items"))
@@ -106,8 +113,7 @@ def truncate_fields(fields: DataFrame, group: Sequence[str], field: str = "field
     others = others.withColumn("_first_over", first_over)
     fit = others.filter(F.col("_first_over").isNull() | (F.col(field) < F.col("_first_over")))
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
-    over = others.filter((F.col(field) == F.col("_first_over")) & (left > 0)).withColumn(
-        value, F.concat(F.substring(F.col(value), F.lit(1), (left * 4).cast("int")), F.lit("... [truncated]")))
+    over = others.filter((F.col(field) == F.col("_first_over")) & (left > 0)).withColumn(value, cut_to_tokens(value, left))
     body = keep_pri.unionByName(fit, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
     body = body.select(*group, field, value)
     sizes = fields.groupBy(*group).agg(F.count(F.lit(1)).alias("_original_size"))

@@ -529,3 +529,16 @@ def text_and_range(spark, d):
 def wide_extract(spark, d):
     w = wn.extract_wide(grid_cells(spark, d).filter(F.col("sheet") == "part"), max_rows=1000, max_cols=21)
     return w.select("row", "c1", "c2", "c3", "c4", "c5", "c6", "c21")
+
+
+@query
+def truncate_fields(spark, d):
+    """each document as a map of four fields (two priority fields), cut to 300 tokens."""
+    docs = load(spark, d, "documents")
+    pairs = F.array(F.struct(F.lit("metadata").alias("field"), F.concat_ws(" ", "lang", "source").alias("value")),
+                    F.struct(F.lit("index").alias("field"), F.col("doc_id").cast("string").alias("value")),
+                    F.struct(F.lit("n_chars").alias("field"), F.col("n_chars").cast("string").alias("value")),
+                    F.struct(F.lit("text").alias("field"), F.col("text").alias("value")))
+    fields = docs.select("doc_id", F.inline(pairs))
+    t = bo.truncate_fields(fields, ["doc_id"], "field", "value", target=300)
+    return t.select("doc_id", "field", F.length("value").cast("bigint").alias("chars"), "_original_size", "_included_fields")

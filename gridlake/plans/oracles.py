@@ -304,3 +304,21 @@ SELECT row, MAX(CASE WHEN col = 1 THEN value END) AS c1, MAX(CASE WHEN col = 2 T
   MAX(CASE WHEN col = 3 THEN value END) AS c3, MAX(CASE WHEN col = 4 THEN value END) AS c4,
   MAX(CASE WHEN col = 5 THEN value END) AS c5, NULL::VARCHAR AS c6, NULL::VARCHAR AS c21
 FROM cells WHERE sheet = 'part' AND row <= 1000 GROUP BY row""", cells=True)
+sql("truncate_fields", """
+WITH f AS (SELECT doc_id, lang || ' ' || source AS meta, CAST(doc_id AS VARCHAR) AS idx, CAST(n_chars AS VARCHAR) AS nc, text FROM documents),
+t AS (SELECT *, CAST(ceil(length(meta) / 4.0) AS BIGINT) AS t_meta, CAST(ceil(length(idx) / 4.0) AS BIGINT) AS t_idx,
+  CAST(ceil(length(nc) / 4.0) AS BIGINT) AS t_nc, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t_text FROM f),
+p AS (SELECT *, CASE WHEN t_meta <= 300 THEN t_meta ELSE 0 END AS u1 FROM t),
+q AS (SELECT *, CASE WHEN u1 + t_idx <= 300 THEN u1 + t_idx ELSE u1 END AS u2 FROM p),
+r AS (SELECT *, u2 + t_nc AS c_nc, u2 + t_nc + t_text AS c_text FROM q),
+rows AS (
+  SELECT doc_id, 'metadata' AS field, length(meta) AS chars FROM r WHERE t_meta <= 300
+  UNION ALL SELECT doc_id, 'index', length(idx) FROM r WHERE u1 + t_idx <= 300
+  UNION ALL SELECT doc_id, 'n_chars', CASE WHEN c_nc <= 300 THEN length(nc) ELSE length(substr(nc, 1, CAST((300 - u2) * 4 AS INT))) + 15 END
+    FROM r WHERE c_nc <= 300 OR 300 - u2 > 0
+  UNION ALL SELECT doc_id, 'text', CASE WHEN c_text <= 300 THEN length(text)
+      WHEN contains(cut, ' ') AND length(cut) - instr(reverse(cut), ' ') > (300 - c_nc) * 2 THEN length(cut) - instr(reverse(cut), ' ') + 15
+      ELSE length(cut) + 15 END
+    FROM (SELECT *, substr(text, 1, CAST((300 - c_nc) * 4 AS INT)) AS cut FROM r) WHERE c_nc <= 300 AND (c_text <= 300 OR 300 - c_nc > 0))
+SELECT doc_id, field, CAST(chars AS BIGINT) AS chars, NULL::BIGINT AS _original_size, NULL::BIGINT AS _included_fields FROM rows
+UNION ALL SELECT doc_id, '_truncated', 4, 4, COUNT(*) FROM rows GROUP BY doc_id""")
