@@ -481,7 +481,8 @@ def chunk_cursors(spark, d):
 
 def _event_fields(ev):
     j = F.col("line")
-    return ev.select(F.get_json_object(j, "$.type").alias("type"), F.get_json_object(j, "$.data.sheet").alias("sheet"),
+    sheet = F.coalesce(F.get_json_object(j, "$.data.sheet_name"), F.get_json_object(j, "$.sheet_name"))
+    return ev.select(F.get_json_object(j, "$.type").alias("type"), sheet.alias("sheet"),
                      F.get_json_object(j, "$.data.start_row").cast("bigint").alias("start_row"),
                      F.json_array_length(F.get_json_object(j, "$.data.rows")).cast("bigint").alias("n_rows"),
                      F.get_json_object(j, "$.data.rows[0]").alias("first_row"))

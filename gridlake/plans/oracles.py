@@ -266,7 +266,7 @@ b AS (SELECT unnest(range(0, 150, 50)) AS s)
 SELECT 'window_start' AS type, 'customer' AS sheet, NULL::BIGINT AS start_row, NULL::BIGINT AS n_rows, NULL AS first_row
 UNION ALL SELECT 'window_complete', NULL, NULL, NULL, NULL
 UNION ALL SELECT 'window_data', NULL, s, 50, (SELECT to_json(list(coalesce(x.value, '') ORDER BY g.c))::VARCHAR FROM
-  (SELECT unnest(range(1, (SELECT MAX(col) FROM w z WHERE z.row = b.s + 1) + 1)) AS c) g
+  (SELECT unnest(range(1, least(2, (SELECT MAX(col) FROM cells z WHERE z.sheet = 'customer' AND z.row = b.s + 1)) + 1)) AS c) g
   LEFT JOIN w x ON x.row = b.s + 1 AND x.col = g.c) FROM b""", cells=True)
 sql("export_plan", """
 WITH t AS (SELECT doc_id, text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM documents),

@@ -31,13 +31,22 @@ def test_row_batch_events_order_and_content(spark, tmp_path):
     kinds = [x["type"] for x in lines]
     assert kinds == ["metadata", "sheet_start", "rows", "rows", "rows", "sheet_complete",
                      "sheet_start", "rows", "sheet_complete", "complete"]
+    assert lines[0]["data"] == {"chunk_id": "chunk_0_1", "sheets_range": [0, 1], "streaming": True}
+    assert lines[1]["data"] == {"sheet_index": 0, "sheet_name": "S", "total_rows": 250}
     first = lines[2]["data"]
-    assert first["start_row"] == 0 and first["rows"][0] == ["a", "", "c"] and first["rows"][1] == [] and first["rows"][2] == ["", "x"]
+    assert first["start_row"] == 0 and first["sheet_name"] == "S" and first["sheet_index"] == 0
+    assert first["rows"][0] == ["a", "", "c"] and first["rows"][1] == [] and first["rows"][2] == ["", "x"]
     assert len(first["rows"]) == 100 and lines[3]["data"]["start_row"] == 100 and lines[3]["data"]["rows"] == [[]] * 100
     assert lines[4]["data"]["rows"][-1] == ["last"] and len(lines[4]["data"]["rows"]) == 50
-    assert lines[0]["data"] == {"workbook": "wb", "sheets": 2, "total_rows": 251}
+    assert lines[5] == {"sheet_index": 0, "sheet_name": "S", "type": "sheet_complete"}
+    assert lines[-1] == {"chunk_id": "chunk_0_1", "type": "complete"}
+    raw = gzip.decompress(sorted(Path(tmp_path / "ev").glob("part-*"))[0].read_bytes()).decode().splitlines()[0]
+    assert raw.startswith('{"data":{"chunk_id"')  # sorted keys, as the reference writes maps
     back = events.read_events(spark, str(tmp_path / "ev"))  # K6: gzip decoded by extension
     assert back.count() == len(lines)
+    chunked = events.row_batch_events(_cells(spark), batch_rows=100, chunk_size=1)
+    metas = sorted(json.loads(r["line"])["data"]["chunk_id"] for r in chunked.collect() if '"metadata"' in r["line"])
+    assert metas == ["chunk_0_0", "chunk_1_1"]
 
 
 def test_window_events(spark):
@@ -45,14 +54,16 @@ def test_window_events(spark):
     got = sorted((r["seq"]["p"], r["seq"]["i"], r["line"]) for r in ev.collect())
     parsed = [json.loads(x[2]) for x in got]
     assert [p["type"] for p in parsed] == ["window_start", "window_data", "window_data", "window_data", "window_complete"]
-    assert parsed[0]["data"]["row_count"] == 5
-    assert parsed[1]["data"] == {"start_row": 0, "rows": [["", "c"], []]}
-    assert parsed[2]["data"] == {"start_row": 2, "rows": [["x"], []]}
+    assert parsed[0]["data"] == {"rows": 5, "sheet_name": "S",
+                                 "window": {"start_row": 0, "end_row": 4, "start_col": 1, "end_col": 2}}
+    assert parsed[1]["data"] == {"rows": [["", "c"], None], "start_row": 0}
+    assert parsed[2]["data"] == {"rows": [["x"], None], "start_row": 2}
+    assert parsed[4] == {"type": "window_complete"}
 
 
 def test_envelope(spark):
     line = spark.range(1).select(events.envelope("error", F.struct(F.lit("boom").alias("message")))).first()[0]
-    assert json.loads(line) == {"type": "error", "data": {"message": "boom"}}
+    assert line == '{"data":{"message":"boom"},"type":"error"}'
 
 
 def test_budgeted_export(spark, tmp_path):
