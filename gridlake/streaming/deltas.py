@@ -64,6 +64,16 @@ def apply_batch(deltas: DataFrame, batch_id: int, root: str, bulk_threshold: int
     store version ``batch_id + 1``."""
     spark = deltas.sparkSession
     version = batch_id + 1
+    # four writes read this micro-batch: keep it for the batch (recomputable from the source
+    # offsets if an executor is lost), drop it afterwards
+    deltas = deltas.persist()
+    try:
+        _apply(spark, deltas, version, root, bulk_threshold)
+    finally:
+        deltas.unpersist()
+
+
+def _apply(spark: SparkSession, deltas: DataFrame, version: int, root: str, bulk_threshold: int) -> None:
     updates = deltas.filter(F.col("type").isin("cell_update", "formula_change"))
     touched = updates.select("workbook", "sheet").distinct()
     before = current_cells(spark, root, as_of=version - 1).join(touched, ["workbook", "sheet"], "left_semi")
