@@ -138,20 +138,21 @@ def hot_zones(cells: DataFrame, window: int = 10, threshold: float = 0.7, max_co
     full row window is not examined (``start_row < rows - window``) unless ``include_tail``;
     the denominator counts only cells inside ragged rows: Σ over the tile's rows of
     ``clamp(len - first_col, 0, window)``.  One aggregate per row carries its length and its
-    non-empty count in each of the max_cols/window column tiles; rows then fold into tiles,
-    so the cells are scanned for that and for the row count only, and the work is linear.
+    non-empty count in each of the max_cols/window column tiles; rows then fold into bands
+    of ``window`` rows, and only the bands (not the rows) are split into tiles.
     """
     n_tiles = -(-max_cols // window)
     c = F.col("col")
     per_row = cells.groupBy(*SHEET, "row").agg(
         F.max("col").alias("len"),
         *[F.count_if(_nonempty() & (c > t * window) & (c <= (t + 1) * window)).alias(f"_k{t}") for t in range(n_tiles)])
-    tiles = per_row.select(*SHEET, idiv(F.col("row") - 1, window).alias("tr"), F.inline(F.array(*[
-        F.struct(F.lit(t).alias("tc"), F.col(f"_k{t}").alias("k"),
-                 F.greatest(F.least(F.col("len") - t * window, F.lit(window)), F.lit(0)).alias("tot"))
-        for t in range(n_tiles)])))
-    agg = (tiles.groupBy(*SHEET, "tr", "tc").agg(F.sum("k").alias("k"), F.sum("tot").alias("tot"))
-           .filter(F.col("k") > 0))
+    clamp = lambda t: F.greatest(F.least(F.col("len") - t * window, F.lit(window)), F.lit(0))
+    per_band = per_row.groupBy(*SHEET, idiv(F.col("row") - 1, window).alias("tr")).agg(
+        *[F.sum(f"_k{t}").alias(f"_k{t}") for t in range(n_tiles)],
+        *[F.sum(clamp(t)).alias(f"_t{t}") for t in range(n_tiles)])
+    agg = per_band.select(*SHEET, "tr", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("tc"), F.col(f"_k{t}").alias("k"), F.col(f"_t{t}").alias("tot"))
+        for t in range(n_tiles)]))).filter(F.col("k") > 0)
     out = agg.join(cells.groupBy(*SHEET).agg(F.max("row").alias("_n")), SHEET)
     if not include_tail:
         out = out.filter(F.col("tr") * window < F.col("_n") - window)
