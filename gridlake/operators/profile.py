@@ -197,14 +197,16 @@ def sheet_zones(profile: DataFrame, zone_rows: int = 1000, compress_over: int =
 
 
 def key_points(cells: DataFrame, n: int = 5) -> DataFrame:
-    """A1 (when row 1 has a cell), the first ``n`` heading cells (bounded by row 1's
-    length) and the first ``n`` first-column cells (bounded by the row count), with a role."""
-    row1 = cells.filter(F.col("row") == 1).groupBy(*SHEET).agg(F.max("col").alias("_len"))
-    n_rows = cells.groupBy(*SHEET).agg(F.max("row").alias("_n"))
-    corner = cells.filter((F.col("row") == 1) & (F.col("col") == 1)).select(*SHEET, F.lit("A1").alias("ref"),
-                                                                           F.lit("corner").alias("role"))
-    header = row1.select(*SHEET, F.explode(F.sequence(F.lit(1), F.least(F.col("_len"), F.lit(n)))).alias("_c"))
-    header = header.select(*SHEET, cell_ref("_c", F.lit(1)).alias("ref"), F.lit("header").alias("role"))
-    first = n_rows.select(*SHEET, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_n"), F.lit(n).cast("bigint")))).alias("_r"))
-    first = first.select(*SHEET, cell_ref(F.lit(1), "_r").alias("ref"), F.lit("first_col").alias("role"))
-    return corner.unionByName(header).unionByName(first)
+    """A1 (when row 1 has any cell, as the reference checks the first row's length), the
+    first ``n`` heading cells (bounded by row 1's length) and the first ``n`` first-column
+    cells (bounded by the row count), each with a role.  One aggregate per sheet, expanded by
+    one ``inline``."""
+    agg = cells.groupBy(*SHEET).agg(F.max("row").alias("_n"), F.max(F.when(F.col("row") == 1, F.col("col"))).alias("_len1"))
+    point = lambda ref, role: F.struct(ref.alias("ref"), F.lit(role).alias("role"))
+    empty = F.array().cast("array<struct<ref:string,role:string>>")
+    corner = F.when(F.col("_len1").isNotNull(), F.array(point(F.lit("A1"), "corner"))).otherwise(empty)
+    header = F.when(F.col("_len1").isNotNull(), F.transform(
+        F.sequence(F.lit(1), F.least(F.col("_len1"), F.lit(n))), lambda c: point(cell_ref(c, F.lit(1)), "header"))).otherwise(empty)
+    first = F.transform(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_n"), F.lit(n).cast("bigint"))),
+                        lambda r: point(F.concat(F.lit("A"), r.cast("string")), "first_col"))
+    return agg.select(*SHEET, F.inline(F.concat(corner, header, first)))

@@ -91,7 +91,7 @@ sql("nav_pages", """
 SELECT sheet, sheet_idx // 2 AS page, lead(sheet) OVER (ORDER BY sheet_idx) AS next_sheet,
   lag(sheet) OVER (ORDER BY sheet_idx) AS prev_sheet FROM s""", cells=True)
 sql("key_points", """
-SELECT sheet, 'A1' AS ref, 'corner' AS role FROM cells WHERE row = 1 AND col = 1
+SELECT DISTINCT sheet, 'A1' AS ref, 'corner' AS role FROM cells WHERE row = 1
 UNION ALL SELECT sheet, chr(CAST(64 + col AS INT)) || '1', 'header' FROM (SELECT sheet, unnest(range(1, least(MAX(col), 5) + 1)) AS col FROM cells WHERE row = 1 GROUP BY sheet)
 UNION ALL SELECT sheet, 'A' || row, 'first_col' FROM (SELECT sheet, unnest(range(1, least(MAX(row), 5) + 1)) AS row FROM cells GROUP BY sheet)""",
     cells=True)

@@ -218,3 +218,14 @@ def test_cyclic_core_long_chains_and_cycles(spark):
     df = spark.createDataFrame(edges, "src long, dst long")
     got = {r["node"] for r in links.cyclic_core(df).collect()}
     assert got == _cycle_nodes(edges)
+
+
+def test_key_points_corner_follows_first_row_length(spark):
+    from gridlake.operators import profile
+
+    cells = spark.createDataFrame([("wb", "S", 0, 1, 3, "h"), ("wb", "S", 0, 7, 1, "x"), ("wb", "T", 1, 2, 1, "y")],
+                                  "workbook string, sheet string, sheet_idx int, row long, col int, value string")
+    got = sorted((r["sheet"], r["ref"], r["role"]) for r in profile.key_points(cells).collect())
+    assert got == sorted([("S", "A1", "corner"), ("S", "A1", "header"), ("S", "B1", "header"), ("S", "C1", "header")]
+                         + [("S", f"A{i}", "first_col") for i in range(1, 6)]
+                         + [("T", "A1", "first_col"), ("T", "A2", "first_col")])
