@@ -78,15 +78,26 @@ def complexity_score(cells: DataFrame, sheets: DataFrame | None = None, sample_s
                     memory_estimate("sheets_count").alias("memory_estimate")))
 
 
-def sheet_chunks(cells: DataFrame, chunk_size: int = 50, stream_mode: bool = True) -> DataFrame:
+def sheet_chunks(cells: DataFrame, chunk_size: int = 50, stream_mode: bool = True,
+                 sheets: DataFrame | None = None) -> DataFrame:
     """A3 + W5: chunks of ``chunk_size`` consecutive sheets: id ``chunk_{first}_{last}``,
-    size = Σ row lengths · 50 bytes (interior blanks count), streaming when > 10 MiB."""
+    size = Σ row lengths · 50 bytes (interior blanks count), streaming when > 10 MiB.
+    ``sheets`` (workbook, sheet, sheet_idx — e.g. the workbook listing) makes empty sheets
+    count, as in the reference: chunk bounds are then ``[k·size, min((k+1)·size, n) − 1]``."""
     lens = row_lengths(cells)
     per_sheet = lens.groupBy(*SHEET).agg(F.sum("len").alias("_cells"))
+    if sheets is not None:
+        per_sheet = sheets.select(*SHEET).join(per_sheet, SHEET, "left").fillna(0, ["_cells"])
     chunk = idiv("sheet_idx", chunk_size)
     out = (per_sheet.groupBy("workbook", chunk.alias("chunk"))
            .agg(F.min("sheet_idx").alias("first_sheet"), F.max("sheet_idx").alias("last_sheet"),
                 (F.sum("_cells") * BYTES_PER_CELL).cast("bigint").alias("size_bytes")))
+    if sheets is not None:
+        n = sheets.groupBy("workbook").agg(F.count(F.lit(1)).alias("_n"))
+        out = (out.join(n, "workbook")
+               .withColumn("first_sheet", (F.col("chunk") * chunk_size).cast("int"))
+               .withColumn("last_sheet", F.least(F.col("chunk") * chunk_size + chunk_size, F.col("_n")).cast("int") - 1)
+               .drop("_n"))
     return (out.withColumn("chunk_id", F.concat_ws("_", F.lit("chunk"), F.col("first_sheet"), F.col("last_sheet")))
             .withColumn("streaming", F.lit(stream_mode) & (F.col("size_bytes") > STREAMING_BYTES)))
 

@@ -162,3 +162,15 @@ def test_fast_and_fallback_parsers_agree():
     assert got[(1, 1)] == ("hello", None)
     assert got[(2, 2)] == ("2x", 'A1&"x"')  # shared formula dependent gets the master text
     assert got[(2, 3)] == ("a < b", None)
+
+
+def test_chunks_count_empty_sheets(spark, tmp_path):
+    p = fx.write_xlsx(tmp_path / "gaps.xlsx", [("a", {(1, 1): 1}), ("b", {}), ("c", {(1, 1): 1, (1, 2): 2}), ("d", {})])
+    files = wbk.workbook_files(spark, str(tmp_path))
+    listing = wbk.sheet_listing(files)
+    cells = wbk.read_cells(files, listing)
+    sheets = listing.select(F.col("path").alias("workbook"), "sheet", "sheet_idx")
+    got = sorted((r["chunk_id"], r["size_bytes"]) for r in profile.sheet_chunks(cells, 2, sheets=sheets).collect())
+    assert got == [("chunk_0_1", 50), ("chunk_2_3", 100)]
+    without = sorted(r["chunk_id"] for r in profile.sheet_chunks(cells, 2).collect())
+    assert without == ["chunk_0_0", "chunk_2_2"]
