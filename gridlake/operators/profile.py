@@ -35,11 +35,12 @@ def sheets(cells: DataFrame) -> DataFrame:
             .withColumn("sheet_id", F.concat(F.lit("sheet_"), F.col("sheet_idx").cast("string"))))
 
 
-def sheet_profile(cells: DataFrame) -> DataFrame:
+def sheet_profile(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """A1 (+A8): rows, cols (max row length), non-empty cells, density, formulas, footprint,
-    and the cell counts per kind and implied empty cells — one aggregation per sheet."""
+    and the cell counts per kind and implied empty cells — one aggregation per sheet.
+    ``sheets`` (workbook, sheet, sheet_idx) adds empty sheets with zero counts."""
     k = F.col("kind")
-    return (cells.groupBy(*SHEET)
+    out = (cells.groupBy(*SHEET)
             .agg(F.max("row").alias("n_rows"), F.max("col").cast("bigint").alias("n_cols"),
                  F.count_if(_nonempty()).alias("nonempty"),
                  F.bool_or(F.col("formula").isNotNull()).alias("has_formulas"),
@@ -50,6 +51,12 @@ def sheet_profile(cells: DataFrame) -> DataFrame:
                                                            F.col("n_rows") * F.col("n_cols")), F.lit(0.0)))
             .withColumn("footprint", F.col("nonempty") * BYTES_PER_CELL)
             .withColumn("sheet_id", F.concat(F.lit("sheet_"), F.col("sheet_idx").cast("string"))))
+    if sheets is None:
+        return out
+    zero = ["n_rows", "n_cols", "nonempty", "n_number", "n_text", "n_formula", "n_date", "n_empty", "footprint"]
+    return (sheets.select(*SHEET).join(out.drop("sheet_id"), SHEET, "left").fillna(0, zero)
+            .fillna(0.0, ["density"]).fillna(False, ["has_formulas"])
+            .withColumn("sheet_id", F.concat(F.lit("sheet_"), F.col("sheet_idx").cast("string"))))
 
 
 def memory_estimate(n_sheets) -> Column:

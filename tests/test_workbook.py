@@ -174,3 +174,13 @@ def test_chunks_count_empty_sheets(spark, tmp_path):
     assert got == [("chunk_0_1", 50), ("chunk_2_3", 100)]
     without = sorted(r["chunk_id"] for r in profile.sheet_chunks(cells, 2).collect())
     assert without == ["chunk_0_0", "chunk_2_2"]
+
+
+def test_profile_lists_empty_sheets(spark, tmp_path):
+    p = fx.write_xlsx(tmp_path / "gaps.xlsx", [("a", {(1, 1): 1}), ("b", {})])
+    files = wbk.workbook_files(spark, str(tmp_path))
+    listing = wbk.sheet_listing(files)
+    sheets = listing.select(F.col("path").alias("workbook"), "sheet", "sheet_idx")
+    got = {r["sheet"]: (r["n_rows"], r["n_cols"], r["density"], r["has_formulas"])
+           for r in profile.sheet_profile(wbk.read_cells(files, listing), sheets).collect()}
+    assert got == {"a": (1, 1, 1.0, False), "b": (0, 0, 0.0, False)}
