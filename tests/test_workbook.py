@@ -184,3 +184,20 @@ def test_profile_lists_empty_sheets(spark, tmp_path):
     got = {r["sheet"]: (r["n_rows"], r["n_cols"], r["density"], r["has_formulas"])
            for r in profile.sheet_profile(wbk.read_cells(files, listing), sheets).collect()}
     assert got == {"a": (1, 1, 1.0, False), "b": (0, 0, 0.0, False)}
+
+
+def test_one_call_compositions(spark, books):
+    from gridlake.plans import workbooks as wb
+
+    d, _ = books
+    a = wb.analyse_files(spark, str(d), chunk_size=50, now_seconds=1_700_000_000)
+    many = a["chunks"].filter(F.col("workbook").endswith("many.xlsx")).orderBy("first_sheet").collect()
+    assert [r["chunk_id"] for r in many] == ["chunk_0_49", "chunk_50_99", "chunk_100_119"]
+    assert many[0]["next_chunk"] == "chunk_50_99" and many[0]["cursor"]
+    assert [r["path"].split("/")[-1] for r in a["errors"].collect()] == ["bad.xlsx"]
+    assert a["tokens"].select("optimal_chunk_tokens").distinct().collect()[0][0] == 144000
+    nav = wb.build_navigation(a["cells"], a["sheets"], window_size=100)
+    assert nav["profiles"].count() == a["sheets"].count()
+    q = wb.query_cells(a["cells"], text="hello", lo=1, hi=3, max_results=10, context=True)
+    locs = {r["location"] for r in q["hits"].collect()}
+    assert "Sheet1!A3" in locs and "Sheet1!A1" in locs
