@@ -13,22 +13,25 @@ from gridlake.schema import CELL_COLUMNS
 
 
 def number_rows(df: DataFrame, order_cols: Sequence[str], row_col: str = "row",
-                max_buckets: int = 4096) -> DataFrame:
+                max_buckets: int = 65536, rows_per_bucket: int = 2_000) -> DataFrame:
     """1-based row numbers in ``order_cols`` order without an un-partitioned window.
 
     The first order column must be numeric; ``order_cols`` together must be unique.  Rows are
-    cut into at most ``max_buckets`` equal-width ranges of the first key (a pure function of
+    cut into about ``count / rows_per_bucket`` (at most ``max_buckets``) equal-width ranges
+    of the first key (a pure function of
     the row, so a retried task recomputes the same bucket); a bucket count table (at most
     ``max_buckets`` rows, so its broadcast has a fixed bound) gives each bucket its offset, and
     ``row_number`` runs per bucket.  With a unique integral key a bucket holds at most
-    ``width`` rows, whatever the key distribution.  Only the key's min and max reach the driver.
+    ``width`` rows, whatever the key distribution.  Only the key's min, max and the row count
+    reach the driver.
     """
     k = order_cols[0]
-    kmin, kmax = df.agg(F.min(k), F.max(k)).first()
+    kmin, kmax, n = df.agg(F.min(k), F.max(k), F.count(F.lit(1))).first()
     if kmin is None:
         return df.withColumn(row_col, F.lit(None).cast("bigint"))
+    buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
     span = float(kmax) - float(kmin) + 1.0
-    width = max(1.0, float(-(-span // max_buckets)))
+    width = max(1.0, float(-(-span // buckets)))
     bucketed = df.withColumn("_bucket", F.floor((F.col(k) - F.lit(kmin)) / F.lit(width)).cast("bigint"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # counts has <= max_buckets rows: a single-partition running sum over it is bounded work.
