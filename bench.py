@@ -114,6 +114,18 @@ def main():
     timed("query_numeric", lambda: sr.search_numeric(t["cells"], 1000, 1010).collect())
     timed("window_1000", lambda: read_window(t["cells"], 100_000, 100_999, 0, 20, sheet="lineitem").collect())
 
+    def warm(fn, n=3):
+        best = None
+        for _ in range(n):
+            t0 = time.time()
+            fn()
+            best = min(best or 1e9, time.time() - t0)
+        return round(best, 3)
+    # steady-state latencies (best of 3, not part of the total): the reference's per-call targets
+    extra["query_index_warm_sec"] = warm(lambda: sr.fetch_cells(
+        t["cells"], sr.top_hits(sr.search_text(t["postings"], "cold widget"), 100)).collect())
+    extra["window_1000_warm_sec"] = warm(lambda: read_window(t["cells"], 100_000, 100_999, 0, 20, sheet="lineitem").collect())
+
     book_dir = Path(tempfile.gettempdir()) / f"gridlake-bench-book-{Path(SF_DIR).name}"
     book_dir.mkdir(exist_ok=True)
     book = xlsx_from_table(spark, SF_DIR, book_dir / "orders244.xlsx")
