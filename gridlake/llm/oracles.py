@@ -1,3 +1,67 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS begins,
+    length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|TURN\])', '\1\2\\\3', 'g')) AS n_text,
+    length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|TURN\])', '\1\2\\\3', 'g')) AS n_role
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(n_text + CASE WHEN begins THEN 20 + n_role ELSE 6 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+DECONTAMINATION = rf"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x80-\x{{10FFFF}}]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, k + 1, k + least(13, len(w))), ' ') AS gram, least(13, len(w)) AS n
+  FROM item_words, range(greatest(1, len(w) - 12)) AS r(k) WHERE len(w) > 0 AND item_id IS NOT NULL
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x80-\x{{10FFFF}}]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(len(w))) AS k FROM doc_words
+), sizes AS (SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, k, n, array_to_string(list_slice(w, k + 1, k + n), ' ') AS gram FROM places, sizes WHERE k + n <= len(w)
+), found AS (
+  SELECT doc_id, k, n, item_id FROM grams JOIN windows USING (n, gram)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc": WARC,
+    "op6_chat_formatting": CHAT_FORMAT,
+    "op8_benchmark_decontamination": DECONTAMINATION,
+}
