@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import (chat_format, decontaminate, importance, jaccard_join, packing, quality_rules, secret_scan,
-                          toxicity, warc)
+from gridlake.llm import (chat_format, decontaminate, html_extract, importance, jaccard_join, packing, quality_rules,
+                          secret_scan, toxicity, warc)
 from gridlake.llm.oracles import ORACLES  # noqa: F401
 from gridlake.session import checkpoint_dir
 
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars (and the numbers of blocks, all and main) of every page."""
+    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_main")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -89,5 +95,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_ngram_jaccard_join, op3_warc, op4_quality_rules, op5_importance_resampling, op6_chat_formatting, op7_toxicity,
-    op8_benchmark_decontamination, op9_secret_scans, op10_best_fit_packing)}
+    op1_html_extraction, op2_ngram_jaccard_join, op3_warc, op4_quality_rules, op5_importance_resampling,
+    op6_chat_formatting, op7_toxicity, op8_benchmark_decontamination, op9_secret_scans, op10_best_fit_packing)}
