@@ -122,7 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if name in ENDS:
                 close(*ENDS[name])
             close({"p"}, _P_SCOPE)
-        if name not in VOID_TAGS and not m["attrs"].endswith("/"):
+        if name not in VOID_TAGS:
             stack.append((name, names_of(m["attrs"])))
             anchors += name == "a"
     if at < len(page):
