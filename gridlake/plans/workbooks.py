@@ -26,7 +26,12 @@ def analyse_files(spark: SparkSession, paths: str | Sequence[str], chunk_size: i
     (A8), token settings (F12, F13), the parsed ``cells`` and the unreadable files."""
     files = wbk.workbook_files(spark, paths, max_file_size)
     listing = wbk.sheet_listing(files)
-    cells = write_table(wbk.read_cells(files, listing), "cells", ["workbook", "sheet", "row", "col"])
+    listing = write_table(listing, "listing")
+    raw = write_table(wbk.read_raw(files, listing), "raw_cells", ["workbook", "sheet", "row", "col"])
+    cells = wbk.cells_of(raw)
+    errors = wbk.workbook_errors(listing, raw)
+    if max_file_size is not None:
+        errors = errors.unionByName(wbk.oversized_files(spark, paths, max_file_size))
     sheets = listing.filter(F.col("error").isNull()).select(F.col("path").alias("workbook"), "sheet", "sheet_idx")
     metadata = wbk.workbook_metadata(files, cells, listing)
     now = F.lit(now_seconds) if now_seconds is not None else F.unix_timestamp(F.current_timestamp())
@@ -39,7 +44,7 @@ def analyse_files(spark: SparkSession, paths: str | Sequence[str], chunk_size: i
         "cells": cells, "sheets": sheets, "metadata": metadata, "chunks": chunks,
         "patterns": pf.naming_patterns(sheets), "groups": pf.structural_groups(sheets),
         "formulas": pf.formula_complexity(cells), "value_types": pf.value_types(cells),
-        "tokens": tokens, "errors": wbk.workbook_errors(listing),
+        "tokens": tokens, "errors": errors,
     }
 
 

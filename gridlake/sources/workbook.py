@@ -15,6 +15,7 @@ import html
 import posixpath
 import re
 import zipfile
+import zlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
@@ -26,17 +27,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.functions.a1 import cell_ref
+from gridlake.functions.shift import shift_formula
 from gridlake.functions.values import cell_kind, parse_number
 from gridlake.operators.profile import complexity_score
 from gridlake.schema import CELL_COLUMNS
+from gridlake.session import write_table
+from gridlake.sources.files import open_path
 
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+# Element names are matched in any namespace ("{*}name"), so transitional and strict workbooks, and
+# any namespace prefix, read alike.
 
 # Fixed values (ECMA-376 built-in number formats that show dates or times).
 BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
 EXCEL_EPOCH = dt.datetime(1899, 12, 30)
+EPOCH_1904 = dt.datetime(1904, 1, 1)
 
 LISTING_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("sheet_idx", T.IntegerType()),
@@ -48,7 +52,7 @@ RAW_CELLS_SCHEMA = T.StructType([
     T.StructField("sheet_idx", T.IntegerType()), T.StructField("row", T.LongType()),
     T.StructField("col", T.IntegerType()), T.StructField("value", T.StringType()),
     T.StructField("formula", T.StringType()), T.StructField("is_date", T.BooleanType()),
-    T.StructField("serial", T.DoubleType()),
+    T.StructField("serial", T.DoubleType()), T.StructField("error", T.StringType()),
 ])
 
 _REF = re.compile(r"^([A-Z]{1,3})([0-9]+)$")
@@ -63,65 +67,139 @@ def _col_number(letters: str) -> int:
     return n
 
 
+def _local(elem) -> str:
+    """An element's name without its namespace."""
+    return elem.tag.rpartition("}")[2]
+
+
 def _text_of(elem) -> str:
     """Text of a string item: its ``<t>``, or the ``<t>`` of each rich run (phonetic runs skipped)."""
     if elem is None:
         return ""
     parts = []
     for child in elem:
-        if child.tag == NS + "t":
+        if _local(child) == "t":
             parts.append(child.text or "")
-        elif child.tag == NS + "r":
-            t = child.find(NS + "t")
+        elif _local(child) == "r":
+            t = child.find("{*}t")
             parts.append((t.text or "") if t is not None else "")
     return "".join(parts)
 
 
+def _relations(zf: zipfile.ZipFile, rels_part: str, base: str) -> list[tuple[str, str, str]]:
+    """(id, last part of the type, target part) of a relationship part; none if it is absent."""
+    if rels_part not in zf.namelist():
+        return []
+    out = []
+    for r in ET.fromstring(zf.read(rels_part)).findall("{*}Relationship"):
+        target = r.get("Target", "")
+        target = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(base, target))
+        out.append((r.get("Id"), r.get("Type", "").rpartition("/")[2], target))
+    return out
+
+
+def _workbook_part(zf: zipfile.ZipFile) -> str:
+    main = [t for _, kind, t in _relations(zf, "_rels/.rels", "") if kind == "officeDocument"]
+    return main[0] if main and main[0] in zf.namelist() else "xl/workbook.xml"
+
+
+def _workbook_relations(zf: zipfile.ZipFile) -> list[tuple[str, str, str]]:
+    folder, name = posixpath.split(_workbook_part(zf))
+    return _relations(zf, f"{folder}/_rels/{name}.rels", folder)
+
+
+def _related(zf: zipfile.ZipFile, kind: str, default: str) -> str | None:
+    """The part that the workbook relates to by ``kind``, or the usual one, if it is there."""
+    for part in [t for _, k, t in _workbook_relations(zf) if k == kind] + [default]:
+        if part in zf.namelist():
+            return part
+    return None
+
+
 def list_sheets(zf: zipfile.ZipFile) -> list[tuple[int, str, str, int]]:
-    """(ordinal, name, part path, uncompressed bytes) of every worksheet, in workbook order."""
-    wb = ET.fromstring(zf.read("xl/workbook.xml"))
-    rels = {}
-    if "xl/_rels/workbook.xml.rels" in zf.namelist():
-        for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")).iter(PKG_REL_NS + "Relationship"):
-            target = r.get("Target", "")
-            target = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-            rels[r.get("Id")] = target
+    """(ordinal, name, part path, uncompressed bytes) of every worksheet, in workbook order.  A workbook
+    part without a list of sheets is an error."""
+    wb = ET.fromstring(zf.read(_workbook_part(zf)))
+    rels = {i: target for i, _, target in _workbook_relations(zf)}
+    sheets = wb.find("{*}sheets")
+    if sheets is None:
+        raise ValueError("the workbook part lists no sheets")
+    names = set(zf.namelist())
     out = []
-    sheets = wb.find(NS + "sheets")
-    for i, s in enumerate(sheets if sheets is not None else []):
-        part = rels.get(s.get(REL_NS + "id"), f"xl/worksheets/sheet{i + 1}.xml")
-        size = zf.getinfo(part).file_size if part in zf.namelist() else 0
-        out.append((i, s.get("name"), part, size))
+    for i, s in enumerate(sheets):
+        rel = next((v for k, v in s.attrib.items() if k.endswith("}id")), None)
+        part = rels.get(rel, f"xl/worksheets/sheet{i + 1}.xml")
+        out.append((i, s.get("name"), part, zf.getinfo(part).file_size if part in names else 0))
     return out
 
 
+_SI_PLAIN = re.compile(rb"<si>\s*<t(?: [^>]*)?(?:/>|>([^<]*)</t>)\s*</si>")
+_SI_ANY = re.compile(rb"<(?:\w+:)?si[\s/>]")
+
+
 def shared_strings(zf: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in zf.namelist():
+    """The workbook's shared strings: one regex pass when all are plain, ElementTree otherwise."""
+    part = _related(zf, "sharedStrings", "xl/sharedStrings.xml")
+    if part is None:
         return []
+    if zf.getinfo(part).file_size <= 64 << 20:
+        raw = zf.read(part)
+        plain = _SI_PLAIN.findall(raw)
+        if len(plain) == len(_SI_ANY.findall(raw)):
+            return [_unescape(t) for t in plain]
     out = []
-    with zf.open("xl/sharedStrings.xml") as fh:
+    with zf.open(part) as fh:
         for _, elem in ET.iterparse(fh):
-            if elem.tag == NS + "si":
+            if _local(elem) == "si":
                 out.append(_text_of(elem))
                 elem.clear()
     return out
 
 
+_STRINGS: dict[str, pa.Array] = {}
+
+
+def _strings_of(path: str, zf: zipfile.ZipFile) -> pa.Array:
+    """A workbook's shared strings; the last workbook's are kept, since the groups of one workbook often meet
+    the same Python worker, if they are not over 64 MB."""
+    info = zf.getinfo(_related(zf, "sharedStrings", "xl/sharedStrings.xml")) if _related(
+        zf, "sharedStrings", "xl/sharedStrings.xml") else None
+    key = f"{path}|{info.CRC if info else 0}|{info.file_size if info else 0}"
+    if key not in _STRINGS:
+        found = pa.array(shared_strings(zf), pa.string())
+        _STRINGS.clear()
+        if found.nbytes > 64 << 20:
+            return found
+        _STRINGS[key] = found
+    return _STRINGS[key]
+
+
+class DateStyles(set):
+    """Style numbers that show dates, and whether the workbook counts days from 1904."""
+
+    date1904 = False
+
+
 _DATE_CODE = re.compile(r"(\"[^\"]*\"|\[[^\]]*\]|\\.)")
 
 
-def date_styles(zf: zipfile.ZipFile) -> set[int]:
+def date_styles(zf: zipfile.ZipFile) -> DateStyles:
     """Indexes of cell styles (``s`` attribute) whose number format shows a date or time."""
-    if "xl/styles.xml" not in zf.namelist():
-        return set()
-    root = ET.fromstring(zf.read("xl/styles.xml"))
+    out = DateStyles()
+    main = _workbook_part(zf)
+    if main in zf.namelist():
+        props = ET.fromstring(zf.read(main)).find("{*}workbookPr")
+        out.date1904 = props is not None and props.get("date1904", "0") in ("1", "true", "on")
+    part = _related(zf, "styles", "xl/styles.xml")
+    if part is None:
+        return out
+    root = ET.fromstring(zf.read(part))
     custom = {}
-    fmts = root.find(NS + "numFmts")
+    fmts = root.find("{*}numFmts")
     for f in (fmts if fmts is not None else []):
         code = _DATE_CODE.sub("", f.get("formatCode", "")).lower()
         custom[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", code)) and "general" not in code
-    out = set()
-    xfs = root.find(NS + "cellXfs")
+    xfs = root.find("{*}cellXfs")
     for i, xf in enumerate(xfs if xfs is not None else []):
         fid = int(xf.get("numFmtId", "0"))
         if fid in BUILTIN_DATE_FORMATS or custom.get(fid, False):
@@ -129,40 +207,53 @@ def date_styles(zf: zipfile.ZipFile) -> set[int]:
     return out
 
 
-def serial_to_iso(serial: float) -> str:
-    """A date serial (1900 system) as ISO text: date only when there is no time part."""
-    t = EXCEL_EPOCH + dt.timedelta(days=serial)
+def serial_to_iso(serial: float, date1904: bool = False) -> str:
+    """A date serial as ISO text: date only when there is no time part.  The 1900 system counts a 29 February
+    1900 that never was as day 60, so days before it start one day later."""
+    if not date1904 and 60 <= serial < 61:
+        time = (EXCEL_EPOCH + dt.timedelta(days=serial)).time()
+        return "1900-02-29" if time == dt.time(0) else f"1900-02-29 {time.isoformat()}"
+    epoch = EPOCH_1904 if date1904 else EXCEL_EPOCH + dt.timedelta(days=serial < 60)
+    t = epoch + dt.timedelta(days=serial)
     return t.date().isoformat() if t.time() == dt.time(0) else t.isoformat(sep=" ")
 
 
+def _shared(shared_f: dict, si: str, row: int, col: int) -> str | None:
+    """The formula of a cell that shares group ``si``; None when the sheet never gave its text."""
+    if si not in shared_f:
+        return None
+    text, at_row, at_col = shared_f[si]
+    return shift_formula(text, row - at_row, col - at_col)
+
+
 def _cells_of_row(row, row_no: int, strings: list[str], dates: set[int], shared_f: dict) -> list[tuple]:
     """(row, col, value, formula, is_date, serial) of the cells of one ``<row>`` element;
-    empty cells without a formula are skipped; shared formulas give their dependents the
-    master's text."""
+    empty cells without a formula are skipped; dependents of a shared formula get the master's text with
+    its relative references moved."""
     out, col_no = [], 0
-    for elem in row.iter(NS + "c"):
+    for elem in row.findall(".//{*}c"):
         ref = elem.get("r")
         m = _REF.match(ref) if ref else None
         col_no = _col_number(m.group(1)) if m else col_no + 1
         t = elem.get("t", "n")
-        v = elem.find(NS + "v")
+        v = elem.find("{*}v")
         raw = v.text if v is not None and v.text is not None else None
-        f = elem.find(NS + "f")
+        f = elem.find("{*}f")
         formula = None
         if f is not None:
             si = f.get("si")
             if f.text:
                 formula = f.text
                 if si is not None:
-                    shared_f[si] = f.text
+                    shared_f[si] = (f.text, row_no, col_no)
             elif si is not None:
-                formula = shared_f.get(si)
+                formula = _shared(shared_f, si, row_no, col_no)
         value, is_date, serial = None, False, None
         if t == "s" and raw is not None:
             idx = int(raw)
             value = strings[idx] if 0 <= idx < len(strings) else None
         elif t == "inlineStr":
-            value = _text_of(elem.find(NS + "is"))
+            value = _text_of(elem.find("{*}is"))
         elif t == "b" and raw is not None:
             value = "TRUE" if raw.strip() in ("1", "true") else "FALSE"
         elif t in ("str", "e", "d"):
@@ -173,7 +264,7 @@ def _cells_of_row(row, row_no: int, strings: list[str], dates: set[int], shared_
             if style is not None and int(style) in dates:
                 try:
                     serial = float(raw)
-                    value, is_date = serial_to_iso(serial), True
+                    value, is_date = serial_to_iso(serial, getattr(dates, "date1904", False)), True
                 except (ValueError, OverflowError):
                     pass
         if value == "":
@@ -185,7 +276,7 @@ def _cells_of_row(row, row_no: int, strings: list[str], dates: set[int], shared_
 
 # Fast path: one compiled regex pass per chunk of whole <row> elements, decoded column-wise.
 # A chunk whose cells do not all match (unusual attribute order, missing r=) is parsed by
-# ElementTree instead, so the fast path never drops a cell.
+# ElementTree instead, in any namespace, so the fast path never drops a cell.
 _CELL = re.compile(
     rb'<c r="([A-Z]{1,3})([0-9]+)"(?: s="([0-9]+)")?(?: t="([a-zA-Z]+)")?(?: s="([0-9]+)")?'
     rb'(?: (?:cm|vm|ph)="[^"]*")*\s*'
@@ -196,35 +287,50 @@ _SI = re.compile(rb'si="([0-9]+)"')
 _XML_T = re.compile(r"<t(?: [^>]*)?>([^<]*)</t>")
 
 
+_SHEET_DATA = re.compile(rb"<(?:([A-Za-z_][\w.-]*):)?sheetData(?=[\s/>])")
+
+
 def _row_chunks(fh, block: int = 8 << 20) -> Iterator[bytes]:
-    """Chunks of whole ``<row>`` elements from a sheet part stream (sheetData body only)."""
-    buf, started = b"", False
-    while True:
+    """Chunks of whole ``<row>`` elements from a sheet part stream (sheetData body only), without the
+    namespace prefix that the part may use.  A part that is no worksheet, or ends early, is an error."""
+    buf, prefix, data = b"", None, b""
+    while prefix is None:
         data = fh.read(block)
         buf += data
-        if not started:
-            i = buf.find(b"<sheetData")
-            if i < 0:
-                if not data:
-                    return
-                continue
-            j = buf.find(b">", i)
+        m = _SHEET_DATA.search(buf)
+        j = buf.find(b">", m.end()) if m else -1
+        if j >= 0:
+            prefix = m[1] + b":" if m[1] else b""
             if buf[j - 1:j] == b"/":  # <sheetData/>: no rows
                 return
-            buf, started = buf[j + 1:], True
-        end = buf.find(b"</sheetData>")
+            buf = buf[j + 1:]
+        elif not data:
+            if m is None and re.search(rb"</(?:[\w.-]+:)?(?:worksheet|chartsheet|dialogsheet|macrosheet)>", buf):
+                return  # a sheet without cells
+            raise ValueError("the sheet part has no complete sheetData element")
+        elif m is None and len(buf) > 2 * block:
+            buf = buf[-block:]
+    row_end, data_end = b"</" + prefix + b"row>", b"</" + prefix + b"sheetData"
+
+    def plain(chunk: bytes) -> bytes:
+        return chunk.replace(b"<" + prefix, b"<").replace(b"</" + prefix, b"</") if prefix else chunk
+
+    while True:
+        end = buf.find(data_end)
         if end >= 0:
             if buf[:end].strip():
-                yield buf[:end]
+                yield plain(buf[:end])
             return
-        cut = buf.rfind(b"</row>")
-        if cut >= 0 and (len(buf) >= block or not data):
-            yield buf[:cut + 6]
-            buf = buf[cut + 6:]
+        cut = buf.rfind(row_end)
+        if cut >= 0 and len(buf) >= block:
+            yield plain(buf[:cut + len(row_end)])
+            buf = buf[cut + len(row_end):]
         if not data:
-            if buf.strip():
-                yield buf
-            return
+            if cut >= 0 and (whole := buf[:buf.rfind(row_end) + len(row_end)]).strip():
+                yield plain(whole)
+            raise ValueError("the sheet part ends inside its rows")
+        data = fh.read(block)
+        buf += data
 
 
 def _unescape(b: bytes) -> str:
@@ -292,7 +398,7 @@ def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict
             if st and t[i] in (b"", b"n") and int(st) in dates and v[i]:
                 try:
                     d_serial[i] = float(v[i])
-                    fix[i], d_flags[i] = serial_to_iso(d_serial[i]), True
+                    fix[i], d_flags[i] = serial_to_iso(d_serial[i], getattr(dates, "date1904", False)), True
                 except (ValueError, OverflowError):
                     pass
         if any(d_flags):
@@ -308,12 +414,13 @@ def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict
         forms = [None] * n
         for i in pc.indices_nonzero(has_f).to_pylist():
             si = _SI.search(fat[i])
+            si = si and si.group(1).decode()
             if ftext[i]:
                 forms[i] = _unescape(ftext[i])
                 if si:
-                    shared_f[si.group(1)] = forms[i]
+                    shared_f[si] = (forms[i], int(rows[i]), _col_number(letters[i].decode()))
             elif si:
-                forms[i] = shared_f.get(si.group(1))
+                forms[i] = _shared(shared_f, si, int(rows[i]), _col_number(letters[i].decode()))
         formula = pa.array(forms, pa.string())
     else:
         formula = pa.nulls(n, pa.string())
@@ -325,9 +432,11 @@ def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict
 
 def _slow_chunk(chunk: bytes, strings, dates, shared_f: dict, row_no: int) -> tuple[list[tuple], int]:
     """ElementTree parse of one chunk (wrapped in a root carrying the namespace)."""
-    root = ET.fromstring(b'<x xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">' + chunk + b"</x>")
+    prefixes = set(re.findall(rb"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]", chunk)) - {b"xml", b"xmlns"}
+    spaces = b"".join(b' xmlns:' + p + b'="x"' for p in sorted(prefixes))
+    root = ET.fromstring(b"<x" + spaces + b">" + chunk + b"</x>")
     out = []
-    for row in root.iter(NS + "row"):
+    for row in root.findall(".//{*}row"):
         r = row.get("r")
         row_no = int(r) if r else row_no + 1
         out.extend(_cells_of_row(row, row_no, strings, dates, shared_f))
@@ -365,97 +474,139 @@ def parse_sheet_frames(zf: zipfile.ZipFile, part: str, strings: list[str], dates
 def open_zip(path: str) -> zipfile.ZipFile:
     """Open a workbook where it lives (local, HDFS, S3, … through ``pyarrow.fs``) as a seekable
     file: a task reads the zip directory and the parts it needs, not the whole file."""
-    import pyarrow.fs as pafs
-
-    fs, inner = pafs.FileSystem.from_uri(path)
+    fs, inner = open_path(path)
     return zipfile.ZipFile(fs.open_input_file(inner))
 
 
+#: What a damaged workbook raises.  A storage error (OSError) is not among them: it fails the task, so Spark
+#: tries it again, and a file is never taken for read that was not.
+DAMAGE = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, TypeError, EOFError,
+          zlib.error, NotImplementedError, RuntimeError, UnicodeDecodeError, OverflowError, pa.ArrowInvalid)
+
+
+def _reason(e: BaseException) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def _listing_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for path in pdf["path"]:
             try:
                 with open_zip(path) as zf:
-                    for i, name, part, size in list_sheets(zf):
-                        rows.append((path, i, name, part, size, None))
-            except Exception as e:  # noqa: BLE001 - a bad file becomes an error row, the job goes on
-                rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    rows += [(path, i, name, part, size, None) for i, name, part, size in list_sheets(zf)]
+            except DAMAGE as e:  # a bad file becomes an error row, the job goes on
+                rows.append((path, None, None, None, None, _reason(e)))
         yield pd.DataFrame(rows, columns=[f.name for f in LISTING_SCHEMA.fields])
 
 
 def _parse_fn(batch_rows: int):
     names = [f.name for f in RAW_CELLS_SCHEMA.fields]
+    kinds = dict(_OUT_FIELDS)
+
+    def rows_of(path: str, sheet: dict, part: pa.RecordBatch | None, error: str | None = None) -> pa.RecordBatch:
+        n = part.num_rows if part is not None else 1
+        fixed = {"workbook": pa.scalar(path, pa.string()), "sheet": pa.scalar(sheet["sheet"], pa.string()),
+                 "sheet_idx": pa.scalar(sheet["sheet_idx"], pa.int32()), "error": pa.scalar(error, pa.string())}
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(fixed[x], n) if x in fixed else part.column(x) if part is not None else pa.nulls(1, kinds[x])
+             for x in names], names=names)
+
+    def sheets_of(path: str, zf: zipfile.ZipFile, sheets: list[dict]) -> Iterator[pa.RecordBatch]:
+        strings, dates = _strings_of(path, zf), date_styles(zf)
+        for s in sheets:
+            try:
+                for batch in parse_sheet_batches(zf, s["part"], strings, dates):
+                    for off in range(0, batch.num_rows, batch_rows):
+                        yield rows_of(path, s, batch.slice(off, batch_rows))
+            except DAMAGE as e:  # the cells before the fault stay, and the sheet gets an error row
+                yield rows_of(path, s, None, _reason(e))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for task in rb.to_pylist():
-                path, sheets = task["path"], task["sheets"]
                 try:
-                    zf = open_zip(path)
-                except (zipfile.BadZipFile, OSError):
-                    continue  # reported by the listing step
-                with zf:
-                    strings, dates = pa.array(shared_strings(zf), pa.string()), date_styles(zf)
-                    for s in sheets:
-                        for batch in parse_sheet_batches(zf, s["part"], strings, dates):
-                            for off in range(0, batch.num_rows, batch_rows):
-                                part = batch.slice(off, batch_rows)
-                                n = part.num_rows
-                                cols = {"workbook": pa.repeat(pa.scalar(path, pa.string()), n),
-                                        "sheet": pa.repeat(pa.scalar(s["sheet"], pa.string()), n),
-                                        "sheet_idx": pa.repeat(pa.scalar(s["sheet_idx"], pa.int32()), n)}
-                                arrays = [cols[x] if x in cols else part.column(x) for x in names]
-                                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    with open_zip(task["path"]) as zf:
+                        yield from sheets_of(task["path"], zf, task["sheets"])
+                except DAMAGE as e:  # shared strings, styles, or the zip itself
+                    for s in task["sheets"]:
+                        yield rows_of(task["path"], s, None, _reason(e))
     return fn
 
 
 # ---------------------------------------------------------------- Spark side
 
 def workbook_files(spark: SparkSession, paths: str | Sequence[str], max_file_size: int | None = None,
-                   glob: str = "*.xls[xm]") -> DataFrame:
-    """The files as ``binaryFile`` rows; P9: files over ``max_file_size`` bytes are filtered on
-    ``length`` before any content is read (the filter reaches the file listing)."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    files = reader.load(list(paths) if not isinstance(paths, str) else paths)
+                   glob: str = "*.[xX][lL][sS][xXmM]") -> DataFrame:
+    """The files as ``binaryFile`` rows, sub-folders included; P9: files over ``max_file_size`` bytes are filtered
+    on ``length`` before any content is read (see :func:`oversized_files`)."""
+    files = _all_files(spark, paths, glob)
     return files if max_file_size is None else files.filter(F.col("length") <= max_file_size)
 
 
+def _all_files(spark: SparkSession, paths: str | Sequence[str], glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return reader.load(list(paths) if not isinstance(paths, str) else paths)
+
+
+def oversized_files(spark: SparkSession, paths: str | Sequence[str], max_file_size: int,
+                    glob: str = "*.[xX][lL][sS][xXmM]") -> DataFrame:
+    """An error row (path, sheet, error) for each file over the limit."""
+    big = _all_files(spark, paths, glob).filter(F.col("length") > max_file_size)
+    return big.select("path", F.lit(None).cast("string").alias("sheet"),
+                      F.concat(F.lit("file of "), F.col("length"), F.lit(f" bytes is over the limit of {max_file_size}")).alias("error"))
+
+
 def sheet_listing(files: DataFrame) -> DataFrame:
     """(path, sheet_idx, sheet, part, part_bytes, error) — one row per sheet, or one error
     row for a file that is not a readable workbook (the job does not fail)."""
     return files.select("path").mapInPandas(_listing_fn, LISTING_SCHEMA)
 
 
-def read_cells(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 4 << 20,
-               batch_rows: int = 65_536) -> DataFrame:
-    """S3 + S4: the ``cells`` table of all workbooks (workbook = file path).
+def read_raw(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 4 << 20,
+             batch_rows: int = 65_536) -> DataFrame:
+    """S3 + S4 before typing: a row per cell, and a row with ``error`` for each sheet that could not be read to
+    its end.
 
     Sheets are grouped per workbook by cumulative XML size (a window over the small sheet
     listing, one row per sheet); each (workbook, group) is one task that opens the zip
-    itself and streams only its sheets, so no file content is shuffled.  Tasks are spread
-    evenly by a range partition on a dense task number (the task table is small).
+    itself and streams only its sheets, so no file content is shuffled.  The groups are written (a few
+    numbers each) and dealt round-robin, one to a partition, so large ones do not meet.  A sheet part is
+    compressed as a whole and cannot be entered in the middle, so one sheet is one task's work.
     """
     listing = sheet_listing(files) if listing is None else listing
     ok = listing.filter(F.col("error").isNull())
     w = Window.partitionBy("path").orderBy("sheet_idx").rowsBetween(Window.unboundedPreceding, 0)
     grouped = ok.withColumn("_grp", F.floor(F.sum("part_bytes").over(w) / F.lit(target_bytes)).cast("bigint"))
-    tasks = grouped.groupBy("path", "_grp").agg(
-        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets"),
-        F.sum("part_bytes").alias("_bytes"))
-    n = max(files.sparkSession.sparkContext.defaultParallelism, 1) * 4
-    work = tasks.repartitionByRange(n, F.col("_bytes").desc(), "path", "_grp")
-    raw = work.select("path", "sheets").mapInArrow(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
-    cells = (raw.withColumn("ref", cell_ref("col", "row"))
+    tasks = write_table(grouped.groupBy("path", "_grp").agg(
+        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets")), "sheet_groups")
+    n = max(1, tasks.count())
+    return tasks.repartition(n).select("path", "sheets").mapInArrow(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
+
+
+def cells_of(raw: DataFrame) -> DataFrame:
+    """The ``cells`` table of the rows of :func:`read_raw`."""
+    cells = (raw.filter(F.col("error").isNull()).withColumn("ref", cell_ref("col", "row"))
              .withColumn("num", F.when(F.col("is_date"), F.col("serial")).otherwise(parse_number("value")))
              .withColumn("kind", F.when(F.col("is_date") & F.col("formula").isNull(), F.lit("date"))
                          .otherwise(cell_kind("value", "num", "formula"))))
     return cells.select(*CELL_COLUMNS)
 
 
-def workbook_errors(listing: DataFrame) -> DataFrame:
-    """Files that could not be read, with the reason."""
-    return listing.filter(F.col("error").isNotNull()).select("path", "error")
+def read_cells(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 4 << 20,
+               batch_rows: int = 65_536) -> DataFrame:
+    """S3 + S4: the ``cells`` table of all workbooks (workbook = file path).  For the sheets that could not be
+    read, write :func:`read_raw` once and take :func:`cells_of` and :func:`workbook_errors` of it."""
+    return cells_of(read_raw(files, listing, target_bytes, batch_rows))
+
+
+def workbook_errors(listing: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """(path, sheet, error): files that could not be opened and, given the rows of :func:`read_raw`, sheets that
+    could not be read to their end."""
+    out = listing.filter(F.col("error").isNotNull()).select("path", "sheet", "error")
+    if raw is None:
+        return out
+    return out.unionByName(raw.filter(F.col("error").isNotNull()).select(F.col("workbook").alias("path"), "sheet", "error"))
 
 
 def workbook_metadata(files: DataFrame, cells: DataFrame, listing: DataFrame) -> DataFrame:

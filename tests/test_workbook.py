@@ -160,7 +160,7 @@ def test_fast_and_fallback_parsers_agree():
     assert frames[0] == frames[1]
     got = {(r[0], r[1]): (r[2], r[3]) for r in frames[0]}
     assert got[(1, 1)] == ("hello", None)
-    assert got[(2, 2)] == ("2x", 'A1&"x"')  # shared formula dependent gets the master text
+    assert got[(2, 2)] == ("2x", 'A2&"x"')  # a shared formula's dependent gets the master's text, moved
     assert got[(2, 3)] == ("a < b", None)
 
 
@@ -201,3 +201,95 @@ def test_one_call_compositions(spark, books):
     q = wb.query_cells(a["cells"], text="hello", lo=1, hi=3, max_results=10, context=True)
     locs = {r["location"] for r in q["hits"].collect()}
     assert "Sheet1!A3" in locs and "Sheet1!A1" in locs
+
+
+def sheet_xml(body, prefix="", ns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"):
+    p = f"{prefix}:" if prefix else ""
+    return f'<{p}worksheet xmlns{":" + prefix if prefix else ""}="{ns}"><{p}sheetData>{body}</{p}sheetData></{p}worksheet>'
+
+
+def raw_workbook(path, parts, sheets=("s1",), ns="http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+                 rel="http://schemas.openxmlformats.org/officeDocument/2006/relationships", props=""):
+    import zipfile
+
+    names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+    rels = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}">{props}<sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+        for name, text in parts.items():
+            z.writestr(name, text)
+
+
+def read_all(spark, folder, **kw):
+    files = wbk.workbook_files(spark, str(folder), **kw)
+    listing = wbk.sheet_listing(files)
+    raw = wbk.read_raw(files, listing)
+    cells = {(r["workbook"].rpartition("/")[2], r["sheet"], r["ref"]): (r["value"], r["formula"]) for r in wbk.cells_of(raw).collect()}
+    errors = {(r["path"].rpartition("/")[2], r["sheet"]): r["error"] for r in wbk.workbook_errors(listing, raw).collect()}
+    return cells, errors, listing
+
+
+def test_prefixed_and_strict_namespaces_paths_and_folders(spark, tmp_path):
+    row = '<{0}row r="1"><{0}c r="A1"><{0}v>7</{0}v></{0}c><{0}c r="B1" t="inlineStr"><{0}is><{0}t>a &lt;x: b</{0}t></{0}is></{0}c></{0}row>'
+    part = "xl/worksheets/sheet1.xml"
+    strict, strict_rel = "http://purl.oclc.org/ooxml/spreadsheetml/main", "http://purl.oclc.org/ooxml/officeDocument/relationships"
+    (tmp_path / "sub dir").mkdir()
+    raw_workbook(tmp_path / "a b 100%.xlsx", {part: sheet_xml(row.format(""))})
+    raw_workbook(tmp_path / "bilan_\u00e9t\u00e9.XLSX", {part: sheet_xml(row.format("x:"), "x")})
+    raw_workbook(tmp_path / "sub dir" / "strict.xlsm", {part: sheet_xml(row.format(""), ns=strict)}, ns=strict, rel=strict_rel)
+    cells, errors, _ = read_all(spark, tmp_path)
+    assert not errors
+    for name in ("a b 100%.xlsx", "bilan_\u00e9t\u00e9.XLSX", "strict.xlsm"):
+        assert cells[name, "s1", "A1"] == ("7", None) and cells[name, "s1", "B1"] == ("a <x: b", None)
+
+
+def test_every_listed_sheet_is_parsed_empty_or_an_error(spark, tmp_path):
+    good = sheet_xml('<row r="1"><c r="A1"><v>1</v></c></row>')
+    raw_workbook(tmp_path / "m.xlsx", {
+        "xl/worksheets/sheet1.xml": good, "xl/worksheets/sheet2.xml": sheet_xml(""),
+        "xl/worksheets/sheet3.xml": sheet_xml('<row r="1"><c t="n" r="A1"><v>1</v></row>'),
+        "xl/worksheets/sheet5.xml": good.replace("</sheetData></worksheet>", "<row r='2'><c r='A2'><v>5</v>"),
+    }, sheets=("good", "empty", "broken", "absent", "cut"))
+    (tmp_path / "no.xlsx").write_bytes(b"not a zip")
+    cells, errors, listing = read_all(spark, tmp_path)
+    assert set(errors) == {("m.xlsx", "broken"), ("m.xlsx", "absent"), ("m.xlsx", "cut"), ("no.xlsx", None)}
+    assert {k[1] for k in cells} == {"good", "cut"}  # what stands before the fault is kept
+    listed = {r["sheet"] for r in listing.filter("error is null").collect()}
+    assert listed == {"good", "empty", "broken", "absent", "cut"}
+    big = wbk.oversized_files(spark, str(tmp_path), 20).collect()
+    assert [r["path"].rpartition("/")[2] for r in big] == ["m.xlsx"] and "over the limit" in big[0]["error"]
+
+
+def test_shared_formulas_move_across_both_parsers(spark, tmp_path):
+    body = ('<row r="1"><c r="B1"><f t="shared" ref="B1:B3" si="0">A1+$A$1+SUM(A:A)+Other!C1&amp;"A1"</f><v>1</v></c></row>'
+            '<row r="2"><c r="B2"><f t="shared" si="0"/><v>1</v></c></row>'
+            '<row r="3"><c t="n" r="C3"><f t="shared" si="0"/><v>1</v></c></row>')
+    raw_workbook(tmp_path / "f.xlsx", {"xl/worksheets/sheet1.xml": sheet_xml(body)})
+    cells, errors, _ = read_all(spark, tmp_path)
+    assert not errors
+    assert cells["f.xlsx", "s1", "B2"][1] == 'A2+$A$1+SUM(A:A)+Other!C2&"A1"'
+    assert cells["f.xlsx", "s1", "C3"][1] == 'B3+$A$1+SUM(B:B)+Other!D3&"A1"'
+
+
+def test_shift_formula():
+    from gridlake.functions.shift import shift_formula
+
+    assert shift_formula("LOG10(A1)+a$2+$B3+'It''s A1'!B2+[1]Ext!C1+T1_x+1:2", 1, 1) == "LOG10(B2)+B$2+$B4+'It''s A1'!C3+[1]Ext!D2+T1_x+2:3"
+    assert shift_formula("A1+B2", -1, 0) == "#REF!+B1"
+    assert shift_formula("XFD1", 0, 1) == "#REF!"
+
+
+def test_date_systems():
+    assert wbk.serial_to_iso(1) == "1900-01-01" and wbk.serial_to_iso(59) == "1900-02-28"
+    assert wbk.serial_to_iso(60) == "1900-02-29" and wbk.serial_to_iso(61) == "1900-03-01"
+    assert wbk.serial_to_iso(45292.5) == "2024-01-01 12:00:00" and wbk.serial_to_iso(0, True) == "1904-01-01"
+
+
+def test_a_storage_error_is_raised_not_skipped(tmp_path):
+    import pyarrow as pa
+
+    task = pa.RecordBatch.from_pylist([{"path": str(tmp_path / "gone.xlsx"), "sheets": [{"sheet_idx": 0, "sheet": "s", "part": "p"}]}])
+    with pytest.raises(OSError):
+        list(wbk._parse_fn(10)(iter([task])))
