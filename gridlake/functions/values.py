@@ -10,6 +10,10 @@ STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for
 # A token must be longer than this many bytes.
 MIN_TOKEN_BYTES = 2
 
+# Unicode white space, on which the reference splits words.
+SPACES = ["\t", "\n", "\x0b", "\f", "\r", " ", "\x85", "\xa0", "\u1680", "\u2000-\u200a", "\u2028", "\u2029", "\u202f",
+          "\u205f", "\u3000"]
+
 _NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _SPACES = "[ \u00a0\u202f\t]"
 
@@ -19,11 +23,11 @@ def _c(c) -> Column:
 
 
 def tokenize(text) -> Column:
-    """lower-case, split on whitespace, keep words of more than 2 bytes that are not stop words.
+    """lower-case, split on Unicode white space, keep words of more than 2 bytes that are not stop words.
 
     No punctuation stripping (``"widget,"`` is its own token), like the reference.
     """
-    words = F.split(F.lower(_c(text)), r"\s+")
+    words = F.split(F.lower(_c(text)), "[" + "".join(SPACES) + "]+")
     return F.filter(words, lambda w: (F.octet_length(w) > MIN_TOKEN_BYTES) & ~w.isin(STOP_WORDS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.budget import estimate_tokens
-from gridlake.operators.sequence import scan_sum
+from gridlake.operators.sequence import null_safe_join, scan_sum
 
 # Fixed values of the reference: fields kept first when a map is cut, in this order.
 PRIORITY_FIELDS = ["metadata", "summary", "index", "pagination"]
@@ -51,15 +51,15 @@ def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], to
     d = df.withColumn("_bucket", _bucket_of(order[0], bucket_width))
     peers = d.groupBy(*group, "_bucket", *order).agg(F.sum(tokens).alias("_peer_tok"))
     cum = scan_sum(peers, group, order, "_bucket", {"cum_tokens": (F.col("_peer_tok"), True)})
-    return (d.join(cum.select(*group, *order, "cum_tokens"), [*group, *order])
+    return (null_safe_join(d, cum.select(*group, *order, "cum_tokens"), [*group, *order])
             .withColumn("kept", F.col("cum_tokens") <= target).drop("_bucket"))
 
 
 def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, target: int,
                    bucket_width: int = 4096) -> DataFrame:
     """the reference's list truncation.  Items are kept while the running total stays
-    within ``target``; the first item that overflows is cut to the tokens left (F19) and kept
-    if anything remains; when items follow it, one summary row per group carries
+    within ``target``; the first item that overflows is cut to the tokens left (F19; with none
+    left only the mark ``... [truncated]`` stays); when items follow it, one summary row per group carries
     ``_truncated_items`` and ``_total_items``.  Output: group, ``pos`` (0-based), text,
     ``is_summary``, ``_truncated_items``, ``_total_items``.  ``order`` must be unique within
     a group.  Positions and running totals are bucketed scans (a long list is spread over many
@@ -69,7 +69,7 @@ def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], te
     d = scan_sum(d, group, order, "_bucket", {"pos": (F.lit(1).cast("bigint"), False), "_cum": (F.col("_tok"), True)})
     n = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
                               F.min(F.when(F.col("_cum") > target, F.col("pos"))).alias("_first_over"))
-    t = d.join(n, group).filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
+    t = null_safe_join(d, n, group).filter(F.col("_first_over").isNull() | (F.col("pos") <= F.col("_first_over")))
     is_over = F.col("pos") == F.coalesce(F.col("_first_over"), F.lit(-1))
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
     out_text = F.when(is_over, cut_to_tokens(text, left)).otherwise(F.col(text))
@@ -79,7 +79,7 @@ def truncate_items(df: DataFrame, group: Sequence[str], order: Sequence[str], te
     summary = F.struct((F.col("pos") + 1).alias("pos"), F.lit(None).cast("string").alias(text),
                        F.lit(True).alias("is_summary"), (F.col("_n") - F.col("pos") - 1).cast("bigint").alias("_truncated_items"),
                        F.col("_n").cast("bigint").alias("_total_items"))
-    rows = F.array(F.when(~is_over | (left > 0), item), F.when(is_over & (F.col("pos") < F.col("_n") - 1), summary))
+    rows = F.array(item, F.when(is_over & (F.col("pos") < F.col("_n") - 1), summary))
     return t.select(*group, F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
@@ -88,9 +88,10 @@ def truncate_fields(fields: DataFrame, group: Sequence[str], field: str = "field
     """the reference's map truncation, made deterministic (D23: other fields in name order).
 
     1. priority fields (metadata, summary, index, pagination — at most four per map) are added
-       in that order when they fit, skipped otherwise: a bounded ``aggregate`` fold;
-    2. the other fields follow in name order while the running total fits; the first that
-       does not is cut to the tokens left (kept if anything remains) and the rest dropped;
+       in that order when they fit: a bounded ``aggregate`` fold;
+    2. all other fields, priority fields that did not fit included, follow in name order while the
+       running total fits (a bucketed scan by first letter); the first that does not is cut to the
+       tokens left (with none left only the mark stays) and the rest dropped;
     3. one marker row per map: ``_truncated`` true, ``_original_size``, ``_included_fields``.
     """
     group = list(group)
@@ -104,21 +105,22 @@ def truncate_fields(fields: DataFrame, group: Sequence[str], field: str = "field
         acc["used"] + x["t"] <= target,
         F.struct((acc["used"] + x["t"]).alias("used"), F.array_append(acc["keep"], x["f"]).alias("keep"))).otherwise(acc))
     pri = pri.select(*group, fold.alias("_fold"))
-    f = f.join(pri, group, "left").withColumn("_used", F.coalesce(F.col("_fold.used"), F.lit(0)))
-    keep_pri = f.filter(is_pri & F.array_contains(F.col("_fold.keep"), F.col(field)))
-    others = f.filter(~is_pri)
-    w = Window.partitionBy(*group).orderBy(field)
-    others = others.withColumn("_cum", F.col("_used") + F.sum("_tok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first_over = F.min(F.when(F.col("_cum") > target, F.col(field))).over(Window.partitionBy(*group))
-    others = others.withColumn("_first_over", first_over)
-    fit = others.filter(F.col("_first_over").isNull() | (F.col(field) < F.col("_first_over")))
+    f = null_safe_join(f, pri, group, "left").withColumn("_used", F.coalesce(F.col("_fold.used"), F.lit(0)))
+    first = F.coalesce(is_pri & F.array_contains(F.col("_fold.keep"), F.col(field)), F.lit(False))
+    keep_pri = f.filter(first)
+    others = f.filter(~first).withColumn("_bucket", F.ascii(field))
+    others = scan_sum(others, group, [field], "_bucket", {"_cum": (F.col("_tok"), True)})
+    others = others.withColumn("_cum", F.col("_cum") + F.col("_used"))
+    over = others.groupBy(*group).agg(F.min(F.when(F.col("_cum") > target, F.col(field))).alias("_first_over"))
+    others = null_safe_join(others, over, group)
     left = F.lit(target) - (F.col("_cum") - F.col("_tok"))
-    over = others.filter((F.col(field) == F.col("_first_over")) & (left > 0)).withColumn(value, cut_to_tokens(value, left))
-    body = keep_pri.unionByName(fit, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
-    body = body.select(*group, field, value)
+    is_over = F.col(field).eqNullSafe(F.col("_first_over"))
+    rest = others.filter(F.col("_first_over").isNull() | (F.col(field) <= F.col("_first_over"))).withColumn(
+        value, F.when(F.col("_first_over").isNotNull() & is_over, cut_to_tokens(value, left)).otherwise(F.col(value)))
+    body = keep_pri.select(*group, field, value).unionByName(rest.select(*group, field, value))
     sizes = fields.groupBy(*group).agg(F.count(F.lit(1)).alias("_original_size"))
     inc = body.groupBy(*group).agg(F.count(F.lit(1)).alias("_included_fields"))
-    markers = sizes.join(inc, group, "left").select(
+    markers = null_safe_join(sizes, inc, group, "left").select(
         *group, F.lit("_truncated").alias(field), F.lit("true").alias(value),
         F.col("_original_size").cast("bigint").alias("_original_size"),
         F.coalesce(F.col("_included_fields"), F.lit(0)).cast("bigint").alias("_included_fields"))

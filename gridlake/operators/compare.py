@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import parse_location
-from gridlake.operators.index import build_postings
+from gridlake.operators.index import build_numeric_index, build_postings
+from gridlake.operators.sequence import null_safe_join
 from gridlake.schema import LOCATION
 
 # Fixed value of the reference: a bulk change over this many cells asks for a partial rebuild.
@@ -71,14 +73,15 @@ def last_per_key(deltas: DataFrame, key: Sequence[str], order: Sequence[str], va
 def apply_deltas(base: DataFrame, deltas: DataFrame, key: Sequence[str], order: Sequence[str],
                  values: Sequence[str], deleted: str | None = None) -> DataFrame:
     """A snapshot after applying changes: the last change per key replaces the key's
-    row (``left_anti`` + union); a change whose ``deleted`` column is true, or whose values are
-    all null, removes it.  Idempotent: applying the same deltas twice gives the same snapshot."""
+    row (``left_anti`` + union, null keys equal); a change whose ``deleted`` column is true (null: not), or whose
+    values are all null, removes it.  Idempotent: applying the same deltas twice gives the same snapshot."""
     key, values = list(key), list(values)
     cols = values + ([deleted] if deleted else [])
     last = last_per_key(deltas, key, order, cols)
-    gone = F.col(deleted) if deleted else F.lit(False)
-    alive = last.filter(~gone & F.coalesce(*[F.col(v).isNotNull() for v in values]))
-    kept = base.join(last.select(*key), key, "left_anti")
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    some = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
+    alive = last.filter(~gone & some)
+    kept = null_safe_join(base, last.select(*key), key, "left_anti")
     return kept.select(*key, *values).unionByName(alive.select(*key, *values))
 
 
@@ -93,21 +96,44 @@ def cell_deltas(deltas: DataFrame) -> DataFrame:
 
 
 def apply_cell_deltas(cells: DataFrame, deltas: DataFrame) -> DataFrame:
-    """T1/J9 on ``cells``: the last update per location by (event_ts, seq) wins; an update to
-    empty deletes the cell.  Returns the new cells (value, num, kind recomputed)."""
+    """T1/J9 on ``cells``: changes of a location apply in (event_ts, seq) order.  A ``cell_update`` writes a value and
+    takes the formula away (empty: the cell goes); a ``formula_change`` writes a formula (empty: none) and leaves
+    the value as it is.  Malformed locations change nothing (:func:`bad_deltas` lists them).  Returns the new
+    cells (value, num, kind recomputed)."""
     from gridlake.sources.tables import with_cell_fields
 
     d = cell_deltas(deltas).filter(~F.col("bad_location") & F.col("type").isin("cell_update", "formula_change"))
-    d = d.withColumn("value", F.when(F.col("new_value") != "", F.col("new_value")))
-    d = d.withColumn("_del", F.col("value").isNull())
+    at, is_value = F.struct("event_ts", "seq"), F.col("type") == "cell_update"
+    new = F.struct(F.when(F.col("new_value") != "", F.col("new_value")).alias("v"))
+    last = d.groupBy(*LOCATION).agg(F.max_by("type", at).alias("_type"), F.max_by(new, at).alias("_new"),
+                                    F.max_by(F.when(is_value, new), F.when(is_value, at)).alias("_value"))
+    base = cells.select(*LOCATION, F.col("value").alias("_old"))
+    hit = null_safe_join(last, base, LOCATION, "left")
+    formula_last = F.col("_type") == "formula_change"
+    changed = hit.select(
+        *LOCATION,
+        F.when(F.col("_value").isNotNull(), F.col("_value.v")).otherwise(F.col("_old")).alias("value"),
+        F.when(formula_last, F.col("_new.v")).alias("formula"))
+    kept = null_safe_join(cells.select(*LOCATION, "value", "formula"), last.select(*LOCATION), LOCATION, "left_anti")
+    out = kept.unionByName(changed).filter(F.col("value").isNotNull() | F.col("formula").isNotNull())
     sheet_idx = cells.select("workbook", "sheet", "sheet_idx").distinct()
-    new = apply_deltas(cells.select(*LOCATION, "value", "formula"), d.withColumn("formula", F.lit(None).cast("string")),
-                       LOCATION, ["event_ts", "seq"], ["value", "formula"], deleted="_del")
-    new = new.filter(F.col("value").isNotNull() | F.col("formula").isNotNull())
-    return with_cell_fields(new.join(sheet_idx, ["workbook", "sheet"], "left")).select(
+    return with_cell_fields(null_safe_join(out, sheet_idx, ["workbook", "sheet"], "left")).select(
         "workbook", "sheet", "sheet_idx", "row", "col", "ref", "value", "num", "formula", "kind")
 
 
+def bad_deltas(deltas: DataFrame) -> DataFrame:
+    """The changes of cells whose location cannot be read, as they came."""
+    return (cell_deltas(deltas).filter(F.col("bad_location") & F.col("type").isin("cell_update", "formula_change"))
+            .select(*deltas.columns))
+
+
+def update_numeric(numeric: DataFrame, new_cells: DataFrame, touched: DataFrame) -> DataFrame:
+    """J9 for the numeric index: entries of touched locations go and come back from those locations' new values."""
+    t = touched.select(*LOCATION).distinct()
+    fresh = build_numeric_index(null_safe_join(new_cells, t, LOCATION, "left_semi"))
+    return null_safe_join(numeric, t, LOCATION, "left_anti").unionByName(fresh)
+
+
 def update_postings(postings: DataFrame, new_cells: DataFrame, touched: DataFrame) -> DataFrame:
     """U3 + J9 for the inverted index: postings of touched locations are removed
     (``left_anti``; empty tokens simply vanish) and rebuilt from those locations' new values."""
@@ -119,8 +145,10 @@ def update_postings(postings: DataFrame, new_cells: DataFrame, touched: DataFram
 
 def bulk_impact(deltas: DataFrame, group: Sequence[str], affected: str | None = None,
                 threshold: int = BULK_REBUILD_CELLS) -> DataFrame:
-    """Affected cells per group and the action: 'rebuild' above the threshold, else
-    'incremental'.  ``affected`` is a column of counts (default: one per delta)."""
-    a = F.sum(F.col(affected)) if affected else F.count(F.lit(1))
-    return (deltas.groupBy(*group).agg(a.cast("bigint").alias("affected"))
-            .withColumn("action", F.when(F.col("affected") > threshold, "rebuild").otherwise("incremental")))
+    """Affected cells per group and the action.  With ``affected``, a column of counts, each change is
+    tested by itself, as in the reference: 'rebuild' if any is above the threshold, else 'incremental'; without it
+    a group's number of changes is tested."""
+    total = F.sum(F.col(affected)) if affected else F.count(F.lit(1))
+    tested = F.max(F.col(affected)) if affected else F.count(F.lit(1))
+    return (deltas.groupBy(*group).agg(total.cast("bigint").alias("affected"), tested.alias("_tested"))
+            .withColumn("action", F.when(F.col("_tested") > threshold, "rebuild").otherwise("incremental")).drop("_tested"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import idiv
 from gridlake.functions.values import tokenize
-from gridlake.schema import LOCATION
+from gridlake.schema import CELLS_SCHEMA, LOCATION
 
 
 def build_postings(df: DataFrame, text_col: str = "value", key: Sequence[str] = LOCATION) -> DataFrame:
@@ -71,18 +71,17 @@ def write_index(cells: DataFrame, path: str, mode: str = "overwrite", files_per_
     prune row groups for equality and range predicates; ``value`` and ``token`` also get a
     Parquet Bloom filter (the reference's Bloom pre-check).  The range keys end with the cell
     location, so a token (or number) holding a third of all entries is still cut over many
-    partitions.  ``cells`` is partitioned on disk by workbook so per-workbook reads and
-    rewrites touch one folder.
+    partitions.  ``cells`` is written first; the other two tables are built from the written one, so the
+    input plan (say, a parse) runs once (and once more to sample the ranges).
     """
-    n = files_per_table or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = build_postings(cells)
-    numeric = build_numeric_index(cells)
+    spark = cells.sparkSession
+    n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (cells.repartitionByRange(n, "workbook", "sheet", "row", "col").sortWithinPartitions("workbook", "sheet", "row", "col")
-     .write.mode(mode).option("parquet.bloom.filter.enabled#value", "true")
-     .partitionBy("workbook").parquet(f"{path}/cells"))
-    (postings.repartitionByRange(n, "token", *LOCATION).sortWithinPartitions("token", *LOCATION)
+     .write.mode(mode).option("parquet.bloom.filter.enabled#value", "true").parquet(f"{path}/cells"))
+    stored = spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")
+    (build_postings(stored).repartitionByRange(n, "token", *LOCATION).sortWithinPartitions("token", *LOCATION)
      .write.mode(mode).option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings"))
-    (numeric.repartitionByRange(n, "num", "workbook", "sheet", "row", "col")
+    (build_numeric_index(stored).repartitionByRange(n, "num", "workbook", "sheet", "row", "col")
      .sortWithinPartitions("num", "workbook", "sheet", "row", "col")
      .write.mode(mode).parquet(f"{path}/numeric_index"))
 

@@ -8,35 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import ref_col, ref_row
+from gridlake.operators.sequence import null_safe_join
 from gridlake.session import checkpoint_dir, materialize
 
-# A reference: optional sheet (quoted or bare) and '!', a cell, optionally ':' and a second cell.
-# Not preceded by a name character and not followed by '(' (so LOG10( is a function, not a cell).
-_REF = (r"(?<![A-Za-z0-9_.$'])(?:(?:'[^']+'|[A-Za-z_][A-Za-z0-9_.]*)!)?"
-        r"\$?[A-Z]{1,3}\$?[0-9]+(?::\$?[A-Z]{1,3}\$?[0-9]+)?(?![A-Za-z0-9_(])")
+# A reference: optional sheet (quoted, with '' for a quote in it, or bare; any letters; a workbook in brackets before
+# it) and '!', then a cell, optionally ':' and a second cell, or two columns.  Not preceded by a name character and not
+# followed by '(' (so LOG10( is a function, not a cell).
+_SHEET = r"(?:'(?:[^']|'')+'|(?:\[[^\]]+\])?[\p{L}_][\p{L}\p{N}_.]*)!"
+_REF = (r"(?<![\p{L}\p{N}_.$'!\]])(?:" + _SHEET + r")?"
+        r"(?:\$?[A-Z]{1,3}\$?[0-9]+(?::\$?[A-Z]{1,3}\$?[0-9]+)?|\$?[A-Z]{1,3}:\$?[A-Z]{1,3})(?![\p{L}\p{N}_(!])")
+_TEXT = r'"(?:[^"]|"")*"'
 
 
 def formula_links(df: DataFrame, formula: str = "formula", sheet: str = "sheet") -> DataFrame:
-    """One row per cell reference found in a formula, keeping the input columns:
-    ``target_sheet`` (the cell's own sheet when unqualified), ``target_row``, ``target_col`` and,
-    for a range, ``target_end_row``/``target_end_col``.  Regex extraction and ``explode``; no UDF."""
-    refs = F.regexp_extract_all(F.col(formula), F.lit(_REF), 0)
+    """One row per reference found in a formula (texts in double quotes hold none), keeping the input columns:
+    ``target_book`` (the workbook in brackets; null: the own one), ``target_sheet`` (the cell's own sheet when
+    unqualified), ``target_row``, ``target_col`` and, for a range, ``target_end_row``/``target_end_col``; whole
+    columns have no rows.  Regex extraction and ``explode``; no UDF."""
+    refs = F.regexp_extract_all(F.regexp_replace(F.col(formula), _TEXT, '""'), F.lit(_REF), 0)
     out = df.withColumn("_ref", F.explode(refs))
-    qual = F.regexp_extract("_ref", r"^(?:'([^']+)'|([^!]+))!", 1)
-    bare = F.regexp_extract("_ref", r"^(?:'([^']+)'|([^!]+))!", 2)
+    qual = F.regexp_extract("_ref", r"^(.*)!", 1)
+    quoted = qual.startswith("'")
+    name = F.when(quoted, F.regexp_replace(F.regexp_replace(qual, "^'|'$", ""), "''", "'")).otherwise(qual)
+    book = F.regexp_extract(name, r"\[([^\]]+)\]", 1)
     cells = F.regexp_replace(F.regexp_replace("_ref", r"^.*!", ""), r"\$", "")
     first, last = F.get(F.split(cells, ":"), 0), F.get(F.split(cells, ":"), 1)
-    tsheet = F.when(qual != "", qual).when(bare != "", bare).otherwise(F.col(sheet))
-    return (out.withColumn("target_sheet", tsheet)
-            .withColumn("target_row", ref_row(first)).withColumn("target_col", ref_col(first))
-            .withColumn("target_end_row", ref_row(last)).withColumn("target_end_col", ref_col(last))
+    col = lambda part: F.coalesce(ref_col(part), ref_col(F.concat(part, F.lit("1"))))  # noqa: E731 - a column alone
+    tsheet = F.when(qual != "", F.regexp_replace(name, r"^.*\]", "")).otherwise(F.col(sheet))
+    return (out.withColumn("target_book", F.when(book != "", book)).withColumn("target_sheet", tsheet)
+            .withColumn("target_row", ref_row(first)).withColumn("target_col", col(first))
+            .withColumn("target_end_row", ref_row(last)).withColumn("target_end_col", col(last))
             .drop("_ref"))
 
 
 def dangling_links(links: DataFrame, cells: DataFrame) -> DataFrame:
-    """Single-cell links whose target sheet does not exist in the same workbook."""
-    sheets = cells.select("workbook", F.col("sheet").alias("target_sheet")).distinct()
-    return links.join(sheets, ["workbook", "target_sheet"], "left_anti")
+    """Links within a workbook whose target is not there: a single cell that is empty, or, for ranges and
+    whole columns, a sheet that has no cells.  Links to other workbooks are not judged."""
+    own = links.filter(F.col("target_book").isNull())
+    single = F.col("target_row").isNotNull() & F.col("target_end_col").isNull()
+    at = cells.select("workbook", F.col("sheet").alias("target_sheet"), F.col("row").alias("target_row"), F.col("col").alias("target_col"))
+    sheets = at.select("workbook", "target_sheet").distinct()
+    return (null_safe_join(own.filter(single), at.distinct(), ["workbook", "target_sheet", "target_row", "target_col"], "left_anti")
+            .unionByName(null_safe_join(own.filter(~single), sheets, ["workbook", "target_sheet"], "left_anti")))
 
 
 def similar_sets(items: DataFrame, set_col: str, item_col: str, threshold: float) -> DataFrame:

@@ -125,14 +125,14 @@ def structural_groups(names: DataFrame, group: Sequence[str] = ("workbook",), na
 def formula_complexity(cells: DataFrame, group: Sequence[str] = ("workbook",), sample_sheets: int | None = 3,
                        sample: int | None = 10) -> DataFrame:
     """A7 (+L8): 'none' without formulas; 'simple' when none uses IF/VLOOKUP/INDEX/MATCH
-    (substring test, so COUNTIF counts); 'complex' when that share is > 0.3; else 'mixed'.
+    (case-sensitive substring test, so COUNTIF counts); 'complex' when that share is > 0.3; else 'mixed'.
     Sampled on the first 3 sheets' top-left 10×10 as in the reference (None = everything)."""
     c = cells
     if sample_sheets is not None:
         c = c.filter(F.col("sheet_idx") < sample_sheets)
     if sample is not None:
         c = c.filter((F.col("row") <= sample) & (F.col("col") <= sample))
-    f = F.upper(F.col("formula"))
+    f = F.col("formula")
     is_complex = F.exists(F.array(*[F.lit(x) for x in COMPLEX_FUNCTIONS]), lambda k: F.instr(f, k) > 0)
     agg = c.groupBy(*group).agg(F.count("formula").alias("n_formulas"),
                                 F.count_if(F.col("formula").isNotNull() & is_complex).alias("n_complex"))

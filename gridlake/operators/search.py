@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions.a1 import idiv, location_text
-from gridlake.functions.values import MIN_TOKEN_BYTES, STOP_WORDS, tokenize
+from gridlake.functions.a1 import location_text
+from gridlake.functions.values import MIN_TOKEN_BYTES, SPACES, STOP_WORDS, tokenize
+from gridlake.operators.sequence import scan_sum
 from gridlake.schema import LOCATION
 from gridlake.session import materialize
 
@@ -20,16 +22,16 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------- text
 
-_JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")  # Java's \s, as in the index's split
+_SPACE = re.compile("[" + "".join(SPACES) + "]+")
 
 
 def query_tokens(spark: SparkSession | None, query: str) -> list[str]:
     """The distinct tokens of one query string, by the index's rules (F5): lower case, split
-    on Java's whitespace class, keep words over 2 UTF-8 bytes that are not stop words.
+    on Unicode white space, keep words over 2 UTF-8 bytes that are not stop words.
     Computed on the driver (no job); ``tests/test_functions.py`` checks it against the Column
     expression."""
     out: list[str] = []
-    for w in _JAVA_SPACE.split(query.lower()):
+    for w in _SPACE.split(query.lower()):
         if len(w.encode("utf-8")) > MIN_TOKEN_BYTES and w not in STOP_WORDS and w not in out:
             out.append(w)
     return out
@@ -148,34 +150,70 @@ def search_numeric(cells: DataFrame, lo=None, hi=None, lo_inclusive: bool = True
     return out.orderBy("num", *LOCATION) if ordered else out
 
 
+#: A shape covers at most SPAN + 1 cells of its level's grid along each axis; each level's cells are SPAN times wider.
+SPAN = 8
+
+
+def _level(extent, width: float) -> Column:
+    """Grid level of a shape: the smallest on which it is at most SPAN cells wide."""
+    cells = F.greatest(extent / F.lit(float(width)), F.lit(1.0))
+    return F.greatest(F.ceil(F.log(cells) / math.log(SPAN)) - 1, F.lit(0)).cast("int")
+
+
+def _levels_of(shapes: DataFrame) -> list[int]:
+    """The levels in use: at most about a hundred, since widths are doubles."""
+    return sorted(r[0] for r in shapes.select("_level").distinct().collect() if r[0] is not None)
+
+
+def _cell(x, level, width: float) -> Column:
+    return F.floor(_c(x) / (F.lit(float(width)) * F.pow(F.lit(float(SPAN)), level))).cast("bigint")
+
+
 def range_join(ranges: DataFrame, values: DataFrame, lo: str, hi: str, value: str, width: float,
                lo_inclusive: bool = True, hi_inclusive: bool = False) -> DataFrame:
     """J3 (numbers): all (range, value) pairs with value inside the range.
 
-    Bucketed equi join instead of a nested loop: each range is exploded to the ``width``-wide
-    buckets it covers, each value falls in exactly one bucket, then the exact residual test.
+    Bucketed equi join instead of a nested loop: each range is exploded to the buckets it covers, at most nine
+    of a grid whose width (``width`` times a power of eight) suits the range; each value falls in one bucket of
+    each grid in use; then the exact residual test.  A very wide range costs no more than a narrow one.
     """
-    b_lo, b_hi = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
-    r = ranges.withColumn("_b", F.explode(F.sequence(b_lo.cast("bigint"), b_hi.cast("bigint"))))
-    v = values.withColumn("_b", F.floor(F.col(value) / width).cast("bigint"))
-    return r.join(v, "_b").filter(in_range(value, F.col(lo), F.col(hi), lo_inclusive, hi_inclusive)).drop("_b")
+    r = ranges.filter(F.col(hi) >= F.col(lo)).withColumn("_level", _level(F.col(hi) - F.col(lo), width))
+    levels = _levels_of(r)
+    r = r.withColumn("_b", F.explode(F.sequence(_cell(lo, F.col("_level"), width), _cell(hi, F.col("_level"), width))))
+    v = values.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    v = v.withColumn("_b", _cell(value, F.col("_level"), width))
+    return (r.join(v, ["_level", "_b"]).filter(in_range(value, F.col(lo), F.col(hi), lo_inclusive, hi_inclusive))
+            .drop("_level", "_b"))
 
 
 def range_count(ranges: DataFrame, values: DataFrame, range_id: Sequence[str], lo: str, hi: str,
-                value: str, width: float | None = None, lo_inclusive: bool = True,
-                hi_inclusive: bool = False) -> DataFrame:
+                value: str, lo_inclusive: bool = True, hi_inclusive: bool = False, buckets: int = 1024) -> DataFrame:
     """J3 (numbers), counting form: number of values per range (ranges without values are absent).
 
-    Values are first reduced to (value, count) so a value repeated a billion times is one row
-    on the join side; the bucket width defaults to the median range width (one scalar).
+    Linear in ranges plus distinct values, however many pairs there are: values and range ends are put in one
+    order, a bucketed running sum counts the values before each end, and a range's number is the difference of
+    its ends' counts.  Values are first reduced to (value, count).
     """
     range_id = list(range_id)
-    if width is None:
-        med = ranges.select(F.percentile_approx(F.col(hi) - F.col(lo), 0.5).alias("w")).first()["w"]
-        width = float(med) if med and med > 0 else 1.0
-    counted = values.groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
-    pairs = range_join(ranges.select(*range_id, lo, hi), counted, lo, hi, "_x", width, lo_inclusive, hi_inclusive)
-    return pairs.groupBy(*range_id).agg(F.sum("_k").cast("bigint").alias("n"))
+    counted = (values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x"))
+               .agg(F.count(F.lit(1)).alias("_k")))
+    ok = ranges.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
+    # an end counts the values before it (place 0) or up to it (place 2); values have place 1
+    ends = F.array(F.struct(F.col(lo).cast("double").alias("x"), F.lit(0 if lo_inclusive else 2).alias("o"), F.lit(-1).alias("s")),
+                   F.struct(F.col(hi).cast("double").alias("x"), F.lit(2 if hi_inclusive else 0).alias("o"), F.lit(1).alias("s")))
+    ids = F.struct(*[F.col(c) for c in range_id]).alias("_id")
+    points = ok.select(ids, F.inline(ends)).select("_id", F.col("x").alias("_x"), F.col("o").alias("_o"), F.col("s").alias("_s"),
+                                                   F.lit(0).cast("bigint").alias("_k"))
+    line = points.unionByName(counted.select("_x", "_k", F.lit(1).alias("_o")), allowMissingColumns=True)
+    found = counted.agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0]
+    bounds = sorted(set(found or [0.0]))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_x", outputCol="_bucket", handleInvalid="keep")
+    line = scan_sum(cut.transform(line), [], ["_x", "_o"], "_bucket", {"_before": (F.col("_k"), False)})
+    n = F.sum(F.col("_s") * F.col("_before")).cast("bigint")
+    return (line.filter(F.col("_s").isNotNull()).groupBy("_id").agg(n.alias("n")).filter("n > 0")
+            .select(*[F.col(f"_id.{c}").alias(c) for c in range_id], "n"))
 
 
 # ---------------------------------------------------------------- rectangles
@@ -193,29 +231,40 @@ def rects_intersect(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
 
 
 def search_rect(cells: DataFrame, x, y, w, h) -> DataFrame:
-    """Cells in a rectangle of 0-based coordinates (x = col-1, y = row-1)."""
-    return cells.filter(in_rect(F.col("col") - 1, F.col("row") - 1, x, y, w, h))
+    """Cells in a rectangle of 0-based coordinates (x = col-1, y = row-1).  The constants are shifted, not the
+    columns, so the filters reach the scan."""
+    return cells.filter(in_rect("col", "row", x + 1, y + 1, w, h))
 
 
 def rect_join(rects: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", w: str = "w", h: str = "h",
-              tile_rows: int = 10, tile_cols: int = 10, same_sheet: bool = False) -> DataFrame:
+              tile_rows: int = 10, tile_cols: int = 10, same_sheet: bool = False, salts: int = 8) -> DataFrame:
     """J3 (rectangles): every (rectangle, cell) pair with the cell inside the rectangle.
 
-    Rectangles explode to the tiles they cover; cells get their tile (A12); equi join on tile
-    (plus workbook/sheet when ``same_sheet``) and the exact P7 residual.  AQE's skew join
-    splits a tile that holds very many cells.
+    Rectangles explode to the tiles they cover, at most nine by nine of a grid whose tiles suit their size; cells
+    get their tile in each grid in use (A12); equi join on tile and exact P7 residual.  With ``same_sheet`` the
+    tile key has workbook and sheet; otherwise the sheets are dealt over ``salts`` copies of each rectangle,
+    since the first tiles of all sheets would share a key.  AQE's skew join splits a tile that holds very many cells.
     """
     c0, r0 = F.col("col") - 1, F.col("row") - 1
     first_c, last_c = F.ceil(F.col(x)), F.ceil(F.col(x) + F.col(w)) - 1
     first_r, last_r = F.ceil(F.col(y)), F.ceil(F.col(y) + F.col(h)) - 1
-    tr = rects.filter((F.col(w) > 0) & (F.col(h) > 0)).select(
-        "*",
-        F.explode(F.sequence(idiv(first_r, tile_rows), idiv(last_r, tile_rows))).alias("_tr"))
-    tr = tr.select("*", F.explode(F.sequence(idiv(first_c, tile_cols), idiv(last_c, tile_cols))).alias("_tc"))
-    tc = cells.withColumn("_tr", idiv(r0, tile_rows)).withColumn("_tc", idiv(c0, tile_cols))
-    keys = ["_tr", "_tc"] + (["workbook", "sheet"] if same_sheet else [])
+    tr = rects.filter((F.col(w) > 0) & (F.col(h) > 0)).withColumn(
+        "_level", F.greatest(_level(F.col(w), tile_cols), _level(F.col(h), tile_rows)))
+    levels = _levels_of(tr)
+    lev = F.col("_level")
+    tr = tr.select("*", F.explode(F.sequence(_cell(first_r, lev, tile_rows), _cell(last_r, lev, tile_rows))).alias("_tr"))
+    tr = tr.select("*", F.explode(F.sequence(_cell(first_c, lev, tile_cols), _cell(last_c, lev, tile_cols))).alias("_tc"))
+    tc = cells.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    tc = tc.withColumn("_tr", _cell(r0, lev, tile_rows)).withColumn("_tc", _cell(c0, lev, tile_cols))
+    keys = ["_level", "_tr", "_tc"]
+    if same_sheet:
+        keys += ["workbook", "sheet"]
+    else:
+        tr = tr.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        tc = tc.withColumn("_salt", F.pmod(F.hash("workbook", "sheet"), F.lit(salts)))
+        keys += ["_salt"]
     return (tr.join(tc, keys).filter(in_rect(c0, r0, F.col(x), F.col(y), F.col(w), F.col(h)))
-            .drop("_tr", "_tc"))
+            .drop("_level", "_tr", "_tc", "_salt"))
 
 
 # ---------------------------------------------------------------- sheets, caps, context

@@ -4,7 +4,8 @@ A key's rows are cut into time buckets; every scan is a window per (key, bucket)
 bucket needs from earlier buckets (the last few values, running maxima) comes from a small
 per-(key, bucket) summary whose prefix is a window over that summary table.  Order-dependent
 state machines (T3) and gap sessions (T6) are written on top of these two scans, so no key is
-ever gathered into one task or one pandas frame.  All windows of one scan share the
+ever gathered into one task or one pandas frame.  Rows with a null key form a group of their own, and rows with a
+null time are one bucket before all others (nulls sort first).  All windows of one scan share the
 (key, bucket) hash partitioning, so the input is scanned and shuffled once (reused exchange).
 """
 
@@ -12,10 +13,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi join on columns of the same names in which nulls are equal; the left side's columns are kept.
+    Windows and aggregates treat null keys as a group, so joining their results back must do so, too."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def epoch_micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP (an instant) or TIMESTAMP_NTZ (a wall
     clock, read as UTC) column, without going through the session time zone, so gaps between
@@ -48,7 +59,7 @@ def scan_lags(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: s
     carry = (tail.withColumn("_carry", F.array(*[F.lag("_v", j).over(wk) for j in range(1, n + 1)]))
              .withColumn("_top", F.max("_rd").over(Window.partitionBy(*part)))
              .filter(F.col("_rd") == F.col("_top")).select(*part, "_carry"))
-    out = df.join(carry, part).withColumn("_pos", F.row_number().over(w))
+    out = null_safe_join(df, carry, part).withColumn("_pos", F.row_number().over(w))
     for j in range(1, n + 1):
         from_carry = F.get(F.col("_carry"), (F.lit(j) - F.col("_pos")).cast("int"))
         out = out.withColumn(f"_lag{j}", F.when(F.col("_pos") > j, F.lag(col, j).over(w)).otherwise(from_carry))
@@ -66,7 +77,7 @@ def scan_max(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: st
     per = d.groupBy(*part).agg(*[F.max(tmp[n]).alias(f"_b_{n}") for n in values])
     wb = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*part, *[F.max(f"_b_{n}").over(wb).alias(f"_c_{n}") for n in values])
-    out = d.join(carry, part)
+    out = null_safe_join(d, carry, part)
     for n, (_, inclusive) in values.items():
         frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         out = out.withColumn(n, F.greatest(F.col(f"_c_{n}"), F.max(tmp[n]).over(frame)))
@@ -85,7 +96,7 @@ def scan_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: st
     per = d.groupBy(*part).agg(*[F.sum(tmp[n]).alias(f"_b_{n}") for n in values])
     wb = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*part, *[F.coalesce(F.sum(f"_b_{n}").over(wb), F.lit(0)).alias(f"_c_{n}") for n in values])
-    out = d.join(carry, part)
+    out = null_safe_join(d, carry, part)
     for n, (_, inclusive) in values.items():
         frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         out = out.withColumn(n, F.col(f"_c_{n}") + F.coalesce(F.sum(tmp[n]).over(frame), F.lit(0)))

@@ -13,11 +13,11 @@ def read_window(cells: DataFrame, start_row: int, end_row: int, start_col: int,
                 sheet: str | None = None) -> DataFrame:
     """Cells of a 0-based, inclusive window (the reference's ``Window``), optionally of one sheet.
 
-    Plain ``between`` filters on ``row``/``col``: on a ``cells`` table sorted by (sheet, row)
+    Plain filters on ``row`` and ``col`` themselves, with shifted constants, so they reach the scan: on a ``cells`` table sorted by (sheet, row)
     they prune Parquet row groups.  Clipping to the ragged row length is implicit: absent cells
     are not rows.
     """
-    out = cells.filter((F.col("row") - 1).between(start_row, end_row) & (F.col("col") - 1).between(start_col, end_col))
+    out = cells.filter(F.col("row").between(start_row + 1, end_row + 1) & F.col("col").between(start_col + 1, end_col + 1))
     return out if sheet is None else out.filter(F.col("sheet") == sheet)
 
 

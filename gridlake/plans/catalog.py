@@ -6,15 +6,16 @@ operators; ``gridlake.plans.oracles`` holds the DuckDB SQL of the same result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions import budget as bg
-from gridlake.functions.a1 import col_letters
+from gridlake.functions.a1 import col_letters, parse_location
 from gridlake.functions.cursor import decode_cursor, encode_cursor
-from gridlake.functions.values import parse_money
+from gridlake.functions.values import is_text, parse_money
 from gridlake.functions.values import sanitise as sanitise_text
 from gridlake.operators import budget as bo
 from gridlake.operators import compare as cm
@@ -27,7 +28,8 @@ from gridlake.operators import window as wn
 from gridlake.plans.grid import grid_cells, load
 from gridlake.sinks import events as evs
 from gridlake.sinks import export as xp
-from gridlake.sources.tables import decimal_text, with_cell_fields
+from gridlake.session import checkpoint_dir
+from gridlake.sources.tables import decimal_text, number_rows, with_cell_fields
 from gridlake.streaming import hotkeys as hk
 from gridlake.streaming import metrics as mt
 
@@ -319,7 +321,7 @@ def formula_links(spark, d):
 @query
 def cyclic_core(spark, d):
     p = load(spark, d, "part")
-    edges = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 2 + 1) % 500).alias("dst"))
+    edges = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 2 + 1) % p.count()).alias("dst"))
     return lk.cyclic_core(edges)
 
 
@@ -523,7 +525,7 @@ def tick_hit_ratio(spark, d):
 def text_and_range(spark, d):
     cells = grid_cells(spark, d)
     words = sr.search_text(ix.build_postings(cells), "economy")
-    return sr.intersect_hits(words, cells.filter(F.col("row") <= 1000)).select("sheet", "row", "col")
+    return sr.intersect_hits(words, sr.search_rect(cells, 2, 0, 1, 1 << 40)).select("sheet", "row", "col")
 
 
 @query
@@ -534,12 +536,127 @@ def wide_extract(spark, d):
 
 @query
 def truncate_fields(spark, d):
-    """each document as a map of four fields (two priority fields), cut to 300 tokens."""
+    """each document as a map of five fields (three priority fields, one of them at times too long), cut to
+    300 tokens."""
     docs = load(spark, d, "documents")
     pairs = F.array(F.struct(F.lit("metadata").alias("field"), F.concat_ws(" ", "lang", "source").alias("value")),
                     F.struct(F.lit("index").alias("field"), F.col("doc_id").cast("string").alias("value")),
+                    F.struct(F.lit("summary").alias("field"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("lang")).alias("value")),
                     F.struct(F.lit("n_chars").alias("field"), F.col("n_chars").cast("string").alias("value")),
                     F.struct(F.lit("text").alias("field"), F.col("text").alias("value")))
     fields = docs.select("doc_id", F.inline(pairs))
     t = bo.truncate_fields(fields, ["doc_id"], "field", "value", target=300)
     return t.select("doc_id", "field", F.length("value").cast("bigint").alias("chars"), "_original_size", "_included_fields")
+
+
+# ---------------------------------------------------------------- null keys, changes of numbers and formulas, predicates
+
+
+@query
+def null_key_budget(spark, d):
+    c = load(spark, d, "conversations")
+    rows = c.select(F.when(c["conv_id"] % 5 != 0, c["conv_id"] % 7).alias("g"), (c["conv_id"] * 1000 + c["turn"]).alias("pos"),
+                    bg.estimate_tokens("text").alias("tok"))
+    r = bo.running_budget(rows, ["g"], ["pos"], "tok", 2000)
+    return r.groupBy("g").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"),
+                              F.max("cum_tokens").cast("bigint").alias("total"))
+
+
+@query
+def null_key_sessions(spark, d):
+    ev = load(spark, d, "events").select(F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("u"), "ts", "event_id")
+    return mt.session_summary(mt.gap_sessions(ev, ["u"], "ts", "event_id", 300), ["u"])
+
+
+@query
+def null_key_rows(spark, d):
+    o = load(spark, d, "orders").select(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey")).alias("key"), "o_orderkey")
+    return number_rows(o, ["key", "o_orderkey"]).select("o_orderkey", "row")
+
+
+def _changed_orders(spark, d):
+    """Orders as cells, and a change or two of some: every third gets a formula, every fifteenth of those a value
+    before it, every seventh a last value (at times empty)."""
+    o = load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    cells = with_cell_fields(o.select(
+        F.lit("tables").alias("workbook"), F.lit("orders").alias("sheet"), F.lit(0).alias("sheet_idx"), k.alias("row"), F.lit(1).alias("col"),
+        F.col("o_custkey").cast("string").alias("value"), F.when(k % 2 == 0, "A1+1").alias("formula")))
+    change = lambda n, when, kind, new: F.when(when, F.struct(F.lit(n).cast("bigint").alias("seq"), F.lit(kind).alias("type"), new.alias("new_value")))
+    changes = F.array(change(1, (k % 3 == 0) & (k % 5 == 0), "cell_update", F.lit("42")),
+                      change(2, k % 3 == 0, "formula_change", F.concat(F.lit("B"), k + 1, F.lit("*2"))),
+                      change(3, k % 7 == 0, "cell_update", F.when(k % 14 == 0, "").otherwise(F.concat(F.lit("x"), F.col("o_custkey")))))
+    deltas = o.select(k, F.inline(F.filter(changes, lambda c: c.isNotNull()))).select(
+        "seq", F.lit(None).cast("timestamp").alias("event_ts"), F.lit("tables").alias("workbook"), F.lit(None).cast("string").alias("sheet"),
+        "type", F.concat(F.lit("orders!A"), "o_orderkey").alias("location"), F.lit(None).cast("string").alias("old_value"), "new_value",
+        F.lit(None).cast("int").alias("affected_cells")).filter(~F.col("location").endswith("!A0"))
+    return cells.filter("row > 0"), deltas
+
+
+@query
+def cell_changes(spark, d):
+    cells, deltas = _changed_orders(spark, d)
+    return cm.apply_cell_deltas(cells, deltas).select(F.col("row").alias("k"), F.col("value").alias("v"), F.col("formula").alias("f"))
+
+
+@query
+def numeric_update(spark, d):
+    cells, deltas = _changed_orders(spark, d)
+    new = cm.apply_cell_deltas(cells, deltas)
+    n = cm.update_numeric(ix.build_numeric_index(cells), new, cm.cell_deltas(deltas))
+    return n.select(F.col("row").alias("k"), "num")
+
+
+@query
+def bulk_rebuilds(spark, d):
+    return cm.bulk_impact(load(spark, d, "lineitem"), ["l_suppkey"], "l_partkey", threshold=150)
+
+
+@query
+def numeric_compare(spark, d):
+    n = sr.search_numeric(grid_cells(spark, d), ordered=True)
+    return n.select("sheet", "row", "col", "num", sr.compare("num", ">=", 20).alias("ge"), sr.compare("num", "<>", 7).alias("ne"),
+                    sr.compare("num", "between", 3, 9).alias("between_"))
+
+
+@query
+def text_cells(spark, d):
+    return grid_cells(spark, d).filter(is_text("value")).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def locations(spark, d):
+    c = sr.with_location_text(grid_cells(spark, d).select("sheet", "ref"))
+    return c.select("location", parse_location("location").alias("p")).select("location", "p.sheet", "p.row", "p.col")
+
+
+@query
+def rects_overlap(spark, d):
+    p = load(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size", (F.col("p_partkey") % 40).alias("y"))
+    q = p.select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("p_size").alias("x2"), F.col("y").alias("y2"))
+    pairs = p.join(q, ["p_brand", "p_type"]).filter("p_partkey < b")
+    return pairs.filter(sr.rects_intersect("p_size", "y", F.lit(5), F.lit(9), "x2", "y2", F.lit(5), F.lit(9))).select(
+        F.col("p_partkey").alias("a"), "b")
+
+
+@query
+def dangling_links(spark, d):
+    """Lines 1 and 2 refer to a part's brand cell (blank for every third), line 3 to a sheet that is not there."""
+    li = load(spark, d, "lineitem").filter("l_linenumber <= 3")
+    parts = load(spark, d, "part").select(
+        F.lit("tables").alias("workbook"), F.lit("Brands \u00e9t\u00e9").alias("sheet"), (F.col("p_partkey") + 1).alias("row"), F.lit(2).alias("col"))
+    f = (F.when(F.col("l_linenumber") < 3, F.concat(F.lit("'Brands \u00e9t\u00e9'!$B$"), F.col("l_partkey") + 1, F.lit('&"Gone!A1"')))
+         .otherwise(F.concat(F.lit("Gone!A1+[2]Other!B"), "l_partkey")))
+    df = li.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("tables").alias("workbook"), F.lit("lineitem").alias("sheet"), f.alias("formula"))
+    gone = lk.dangling_links(lk.formula_links(df), parts.filter((F.col("row") - 1) % 3 != 0))
+    return gone.select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query
+def export_roundtrip(spark, d):
+    """K4: the budgeted export written and read back; cut items have no checksum here."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex[:12]}"
+    xp.write_budgeted(load(spark, d, "documents"), "text", 1000, path, ["doc_id"])
+    back = xp.read_budgeted(spark, path, "doc_id BIGINT")
+    whole = F.col("method") != "brotli-11-truncated"
+    return back.select("doc_id", "codec", F.when(whole, F.sha2("payload", 256)).alias("checksum"))

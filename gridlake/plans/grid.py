@@ -26,7 +26,7 @@ def grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "tables") -> Da
     shared checkpoint folder (sorted by sheet, row, col), so every query — and every branch of
     a query that reads the cells several times — scans the written table with pushdown
     instead of recomputing the numbering.  See :func:`build_grid_cells`."""
-    key = (id(spark), sf_dir, workbook)
+    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf_dir, workbook)
     if key not in _MEMO:
         _MEMO[key] = write_table(build_grid_cells(spark, sf_dir, workbook), "grid",
                                  ["workbook", "sheet", "row", "col"])

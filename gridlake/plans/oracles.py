@@ -31,8 +31,12 @@ _SQL: dict[str, str] = {}
 _NEEDS_CELLS: set[str] = set()
 
 
+# Unicode white space, on which tokens are split; written '\\s+' in the strings below.
+SPACE = "'[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
+
+
 def sql(name: str, text: str, cells: bool = False) -> None:
-    _SQL[name] = text
+    _SQL[name] = text.replace("'\\s+'", SPACE)
     if cells:
         _NEEDS_CELLS.add(name)
 
@@ -175,8 +179,8 @@ FROM lineitem WHERE l_quantity < 10
 UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, 'lineitem', l_linenumber, 1 FROM lineitem WHERE NOT (l_quantity < 10)""")
 sql("cyclic_core", """
-WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 2 + 1) % 500 AS b FROM part),
-r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON e.a = r.b WHERE n < 500 AND r.b <> r.a)
+WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 2 + 1) % (SELECT COUNT(*) FROM part) AS b FROM part),
+r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON e.a = r.b WHERE n <= (SELECT COUNT(*) FROM part) AND r.b <> r.a)
 SELECT DISTINCT a AS node FROM r WHERE a = b""")
 sql("sheet_similarity", """
 WITH h AS (SELECT DISTINCT p_brand, p_type || '/' || p_size % 8 AS t FROM part), c AS (SELECT p_brand, COUNT(*) AS n FROM h GROUP BY ALL),
@@ -285,7 +289,7 @@ o AS (SELECT *, 200 - (cum - tok) AS lft, substr(text, 1, CAST((200 - (cum - tok
 SELECT conv_id, pos, false AS is_summary, length(text) AS chars, NULL::BIGINT AS _truncated_items, NULL::BIGINT AS _total_items
   FROM f WHERE fo IS NULL OR pos < fo
 UNION ALL SELECT conv_id, pos, false, CASE WHEN contains(cut, ' ') AND length(cut) - instr(reverse(cut), ' ') > floor(lft * 4 / 2)
-  THEN length(cut) - instr(reverse(cut), ' ') ELSE length(cut) END + 15, NULL, NULL FROM o WHERE lft > 0
+  THEN length(cut) - instr(reverse(cut), ' ') ELSE length(cut) END + 15, NULL, NULL FROM o
 UNION ALL SELECT conv_id, pos + 1, true, NULL, n - pos - 1, n FROM o WHERE pos < n - 1""")
 sql("tick_hit_ratio", """
 WITH RECURSIVE o AS (SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
@@ -297,7 +301,7 @@ r AS (SELECT k, ts, rn, 1 AS c, INTERVAL 10 MINUTE AS ttl, 0 AS hit FROM o WHERE
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS tick, COUNT(*) AS accesses, CAST(SUM(hit) AS BIGINT) AS hits,
   round(SUM(hit) / COUNT(*), 6) AS hit_ratio FROM r GROUP BY tick""")
 sql("text_and_range", """
-SELECT sheet, row, col FROM cells WHERE list_contains(string_split_regex(lower(value), '\\s+'), 'economy') AND row <= 1000""",
+SELECT sheet, row, col FROM cells WHERE list_contains(string_split_regex(lower(value), '\\s+'), 'economy') AND col = 3""",
     cells=True)
 sql("wide_extract", """
 SELECT row, MAX(CASE WHEN col = 1 THEN value END) AS c1, MAX(CASE WHEN col = 2 THEN value END) AS c2,
@@ -305,20 +309,63 @@ SELECT row, MAX(CASE WHEN col = 1 THEN value END) AS c1, MAX(CASE WHEN col = 2 T
   MAX(CASE WHEN col = 5 THEN value END) AS c5, NULL::VARCHAR AS c6, NULL::VARCHAR AS c21
 FROM cells WHERE sheet = 'part' AND row <= 1000 GROUP BY row""", cells=True)
 sql("truncate_fields", """
-WITH f AS (SELECT doc_id, lang || ' ' || source AS meta, CAST(doc_id AS VARCHAR) AS idx, CAST(n_chars AS VARCHAR) AS nc, text FROM documents),
-t AS (SELECT *, CAST(ceil(length(meta) / 4.0) AS BIGINT) AS t_meta, CAST(ceil(length(idx) / 4.0) AS BIGINT) AS t_idx,
-  CAST(ceil(length(nc) / 4.0) AS BIGINT) AS t_nc, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t_text FROM f),
-p AS (SELECT *, CASE WHEN t_meta <= 300 THEN t_meta ELSE 0 END AS u1 FROM t),
-q AS (SELECT *, CASE WHEN u1 + t_idx <= 300 THEN u1 + t_idx ELSE u1 END AS u2 FROM p),
-r AS (SELECT *, u2 + t_nc AS c_nc, u2 + t_nc + t_text AS c_text FROM q),
+WITH RECURSIVE f AS (
+  SELECT doc_id, 'metadata' AS field, lang || ' ' || source AS v, 1 AS p FROM documents
+  UNION ALL SELECT doc_id, 'index', CAST(doc_id AS VARCHAR), 3 FROM documents
+  UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR), NULL FROM documents
+  UNION ALL SELECT doc_id, 'summary', CASE WHEN doc_id % 3 = 0 THEN text ELSE lang END, 2 FROM documents
+  UNION ALL SELECT doc_id, 'text', text, NULL FROM documents),
+t AS (SELECT *, CAST(ceil(length(v) / 4.0) AS BIGINT) AS tok FROM f),
+pr AS (SELECT doc_id, MAX(CASE WHEN p = 1 THEN tok END) AS a, MAX(CASE WHEN p = 2 THEN tok END) AS b, MAX(CASE WHEN p = 3 THEN tok END) AS c
+       FROM t GROUP BY doc_id),
+u1 AS (SELECT *, a <= 300 AS ka, CASE WHEN a <= 300 THEN a ELSE 0 END AS ua FROM pr),
+u2 AS (SELECT *, ua + b <= 300 AS kb, CASE WHEN ua + b <= 300 THEN ua + b ELSE ua END AS ub FROM u1),
+u3 AS (SELECT *, ub + c <= 300 AS kc, CASE WHEN ub + c <= 300 THEN ub + c ELSE ub END AS uc FROM u2),
+k AS (SELECT t.*, coalesce(CASE p WHEN 1 THEN ka WHEN 2 THEN kb WHEN 3 THEN kc END, false) AS kept, uc FROM t JOIN u3 USING (doc_id)),
+o AS (SELECT *, uc + SUM(tok) OVER (PARTITION BY doc_id ORDER BY field ROWS UNBOUNDED PRECEDING) AS cum FROM k WHERE NOT kept),
+x AS (SELECT *, MIN(CASE WHEN cum > 300 THEN field END) OVER (PARTITION BY doc_id) AS fo FROM o),
+cut AS (SELECT *, substr(v, 1, CAST((300 - (cum - tok)) * 4 AS INT)) AS h, 300 - (cum - tok) AS lft FROM x WHERE field = fo),
 rows AS (
-  SELECT doc_id, 'metadata' AS field, length(meta) AS chars FROM r WHERE t_meta <= 300
-  UNION ALL SELECT doc_id, 'index', length(idx) FROM r WHERE u1 + t_idx <= 300
-  UNION ALL SELECT doc_id, 'n_chars', CASE WHEN c_nc <= 300 THEN length(nc) ELSE length(substr(nc, 1, CAST((300 - u2) * 4 AS INT))) + 15 END
-    FROM r WHERE c_nc <= 300 OR 300 - u2 > 0
-  UNION ALL SELECT doc_id, 'text', CASE WHEN c_text <= 300 THEN length(text)
-      WHEN contains(cut, ' ') AND length(cut) - instr(reverse(cut), ' ') > (300 - c_nc) * 2 THEN length(cut) - instr(reverse(cut), ' ') + 15
-      ELSE length(cut) + 15 END
-    FROM (SELECT *, substr(text, 1, CAST((300 - c_nc) * 4 AS INT)) AS cut FROM r) WHERE c_nc <= 300 AND (c_text <= 300 OR 300 - c_nc > 0))
+  SELECT doc_id, field, length(v) AS chars FROM k WHERE kept
+  UNION ALL SELECT doc_id, field, length(v) FROM x WHERE fo IS NULL OR field < fo
+  UNION ALL SELECT doc_id, field, CASE WHEN contains(h, ' ') AND length(h) - instr(reverse(h), ' ') > floor(lft * 4 / 2)
+    THEN length(h) - instr(reverse(h), ' ') ELSE length(h) END + 15 FROM cut)
 SELECT doc_id, field, CAST(chars AS BIGINT) AS chars, NULL::BIGINT AS _original_size, NULL::BIGINT AS _included_fields FROM rows
-UNION ALL SELECT doc_id, '_truncated', 4, 4, COUNT(*) FROM rows GROUP BY doc_id""")
+UNION ALL SELECT doc_id, '_truncated', 4, 5, COUNT(*) FROM rows GROUP BY doc_id""")
+
+# ---------------------------------------------------------------- rows with null keys, changes of numbers and formulas, predicates
+sql("null_key_budget", """
+WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id % 7 END AS g, conv_id * 1000 + turn AS pos, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tok FROM conversations),
+r AS (SELECT *, SUM(tok) OVER (PARTITION BY g ORDER BY pos) AS cum FROM c)
+SELECT g, COUNT(*) FILTER (cum <= 2000) AS kept, COUNT(*) FILTER (cum > 2000) AS dropped, MAX(cum)::BIGINT AS total FROM r GROUP BY g""")
+sql("null_key_sessions", """
+WITH e AS (SELECT CASE WHEN user_id % 4 <> 0 THEN user_id END AS u, ts FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY u ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS nw FROM e),
+s AS (SELECT *, SUM(nw) OVER (PARTITION BY u ORDER BY ts) AS sid FROM g)
+SELECT u, MIN(ts) AS first_ts, COUNT(*) AS n FROM s GROUP BY u, sid""")
+sql("null_key_rows", """
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END NULLS FIRST, o_orderkey) AS row FROM orders""")
+_CHANGED = """
+WITH base AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'A1+1' END AS f FROM orders),
+n AS (SELECT k, CASE WHEN k % 7 = 0 THEN CASE WHEN k % 14 = 0 THEN NULL ELSE 'x' || v END WHEN k % 3 = 0 AND k % 5 = 0 THEN '42' ELSE v END AS v,
+  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN 'B' || (k + 1) || '*2' ELSE f END AS f FROM base)
+"""
+sql("cell_changes", _CHANGED + "SELECT k, v, f FROM n WHERE v IS NOT NULL OR f IS NOT NULL")
+sql("numeric_update", _CHANGED + """
+SELECT k, CAST(v AS DOUBLE) AS num FROM n WHERE regexp_full_match(v, '[0-9]+')""")
+sql("bulk_rebuilds", """
+SELECT l_suppkey, CAST(SUM(l_partkey) AS BIGINT) AS affected, CASE WHEN MAX(l_partkey) > 150 THEN 'rebuild' ELSE 'incremental' END AS action
+FROM lineitem GROUP BY l_suppkey""")
+sql("numeric_compare", "SELECT sheet, row, col, num, num >= 20 AS ge, num <> 7 AS ne, num BETWEEN 3 AND 9 AS between_ FROM cells WHERE num IS NOT NULL",
+    cells=True)
+sql("text_cells", "SELECT sheet, COUNT(*) AS n FROM cells WHERE num IS NULL GROUP BY sheet", cells=True)
+sql("locations", "SELECT sheet || '!' || chr(CAST(64 + col AS INT)) || row AS location, sheet, row, CAST(col AS INT) AS col FROM cells", cells=True)
+sql("rects_overlap", """
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
+WHERE NOT (a.p_size + 5 <= b.p_size OR b.p_size + 5 <= a.p_size OR a.p_partkey % 40 + 9 <= b.p_partkey % 40 OR b.p_partkey % 40 + 9 <= a.p_partkey % 40)""")
+sql("dangling_links", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber < 3 AND l_partkey % 3 = 0)""")
+sql("export_roundtrip", """
+SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) < 500 THEN 'none' ELSE 'gzip' END AS codec, sha256(text) AS checksum FROM documents
+WHERE ceil(length(text) / 4.0) < 1000
+UNION ALL SELECT doc_id, 'gzip', NULL FROM documents WHERE ceil(length(text) / 4.0) >= 1000""")

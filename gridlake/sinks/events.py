@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import idiv
+from gridlake.operators.sequence import null_safe_join
+
+
+#: Fields of the event lines.
+EVENT_SCHEMA = "type STRING, data STRING, sheet_index INT, sheet_name STRING, chunk_id STRING"
 
 
 def envelope(kind: str | Column, data: Column | None = None, **top: Column) -> Column:
@@ -57,15 +62,20 @@ def _batched(rows: DataFrame, extent: DataFrame, size: int, empty_row: Column) -
     return b.select("*", start.alias("_start"), dense.alias("rows")).drop("_rows")
 
 
-def row_batch_events(cells: DataFrame, batch_rows: int = 100, chunk_size: int | None = None) -> DataFrame:
+def row_batch_events(cells: DataFrame, batch_rows: int = 100, chunk_size: int | None = None,
+                     sheets: DataFrame | None = None) -> DataFrame:
     """K1: per chunk of sheets: ``metadata`` (chunk_id, sheets_range, streaming), then per
     sheet ``sheet_start`` (sheet_index, sheet_name, total_rows), ``rows`` batches (0-based
     ``start_row``) and ``sheet_complete``; then ``complete`` (chunk_id).  Without
-    ``chunk_size`` a workbook is one chunk.  Columns: workbook, seq, line."""
+    ``chunk_size`` a workbook is one chunk.  With ``sheets`` (workbook, sheet, sheet_idx), a sheet without cells
+    has its start (0 rows) and end, too.  Columns: workbook, seq, line."""
     key = ["workbook", "sheet", "sheet_idx"]
     rows = _row_arrays(cells)
     extent = cells.groupBy(*key).agg(F.max("row").alias("_last")).withColumn("_first", F.lit(1).cast("bigint"))
-    top = cells.groupBy("workbook").agg(F.max("sheet_idx").alias("_max_idx"))
+    if sheets is not None:
+        none = null_safe_join(sheets.select(*key).distinct(), extent.select(*key), key, "left_anti")
+        extent = extent.unionByName(none.select(*key, F.lit(0).cast("bigint").alias("_last"), F.lit(1).cast("bigint").alias("_first")))
+    top = extent.groupBy("workbook").agg(F.max("sheet_idx").alias("_max_idx"))
     chunk = idiv("sheet_idx", chunk_size) if chunk_size else F.lit(0).cast("bigint")
     extent = extent.join(top, "workbook").withColumn("chunk", chunk)
     first = F.col("chunk") * chunk_size if chunk_size else F.lit(0).cast("bigint")
@@ -73,7 +83,7 @@ def row_batch_events(cells: DataFrame, batch_rows: int = 100, chunk_size: int |
             else F.col("_max_idx").cast("bigint"))
     chunks = extent.select("workbook", "chunk", first.alias("_a"), last.alias("_b")).distinct()
     chunk_id = F.concat_ws("_", F.lit("chunk"), F.col("_a"), F.col("_b"))
-    batches = _batched(rows, extent, batch_rows, F.array().cast("array<string>"))
+    batches = _batched(rows, extent.filter("_last > 0"), batch_rows, F.array().cast("array<string>"))
     seq = lambda p, s_, i: F.struct(F.col("chunk").alias("c"), F.lit(p).alias("p"), s_.cast("bigint").alias("s"),
                                     i.cast("bigint").alias("i"))
     meta = chunks.select("workbook", seq(0, F.lit(0), F.lit(0)).alias("seq"), envelope("metadata", F.struct(
@@ -97,7 +107,7 @@ def window_events(cells: DataFrame, sheet: str, start_row: int, end_row: int, st
     ``window_complete``.  Window coordinates are 0-based and inclusive; each row is clipped
     to its own length, and a row with nothing in the window is ``null``, like the reference."""
     sc = cells.filter(F.col("sheet") == sheet)
-    in_rows = sc.filter((F.col("row") - 1).between(start_row, end_row))
+    in_rows = sc.filter(F.col("row").between(start_row + 1, end_row + 1))
     rows = _row_arrays(in_rows, start_col + 1, end_col + 1)
     last = sc.groupBy("workbook", "sheet", "sheet_idx").agg(F.max("row").alias("_n"))
     extent = (last.withColumn("_first", F.lit(start_row + 1).cast("bigint"))
@@ -124,5 +134,6 @@ def write_events(events: DataFrame, path: str, compression: str = "none", files:
 
 
 def read_events(spark, path: str) -> DataFrame:
-    """K6: read an export back (gzip and other codecs are decoded by file extension)."""
-    return spark.read.json(path)
+    """K6: read an export back (gzip and other codecs are decoded by file extension), with a fixed schema, so in
+    one pass: ``data`` is an event's data object as JSON text."""
+    return spark.read.schema(EVENT_SCHEMA).json(path)

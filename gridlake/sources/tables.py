@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,28 +14,32 @@ from gridlake.schema import CELL_COLUMNS
 
 
 def number_rows(df: DataFrame, order_cols: Sequence[str], row_col: str = "row",
-                max_buckets: int = 65536, rows_per_bucket: int = 2_000) -> DataFrame:
+                max_buckets: int = 8192, rows_per_bucket: int = 2_000) -> DataFrame:
     """1-based row numbers in ``order_cols`` order without an un-partitioned window.
 
-    The first order column must be numeric; ``order_cols`` together must be unique.  Rows are
-    cut into about ``count / rows_per_bucket`` (at most ``max_buckets``) equal-width ranges
-    of the first key (a pure function of
-    the row, so a retried task recomputes the same bucket); a bucket count table (at most
-    ``max_buckets`` rows, so its broadcast has a fixed bound) gives each bucket its offset, and
-    ``row_number`` runs per bucket.  With a unique integral key a bucket holds at most
-    ``width`` rows, whatever the key distribution.  Only the key's min, max and the row count
-    reach the driver.
+    The first order column must be numeric; ``order_cols`` together must be unique; rows with a null key come
+    first.  Rows are cut at approximate quantiles of the first key into about ``count / rows_per_bucket`` (at
+    most ``max_buckets``) buckets, whatever the spacing of the keys; the bucket is a pure function of the row
+    and of the bounds, so a retried task recomputes the same bucket.  A bucket count table (at most
+    ``max_buckets + 2`` rows, so its broadcast has a fixed bound) gives each bucket its offset, and
+    ``row_number`` runs per bucket.  Only the row count and the bounds reach the driver.
     """
+    from pyspark.ml.feature import Bucketizer
+
     k = order_cols[0]
-    kmin, kmax, n = df.agg(F.min(k), F.max(k), F.count(F.lit(1))).first()
-    if kmin is None:
-        return df.withColumn(row_col, F.lit(None).cast("bigint"))
+    n = df.agg(F.count(k)).first()[0]
     buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
-    span = float(kmax) - float(kmin) + 1.0
-    width = max(1.0, float(-(-span // buckets)))
-    bucketed = df.withColumn("_bucket", F.floor((F.col(k) - F.lit(kmin)) / F.lit(width)).cast("bigint"))
+    bounds: list[float] = []
+    if buckets > 1:
+        shares = [i / buckets for i in range(1, buckets)]
+        bounds = sorted({float(x) for x in df.agg(F.percentile_approx(F.col(k).cast("double"), shares, max(10_000, 4 * buckets))).first()[0]})
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf] if bounds else [-math.inf, 0.0, math.inf], inputCol="_key", outputCol="_bucket",
+                     handleInvalid="keep")
+    keyed = df.withColumn("_key", F.coalesce(F.col(k).cast("double"), F.lit(0.0)))
+    bucketed = cut.transform(keyed).withColumn(
+        "_bucket", F.when(F.col(k).isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("bigint")).drop("_key")
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # counts has <= max_buckets rows: a single-partition running sum over it is bounded work.
+    # counts has <= max_buckets + 2 rows: a single-partition running sum over it is bounded work.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     in_bucket = Window.partitionBy("_bucket").orderBy(*order_cols)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,28 +81,28 @@ STATE_SCHEMA = T.StructType([
 
 def _stream_state_fn(key_names, ttl_us, hot_ttl_us, promote_after):
     def fn(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         if state.exists:
             count, ttl, last, acc, hits, promos = state.get
         else:
             count, ttl, last, acc, hits, promos = 0, ttl_us, None, 0, 0, 0
-        for pdf in frames:  # chunks of this micro-batch's rows of the key: no whole-group frame
-            pdf = pdf.sort_values(["_us", "_tb"], kind="stable")
-            for t in pdf["_us"].tolist():
-                acc += 1
-                if last is None or t - last > ttl:
-                    count, ttl = 1, ttl_us
-                else:
-                    hits += 1
-                    count += 1
-                    if count > promote_after and ttl == ttl_us:
-                        ttl = hot_ttl_us
-                        promos += 1
-                last = t
+        # Arrow cuts a key's rows of a micro-batch into chunks in any order: two numbers a row are kept to sort them
+        parts = [(p["_us"].to_numpy(), p["_tb"].to_numpy()) for p in frames if len(p)]
+        times = []
+        if parts:
+            us, tb = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            times = us[np.lexsort((tb, us))].tolist()
+        for t in times:
+            acc += 1
+            if last is None or t - last > ttl:
+                count, ttl = 1, ttl_us
+            else:
+                hits += 1
+                count += 1
+                if count > promote_after and ttl == ttl_us:
+                    ttl = hot_ttl_us
+                    promos += 1
+            last = t if last is None else max(last, t)  # a row of an earlier time than the last batch's is a hit
         state.update((count, ttl, last, acc, hits, promos))
-        state.setTimeoutTimestamp(int(last // 1000) + int(ttl // 1000) + 1)
         yield pd.DataFrame([list(key) + [acc, hits, acc - hits, promos]],
                            columns=[*key_names, "accesses", "hits", "misses", "promotions"])
     return fn
@@ -111,9 +112,9 @@ def hot_key_stream(stream: DataFrame, key: Sequence[str], ts: str, tiebreak: str
                    hot_ttl_seconds: int = HOT_TTL_SECONDS, promote_after: int = PROMOTE_AFTER,
                    watermark: str = "10 minutes") -> DataFrame:
     """T3/T4 streaming form: ``applyInPandasWithState`` keeps (count, ttl, last access, totals)
-    per key; rows later than the watermark are dropped (T4); a key's state expires by
-    event-time timeout at last access + TTL.  Emits running totals per key per micro-batch.
-    Within a micro-batch a key's rows are processed in (ts, tiebreak) order."""
+    per key; rows later than the watermark are dropped (T4).  A key expires by the gap to its next access, as in
+    the batch form; its totals go on, so its six numbers stay in the state.  Emits running totals per key per
+    micro-batch.  Within a micro-batch a key's rows are processed in (ts, tiebreak) order."""
     key = list(key)
     s = (stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
          .withColumn("_us", F.unix_micros("_ts")).withColumn("_tb", F.col(tiebreak)))
@@ -123,4 +124,4 @@ def hot_key_stream(stream: DataFrame, key: Sequence[str], ts: str, tiebreak: str
 
     fn = _stream_state_fn(key, ttl_seconds * 1_000_000, hot_ttl_seconds * 1_000_000, promote_after)
     return (s.select(*key, "_ts", "_us", "_tb").groupBy(*key)
-            .applyInPandasWithState(fn, out, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(fn, out, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
