@@ -59,35 +59,42 @@ def ngram_counts(docs: DataFrame, buckets: int) -> np.ndarray:
     return hashed_counts(docs.select("text"), count, buckets)
 
 
-def target_rows(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -> tuple[DataFrame, float]:
-    """Documents labelled as good (at most ``max_target``, smallest hash of doc_id), and the share of good labels."""
+def target_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> tuple[set, float]:
+    """doc_ids labelled as good (at most ``max_target``, smallest hash of doc_id), and the share of good labels."""
     named = (labels.where("doc_id is not null and quality in (0, 1)")
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
     share = named.agg(F.avg("quality")).first()[0]
     ids = hash_sample(named.where("quality = 1").select("doc_id"), "doc_id", max_target)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    return rows, 1.0 if share is None else float(share)
+    return {r["doc_id"] for r in ids.collect()}, 1.0 if share is None else float(share)
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of target over raw rate per bucket; both are smoothed by the raw rates, so an unseen bucket is even."""
-    if not target.sum():
-        return np.zeros(len(raw))
-    rate = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    strength = 8.0 * len(raw)
-    return np.log((target + strength * rate) / (target.sum() + strength) / rate)
+def log_weight(own: np.ndarray, target: np.ndarray, raw: np.ndarray, in_target: bool) -> float:
+    """Sum of the log ratios, target over raw, of a text's n-grams (given as buckets).
 
+    The text's own n-grams are taken out of the counts that hold them, else a text would speak for itself.  Both
+    models are smoothed by the raw rates, so an unseen bucket is even."""
+    if not len(own) or not target.any():
+        return 0.0
+    bucket, times = np.unique(own, return_counts=True)
+    out = times if in_target else 0
+    rate = (np.maximum(raw[bucket] - times, 0) + 0.5) / (raw[-1] - len(own) + 0.5 * (len(raw) - 1))
+    strength = 8.0 * (len(raw) - 1)
+    seen = np.maximum(target[bucket] - out, 0)
+    return float((times * np.log((seen + strength * rate) / (target[-1] - np.sum(out) + strength) / rate)).sum())
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+
+def log_weights(docs: DataFrame, target: np.ndarray, raw: np.ndarray, target_ids: set) -> DataFrame:
     """doc_id and log_weight of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # one number per bucket
+    tables = [np.append(t, t.sum()) for t in (target, raw)]  # the last entry is the total
+    sent = docs.sparkSession.sparkContext.broadcast((*tables, target_ids))  # a number per bucket; a bounded set
     known: list[_Ids] = []
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not known:
             known.append(_Ids())
-        table = sent.value
-        values = [float(table[ngram_buckets(t, known[0], len(table))].sum()) for t in batch["text"].to_pylist()]
+        target, raw, ids = sent.value
+        values = [log_weight(ngram_buckets(t, known[0], len(raw) - 1), target, raw, i in ids)
+                  for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.float64())], ["doc_id", "log_weight"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -124,9 +131,12 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
              seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, log_weight, gumbel_key and sampled.  ``fraction`` of the rows are
     sampled; by default the share of good rows among the labelled ones."""
-    target, share = target_rows(docs, labels)
-    ratios = log_ratios(ngram_counts(target, buckets), ngram_counts(docs, buckets))
-    scored = log_weights(docs, ratios).withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
+    chosen, share = target_ids(labels)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    target = ngram_counts(rows.join(F.broadcast(ids), "doc_id"), buckets)
+    scored = log_weights(rows, target, ngram_counts(rows, buckets), chosen)
+    scored = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
     scored = write_table(scored, "weights")
     k = int(round((share if fraction is None else fraction) * scored.count()))
     if k <= 0:
