@@ -5,7 +5,8 @@ two first-order character Markov models, one of random strings and one of ordina
 the log-likelihood ratio of every other long token; a token that looks random enough is a span of kind
 ``random``.  The models and the threshold are trained from labelled samples: what the base patterns find in a
 bounded sample of documents (with seeded random strings, so that no alphabet is missed) against the ordinary
-words of the same sample, alone and joined to identifiers; part of the tokens is held out for the threshold.
+words of the same sample and the usual words of program names, alone and joined to identifiers; part of the
+tokens is held out for the threshold.
 
 Defined cases: null or empty texts have no spans; rows are scanned one by one, so repeated or null doc_ids,
 very long texts and extra columns do no harm; with no document to train from, the seeded strings alone are
@@ -91,6 +92,27 @@ def seeded_random(count: int, seed: int = 7) -> list[str]:
     return out
 
 
+#: Fixed list: words that names in programs are made of.
+NAME_WORDS = (
+    "account action add address admin after all app apply array async attribute author auth base batch before begin block body "
+    "buffer build button by byte cache call cancel case category change channel char check child class clean clear click client "
+    "close code collection color column command comment commit common complete component config connect connection constant "
+    "container content context control convert copy core count create current custom data database date day default delete "
+    "description detail device dialog directory disable display document domain download edit element email empty enable end "
+    "entity entry error event exception execute export extension factory field file filter find first flag format found from "
+    "function generate get global graph group handler hash header height host image import index info init input insert instance "
+    "integer interface internal item iterator job join key label language last layer layout length level library limit line link "
+    "list listener load local location lock log login loop main manager map mark master max memory menu merge message method min "
+    "mode model module month move name native network new next node notification number object offset on open option order output "
+    "package page parent parse part path pattern payment plugin point policy position post prefix previous process product profile "
+    "property provider proxy public query queue random range read record reference region register remote remove render report "
+    "request reset resource response rest result retry return role root route row rule run sample save schema scope script search "
+    "section select sequence server service session set setting shape share show size sort source space start state status step "
+    "stop storage store stream string style submit system table tag target task template test text thread time timeout title to "
+    "token tool total trace transaction transform tree trigger type unique unit update upload url user util valid validate value "
+    "variable vector version video view visible wait watch week width window with word worker write year zone").split()
+
+
 def identifiers(words: list[str], seed: int = 11) -> list[str]:
     """Ordinary words, and identifiers made of them: snake, kebab and camel case, constants, paths, numbered."""
     rng = np.random.default_rng(seed)
@@ -105,10 +127,11 @@ def identifiers(words: list[str], seed: int = 11) -> list[str]:
 
 
 def fit_markov(positives: list[str], words: list[str]) -> Markov:
-    """Both models from three quarters of each side; the threshold from the rest, half way between the 0.9999
+    """Both models from three quarters of each side; the threshold from the rest, half way between the 0.999
     quantile of ordinary tokens of judged length and the 0.01 quantile of random ones (never below the former)."""
     random_ = sorted(set(positives)) + seeded_random(6_000)
     ordinary = identifiers(sorted(set(words)))
+    ordinary += identifiers(NAME_WORDS * max(12, len(ordinary) // (8 * len(NAME_WORDS))), seed=13)
     order = np.random.default_rng(5)
     random_ = [random_[i] for i in order.permutation(len(random_))]
     ordinary = [ordinary[i] for i in order.permutation(len(ordinary))]
@@ -116,7 +139,7 @@ def fit_markov(positives: list[str], words: list[str]) -> Markov:
     model = Markov(_transitions(random_[:cut]) - _transitions(ordinary[:stop]), 0.0)
     high = [model.ratio(t) for t in ordinary[stop:] if len(t) >= 16] or [0.0]
     low = [model.ratio(t) for t in random_[cut:]]
-    top = float(np.quantile(high, 0.9999))
+    top = float(np.quantile(high, 0.999))
     model.threshold = max(top + 0.05, (top + float(np.quantile(low, 0.01))) / 2, 0.0)
     return model
 
