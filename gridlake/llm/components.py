@@ -20,11 +20,15 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
         moved = moved.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                                                F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
                              ).select("e.a", "e.b")
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether all pairs point from a leaf to the centre of a star: no node has two centres or is both."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("leaf")),
+                                          F.struct(F.col("b").alias("n"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    odd = ends.groupBy("n").agg(F.sum("leaf").alias("s"), F.min("leaf").alias("low")).where("s > 1 or (s = 1 and low = 0)")
+    return not odd.head(1)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,12 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = (edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     pairs = write_table(pairs, "edges")
-    before = _mark(pairs)
-    while before[0]:
-        pairs = write_table(_stars(_stars(pairs, True), False), "edges")
-        after = _mark(pairs)
-        if after == before:
-            break
-        before = after
+    while not _settled(pairs):
+        pairs = write_table(_stars(_stars(pairs, True), False).distinct(), "edges")
     leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

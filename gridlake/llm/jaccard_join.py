@@ -47,7 +47,7 @@ _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 class _WordHashes(dict):
     """64-bit hashes of words; forgets everything when ``limit`` words are held."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -56,18 +56,22 @@ class _WordHashes(dict):
         return value
 
 
+#: One for all steps of a Python worker.
+_KNOWN = _WordHashes()
+
+
 def _mixed(keys: np.ndarray) -> np.ndarray:
     keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return keys ^ (keys >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int, known: _WordHashes) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending.  A shingle is its words in order, so the hash weighs each
     word by its place; a shorter sequence also counts its length in."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(words) - width + 1
     keys = np.full(n, width, np.uint64)
@@ -89,10 +93,10 @@ def shingle_counts(docs: DataFrame, size: int, buckets: int = COUNT_BUCKETS) ->
     """Documents per bucket of shingles, over all documents."""
 
     def count(batches):
-        known, total = _WordHashes(), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                found = [shingles(t, size, known) for t in batch["text"].slice(k, 512).to_pylist()]
+                found = [shingles(t, size) for t in batch["text"].slice(k, 512).to_pylist()]
                 if found:
                     total += np.bincount((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64),
                                          minlength=buckets)
@@ -110,15 +114,12 @@ def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
     buckets = len(counts)
     heavy = max(1024, 4 * int(counts.sum()) // buckets)
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    known: list[_WordHashes] = []
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not known:
-            known.append(_WordHashes())
         table = sent.value
         out: list[list] = [[] for _ in range(7)]
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            keys = shingles(text, size, known[0])
+            keys = shingles(text, size)
             times = table[(keys & np.uint64(buckets - 1)).astype(np.int64)]
             order = np.argsort(times, kind="stable")[:prefix_length(len(keys), percent)]
             parts = np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=PARTS)
@@ -136,16 +137,13 @@ def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, keys) of the documents in ``ids``."""
+    """(doc_id, keys) of the rows of the documents in ``ids``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = ids.count() <= BROADCAST_IDS
     rows = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    known: list[_WordHashes] = []
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not known:
-            known.append(_WordHashes())
-        keys = [shingles(t, size, known[0]).astype(np.int64) for t in batch["text"].to_pylist()]
+        keys = [shingles(t, size).astype(np.int64) for t in batch["text"].to_pylist()]
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
     return rows.mapInArrow(sliced(step), "doc_id long, keys array<long>").distinct()
@@ -158,18 +156,27 @@ def _meets(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most >= least_overlap(n, m, percent))
 
 
-def verify(pairs: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: suffix filter first, then the sets themselves, once per pair."""
-    side = lambda df, k, *cols: df.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
+def _side(df: DataFrame, k: str, *cols: str) -> DataFrame:
+    return df.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
+
+
+def suffix_filter(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts per part of the hash range leave room for enough shared shingles."""
     bound = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    left = (pairs.join(side(parts, "a", "n", "parts"), "a").join(side(parts, "b", "n", "parts"), "b")
-            .where(bound >= least_overlap(F.col("a_n"), F.col("b_n"), percent)).select("a", "b").distinct())
-    both = left.join(side(sets, "a", "keys"), "a").join(side(sets, "b", "keys"), "b")
+    both = pairs.join(_side(parts, "a", "n", "parts"), "a").join(_side(parts, "b", "n", "parts"), "b")
+    return both.where(bound >= least_overlap(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link.  Only the texts of documents in a pair are made into sets again."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = write_table(shingle_sets(docs, ids, size), "sets")
+    both = pairs.join(_side(sets, "a", "keys"), "a").join(_side(sets, "b", "keys"), "b")
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
-    return both.where(shared >= least_overlap(F.size("a_keys"), F.size("b_keys"), percent)).select("a", "b").distinct()
+    return both.where(shared >= least_overlap(F.size("a_keys"), F.size("b_keys"), percent)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_rounds: int = 1) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = write_table(signatures(docs, shingle_counts(docs, size), size, percent), "signatures")
@@ -183,8 +190,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
                         .distinct(), "links")
     entries = _shared_entries(named, member, percent)
     ids = entries.select("doc_id").distinct()
-    sets = write_table(shingle_sets(docs, ids, size), "sets")
-    parts = named.select("doc_id", "n", "parts").join(ids, "doc_id", "left_semi").distinct()
+    parts = named.select("doc_id", "digest", "n", "parts").join(ids, "doc_id", "left_semi")
+    parts = write_table(parts.dropDuplicates(["doc_id", "digest"]).drop("digest"), "parts")
     tried = None
     for r in range(hub_rounds + 1):
         at = _with_component(entries, links)
@@ -192,8 +199,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        links = write_table(links.unionByName(verify(pairs, parts, sets, percent)), "links")
+        pairs = write_table(suffix_filter(pairs, parts, percent), "pairs")
+        links = write_table(links.unionByName(verify(pairs, docs, size, percent)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
     component = connected_components(links)
     rep = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -243,14 +250,24 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
             .select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")))
 
 
+def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of ``docs`` with ids; up to BROADCAST_IDS of them are broadcast, so that no text moves."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == ids["_id"], how)
+
+
 def first_of_each_component(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, without the documents that another one of their component stands for: the row with
     the component's smallest doc_id stays, once if rows repeat.  Rows with a null doc_id and rows without words
     stay."""
-    found = jaccard_components(docs, size, percent)
-    gone = found.where("doc_id is not null and n_shingles > 0 and component_id < doc_id").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    lone = kept.where(F.col("doc_id").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]") | F.col("text").isNull())
-    other = kept.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return other.dropDuplicates(["doc_id"]).unionByName(lone)
+    found = write_table(jaccard_components(docs, size, percent).where("doc_id is not null and n_shingles > 0"), "components")
+    gone = write_table(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    again = write_table(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    kept = _picked(docs, gone, "left_anti")
+    if not again.head(1):
+        return kept
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    repeated = _picked(kept, again, "left_semi")
+    return (_picked(kept, again, "left_anti").unionByName(repeated.where(~words))
+            .unionByName(repeated.where(words).dropDuplicates(["doc_id"])))
