@@ -149,3 +149,12 @@ def test_decontamination_spans_and_empty_tables(spark):
     assert text[a:b] == item.upper().replace(" ", " - ")
     assert decontaminate.find_contamination(df, bench.limit(0)).first()["n_hit"] == 0
     assert decontaminate.find_contamination(df.limit(0), bench).collect() == []
+
+
+def test_first_of_each_component_of_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {i for i, (n, c) in brute_jaccard([(r["doc_id"], r["text"]) for r in docs.collect()]).items() if not n or i == c}
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0")).withColumn("_id", docs["doc_id"] * 0)
+    for df in (docs, twice):
+        kept = jaccard_join.first_of_each_component(df)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
