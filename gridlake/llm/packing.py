@@ -3,8 +3,9 @@
 A document becomes its token ids plus an end id.  Only a document longer than the capacity is cut, into
 full pieces of ``capacity`` ids; its first piece takes what is over and may be shorter.  Full pieces fill a
 sequence of their own; all other pieces are dealt evenly into buckets of at most ``bucket_rows`` pieces and
-each bucket is packed by the sum-of-squares rule: a piece goes where the sum over all gap sizes of the
-squared number of open sequences with that gap becomes smallest (a new sequence is one of the choices).
+each bucket is packed, longest pieces first, by the sum-of-squares rule: of the open sequences that can hold it,
+a piece goes to the one with which the sum over all gap sizes of the squared number of open sequences with that
+gap becomes smallest; a new sequence is opened when none can hold it.
 
 Defined cases: null text counts as empty (its only id is the end id); repeated rows and repeated or null
 doc_ids are packed row by row; an empty table gives an empty result; other columns are ignored.
@@ -13,6 +14,7 @@ doc_ids are packed row by row; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -28,60 +30,72 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of a text, as little-endian unsigned 32-bit bytes, by a byte-level BPE vocabulary whose
-    pre-tokeniser always starts a new token at a single space or line feed between two visible characters.
+    """Token ids of a text, as little-endian unsigned 32-bit bytes, by a byte-level BPE vocabulary of the
+    ``tokenizers`` library.
 
-    The text is cut at those places, each distinct part is encoded once by the ``tokenizers`` library and
-    remembered (at most ``2 * limit`` parts).  A text with any run of two or more white-space characters, or
-    white space at an end, is encoded as a whole.
+    Its pre-tokeniser always starts a new token at a single space or line feed between two visible characters.
+    The text is cut there, each distinct part is encoded once and remembered (at most about ``2 * limit`` parts);
+    parts are split by the pre-tokeniser's own pattern and its pieces go through the vocabulary's BPE model.  A text with any run of two or more white-space characters, or white space at an
+    end, is encoded as a whole by the library.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 150_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
+        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        if not os.path.isabs(vocabulary):
-            import public_tokenizers
-
-            vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.limit = limit
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.irregular = regex.compile(r"^\s|\s\s|\s$").search
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, parts: set[str]) -> None:
-        missing = []
-        for part in parts:
-            if part not in self.fresh:
-                if part in self.old:
-                    self.fresh[part] = self.old[part]
-                else:
-                    missing.append(part)
-        if missing:
-            self.fresh.update(zip(missing, self._encode(missing), strict=True))
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        # byte-level letters: printable bytes stand for themselves, the others for letters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.marks = {m: self._piece(m) for m in ".,;:!?"}
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else (
+            piece.encode().decode("latin-1").translate(self.letters))
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word after a space.  Letters alone, or letters and one mark, are what the pattern takes as pieces."""
+        if word.isascii() or max(word) < "\u0250":
+            if word.isalpha():
+                return self._piece(" " + word)
+            stem, mark = word[:-1], self.marks.get(word[-1])
+            if mark and stem.isalpha():
+                known = self.fresh.get(stem)
+                if known is None:
+                    known = self.old.get(stem)
+                    self.fresh[stem] = known = self._piece(" " + stem) if known is None else known
+                return known + mark
+        return b"".join(map(self._piece, self.split(word if word[0] == "\n" else " " + word)))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if self.irregular(text):
-            return self._encode([text])[0]
-        parts: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                parts.append("\n")
-            parts.append(words[0])
-            parts += [" " + w for w in words[1:]]
-        if len(self.fresh) > self.limit:
-            self.old, self.fresh = self.fresh, {}
-        self._learn(set(parts))
-        return b"".join(map(self.fresh.__getitem__, parts))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # a part is a word after a space, or a line feed and the word after it
+        parts = text.replace("\n", " \n").split(" ")
+        first = b"".join(map(self._piece, self.split(parts[0])))
+        del parts[0]
+        needed = set(parts)
+        if missing := needed.difference(self.fresh):
+            if len(self.fresh) > self.limit:
+                self.old, self.fresh, missing = self.fresh, {}, needed
+            for part in missing:
+                known = self.old.get(part)
+                self.fresh[part] = self._word(part) if known is None else known
+        return first + b"".join(map(self.fresh.__getitem__, parts))
 
 
 def _spans(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -121,7 +135,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """(bin, offset) of every length, placed in the given order.  Among equal sums the smallest gap wins.
 
     With N[g] open bins of gap g, moving a piece of s from gap g to gap g - s changes the sum of squares by
-    2 * (N[g - s] - N[g]) + 2; full bins are not counted and a new bin starts from gap ``capacity``.
+    2 * (N[g - s] - N[g]) + 2, or by 1 - 2 * N[g] if that fills the bin; full bins are not counted.
     """
     opened = np.zeros(capacity + 1, np.int64)
     bins_of: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -134,8 +148,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if len(change) and here[0] > 0:
             change[0] = 1 - 2 * here[0]
         best = int(change.argmin()) if len(change) else 0
-        fresh = 2 * int(opened[capacity - s]) + 1 if s < capacity else 0
-        if len(change) and change[best] <= fresh:
+        if len(change) and change[best] < never:
             gap = s + best
             b = bins_of[gap].pop()
             opened[gap] -= 1
@@ -153,7 +166,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``capacity``) plus sequence_id and offset.
 
-    A bucket is one task's work: at most about ``bucket_rows`` rows of a few numbers, in random order.  What
+    A bucket is one task's work: at most about ``bucket_rows`` rows of a few numbers, dealt at random.  What
     the rule leaves open at a bucket's end is a few sequences, so more buckets cost next to nothing.
     """
     stored = write_table(pieces, "pieces")
@@ -161,7 +174,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) ->
     buckets = max(1, -(-stored.where(~whole).count() // bucket_rows))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_order"]).reset_index(drop=True)
+        frame = frame.sort_values(["length", "_order"], ascending=[False, True]).reset_index(drop=True)
         where, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = (int(frame["_bucket"].iloc[0]) << 32) + where
         frame["offset"] = offset
