@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import hash_sample, sliced
+from gridlake.llm.importance import kth_largest
+from gridlake.session import write_table
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,23 +111,21 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.curve[0] + self.curve[1] * evidence, -500, 500))))
 
 
-def log_odds(counts: dict[str, tuple[int, int]], toxic: int, rows: int) -> dict[str, float]:
-    """{key: log-odds against the overall rate} from {key: (toxic documents, documents)} with a key's prior
-    taken from the next more general key."""
+def log_odds(counts: DataFrame, toxic: int, rows: int) -> DataFrame:
+    """key, odds (log-odds against the overall rate) and gain (how far they are from those of the key's stem) of
+    ``counts`` (key, toxic, n: documents, all and toxic), with a key's prior taken from its stem."""
     overall = toxic / rows
-    rate: dict[str, float] = {}
-
-    def rate_of(key: str) -> float:
-        if key not in rate:
-            wider = [k for k in keys_of(key[:-1] if key.endswith("*") else key) if k != key and k in counts
-                     and len(k) < len(key) + (not key.endswith("*"))]
-            prior = rate_of(wider[-1]) if wider else overall
-            t, n = counts[key]
-            rate[key] = (t + PRIOR * prior) / (n + PRIOR)
-        return rate[key]
-
-    logit = lambda p: np.log(p / (1 - p))
-    return {k: float(logit(min(rate_of(k), 1 - 1e-6)) - logit(overall)) for k in counts}
+    size = F.length("key") - F.col("key").endswith("*").cast("int")
+    rate = lambda: (F.col("toxic") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)
+    known = counts.withColumn("prior", F.lit(overall))
+    for n in STEMS:
+        stems = known.where(F.col("key").endswith("*") & (size == n)).select(F.col("key").alias("_stem"), rate().alias("_rate"))
+        stem = F.when(size > n, F.concat(F.substring("key", 1, n), F.lit("*"))).otherwise(F.concat("key", F.lit(" ")))  # of none
+        known = (known.withColumn("_stem", stem).join(stems, "_stem", "left")
+                 .withColumn("prior", F.coalesce("_rate", "prior")).drop("_stem", "_rate"))
+    logit = lambda p: F.log(F.least(p, F.lit(1 - 1e-6)) / (1 - F.least(p, F.lit(1 - 1e-6))))
+    return known.select("key", (logit(rate()) - logit(F.lit(overall))).alias("odds"),
+                        F.abs(logit(rate()) - logit(F.col("prior"))).alias("gain"))
 
 
 def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -171,7 +171,8 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
           max_entries: int = MAX_ENTRIES) -> Model:
     """A model from at most ``max_labelled`` labelled rows (smallest hash of doc_id).  Document frequencies are
-    counted by Spark; the driver gets at most ``max_entries`` of them (those in most toxic documents)."""
+    counted and turned into log-odds by Spark; the driver gets all keys, however rare, and where they are more than
+    ``max_entries`` those whose log-odds differ most from their stem's, which the others then have."""
     named = (labels.where("doc_id is not null and toxic in (0, 1)").where(remainder(F.col("doc_id")) != 0)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     ids = hash_sample(named, "doc_id", max_labelled)
@@ -197,10 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([v[0] for v in out.values()], pa.int64()),
                                            pa.array([v[1] for v in out.values()], pa.int64())], ["key", "toxic", "n"])
 
-    counted = (rows.where("part < 4").mapInArrow(sliced(keys), "key string, toxic long, n long").groupBy("key")
-               .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("toxic >= 2")
-               .orderBy(F.desc("toxic"), "n", "key").limit(max_entries).collect())
-    model = Model(log_odds({r["key"]: (r["toxic"], r["n"]) for r in counted}, toxic, toxic + clean))
+    counted = write_table(rows.where("part < 4").mapInArrow(sliced(keys), "key string, toxic long, n long").groupBy("key")
+                          .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")), "toxicity_counts")
+    odds = write_table(log_odds(counted, toxic, toxic + clean), "toxicity_odds")
+    model = Model({r["key"]: r["odds"] for r in _widest(odds, max_entries)})
     held = (rows.where("part = 4").orderBy(F.xxhash64("text"), "toxic").limit(4_000).collect())
     texts = [(words_of(r["text"]), r["toxic"]) for r in held]
     if len({t for _, t in texts}) < 2:
@@ -210,6 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return model
 
 
+def _widest(odds: DataFrame, most: int) -> list:
+    """The rows of ``odds``, or the ``most`` of largest gain (and then first key)."""
+    if odds.count() <= most:
+        return odds.select("key", "odds").collect()
+    least = kth_largest(odds, "gain", most)
+    over = odds.where(F.col("gain") > least).select("key", "odds").collect()
+    return over + odds.where(F.col("gain") == least).orderBy("key").limit(most - len(over)).select("key", "odds").collect()
+
+
 def find_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, predicted and the significant passages (start, end as code
     points of the text, end exclusive, and -ln of their chance)."""

@@ -169,6 +169,39 @@ def test_toxicity_held_out_accuracy(spark, sf_dir):
             assert texts[i][s["start"]:s["end"]].strip()
 
 
+def brute_log_odds(counts, toxic, rows):
+    def rate(key):
+        bare = key.removesuffix("*")
+        stems = [k for k in toxicity.keys_of(bare) if k.endswith("*")]
+        prior = rate(stems[-1]) if stems else toxic / rows
+        return (counts[key][0] + toxicity.PRIOR * prior) / (counts[key][1] + toxicity.PRIOR)
+    logit = lambda p: np.log(p / (1 - p))
+    return {k: logit(rate(k)) - logit(toxic / rows) for k in counts}
+
+
+def test_toxicity_keeps_keys_of_few_toxic_documents(spark):
+    texts = [(k, "gruesome shared word" if k % 3 == 0 else "lovely peaceful shared word" if k % 3 == 1 else "gruesomely peace")
+             for k in range(400)]
+    texts += [(k, "peacefulness abcd abcde abcdef abcdefg") for k in range(400, 410)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0 and k < 400)) for k, _ in texts], "doc_id long, toxic int")
+    part = lambda k: zlib.crc32(str(k).encode()) % 5
+    counts, seen = {}, [(t, int(k % 3 == 0 and k < 400)) for k, t in texts if part(k) in (1, 2, 3)]
+    for t, y in seen:
+        for key in {x for w in t.split() for x in toxicity.keys_of(w)}:
+            a, b = counts.get(key, (0, 0))
+            counts[key] = (a + y, b + 1)
+    want = brute_log_odds(counts, sum(y for _, y in seen), len(seen))
+    model = toxicity.train(docs, labels)
+    assert set(model.entries) == set(want) and {"lovely", "peacef*", "abcdefg"} <= set(want)
+    assert all(abs(model.entries[k] - want[k]) < 1e-9 for k in want)
+    assert want["lovely"] < 0 and model.word("lovely") < -toxicity.DRIFT
+    few = toxicity.train(docs, labels, max_entries=5).entries
+    stem_of = lambda k: [x for x in toxicity.keys_of(k.removesuffix("*")) if x.endswith("*")][-1:]
+    gain = {k: abs(want[k] - (want[stem_of(k)[0]] if stem_of(k) else 0)) for k in want}
+    assert len(few) == 5 and min(gain[k] for k in few) >= max(gain[k] for k in want if k not in few) - 1e-9
+
+
 def test_toxicity_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 2), (None, "", 3), (2, "a", 4), (2, "a", 4)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
