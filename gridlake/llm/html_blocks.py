@@ -1,8 +1,10 @@
 """Text blocks of an HTML page in page order, with the path of tags above each.
 
 A block is the text between two block-level tags; inline tags are transparent and a line break is white space.
-Scripts, styles, titles, form controls, comments and declarations give no text.  Character references are
-decoded, white space inside a block becomes one blank, and empty blocks are left out.
+Scripts, styles, titles, form controls, embedded media, comments and declarations give no text.  Character
+references are decoded, white space inside a block becomes one blank, and empty blocks are left out.  An element of
+HIDDEN_TAGS gives no text if its own end tag comes before its parent's end; if there is none, as after an svg tag
+that ends in a slash, only the tag is left out and what follows is read.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ BLOCK_TAGS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp template select button svg "
-                     "object audio video canvas".split())
+RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
+HIDDEN_TAGS = frozenset("template select button svg object audio video canvas".split())
 #: A start tag of the key ends an open element of the first set, unless one of the second is open inside it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 _P_SCOPE = frozenset({"table", "td", "th"})
+#: Elements that the end tag of an element of HIDDEN_TAGS does not end: blocks other than those without a needed end tag.
+_HIDDEN_SCOPE = BLOCK_TAGS - {"p", "li", "dd", "dt"}
 
 _TAG = re.compile(r"""<(?:(?P<skip>!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z))"""
                   r"""|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z))""",
                   re.DOTALL)
+_HIDDEN = re.compile(f"<(?:{'|'.join(sorted(HIDDEN_TAGS))})", re.IGNORECASE)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -81,16 +86,13 @@ def blocks_of(page: str | None) -> list[Block]:
     def close(names, stops=frozenset()) -> bool:
         """Ends the innermost open element of ``names`` and all inside it; not past an element of ``stops``."""
         nonlocal anchors
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                anchors -= sum(e[0] == "a" for e in stack[k:])
-                del stack[k:]
-                return True
-            if stack[k][0] in stops:
-                return False
-        return False
+        k = _innermost(stack, names, stops)
+        if k >= 0:
+            anchors -= sum(e[0] == "a" for e in stack[k:])
+            del stack[k:]
+        return k >= 0
 
-    at = 0
+    at, ends = 0, _hidden_ends(page)
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
             add(page[at:m.start()])
@@ -107,11 +109,8 @@ def blocks_of(page: str | None) -> list[Block]:
             else:
                 close({name}, BLOCK_TAGS)
             continue
-        if name in RAW_TAGS:
-            closing = f"</{name}"
-            stop = _find(page, closing, at)
-            if name not in ("title", "button") or stop >= 0:
-                at = len(page) if stop < 0 else (page.find(">", stop) + 1 or len(page))
+        if name in RAW_TAGS or name in HIDDEN_TAGS:
+            at = _raw_end(page, name, at) if name in RAW_TAGS else ends.get(at, at)
             add(" ")
             continue
         if name == "br":
@@ -131,6 +130,59 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
+def _innermost(stack: list[tuple], names, stops) -> int:
+    """Place of the innermost open element of ``names``, or -1 if there is none or one of ``stops`` is inside it."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] in names:
+            return k
+        if stack[k][0] in stops:
+            return -1
+    return -1
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the text of an element of RAW_TAGS that begins at ``at`` ends, with its end tag.  An unclosed title is
+    only its tag."""
+    stop = _find(page, f"</{name}", at)
+    if stop < 0:
+        return at if name == "title" else len(page)
+    return page.find(">", stop) + 1 or len(page)
+
+
+def _hidden_ends(page: str) -> dict[int, int]:
+    """{end of the start tag: end of the end tag} of the elements of HIDDEN_TAGS that are closed inside their parent."""
+    ends: dict[int, int] = {}
+    stack: list[tuple] = []
+    at = 0 if _HIDDEN.search(page) else len(page)
+    while (m := _TAG.search(page, at)) is not None:
+        at = m.end()
+        if m["skip"] is not None:
+            continue
+        name = m["name"].lower()
+        if m["end"]:
+            k = _innermost(stack, {name}, _HIDDEN_SCOPE if name in HIDDEN_TAGS else () if name in BLOCK_TAGS else BLOCK_TAGS)
+            if k >= 0:
+                if name in HIDDEN_TAGS:
+                    ends[stack[k][1]] = at
+                del stack[k:]
+            continue
+        if name in RAW_TAGS:
+            at = _raw_end(page, name, at)
+            continue
+        if name in HIDDEN_TAGS:
+            if name != "svg" or not m["attrs"].endswith("/"):
+                stack.append((name, at))
+            continue
+        if name in BLOCK_TAGS:
+            for names, stops in ((ENDS.get(name) or ((), ())), ({"p"}, _P_SCOPE)):
+                k = _innermost(stack, names, {*stops, *HIDDEN_TAGS})
+                if k >= 0:
+                    del stack[k:]
+        if name not in VOID_TAGS:
+            stack.append((name, at))
+    return ends
+
+
 def _find(page: str, closing: str, at: int) -> int:
     """First place of ``closing`` in either case from ``at`` on, or -1."""
     m = re.compile(re.escape(closing), re.IGNORECASE).search(page, at)

@@ -30,6 +30,22 @@ def test_blocks():
     assert texts('<p title="' + "x" * 10_000 + "<p>y") == ["y"]
 
 
+def test_hidden_elements_end_with_their_parent():
+    article = "<article><h1>t</h1><p>x</p></article>"
+    for name in ("svg", "object", "video", "audio", "canvas", "template", "select", "button"):
+        more = f"<p>y</p><{name}>no</{name}><p>z</p>"
+        for start in (f"<{name} a='b'/>", f"<{name} a=b />", f"<{name}>", f"<{name.upper()} a=b>"):
+            assert texts(f"<body><div>{start}</div>{article}{more}</body>") == ["t", "x", "y", "z"]
+            assert texts(f"<body>{start}{article}{more}") == ["t", "x", "y", "z"]
+            assert texts(f"<body><article><p>{start}a<p>x</article>{more}</body>") == ["a", "x", "y", "z"]
+        assert texts(f"<p>a<{name}>no<{name}>no<p>no</{name}>no<ul><li>no</ul></{name}>b</p>{article}") == ["a b", "t", "x"]
+        assert texts(f"<{name}>no<p>no<li>no</{name.upper()} >b") == ["b"]
+        assert texts(f"<{name}><div>a</div><script></{name}></script></div><b>c</b>") == ["a", "c"]
+        assert len(texts(f"<{name}><p>w</p>" * 20_000)) == 20_000
+    assert texts("<object data=/a/>no</object><svg a=b/>c</svg>") == ["c"]
+    assert texts("<svg><path d='M0'/><svg/><title>no</title><g>no</g></svg><p>x") == ["x"]
+
+
 def test_labeller_on_held_out_pages_and_tables(spark, sf_dir):
     net = html_extract.train()
     data = html_extract.labelled_pages(150, seed=1234)
