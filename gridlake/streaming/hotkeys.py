@@ -112,7 +112,8 @@ def hot_key_stream(stream: DataFrame, key: Sequence[str], ts: str, tiebreak: str
                    hot_ttl_seconds: int = HOT_TTL_SECONDS, promote_after: int = PROMOTE_AFTER,
                    watermark: str = "10 minutes") -> DataFrame:
     """T3/T4 streaming form: ``applyInPandasWithState`` keeps (count, ttl, last access, totals)
-    per key; rows later than the watermark are dropped (T4).  A key expires by the gap to its next access, as in
+    per key; rows later than the watermark are dropped (T4): Spark does so only for an event-time timeout, of which
+    none is ever set, so that no state is removed.  A key expires by the gap to its next access, as in
     the batch form; its totals go on, so its six numbers stay in the state.  Emits running totals per key per
     micro-batch.  Within a micro-batch a key's rows are processed in (ts, tiebreak) order."""
     key = list(key)
@@ -124,4 +125,4 @@ def hot_key_stream(stream: DataFrame, key: Sequence[str], ts: str, tiebreak: str
 
     fn = _stream_state_fn(key, ttl_seconds * 1_000_000, hot_ttl_seconds * 1_000_000, promote_after)
     return (s.select(*key, "_ts", "_us", "_tb").groupBy(*key)
-            .applyInPandasWithState(fn, out, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(fn, out, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))

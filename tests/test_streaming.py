@@ -82,6 +82,29 @@ def test_hot_key_stream_matches_batch(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_hot_key_stream_drops_late_rows_and_keeps_totals(spark, tmp_path):
+    src = tmp_path / "late_src"
+    src.mkdir()
+    stream = spark.readStream.schema("k string, ts timestamp, id long").json(str(src))
+    out = hotkeys.hot_key_stream(stream, ["k"], "ts", "id", 300, 600, 3, watermark="10 minutes")
+    q = out.writeStream.format("memory").queryName("late_stream").outputMode("update").start()
+    at = "2024-01-01T{}Z".format
+    batches = [[("a", at("10:00:00"), 1), ("b", at("10:00:00"), 2)], [("a", at("12:00:00"), 3)],
+               # a's first row is behind the watermark of 11:50, its second is not; all rows of c are behind it
+               [("a", at("11:00:00"), 4), ("a", at("11:55:00"), 5), ("c", at("11:49:59"), 6), ("b", at("12:00:00"), 7)]]
+    try:
+        for n, rows in enumerate(batches):
+            (tmp_path / f"b{n}").write_text("\n".join(json.dumps(dict(zip(("k", "ts", "id"), r, strict=True))) for r in rows))
+            shutil.move(tmp_path / f"b{n}", src / f"b{n}.json")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    last = {}
+    for r in spark.table("late_stream").collect():
+        last[r["k"]] = max(last.get(r["k"], (0, 0, 0)), (r["accesses"], r["hits"], r["misses"]))
+    assert last == {"a": (3, 1, 2), "b": (2, 0, 2)}
+
+
 def test_session_stream_matches_batch(spark, sf_dir, tmp_path):
     ev = load(spark, sf_dir, "events")
     stream = spark.readStream.schema(ev.schema).parquet(_events_dir(sf_dir, tmp_path))
