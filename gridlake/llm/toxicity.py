@@ -142,19 +142,45 @@ def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def calibrate(model: Model, clean: list[list[str]], evidence_of: list[tuple[list[str], int]]) -> None:
-    """Sets lambda and K from clean texts, and the curve from labelled ones."""
-    values, times = np.unique(np.round([x for ws in clean for x in model.scores(ws)] or [-DRIFT], 2), return_counts=True)
+def calibrate(model: Model, held: DataFrame) -> None:
+    """Sets lambda and K from the clean rows of ``held`` (toxic, text), and the curve from all.  Texts stay in the
+    tasks: the driver gets how often each score of a word or a segment, rounded to 0.01, occurs, and two numbers a row."""
+    spark = held.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+
+    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
+        times: dict[tuple[str, float], int] = {}
+        for text in batch["text"].to_pylist():
+            scores = sent.value.scores(words_of(text))
+            for kind, own in (("word", scores), ("segment", [s for _, _, s in segments(scores)])):
+                for key in zip([kind] * len(own), np.round(own, 2).tolist(), strict=True):
+                    times[key] = times.get(key, 0) + 1
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in times], pa.string()), pa.array([v for _, v in times], pa.float64()),
+                                           pa.array(list(times.values()), pa.int64())], ["kind", "value", "n"])
+
+    found = (held.where("toxic = 0").mapInArrow(sliced(tally), "kind string, value double, n long").groupBy("kind", "value")
+             .agg(F.sum("n").alias("n")).orderBy("kind", "value").collect())
+    values, times, scores, often = (np.array([r[c] for r in found if r["kind"] == kind], float)
+                                    for kind in ("word", "segment") for c in ("value", "n"))
+    if not len(values):
+        values, times = np.array([-DRIFT]), np.array([1.0])
     model.lam = _lambda(values, times / times.sum())
-    scores = np.array([s for ws in clean for _, _, s in segments(model.scores(ws))])
-    m = max(1, sum(map(len, clean)))
-    if len(scores) >= 20:
-        least = np.quantile(scores, 0.5)
-        model.k = float((scores >= least).sum() * np.exp(model.lam * least) / m)
+    m = max(1.0, times.sum())
+    if often.sum() >= 20:
+        middle = int(np.searchsorted(often.cumsum(), often.sum() / 2))
+        model.k = float(often[middle:].sum() * np.exp(model.lam * scores[middle]) / m)
     else:
-        model.k = max(1, len(scores)) / m
-    x = np.array([model.evidence(ws) for ws, _ in evidence_of])
-    y = np.array([t for _, t in evidence_of], float)
+        model.k = float(max(1, often.sum()) / m)
+    sent = spark.sparkContext.broadcast(model)
+
+    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [sent.value.evidence(words_of(t)) for t in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["toxic"], pa.array(x, pa.float64())], ["toxic", "evidence"])
+
+    pairs = sorted((r["toxic"], r["evidence"]) for r in held.mapInArrow(sliced(weigh), "toxic int, evidence double").collect())
+    if len({t for t, _ in pairs}) < 2:
+        pairs += [(0, 0.0), (1, 0.0)]
+    y, x = (np.array(v, float) for v in zip(*pairs, strict=True))
     design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(50):  # Newton steps with a slight pull of the slope to 0
         p = 1 / (1 + np.exp(-design @ beta))
@@ -202,12 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                           .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")), "toxicity_counts")
     odds = write_table(log_odds(counted, toxic, toxic + clean), "toxicity_odds")
     model = Model({r["key"]: r["odds"] for r in _widest(odds, max_entries)})
-    held = (rows.where("part = 4").orderBy(F.xxhash64("text"), "toxic").limit(4_000).collect())
-    texts = [(words_of(r["text"]), r["toxic"]) for r in held]
-    if len({t for _, t in texts}) < 2:
-        texts += [([], 0), (["*"], 1)]
-    calibrate(model, [w for w, t in texts if not t], texts)
-    model._known.clear()
+    calibrate(model, rows.where("part = 4").select("toxic", "text"))
     return model
 
 

@@ -202,6 +202,21 @@ def test_toxicity_keeps_keys_of_few_toxic_documents(spark):
     assert len(few) == 5 and min(gain[k] for k in few) >= max(gain[k] for k in want if k not in few) - 1e-9
 
 
+def test_toxicity_calibrates_on_all_rows(spark):
+    model = toxicity.Model({"bad": 3.0, "fine": -1.0})
+    texts = ["fine bad bad fine", "fine fine bad", "", None] * 1200 + ["fine bad dull bad dull bad"] * 700
+    held = spark.createDataFrame([(int(k >= 4800), t) for k, t in enumerate(texts)], "toxic int, text string").repartition(5)
+    toxicity.calibrate(model, held)
+    values = [s for t in texts[:4800] for s in model.scores(toxicity.words_of(t))]
+    tops = [s for t in texts[:4800] for _, _, s in toxicity.segments(model.scores(toxicity.words_of(t)))]
+    assert abs(sum(np.exp(model.lam * v) for v in values) / len(values) - 1) < 1e-6
+    least = np.quantile(tops, 0.5)
+    assert abs(model.k - sum(s >= least for s in tops) * np.exp(model.lam * least) / len(values)) < 1e-9
+    y = np.array([k >= 4800 for k in range(len(texts))])
+    p = np.array([model.score(model.evidence(toxicity.words_of(t))) for t in texts])
+    assert abs((p - y).sum()) < 0.1  # the curve's intercept is fitted on every row
+
+
 def test_toxicity_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 2), (None, "", 3), (2, "a", 4), (2, "a", 4)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
