@@ -2,8 +2,8 @@
 
 Base patterns find assignments of long values, access keys and long runs of hexadecimal digits.  Beyond them,
 two first-order character Markov models, one of random strings and one of ordinary identifiers, are compared by
-the log-likelihood ratio of every other long token; a token that looks random enough is a span of kind
-``random``.  The models and the threshold are trained from labelled samples: what the base patterns find in a
+the log-likelihood ratio of every other long token, and of its parts between equals signs and slashes; what looks
+random enough is a span of kind ``random``, which may hold a shorter access key or run of digits.  The models and the threshold are trained from labelled samples: what the base patterns find in a
 bounded sample of documents (with seeded random strings, so that no alphabet is missed) against the ordinary
 words of the same sample and the usual words of program names, alone and joined to identifiers; part of the
 tokens is held out for the threshold.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Tokens that the models judge: long runs of the letters of keys, not part of a longer word.
-TOKEN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{16,}(?![\w+/=-])")
+#: Tokens that the models judge: long whole runs of the letters of keys, whatever other letters stand beside them.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Documents that the models may be trained on, and ordinary tokens taken from them.
 TRAIN_DOCS, TRAIN_TOKENS = 4_000, 200_000
@@ -172,18 +173,53 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_T
     return fit_markov([r["token"] for r in found if r["random"]], [r["token"] for r in found if not r["random"]])
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The places that spans in order cover, without overlaps."""
+    out: list[list[int]] = []
+    for a, b, _ in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _outside(a: int, b: int, cover: list[list[int]]) -> list[tuple[int, int]]:
+    """The parts of a place that ``cover`` leaves."""
+    out = []
+    k = max(0, bisect_right(cover, [a]) - 1)
+    while k < len(cover) and cover[k][0] < b:
+        if cover[k][1] > a:
+            if cover[k][0] > a:
+                out.append((a, cover[k][0]))
+            a = cover[k][1]
+        k += 1
+    return [*out, (a, b)] if a < b else out
+
+
+def _random_parts(text: str, a: int, b: int, cover: list[list[int]], model: Markov) -> list[tuple[int, int, int]]:
+    """The place itself if it looks random, also without its base spans; or else its parts that do."""
+    rest = _outside(a, b, cover) if b - a >= 16 else []
+    if not rest:
+        return []
+    if model.ratio(text[a:b]) > model.threshold and (rest == [(a, b)] or sum(
+            (model.ratio(text[x:y]) - model.threshold) * (y - x) for x, y in rest) > 0):
+        return [(a, b, 3)]
+    for sign in "=/":
+        if sign in text[a:b]:
+            parts = [(a + m.start(), a + m.end()) for m in re.finditer(f"[^{sign}]+", text[a:b])]
+            return [s for x, y in parts for s in _random_parts(text, x, y, cover, model)]
+    return []
+
+
 def all_spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
-    """Base spans and, where no base span is, random tokens."""
+    """Base spans and random tokens or parts of tokens, which reach into no assignment but may hold other base spans."""
     spans = base_spans(text)
-    out, k = list(spans), 0
-    furthest = 0
+    cover, assigned = _merged(spans), _merged([s for s in spans if s[2] == 0])
+    out = list(spans)
     for m in TOKEN.finditer(text):
-        while k < len(spans) and spans[k][0] < m.end():
-            furthest = max(furthest, spans[k][1])
-            k += 1
-        if furthest > m.start() or model.ratio(m[0]) <= model.threshold:
-            continue
-        out.append((m.start(), m.end(), 3))
+        for a, b in _outside(m.start(), m.end(), assigned):
+            out += _random_parts(text, a, b, cover, model)
     return sorted(out)
 
 

@@ -262,6 +262,19 @@ def test_secret_models_separate_held_out_samples(spark, sf_dir):
     assert (a, b, k) == (4, 24, 3)
 
 
+def test_random_parts_of_tokens():
+    model = secret_scan.fit_markov([], "house garden window summer letter bridge mountain river".split())
+    key, of = "xK9fQ2zLp0Wv7TyB3nRd", lambda t: [(t[a:b], k) for a, b, k in secret_scan.all_spans(t, model)]
+    mixed = "xK9fQ2zLp0Wvdeadbeef01234567TyB3nRdQ8sW"
+    assert (mixed, 3) in of(f"a {mixed} b") and ("deadbeef01234567", 2) in of(mixed)
+    assert secret_scan.redacted(mixed, secret_scan.all_spans(mixed, model)) == "[RANDOM]"
+    assert of("window_garden-deadbeef01234567") == [("deadbeef01234567", 2)]
+    assert of(f"密钥{key}。") == of(f"é{key}é") == [(key, 3)]
+    assert of(f"/home/summer/garden/window/letter_bridge/{key}/mountain/river/house/summer_letter") == [(key, 3)]
+    assert of(f"GARDEN_WINDOW_CONNECTION_TIMEOUT_SECONDS_DEFAULT_VALUE_OF_SERVER_LETTERS={key}") == [(key, 3)]
+    assert of("/home/summer/garden/window/letter_bridge=mountain_river") == of("") == []
+
+
 def test_secret_redaction_and_odd_rows(spark):
     text = 'é token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" end'
     df = spark.createDataFrame([(1, text, 3), (None, None, None), (2, "", 0), (1, text, 3)], "doc_id long, text string, n_chars long")
