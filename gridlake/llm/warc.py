@@ -121,6 +121,10 @@ def write_archives(rows: DataFrame, folder: str, max_bytes: int = 256 << 20, lev
     return write_table(rows.mapInArrow(write, "archive string, records long"), "archives")
 
 
+#: Longest record head, about, of an archive from elsewhere.
+MOST_HEAD = 1 << 20
+
+
 class _Inflated:
     """The bytes of a gzip file of one or more members, read forward in blocks."""
 
@@ -148,12 +152,12 @@ class _Inflated:
                 self.ended = True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        """Bytes up to and with ``mark``; None at the end of the file."""
+    def until(self, mark: bytes, most: int | None = MOST_HEAD) -> bytes | None:
+        """Bytes up to and with ``mark``, at most about ``most`` (None: any number); None at the end of the file."""
         seen = 0
         while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
-            if seen > most:
+            if most is not None and seen > most:
                 raise ValueError("a record head is too long")
             if not self._more():
                 if self.held.strip(b"\r\n"):
@@ -183,11 +187,12 @@ def fields_of(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, level: int = 6, most_head: int | None = MOST_HEAD) -> DataFrame:
     """Rewrites each file of the column ``archive`` with one gzip member per record and returns the offset index,
     a row per record.  The same rows are written as JSON lines beside each new file (``.idx``).  A gzip stream
     cannot be entered in the middle, so a file is one task's work; a file that cannot be read to its end keeps
-    the records before the fault and gets an index row that holds the error."""
+    the records before the fault and gets an index row that holds the error.  So does one with a record head of more
+    than about ``most_head`` bytes (None: no limit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_path(folder)
@@ -200,7 +205,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     try:
                         own_fs, own = open_path(path)
                         with own_fs.open_input_stream(own, compression=None) as source:
-                            _rewrite(_Inflated(source), out, level, f"{folder}/{name}", rows)
+                            _rewrite(_Inflated(source), out, level, f"{folder}/{name}", rows, most_head)
                     except (ValueError, OSError, zlib.error) as e:
                         rows.append((f"{folder}/{name}", None, None, None, None, None, None, f"{path}: {e}"))
                 names = [c.split()[0] for c in INDEX.split(", ")]
@@ -213,10 +218,10 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     return write_table(archives.select("archive").repartition("archive").mapInArrow(run, INDEX), "warc_index")
 
 
-def _rewrite(stream: _Inflated, out, level: int, archive: str, rows: list) -> None:
+def _rewrite(stream: _Inflated, out, level: int, archive: str, rows: list, most_head: int | None) -> None:
     offset = 0
     while True:
-        head = stream.until(b"\r\n\r\n")
+        head = stream.until(b"\r\n\r\n", most_head)
         if head is None:
             return
         head = head.lstrip(b"\r\n")
@@ -282,9 +287,9 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes all pages as whole-file archives below ``folder``, normalises them, and returns the index.  A fault
-    in one of the own archives is an error."""
+    in one of the own archives is an error; their heads may be of any length, as the urls are."""
     archives = write_archives(classify(pages), f"{folder}/whole")
-    index = normalise(archives, f"{folder}/members")
+    index = normalise(archives, f"{folder}/members", most_head=None)
     fault = index.where("error is not null").select("error").head(1)
     if fault:
         raise OSError(fault[0]["error"])

@@ -103,6 +103,13 @@ def test_warc_round_trip(spark, tmp_path):
             assert gzip.decompress(f.read(s["length"])).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_of_very_long_urls(spark, tmp_path):
+    rows = [(1, "http://a/" + "% é" * 700_000, "x"), (2, "u", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_records(warc.archive_pages(df, f"{tmp_path}/long")).collect()
+    assert sorted((r["page_id"], r["url"], r["payload"].decode()) for r in got) == rows
+
+
 def test_warc_of_an_empty_table_and_of_damaged_files(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.archive_pages(empty, f"{tmp_path}/none")).collect() == []
