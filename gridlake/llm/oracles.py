@@ -60,8 +60,94 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_WORDS = ("adult bet bets betting bingo cams casino casinos cialis escort escorts hentai jackpot lottery nude payday pills poker "
+          "porn roulette sex slots viagra warez xxx").split()
+
+URL_FILTER = rf"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT row_number() OVER () AS k, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+  SELECT k, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY k ORDER BY length(rule_host) + length(rule_path) DESC) AS place
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict
+  WHEN regexp_matches(host, '(^|[^0-9a-z])({"|".join(_WORDS)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (k)
+"""
+
+LEXICAL_SEARCH = rf"""
+WITH doc_words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x80-\x{{10FFFF}}]+')) AS term
+  FROM documents
+), item_terms AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\x80-\x{{10FFFF}}]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), lengths AS (SELECT doc_id, count(*) AS n FROM doc_words GROUP BY doc_id
+), totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), entries AS (
+  SELECT term, doc_id, count(*) AS tf FROM doc_words WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM entries GROUP BY term), totals
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM item_terms JOIN entries USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(text, '[^ \t\n\v\f\r]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+), label AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails
+  FROM words LEFT JOIN label USING (doc_id)
+), masks AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL
+), letter(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) AS r(step)
+), counts AS (
+  SELECT part, filter_order, step, f,
+    CAST(sum(CASE WHEN translate(fails, before || f, '') = fails THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counts
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": WARC,
     "op6_chat_formatting": CHAT_FORMAT,
     "op8_benchmark_decontamination": DECONTAMINATION,
+    "op11_url_filter": URL_FILTER,
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_filter_audit": FILTER_AUDIT,
 }

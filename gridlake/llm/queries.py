@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import (chat_format, decontaminate, html_extract, importance, jaccard_join, packing, quality_rules,
-                          secret_scan, toxicity, warc)
+from gridlake.llm import (chat_format, decontaminate, filter_audit, html_extract, importance, jaccard_join, lexical_search, packing,
+                          quality_rules, secret_scan, toxicity, url_filter, warc)
 from gridlake.llm.oracles import ORACLES  # noqa: F401
 from gridlake.session import checkpoint_dir
 
@@ -94,6 +94,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page, by the fixed rules and the words of its host."""
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    words = spark.createDataFrame([(w,) for w in url_filter.HOST_WORDS], "word string")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules, words)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 10 best documents of every benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step and the counts of every step of every order of the five filters, per source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_html_extraction, op2_ngram_jaccard_join, op3_warc, op4_quality_rules, op5_importance_resampling,
-    op6_chat_formatting, op7_toxicity, op8_benchmark_decontamination, op9_secret_scans, op10_best_fit_packing)}
+    op6_chat_formatting, op7_toxicity, op8_benchmark_decontamination, op9_secret_scans, op10_best_fit_packing,
+    op11_url_filter, op12_lexical_search, op13_filter_audit)}
