@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import idiv
 from gridlake.functions.values import tokenize
+from gridlake.operators.spatial import write_spatial
 from gridlake.schema import CELLS_SCHEMA, LOCATION
 
 
@@ -65,27 +67,36 @@ def index_stats(cells: DataFrame, postings: DataFrame, numeric: DataFrame,
 
 
 def write_index(cells: DataFrame, path: str, mode: str = "overwrite", files_per_table: int | None = None) -> None:
-    """K5: persist ``cells``, ``postings`` and ``numeric_index`` as Parquet under ``path``.
+    """K5: persist ``cells``, ``postings``, ``numeric_index``, ``spatial`` and ``shapes`` as Parquet under ``path``.
 
     Each table is range-partitioned and sorted on its lookup key so Parquet min/max statistics
     prune row groups for equality and range predicates; ``value`` and ``token`` also get a
     Parquet Bloom filter (the reference's Bloom pre-check).  The range keys end with the cell
     location, so a token (or number) holding a third of all entries is still cut over many
-    partitions.  ``cells`` is written first; the other two tables are built from the written one, so the
-    input plan (say, a parse) runs once (and once more to sample the ranges).
+    partitions.  ``cells`` is written first; the other tables are built from the written one, so the
+    input plan (say, a parse) runs once (and once more to sample the ranges); they are independent, so their
+    jobs are submitted side by side and fill each other's last tasks.
     """
     spark = cells.sparkSession
     n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (cells.repartitionByRange(n, "workbook", "sheet", "row", "col").sortWithinPartitions("workbook", "sheet", "row", "col")
      .write.mode(mode).option("parquet.bloom.filter.enabled#value", "true").parquet(f"{path}/cells"))
     stored = spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")
-    (build_postings(stored).repartitionByRange(n, "token", *LOCATION).sortWithinPartitions("token", *LOCATION)
-     .write.mode(mode).option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings"))
-    (build_numeric_index(stored).repartitionByRange(n, "num", "workbook", "sheet", "row", "col")
-     .sortWithinPartitions("num", "workbook", "sheet", "row", "col")
-     .write.mode(mode).parquet(f"{path}/numeric_index"))
+
+    def postings():
+        (build_postings(stored).repartitionByRange(n, "token", *LOCATION).sortWithinPartitions("token", *LOCATION)
+         .write.mode(mode).option("parquet.bloom.filter.enabled#token", "true").parquet(f"{path}/postings"))
+
+    def numbers():
+        (build_numeric_index(stored).repartitionByRange(n, "num", "workbook", "sheet", "row", "col")
+         .sortWithinPartitions("num", "workbook", "sheet", "row", "col")
+         .write.mode(mode).parquet(f"{path}/numeric_index"))
+
+    with ThreadPoolExecutor(3) as pool:
+        for done in [pool.submit(f) for f in (postings, lambda: write_spatial(stored, path, mode, n), numbers)]:
+            done.result()
 
 
 def read_index(spark, path: str) -> dict[str, DataFrame]:
-    """Open the three tables written by :func:`write_index`."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("cells", "postings", "numeric_index")}
+    """Open the tables written by :func:`write_index`."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("cells", "postings", "numeric_index", "spatial", "shapes")}
