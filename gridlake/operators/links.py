@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import ref_col, ref_row
-from gridlake.operators.sequence import null_safe_join
+from gridlake.operators.sequence import null_safe_join, scan_sum
 from gridlake.session import checkpoint_dir, materialize
 
 # A reference: optional sheet (quoted, with '' for a quote in it, or bare; any letters; a workbook in brackets before
@@ -56,7 +56,7 @@ def similar_sets(items: DataFrame, set_col: str, item_col: str, threshold: float
     """Pairs of sets (a < b) with exact Jaccard similarity >= ``threshold``.
 
     Exact prefix filtering instead of all pairs: items are ordered globally by frequency
-    (rarest first); a pair with Jaccard >= t must share an item among the first
+    (its power of two, rarest first, then by hash); a pair with Jaccard >= t must share an item among the first
     ``|s| - ceil(t·|s|) + 1`` items of each set, so only prefix items are joined (a frequent
     item sits at the end of the order and rarely in a prefix).  Candidates pass a size filter
     and are then verified with an exact intersection count.
@@ -67,10 +67,12 @@ def similar_sets(items: DataFrame, set_col: str, item_col: str, threshold: float
     s = materialize(items.select(F.col(set_col).alias("s"), F.col(item_col).alias("t")).distinct())
     sizes = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     freq = s.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s").orderBy("f", "t")
-    ranked = s.join(freq, "t").join(sizes, "s").withColumn("pos", F.row_number().over(w))
+    # places in a set: by how often an item occurs (its power of two), then by hash; a running count over buckets of
+    # that order, so that a very large set is not one task
+    high = F.floor(F.log2("f")).cast("bigint")
+    ordered = s.join(freq, "t").join(sizes, "s").withColumn("_order", F.struct(high.alias("f"), F.xxhash64("t").alias("h"), F.col("t")))
+    ordered = ordered.withColumn("_bucket", high * 64 + F.shiftright("_order.h", 58) + 32)
+    ranked = scan_sum(ordered, ["s"], ["_order"], "_bucket", {"pos": (F.lit(1), True)})
     prefix_len = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     pre = ranked.filter(F.col("pos") <= prefix_len).select("s", "t", "n")
     # size bands of ratio 1/t: a pair can only reach t when |b| is within [t|a|, |a|/t], i.e. in

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import cell_ref, idiv
 from gridlake.functions.values import NAMING_PATTERNS, name_prefix, naming_flags
+from gridlake.operators.sequence import null_safe_join
 
 # Fixed values of the reference's estimates.
 BYTES_PER_CELL = 50
@@ -228,3 +229,78 @@ def key_points(cells: DataFrame, n: int = 5) -> DataFrame:
     first = F.transform(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_n"), F.lit(n).cast("bigint"))),
                         lambda r: point(F.concat(F.lit("A"), r.cast("string")), "first_col"))
     return agg.select(*SHEET, F.inline(F.concat(corner, header, first)))
+
+
+#: The lattice of value masks, finest first: every character by its kind, runs of a kind, letters as one kind, letters
+#: and digits as one kind, anything.  All levels are functions of the finest, so its counts are merged upwards.
+MASK_LEVELS = 5
+
+
+def value_mask(value, level: int = 0) -> Column:
+    """A value's format: digits 9, capital letters A, other letters a (any script), all else as it is; level 1
+    writes a run of one kind once with ``+``; 2 has L for letters; 3 has X for letters and digits; 4 is ``*``."""
+    if level >= 4:
+        return F.lit("*")
+    m = F.col(value) if isinstance(value, str) else value
+    for pattern, kind in ((r"\p{Lu}", "A"), (r"[\p{L}&&[^A]]", "a"), (r"\p{Nd}", "9")):
+        m = F.regexp_replace(m, pattern, kind)
+    return _coarser(m, level)
+
+
+def _coarser(mask: Column, level: int) -> Column:
+    """A level-0 mask at a higher level."""
+    if level >= 4:
+        return F.lit("*")
+    if level == 2:
+        mask = F.translate(mask, "Aa", "LL")
+    if level == 3:
+        mask = F.translate(mask, "Aa9", "XXX")
+    return mask if level == 0 else F.regexp_replace(mask, "([Aa9LX])\\1*", "$1+")
+
+
+def column_masks(cells: DataFrame, k: int = 5) -> DataFrame:
+    """The formats of each column: workbook, sheet, col, level, mask, n, share, at the finest level of the
+    lattice at which at most ``k`` masks cover the column.  Two partial aggregates: values to level-0 masks with
+    counts, those to the masks of all levels; no list of masks is gathered."""
+    base = (cells.filter(F.col("value").isNotNull()).groupBy("workbook", "sheet", "col", value_mask("value").alias("m"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), _coarser(F.col("m"), i).alias("mask")) for i in range(MASK_LEVELS)])
+    counts = (base.select("workbook", "sheet", "col", "n", F.inline(levels)).groupBy("workbook", "sheet", "col", "level", "mask")
+              .agg(F.sum("n").alias("n")))
+    sizes = counts.groupBy("workbook", "sheet", "col", "level").agg(F.count(F.lit(1)).alias("masks"), F.sum("n").alias("total"))
+    best = (sizes.filter(F.col("masks") <= k).groupBy("workbook", "sheet", "col")
+            .agg(F.min(F.struct("level", "total")).alias("best")).select("workbook", "sheet", "col", "best.*"))
+    return (null_safe_join(counts, best, ["workbook", "sheet", "col", "level"])
+            .select("workbook", "sheet", "col", "level", "mask", "n", (F.col("n") / F.col("total")).alias("share")))
+
+
+def column_sketches(cells: DataFrame) -> DataFrame:
+    """One mergeable row per (workbook, sheet, col) of the numbers: exact n, lo, hi, sum, and mean and m2 (the
+    sum of squared distances from it), and two sketches: quantiles (KLL) and distinct values (HLL)."""
+    return (cells.filter(F.col("num").isNotNull()).groupBy("workbook", "sheet", "col")
+            .agg(F.count("num").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), F.avg("num").alias("mean"),
+                 (F.var_pop("num") * F.count("num")).alias("m2"), F.kll_sketch_agg_double("num").alias("quantiles"),
+                 F.hll_sketch_agg(F.col("num").cast("string")).alias("distinct")))
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """The sketches of several sets of cells (a stored table and a micro-batch, say) as those of all of them, without
+    reading a cell again.  The means and squares are merged about the common mean, so large values lose nothing."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    key = ["workbook", "sheet", "col"]
+    total = rows.groupBy(*key).agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    moved = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))
+    return (null_safe_join(rows, total, key).groupBy(*key)
+            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("_mean").alias("mean"), F.sum(moved).alias("m2"),
+                 F.kll_merge_agg_double("quantiles").alias("quantiles"), F.hll_union_agg("distinct").alias("distinct")))
+
+
+def sketch_stats(sketches: DataFrame, shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """A14 from stored sketches: exact n, lo, hi, mean, sd; approximate distinct values and quantiles (an array, one
+    per share)."""
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return sketches.select("workbook", "sheet", "col", "n", "lo", "hi", "mean", sd.alias("sd"),
+                           F.hll_sketch_estimate("distinct").alias("approx_distinct"),
+                           F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(float(x))) for x in shares]).alias("quantiles"))

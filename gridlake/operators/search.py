@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,24 +193,28 @@ def range_count(ranges: DataFrame, values: DataFrame, range_id: Sequence[str], l
 
     Linear in ranges plus distinct values, however many pairs there are: values and range ends are put in one
     order, a bucketed running sum counts the values before each end, and a range's number is the difference of
-    its ends' counts.  Values are first reduced to (value, count).
+    its ends' counts.  Values are first reduced to (value, count).  Values and ends are compared in their common
+    type (long ids and decimals exactly); a double, which keeps their order, only chooses the bucket.
     """
     range_id = list(range_id)
-    counted = (values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x"))
+    kind = (values.select(F.col(value).alias("x")).unionByName(ranges.select(F.col(lo).alias("x")))
+            .unionByName(ranges.select(F.col(hi).alias("x"))).schema["x"].dataType)
+    counted = (values.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast(kind).alias("_x"))
                .agg(F.count(F.lit(1)).alias("_k")))
     ok = ranges.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
     # an end counts the values before it (place 0) or up to it (place 2); values have place 1
-    ends = F.array(F.struct(F.col(lo).cast("double").alias("x"), F.lit(0 if lo_inclusive else 2).alias("o"), F.lit(-1).alias("s")),
-                   F.struct(F.col(hi).cast("double").alias("x"), F.lit(2 if hi_inclusive else 0).alias("o"), F.lit(1).alias("s")))
+    ends = F.array(F.struct(F.col(lo).cast(kind).alias("x"), F.lit(0 if lo_inclusive else 2).alias("o"), F.lit(-1).alias("s")),
+                   F.struct(F.col(hi).cast(kind).alias("x"), F.lit(2 if hi_inclusive else 0).alias("o"), F.lit(1).alias("s")))
     ids = F.struct(*[F.col(c) for c in range_id]).alias("_id")
     points = ok.select(ids, F.inline(ends)).select("_id", F.col("x").alias("_x"), F.col("o").alias("_o"), F.col("s").alias("_s"),
                                                    F.lit(0).cast("bigint").alias("_k"))
     line = points.unionByName(counted.select("_x", "_k", F.lit(1).alias("_o")), allowMissingColumns=True)
-    found = counted.agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0]
+    line = line.withColumn("_d", F.col("_x").cast("double"))
+    found = counted.agg(F.percentile_approx(F.col("_x").cast("double"), [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0]
     bounds = sorted(set(found or [0.0]))
     from pyspark.ml.feature import Bucketizer
 
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_x", outputCol="_bucket", handleInvalid="keep")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_d", outputCol="_bucket", handleInvalid="keep")
     line = scan_sum(cut.transform(line), [], ["_x", "_o"], "_bucket", {"_before": (F.col("_k"), False)})
     n = F.sum(F.col("_s") * F.col("_before")).cast("bigint")
     return (line.filter(F.col("_s").isNotNull()).groupBy("_id").agg(n.alias("n")).filter("n > 0")
@@ -267,6 +272,27 @@ def rect_join(rects: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", w:
             .drop("_level", "_tr", "_tc", "_salt"))
 
 
+def rects_join(left: DataFrame, right: DataFrame, on: Sequence[str], tile_w: int, tile_h: int) -> DataFrame:
+    """Pairs of overlapping rectangles (columns x, y, w, h of each, whole numbers) of equal ``on`` columns; the
+    right side's columns come as ``r_...``.
+
+    Each rectangle is dealt to the tiles it covers (choose a tile near the usual size) and meets only those of its
+    tiles.  A pair is given by one tile alone, that of the overlap's first corner, so nothing is made twice and
+    no distinct follows; a crowded place is many tiles, and AQE splits a crowded tile."""
+
+    def tiled(df: DataFrame) -> DataFrame:
+        side = lambda a, n, size: F.explode(F.sequence(F.floor(a / size), F.floor((a + n - 1) / size)))
+        return (df.filter((F.col("w") > 0) & (F.col("h") > 0)).withColumn("_tx", side(F.col("x"), F.col("w"), tile_w))
+                .withColumn("_ty", side(F.col("y"), F.col("h"), tile_h)))
+
+    a, b = tiled(left), tiled(right)
+    b = b.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col("_tx").alias("r__tx"), F.col("_ty").alias("r__ty"))
+    same = [F.col(c) == F.col(f"r_{c}") for c in [*on, "_tx", "_ty"]]
+    corner = ((F.floor(F.greatest("x", "r_x") / tile_w) == F.col("_tx")) & (F.floor(F.greatest("y", "r_y") / tile_h) == F.col("_ty")))
+    return (a.join(b, reduce(Column.__and__, same))
+            .filter(corner & rects_intersect("x", "y", "w", "h", "r_x", "r_y", "r_w", "r_h")).drop("_tx", "_ty", "r__tx", "r__ty"))
+
+
 # ---------------------------------------------------------------- sheets, caps, context
 
 def scan_sheets(cells: DataFrame, name_query: str, max_sheets: int = 10, max_rows: int = 1000) -> DataFrame:

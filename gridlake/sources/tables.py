@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,41 +10,29 @@ from pyspark.sql import functions as F
 from gridlake.functions.a1 import cell_ref
 from gridlake.functions.values import cell_kind, parse_number
 from gridlake.schema import CELL_COLUMNS
+from gridlake.session import write_table
 
 
-def number_rows(df: DataFrame, order_cols: Sequence[str], row_col: str = "row",
-                max_buckets: int = 8192, rows_per_bucket: int = 2_000) -> DataFrame:
+def number_rows(df: DataFrame, order_cols: Sequence[str], row_col: str = "row", partitions: int | None = None) -> DataFrame:
     """1-based row numbers in ``order_cols`` order without an un-partitioned window.
 
-    The first order column must be numeric; ``order_cols`` together must be unique; rows with a null key come
-    first.  Rows are cut at approximate quantiles of the first key into about ``count / rows_per_bucket`` (at
-    most ``max_buckets``) buckets, whatever the spacing of the keys; the bucket is a pure function of the row
-    and of the bounds, so a retried task recomputes the same bucket.  A bucket count table (at most
-    ``max_buckets + 2`` rows, so its broadcast has a fixed bound) gives each bucket its offset, and
-    ``row_number`` runs per bucket.  Only the row count and the bounds reach the driver.
+    ``order_cols`` together must be unique (equal rows are numbered in any order) and may be of any type with an
+    order; nulls come first.  Rows are range-partitioned by *all* order columns, so a first key that holds half of the
+    rows is spread by the others, sorted, and written to the shared folder with their partition and place in it: a lost
+    executor cannot move a row.  A row's number is its place plus the rows of the partitions before, from a table of one
+    count per partition (as many rows as ``partitions``, by default ``spark.sql.shuffle.partitions``, so its broadcast
+    has that bound).
     """
-    from pyspark.ml.feature import Bucketizer
-
-    k = order_cols[0]
-    n = df.agg(F.count(k)).first()[0]
-    buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
-    bounds: list[float] = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted({float(x) for x in df.agg(F.percentile_approx(F.col(k).cast("double"), shares, max(10_000, 4 * buckets))).first()[0]})
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf] if bounds else [-math.inf, 0.0, math.inf], inputCol="_key", outputCol="_bucket",
-                     handleInvalid="keep")
-    keyed = df.withColumn("_key", F.coalesce(F.col(k).cast("double"), F.lit(0.0)))
-    bucketed = cut.transform(keyed).withColumn(
-        "_bucket", F.when(F.col(k).isNull(), F.lit(-1)).otherwise(F.col("_bucket")).cast("bigint")).drop("_key")
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # counts has <= max_buckets + 2 rows: a single-partition running sum over it is bounded work.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    in_bucket = Window.partitionBy("_bucket").orderBy(*order_cols)
-    return (bucketed.join(F.broadcast(offsets), "_bucket")
-            .withColumn(row_col, (F.col("_offset") + F.row_number().over(in_bucket)).cast("bigint"))
-            .drop("_bucket", "_offset"))
+    cols = [F.col(c) for c in order_cols]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    # the id holds the partition above 33 bits of place
+    placed = write_table(ranged.sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id()), "rows")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (placed.join(F.broadcast(offsets), part == F.col("_part"))
+            .withColumn(row_col, (F.col("_offset") + place + 1).cast("bigint")).drop("_id", "_part", "_offset"))
 
 
 def decimal_text(c) -> Column:

@@ -37,7 +37,7 @@ def test_row_numbers_with_null_keys_and_uneven_keys(spark):
     rows = [(k, i) for i, k in enumerate(keys)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k long, i int")
-    got = [(r["k"], r["i"]) for r in number_rows(df, ["k", "i"], rows_per_bucket=50).orderBy("row").collect()]
+    got = [(r["k"], r["i"]) for r in number_rows(df, ["k", "i"], partitions=50).orderBy("row").collect()]
     assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     none = spark.createDataFrame([(None, 2), (None, 1)], "k long, i int")
     assert [(r["row"], r["i"]) for r in number_rows(none, ["k", "i"]).orderBy("row").collect()] == [(1, 1), (2, 2)]

@@ -18,7 +18,7 @@ def test_number_rows_sparse_keys(spark):
     rnd = random.Random(1)
     keys = rnd.sample(range(-10**9, 10**9), 500)
     df = spark.createDataFrame([(k, f"v{k}") for k in keys], "k long, v string")
-    got = {r["k"]: r["row"] for r in number_rows(df, ["k"], max_buckets=7).collect()}
+    got = {r["k"]: r["row"] for r in number_rows(df, ["k"], partitions=7).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
 
 
