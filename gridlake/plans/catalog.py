@@ -19,13 +19,15 @@ from gridlake.functions.values import is_text, parse_money
 from gridlake.functions.values import sanitise as sanitise_text
 from gridlake.operators import budget as bo
 from gridlake.operators import compare as cm
+from gridlake.operators import dependencies as dp
 from gridlake.operators import index as ix
 from gridlake.operators import links as lk
 from gridlake.operators import paging as pg
 from gridlake.operators import profile as pf
 from gridlake.operators import search as sr
+from gridlake.operators import spatial as sp
 from gridlake.operators import window as wn
-from gridlake.plans.grid import grid_cells, load
+from gridlake.plans.grid import formula_cells, grid_cells, load
 from gridlake.sinks import events as evs
 from gridlake.sinks import export as xp
 from gridlake.session import checkpoint_dir
@@ -632,20 +634,20 @@ def locations(spark, d):
 
 @query
 def rects_overlap(spark, d):
-    p = load(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size", (F.col("p_partkey") % 40).alias("y"))
-    q = p.select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("p_size").alias("x2"), F.col("y").alias("y2"))
-    pairs = p.join(q, ["p_brand", "p_type"]).filter("p_partkey < b")
-    return pairs.filter(sr.rects_intersect("p_size", "y", F.lit(5), F.lit(9), "x2", "y2", F.lit(5), F.lit(9))).select(
-        F.col("p_partkey").alias("a"), "b")
+    p = load(spark, d, "part").select("p_brand", "p_type", "p_partkey", F.col("p_size").alias("x"), (F.col("p_partkey") % 40).alias("y"),
+                                      F.lit(5).alias("w"), F.lit(9).alias("h"))
+    pairs = sr.rects_join(p, p, ["p_brand", "p_type"], tile_w=5, tile_h=9)
+    return pairs.filter("p_partkey < r_p_partkey").select(F.col("p_partkey").alias("a"), F.col("r_p_partkey").alias("b"))
 
 
 @query
 def dangling_links(spark, d):
-    """Lines 1 and 2 refer to a part's brand cell (blank for every third), line 3 to a sheet that is not there."""
-    li = load(spark, d, "lineitem").filter("l_linenumber <= 3")
+    """Every third line of an order refers to a sheet that is not there, the others to a part's brand cell (blank for
+    every third)."""
+    li = load(spark, d, "lineitem")
     parts = load(spark, d, "part").select(
         F.lit("tables").alias("workbook"), F.lit("Brands \u00e9t\u00e9").alias("sheet"), (F.col("p_partkey") + 1).alias("row"), F.lit(2).alias("col"))
-    f = (F.when(F.col("l_linenumber") < 3, F.concat(F.lit("'Brands \u00e9t\u00e9'!$B$"), F.col("l_partkey") + 1, F.lit('&"Gone!A1"')))
+    f = (F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("'Brands \u00e9t\u00e9'!$B$"), F.col("l_partkey") + 1, F.lit('&"Gone!A1"')))
          .otherwise(F.concat(F.lit("Gone!A1+[2]Other!B"), "l_partkey")))
     df = li.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("tables").alias("workbook"), F.lit("lineitem").alias("sheet"), f.alias("formula"))
     gone = lk.dangling_links(lk.formula_links(df), parts.filter((F.col("row") - 1) % 3 != 0))
@@ -660,3 +662,79 @@ def export_roundtrip(spark, d):
     back = xp.read_budgeted(spark, path, "doc_id BIGINT")
     whole = F.col("method") != "brotli-11-truncated"
     return back.select("doc_id", "codec", F.when(whole, F.sha2("payload", 256)).alias("checksum"))
+
+
+# ---------------------------------------------------------------- spatial index, dependencies, formats, sketches
+
+
+@query
+def spatial_rect(spark, d):
+    """Three rectangles (tall, wide, square) over the stored spatial index of all sheets."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/spatial-{uuid.uuid4().hex[:12]}"
+    sp.write_spatial(grid_cells(spark, d), path)
+    rects = {"tall": (1, 20, 1, 1 << 40), "wide": (0, 7, 100, 2), "square": (2, 10, 2, 30)}
+    found = [sp.search_rect_stored(spark, path, *r).select(F.lit(q).alias("q"), "sheet", "row", "col", "value") for q, r in rects.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def range_cycles(spark, d):
+    """Cells on cycles that run through ranges, each with the first cell of its cycle."""
+    c = dp.formula_cycles(formula_cells(spark, d))
+    return c.select("sheet", "row", "col", "cycle_sheet", "cycle_row", "cycle_col")
+
+
+@query
+def cell_readers(spark, d):
+    """Per cell, the formulas that read it, alone or within a range."""
+    cells = formula_cells(spark, d)
+    r = dp.readers(cells, dp.reference_blocks(lk.formula_links(dp.formula_cells(cells))))
+    return r.groupBy("sheet", "row", "col").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def hit_parts(spark, d):
+    """Headings, neighbours, own formulas and reading formulas of the size cells that hold 7."""
+    cells = formula_cells(spark, d)
+    hits = cells.filter((F.col("col") == 2) & (F.col("value") == "7"))
+    return dp.hit_parts(hits, cells).drop("workbook")
+
+
+@query
+def downstream_impact(spark, d):
+    """What a change of the size cells that hold 7 reaches, with depth."""
+    cells = formula_cells(spark, d)
+    found = dp.downstream(cells, cells.filter((F.col("col") == 2) & (F.col("value") == "7")))
+    return found.select("sheet", "row", "col", "depth")
+
+
+@query
+def rebuild_plan(spark, d):
+    """Per sheet, what that change reaches and whether the sheet is to be rebuilt."""
+    cells = formula_cells(spark, d)
+    found = dp.downstream(cells, cells.filter((F.col("col") == 2) & (F.col("value") == "7")), max_depth=2)
+    return dp.rebuild_plan(found, 250).drop("workbook")
+
+
+@query
+def column_masks(spark, d):
+    m = pf.column_masks(grid_cells(spark, d), k=4)
+    return m.select("sheet", "col", "level", "mask", "n", F.round("share", 6).alias("share"))
+
+
+@query
+def merged_stats(spark, d):
+    """Statistics of three parts of each sheet, merged from their sketches."""
+    cells = grid_cells(spark, d)
+    parts = [pf.column_sketches(cells.filter(F.col("row") % 3 == k)) for k in range(3)]
+    s = pf.sketch_stats(pf.merge_sketches(*parts))
+    return s.select("sheet", "col", "n", "lo", "hi", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@query
+def exact_range_counts(spark, d):
+    """Ranges of ids above 2**53, where neighbours share a double."""
+    far = lambda c, by=0: (F.col(c) + F.lit((1 << 53) + by)).alias(f"x{by}")
+    ranges = load(spark, d, "part").select("p_partkey", far("p_partkey"), far("p_partkey", 2))
+    orders = load(spark, d, "orders").select(far("o_custkey"))
+    return sr.range_count(ranges, orders, ["p_partkey"], "x0", "x2", "x0")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.session import write_table
-from gridlake.sources.tables import table_to_cells, to_decimal
+from gridlake.sources.tables import table_to_cells, to_decimal, with_cell_fields
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -74,3 +74,27 @@ def big_grid_cells(spark: SparkSession, sf_dir: str, workbook: str = "sales") ->
                         c("l_linestatus")], 6, workbook),
     ]
     return reduce(DataFrame.unionByName, [build_grid_cells(spark, sf_dir, workbook)] + extra)
+
+
+def formula_cells(spark: SparkSession, sf_dir: str, workbook: str = "book") -> DataFrame:
+    """``part`` as sheets ``calc0``, ``calc1``, ... of 500 rows with formulas, in groups of 100 rows (row = key + 1, so
+    every sheet begins where the one before ends).
+
+    Column A: ``SUM`` of a range of column B of the same group, as long as the part's size; column B: the size, and in
+    every tenth row a formula that reads a cell of column A of the group; column C: the brand.  So each group has
+    cycles, all of them through ranges.  Of two groups, one B cell of the first also reads the first A cell of the second:
+    a path between cycles, at times to another sheet.
+    """
+    p = load(spark, sf_dir, "part")
+    i, base = F.col("p_partkey") % 100, F.col("p_partkey") - F.col("p_partkey") % 100
+    lo = (i * 7 + 3) % 100
+    sums = F.concat(F.lit("SUM(B"), base + lo + 1, F.lit(":$B$"), base + F.least(lo + F.col("p_size"), F.lit(99)) + 1, F.lit(")"))
+    back = F.concat(F.lit("A"), base + (i * 3 + 11) % 100 + 1, F.lit("*2"))
+    onward = F.concat(F.lit("+calc"), F.floor((base + 100) / 500), F.lit("!A"), base + 101)
+    back = F.when((i == 90) & (F.floor(base / 100) % 2 == 0), F.concat(back, onward)).otherwise(back)
+    cells = F.array(F.struct(F.lit(1).alias("col"), F.col("p_partkey").cast("string").alias("value"), sums.alias("formula")),
+                    F.struct(F.lit(2).alias("col"), F.col("p_size").cast("string").alias("value"), F.when(i % 10 == 0, back).alias("formula")),
+                    F.struct(F.lit(3).alias("col"), F.col("p_brand").alias("value"), F.lit(None).cast("string").alias("formula")))
+    sheet = F.floor(base / 500).cast("int")
+    return with_cell_fields(p.select(F.lit(workbook).alias("workbook"), F.concat(F.lit("calc"), sheet).alias("sheet"), sheet.alias("sheet_idx"),
+                                     (F.col("p_partkey") + 1).alias("row"), F.inline(cells)))

@@ -364,8 +364,75 @@ sql("rects_overlap", """
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
 WHERE NOT (a.p_size + 5 <= b.p_size OR b.p_size + 5 <= a.p_size OR a.p_partkey % 40 + 9 <= b.p_partkey % 40 OR b.p_partkey % 40 + 9 <= a.p_partkey % 40)""")
 sql("dangling_links", """
-SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber < 3 AND l_partkey % 3 = 0)""")
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber % 3 = 0 OR l_partkey % 3 = 0""")
 sql("export_roundtrip", """
 SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) < 500 THEN 'none' ELSE 'gzip' END AS codec, sha256(text) AS checksum FROM documents
 WHERE ceil(length(text) / 4.0) < 1000
 UNION ALL SELECT doc_id, 'gzip', NULL FROM documents WHERE ceil(length(text) / 4.0) >= 1000""")
+
+
+# ---------------------------------------------------------------- spatial index, dependencies, formats, sketches
+sql("spatial_rect", """
+SELECT q, sheet, row, col, value FROM cells, (VALUES ('tall', 1, 20, 1, 1099511627776), ('wide', 0, 7, 100, 2), ('square', 2, 10, 2, 30)) r(q, x, y, w, h)
+WHERE col - 1 >= x AND col - 1 < x + w AND row - 1 >= y AND row - 1 < y + h""", cells=True)
+# the sheets of formulas: A reads lo to hi of B, B (every tenth) reads t and at times u of A
+_CALC = """
+WITH RECURSIVE p AS (
+  SELECT p_partkey + 1 AS r, p_partkey % 100 AS i, p_partkey - p_partkey % 100 AS base, p_size, p_brand, (p_partkey * 7 + 3) % 100 AS a0 FROM part
+), a AS (SELECT r, base + (i * 7 + 3) % 100 + 1 AS lo, base + least((i * 7 + 3) % 100 + p_size, 99) + 1 AS hi FROM p
+), b AS (SELECT r, base + (i * 3 + 11) % 100 + 1 AS t, CASE WHEN i = 90 AND base // 100 % 2 = 0 THEN base + 101 END AS u FROM p WHERE i % 10 = 0
+), reads AS (
+  SELECT p.r * 4 + 2 AS cell, a.r * 4 + 1 AS formula FROM p JOIN a ON p.r BETWEEN lo AND hi
+  UNION ALL SELECT p.r * 4 + 1, b.r * 4 + 2 FROM b JOIN p ON p.r = t OR p.r = u
+)
+"""
+sql("range_cycles", _CALC + """
+, e AS (SELECT formula AS s, cell AS d FROM reads WHERE cell % 4 = 1 OR cell // 4 IN (SELECT r FROM b)),
+reach AS (SELECT s, d FROM e UNION SELECT reach.s, e.d FROM reach JOIN e ON reach.d = e.s),
+scc AS (SELECT x.s AS n, min(x.d) AS m FROM reach x JOIN reach y ON x.s = y.d AND x.d = y.s GROUP BY x.s)
+SELECT 'calc' || (n // 4 - 1) // 500 AS sheet, n // 4 AS row, CAST(n % 4 AS INTEGER) AS col, 'calc' || (m // 4 - 1) // 500 AS cycle_sheet,
+  m // 4 AS cycle_row, CAST(m % 4 AS INTEGER) AS cycle_col FROM scc""")
+sql("cell_readers", """
+WITH p AS (SELECT p_partkey + 1 AS r, p_partkey % 100 AS i, p_partkey - p_partkey % 100 AS base, p_size FROM part),
+a AS (SELECT r, base + (i * 7 + 3) % 100 + 1 AS lo, base + least((i * 7 + 3) % 100 + p_size, 99) + 1 AS hi FROM p),
+b AS (SELECT r, base + (i * 3 + 11) % 100 + 1 AS t, CASE WHEN i = 90 AND base // 100 % 2 = 0 THEN base + 101 END AS u FROM p WHERE i % 10 = 0)
+SELECT 'calc' || (p.r - 1) // 500 AS sheet, p.r AS row, 2 AS col, COUNT(*) AS n FROM p JOIN a ON p.r BETWEEN lo AND hi GROUP BY ALL
+UNION ALL SELECT 'calc' || (p.r - 1) // 500, p.r, 1, COUNT(*) FROM p JOIN b ON p.r = t OR p.r = u GROUP BY ALL""")
+_FORMULAS = """
+, fa AS (SELECT r, lo, hi, 'SUM(B' || lo || ':$B$' || hi || ')' AS f FROM a),
+fb AS (SELECT r, t, u, 'A' || t || '*2' || CASE WHEN u IS NULL THEN '' ELSE '+calc' || (u - 1) // 500 || '!A' || u END AS f FROM b),
+hit AS (SELECT 'calc' || (r - 1) // 500 AS sheet, r AS row, 2 AS col FROM p WHERE p_size = 7)
+"""
+sql("hit_parts", _CALC + _FORMULAS + """
+SELECT h.*, 'heading' AS part, sheet AS part_sheet, 1::BIGINT AS part_row, 2 AS part_col, CAST(p_size AS VARCHAR) AS text FROM hit h JOIN p ON p.r = 1 WHERE sheet = 'calc0'
+UNION ALL SELECT h.*, 'nearby', sheet, row, 1, CAST(row - 1 AS VARCHAR) FROM hit h
+UNION ALL SELECT h.*, 'nearby', sheet, row, 3, p_brand FROM hit h JOIN p ON r = row
+UNION ALL SELECT h.*, 'own', sheet, row, 2, f FROM hit h JOIN fb ON r = row
+UNION ALL SELECT h.*, 'reads', 'calc' || (r - 1) // 500, r, 1, f FROM hit h JOIN fa ON row BETWEEN lo AND hi""")
+_REACH = _CALC + """
+, reach AS (SELECT r * 4 + 2 AS n, 0 AS depth FROM p WHERE p_size = 7
+  UNION SELECT formula, depth + 1 FROM reach JOIN reads ON cell = n WHERE depth < {depth}),
+least AS (SELECT n, min(depth) AS depth FROM reach GROUP BY n)
+"""
+sql("downstream_impact", _REACH.format(depth=230) + """
+SELECT 'calc' || (n // 4 - 1) // 500 AS sheet, n // 4 AS row, CAST(n % 4 AS INTEGER) AS col, depth FROM least""")
+sql("rebuild_plan", _REACH.format(depth=2) + """
+SELECT 'calc' || (n // 4 - 1) // 500 AS sheet, COUNT(*) AS affected, MAX(depth) AS max_depth,
+  CASE WHEN COUNT(*) > 250 THEN 'rebuild' ELSE 'incremental' END AS action FROM least GROUP BY ALL""")
+sql("column_masks", r"""
+, l0 AS (SELECT sheet, col, regexp_replace(regexp_replace(regexp_replace(value, '\p{Lu}', 'A', 'g'), '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]', 'a', 'g'), '\p{Nd}', '9', 'g') AS m FROM cells),
+g AS (SELECT sheet, col, m, COUNT(*) AS n FROM l0 GROUP BY ALL),
+v AS (SELECT sheet, col, 0 AS level, m AS mask, n FROM g
+  UNION ALL SELECT sheet, col, 1, regexp_replace(regexp_replace(regexp_replace(m, 'A+', 'A+', 'g'), 'a+', 'a+', 'g'), '9+', '9+', 'g'), n FROM g
+  UNION ALL SELECT sheet, col, 2, regexp_replace(regexp_replace(m, '[Aa]+', 'L+', 'g'), '9+', '9+', 'g'), n FROM g
+  UNION ALL SELECT sheet, col, 3, regexp_replace(m, '[Aa9]+', 'X+', 'g'), n FROM g
+  UNION ALL SELECT sheet, col, 4, '*', n FROM g),
+c AS (SELECT sheet, col, level, mask, SUM(n)::BIGINT AS n FROM v GROUP BY ALL),
+t AS (SELECT sheet, col, level, SUM(n) AS total FROM c GROUP BY ALL HAVING COUNT(*) <= 4),
+best AS (SELECT sheet, col, MIN(level) AS level FROM t GROUP BY ALL)
+SELECT sheet, col, level, mask, n, round(n / total, 6) AS share FROM c JOIN best USING (sheet, col, level) JOIN t USING (sheet, col, level)""", cells=True)
+sql("merged_stats", """
+SELECT sheet, col, COUNT(num) AS n, MIN(num) AS lo, MAX(num) AS hi, round(AVG(num), 4) AS mean, round(stddev_samp(num), 4) AS sd
+FROM cells WHERE num IS NOT NULL GROUP BY ALL""", cells=True)
+sql("exact_range_counts", """
+SELECT p_partkey, COUNT(*) AS n FROM part JOIN orders ON o_custkey >= p_partkey AND o_custkey < p_partkey + 2 GROUP BY p_partkey""")
