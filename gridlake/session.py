@@ -71,3 +71,12 @@ def write_table(df, name: str, sort_by: list[str] | None = None):
         df = df.sortWithinPartitions(*sort_by)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_table(df) -> None:
+    """Delete the files of a table of :func:`write_table` that nothing will read again."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
