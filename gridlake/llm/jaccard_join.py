@@ -3,17 +3,24 @@
 A document's set holds its distinct ``size``-word shingles (64-bit hashes); two documents link when
 100 * |A and B| >= percent * |A or B|.  Equal sets are one class and only its smallest doc_id is joined.
 
-Each set is ordered rare first.  The order comes from a table of hashed document counts with a fixed number of
-buckets, so it needs no shuffle of all shingles, and any such order is exact.  Two linked sets share a shingle
-among the first n - ceil(percent * n / 100) + 1 of each, so only these are joined.  A candidate pair must pass
-the length filter, the positional filter (the places of the shared shingle bound the overlap) and the suffix
-filter (the sets are cut at fixed points of the hash range; the smaller counts per part bound the overlap)
-before its sets are brought together, once.
-
-Large groups are not expanded into pairs: in each of the first rounds every document meets one hub per
-shingle (the most typical document, then a random one), the verified links become components, and only
-documents that are still in different components meet in the last round.  That round has no cap, so every link
-between components is found.
+Each set is ordered rare first.  Two linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of
+each, so only these are joined.  A candidate pair must pass the length filter, the positional filter (the places of
+the shared shingle bound the overlap) and the suffix filter (the sets are cut at fixed points of the hash range; the
+smaller counts per part bound the overlap) before its sets are brought together, once.
+
+1. Documents that stand alone.  One that has a prefix full of shingles no other document holds links with nothing.  To
+   see it, the shingles of a fixed SHARE of the hash range (more than a prefix needs) are packed per chunk of documents
+   and hash range, eight bytes each, and shuffled by range; the owners of those that occur once go back by chunk.  A
+   hash cut to 48 bits can only hide such a shingle, never invent one.  Most documents end here.
+2. The others' sets are written.  How many of them hold a shingle is counted (a partial aggregate); the shingles of one
+   holder come first in the order, the others follow by count, and only those in a prefix become entries.
+3. Large groups are not expanded into pairs: in each hub round every document meets one hub per shingle (the most
+   typical document, then a random one), the verified links become components, and only documents that are still in
+   different components meet in the last round.  That round has no cap, so every link between components is found.
+
+Stage 1 holds a hash range of about RANGE_KEYS shingles in one task.  Ranges are at most MAX_RANGES; an input of over
+four times as many shingles (some terabytes of text) skips it, and all documents go on with 2: more is shuffled, but
+the result is the same.
 
 Defined cases: a null or empty text has the empty set, links with nothing and is its own component; fewer words
 than ``size`` make one shingle of the whole sequence; rows with the same doc_id are one document that links if
@@ -23,18 +30,22 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import hashed_counts, sliced
+from gridlake.llm.common import SLICE_ROWS, sliced
 from gridlake.llm.components import connected_components
-from gridlake.session import write_table
+from gridlake.session import drop_table, write_table
 
-#: Buckets of the document-count table: 8 MB at the driver and 4 MB in each task, whatever the input.
-COUNT_BUCKETS = 1 << 20
+#: Eighths of the hash range whose shingles are looked at to find documents that stand alone.
+SHARE = 3
+#: Sampled shingles per chunk of documents and, on average, per hash range; documents per chunk; hash ranges.
+CHUNK_KEYS, RANGE_KEYS, CHUNK_DOCS, MAX_RANGES = 1 << 20, 1 << 22, 1 << 15, 1 << 14
 #: Parts of the hash range for the suffix filter.
 PARTS = 64
 #: Up to this many document ids are broadcast to pick documents; beyond it they are joined.
@@ -89,64 +100,112 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor((percent * (n + m) + (99 + percent)) / F.lit(100 + percent)).cast("long")
 
 
-def shingle_counts(docs: DataFrame, size: int, buckets: int = COUNT_BUCKETS) -> np.ndarray:
-    """Documents per bucket of shingles, over all documents."""
+def _n_ranges(docs: DataFrame) -> int:
+    """Hash ranges, a power of two, for the sampled shingles of all texts at five bytes a word; 0: too many."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    need = size // 5 * SHARE // 8 // RANGE_KEYS
+    return 0 if need > 4 * MAX_RANGES else min(MAX_RANGES, 1 << int(need).bit_length())
 
-    def count(batches):
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                found = [shingles(t, size) for t in batch["text"].slice(k, 512).to_pylist()]
-                if found:
-                    total += np.bincount((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64),
-                                         minlength=buckets)
-        return total
 
-    return hashed_counts(docs.select("text"), count, buckets)
+BLOCK = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+                   ("digests", pa.list_(pa.binary())), ("keys", pa.binary()), ("owners", pa.binary())])
+BLOCK_SQL = "chunk string, part int, ids array<long>, sizes array<long>, digests array<binary>, keys binary, owners binary"
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, the set's 128-bit digest, how typical its shingles are, the parts of the suffix
-    filter, the prefix (rare first) and from which place on it is heavy.
+def _blocks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
+    """Chunks of documents: one row of part -1 with doc_ids, set sizes and digests, and a row per hash range with the
+    sampled shingles in it (six bytes each) and their places in the chunk (two bytes each)."""
+    bits = max(ranges, 1).bit_length() - 1
 
-    Heavy shingles are those in buckets that hold many documents; all others have at most ``heavy`` documents
-    each, since a bucket counts at least the documents of each of its shingles."""
-    buckets = len(counts)
-    heavy = max(1024, 4 * int(counts.sum()) // buckets)
-    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    def flush(ids, sizes, digests, sampled):
+        chunk = uuid.uuid4().hex
+        keys = np.concatenate(sampled)
+        owner = np.repeat(np.arange(len(ids), dtype="<u2"), [len(k) for k in sampled])
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
+        raw = np.ascontiguousarray((keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        rows = [(chunk, -1, ids, sizes, digests, None, None)]
+        for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)], strict=True)):
+            if a < b:
+                rows.append((chunk, part, None, None, None, raw[a:b].tobytes(), owner[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), BLOCK, strict=True)], schema=BLOCK)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = sent.value
-        out: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            keys = shingles(text, size)
-            times = table[(keys & np.uint64(buckets - 1)).astype(np.int64)]
-            order = np.argsort(times, kind="stable")[:prefix_length(len(keys), percent)]
-            parts = np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=PARTS)
-            for values, value in zip(out, (
-                    doc_id, len(keys), xxhash.xxh3_128_digest(keys.tobytes()),
-                    int(1000 * np.log2(times.astype(float)).mean()) if len(keys) else 0, parts.astype(np.int32),
-                    keys[order].astype(np.int64), int((times[order] < heavy).sum())), strict=True):
-                values.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32())
-        names = ("doc_id", "n", "digest", "typical", "parts", "prefix", "heavy_from")
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], list(names))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sliced(step), "doc_id long, n long, digest binary, typical int, parts array<int>, prefix array<long>, heavy_from int")
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, keys) of the rows of the documents in ``ids``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small = ids.count() <= BROADCAST_IDS
-    rows = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    def run(batches):
+        ids, sizes, digests, sampled, held = [], [], [], [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    keys = shingles(text, size)
+                    ids.append(doc_id)
+                    sizes.append(len(keys))
+                    digests.append(xxhash.xxh3_128_digest(keys.tobytes()))
+                    sampled.append(keys[(keys & np.uint64(7)) < SHARE] if ranges and doc_id is not None else keys[:0])
+                    held += len(sampled[-1])
+                    if held >= CHUNK_KEYS or len(ids) >= CHUNK_DOCS:
+                        yield flush(ids, sizes, digests, sampled)
+                        ids, sizes, digests, sampled, held = [], [], [], [], 0
+        if ids:
+            yield flush(ids, sizes, digests, sampled)
+
+    return docs.mapInArrow(run, BLOCK_SQL)
+
+
+def _single_owners(table: pa.Table) -> pa.Table:
+    """Of the rows of one hash range: per chunk the places of the shingles that occur once in all chunks."""
+    keys = []
+    for raw in table["keys"].to_pylist():
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        keys.append(wide.view("<u8").ravel())
+    ends = np.cumsum([0] + [len(k) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    same = np.diff(keys[order]) == 0
+    once = np.empty(len(keys), bool)
+    once[order] = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    owners = [np.frombuffer(raw, "<u2")[once[a:b]].tobytes() for raw, a, b in zip(table["owners"].to_pylist(), ends, ends[1:], strict=False)]
+    return pa.table({"chunk": table["chunk"], "owners": pa.array(owners, pa.binary())})
+
+
+def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row: doc_id, n (set size), the set's 128-bit digest, and whether the document is sure to stand alone."""
+    blocks = write_table(_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, _n_ranges(docs)), "blocks")
+    single = blocks.where("part >= 0").select("part", "chunk", "keys", "owners").groupBy("part").applyInArrow(
+        _single_owners, "chunk string, owners binary")
+
+    def judge(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(raw, "<u2") for raw in table["owners"].to_pylist() if raw is not None]
+        (k,) = [i for i, x in enumerate(table["ids"].to_pylist()) if x is not None]
+        ids, sizes, digests = (table[c][k].as_py() for c in ("ids", "sizes", "digests"))
+        seen = np.bincount(np.concatenate([np.empty(0, np.int64), *found]).astype(np.int64), minlength=len(ids))
+        alone = [bool(n) and int(u) >= prefix_length(n, percent) for n, u in zip(sizes, seen, strict=True)]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()),
+                         "alone": pa.array(alone, pa.bool_())})
+
+    chunks = blocks.where("part = -1").select("chunk", "ids", "sizes", "digests").unionByName(single, allowMissingColumns=True)
+    out = write_table(chunks.groupBy("chunk").applyInArrow(judge, "doc_id long, n long, digest binary, alone boolean"), "signatures")
+    drop_table(blocks)
+    return out
+
+
+def shingle_sets(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
+    """(doc_id, digest, n, keys, parts) of the documents' sets in ``open_`` (doc_id, digest): their shingles and the
+    counts per part of the hash range of the suffix filter."""
+    ids = open_.select("doc_id").distinct()
+    rows = _picked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [shingles(t, size).astype(np.int64) for t in batch["text"].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+        keys = [shingles(t, size) for t in batch["text"].to_pylist()]
+        parts = [np.bincount((k >> np.uint64(58)).astype(np.int64), minlength=PARTS) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array([xxhash.xxh3_128_digest(k.tobytes()) for k in keys], pa.binary()), pa.array([len(k) for k in keys], pa.int64()),
+             pa.array([k.astype(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+            ["doc_id", "digest", "n", "keys", "parts"])
 
-    return rows.mapInArrow(sliced(step), "doc_id long, keys array<long>").distinct()
+    made = rows.mapInArrow(sliced(step), "doc_id long, digest binary, n long, keys array<long>, parts array<int>")
+    return made.join(open_, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
 
 
 def _meets(a: str, b: str, percent: int) -> Column:
@@ -167,10 +226,8 @@ def suffix_filter(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame
     return both.where(bound >= least_overlap(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.  Only the texts of documents in a pair are made into sets again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = write_table(shingle_sets(docs, ids, size), "sets")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     both = pairs.join(_side(sets, "a", "keys"), "a").join(_side(sets, "b", "keys"), "b")
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
     return both.where(shared >= least_overlap(F.size("a_keys"), F.size("b_keys"), percent)).select("a", "b")
@@ -179,19 +236,17 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_rounds: int = 1) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = write_table(signatures(docs, shingle_counts(docs, size), size, percent), "signatures")
+    rows = signatures(docs, size, percent)
     named = rows.where("doc_id is not null and n > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = write_table(named.select("doc_id", "digest").distinct().join(classes, "digest")
-                         .select("doc_id", "rep", "digest"), "members")
+    member = write_table(named.groupBy("doc_id", "digest").agg(F.min("alone").alias("alone")).join(classes, "digest")
+                         .select("doc_id", "rep", "digest", "alone"), "members")
     # a doc_id with several texts ties their classes together
     many = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     links = write_table(member.join(many, "doc_id").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
                         .distinct(), "links")
-    entries = _shared_entries(named, member, percent)
-    ids = entries.select("doc_id").distinct()
-    parts = named.select("doc_id", "digest", "n", "parts").join(ids, "doc_id", "left_semi")
-    parts = write_table(parts.dropDuplicates(["doc_id", "digest"]).drop("digest"), "parts")
+    sets = write_table(shingle_sets(docs, member.where("doc_id = rep and not alone").select("doc_id", "digest"), size), "sets")
+    entries = write_table(_entries(sets, percent), "entries")
     tried = None
     for r in range(hub_rounds + 1):
         at = _with_component(entries, links)
@@ -199,8 +254,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = write_table(suffix_filter(pairs, parts, percent), "pairs")
-        links = write_table(links.unionByName(verify(pairs, docs, size, percent)), "links")
+        pairs = write_table(suffix_filter(pairs, sets, percent), "pairs")
+        links = write_table(links.unionByName(verify(pairs, sets, percent)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
     component = connected_components(links)
     rep = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -210,20 +265,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _shared_entries(named: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Prefix entries (s, doc_id, n, pos, typical) of class representatives whose shingle another one has too.
-
-    Entries of heavy shingles are kept as they are; the others are sorted by shingle, in groups of a bounded
-    size, and an entry without a neighbour of the same shingle goes."""
-    reps = member.where("doc_id = rep").select("doc_id", "digest")
-    entries = (named.join(reps, ["doc_id", "digest"], "left_semi")
-               .select("doc_id", "n", "typical", "heavy_from", F.posexplode("prefix").alias("pos", "s")))
-    heavy = entries.where("pos >= heavy_from").select("s", "doc_id", "n", "pos", "typical")
-    w = Window.partitionBy("s").orderBy("doc_id")
-    light = (entries.where("pos < heavy_from").select("s", "doc_id", "n", "pos", "typical")
-             .withColumns({"_p": F.lag("n").over(w), "_q": F.lead("n").over(w)})
-             .where("_p is not null or _q is not null").drop("_p", "_q"))
-    return write_table(light.unionByName(heavy), "entries")
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefix entries (s, doc_id, n, pos, typical) whose shingle another set has too.
+
+    A set's order is: shingles of one holder, then the others by their number of holders.  The first kind is only
+    counted, so a set with a prefix of them has no entry.  ``typical``: how often its shingles occur, on average of
+    their logarithms."""
+    held = sets.select("doc_id", "digest", "n", F.explode("keys").alias("s"))
+    repeated = held.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").withColumnRenamed("s", "t")
+    shared = (held.join(repeated, F.col("s") == F.col("t")).groupBy("doc_id", "digest", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared")))
+    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    alone = F.col("n") - F.size("shared")
+    typical = F.aggregate("shared", F.lit(0.0), lambda x, e: x + F.log2(e["f"].cast("double"))) / F.col("n")
+    return (shared.where(alone < prefix)
+            .select("doc_id", "n", (1000 * typical).cast("int").alias("typical"), alone.alias("alone"),
+                    F.posexplode(F.slice("shared", F.lit(1), (prefix - alone).cast("int"))).alias("place", "e"))
+            .select(F.col("e.s").alias("s"), "doc_id", "n", (F.col("alone") + F.col("place")).alias("pos"), "typical"))
 
 
 def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
