@@ -36,7 +36,7 @@ class WordEncoder:
     Its pre-tokeniser always starts a new token at a single space or line feed between two visible characters.
     The text is cut there, each distinct part is encoded once and remembered (at most about ``2 * limit`` parts);
     parts are split by the pre-tokeniser's own pattern and its pieces go through the vocabulary's BPE model.  A text with any run of two or more white-space characters, or white space at an
-    end, is encoded as a whole by the library.
+    end, or with one of the vocabulary's special tokens spelled out, is encoded as a whole by the library.
     """
 
     def __init__(self, vocabulary: str, limit: int = 500_000):
@@ -46,12 +46,12 @@ class WordEncoder:
 
         path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.limit = limit
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.irregular = regex.compile(r"^\s|\s\s|\s$").search
+        special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = regex.compile("|".join([r"^\s|\s\s|\s$", *special])).search
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         # byte-level letters: printable bytes stand for themselves, the others for letters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
