@@ -2,8 +2,13 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case.  A window is
 ``size`` consecutive words of an item; an item with fewer words, but not none, is one window.  All windows go
-into one automaton, each text is normalised (words joined by one blank) and scanned once, and the matches are
-mapped back to word numbers and to code points of the original text.
+into one automaton over word numbers (a node per word, not per letter), each text is normalised to the numbers of its
+words and scanned where the first words of some window stand, and the matches are mapped back to word numbers and to
+code points of the original text.
+
+An automaton has at most ``max_nodes`` nodes (measured: 8.2 million nodes, of 4 MB of text, take 380 MB in a Python
+worker).  A larger benchmark is cut into shards; the rows pass one scan per shard, each adding to what the ones before
+found.
 
 Defined cases: null or empty texts and items have no words; several items may share a window, and all are
 reported; repeated item_ids are one item; a null item_id is never reported, but its words are hit; an empty
@@ -28,62 +33,78 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: Bytes of benchmark text that one automaton may hold.
-MAX_AUTOMATON_BYTES = 16 << 20
+#: Nodes that one automaton may have: a window has one per word at most.
+MAX_NODES = 8 << 20
+#: Words at a window's beginning by which the places to scan are found, and bits of a word number.
+HEAD, NUMBER_BITS = 3, 21
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> list[bytes]:
+def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     if not words:
         return []
-    return [b" ".join(words[k:k + size]) for k in range(max(1, len(words) - size + 1))]
-
-
-def build_automaton(items: list[tuple[int, str]], size: int):
-    """The automaton: `` window `` -> (letters in it, the items that have it); None without any window."""
-    import ahocorasick
-
-    owners: dict[bytes, set] = defaultdict(set)
-    for item_id, text in items:
-        for window in windows_of(words_of(text), size):
-            owners[window].add(item_id)
-    if not owners:
-        return None
-    found = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        found.add_word(f" {window.decode()} ", (len(window.decode()), tuple(i for i in ids if i is not None)))
-    found.make_automaton()
-    return found
-
-
-def scan(automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Hit word ranges (first, last + 1), merged and in order, and the items with an occurring window."""
-    if automaton is None or not words:
-        return [], set()
-    text = f" {b' '.join(words).decode()} "
-    found = [(end, *payload) for end, payload in automaton.iter(text)]
-    if not found:
-        return [], set()
-    begins = np.cumsum([1] + [len(w.decode()) + 1 for w in words])
-    ranges: list[tuple[int, int]] = []
-    for first, last in sorted((int(np.searchsorted(begins, end - n)), int(np.searchsorted(begins, end + 1)))
-                              for end, n, _ in found):
-        if ranges and first <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(last, ranges[-1][1]))
-        else:
-            ranges.append((first, last))
-    return ranges, {i for _, _, ids in found for i in ids}
-
-
-def _shards(benchmark: DataFrame, limit: int):
-    """The items in groups of at most ``limit`` bytes of text (an item over it is a group of its own)."""
+    return [tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1))]
+
+
+class Windows:
+    """The automaton of the items' windows, and how to scan the words of a text with it."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int):
+        import ahocorasick
+
+        owners: dict[tuple, set] = defaultdict(set)
+        for item_id, text in items:
+            for window in windows_of(words_of(text), size):
+                owners[window].add(item_id)
+        self.number = {w: k + 1 for k, w in enumerate(sorted({w for window in owners for w in window}))}
+        if len(self.number) >> NUMBER_BITS:
+            raise ValueError("a benchmark shard has too many different words")
+        self.owners = [tuple(i for i in ids if i is not None) for ids in owners.values()]
+        self.sizes = [len(window) for window in owners]
+        self.longest = max(self.sizes, default=0)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        heads: dict[int, set] = defaultdict(set)
+        for k, window in enumerate(owners):
+            numbers = tuple(map(self.number.__getitem__, window))
+            self.automaton.add_word(numbers, k)
+            heads[min(HEAD, len(numbers))].add(sum(x << NUMBER_BITS * i for i, x in enumerate(numbers[:HEAD])))
+        self.heads = {n: np.array(sorted(found), np.int64) for n, found in heads.items()}
+        if owners:
+            self.automaton.make_automaton()
+
+    def places(self, numbers: np.ndarray) -> list[tuple[int, int]]:
+        """The stretches of a text in which all windows that occur lie: from every place where the first words of one
+        stand to the length of the longest."""
+        found = np.zeros(len(numbers), bool)
+        for n, heads in self.heads.items():
+            if len(numbers) >= n:
+                m = len(numbers) - n + 1
+                packed = sum(numbers[i:i + m] << NUMBER_BITS * i for i in range(n))
+                found[:m] |= heads[np.minimum(np.searchsorted(heads, packed), len(heads) - 1)] == packed
+        return _merged([(a, a + self.longest) for a in np.flatnonzero(found).tolist()])
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Hit word ranges (first, last + 1), merged and in order, and the items with an occurring window."""
+        if not words or not self.owners:
+            return [], set()
+        numbers = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        ranges, ids = [], set()
+        for a, b in self.places(numbers):
+            for end, k in self.automaton.iter(tuple(numbers[a:b].tolist())):
+                ranges.append((a + end + 1 - self.sizes[k], a + end + 1))
+                ids.update(self.owners[k])
+        return _merged(ranges), ids
+
+
+def _shards(benchmark: DataFrame, size: int, limit: int):
+    """The items in groups of at most ``limit`` nodes (an item over it is a group of its own)."""
     group: list[tuple[int, str]] = []
     held = 0
     for r in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
-        grown = len((r["text"] or "").encode())
+        grown = size * len(words_of(r["text"]))
         if group and held + grown > limit:
             yield group
             group, held = [], 0
@@ -102,30 +123,31 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int) -> DataFrame:
-    """``docs`` plus a last column: struct of n_words, hit word ranges and items of each row."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, size: int, max_nodes: int) -> DataFrame:
+    """``docs`` plus a last column: struct of n_words, hit word ranges, the same in code points, and items of each row."""
     name = "_hits" + "_" * max(map(len, docs.columns))
-    kind = pa.struct([("n_words", pa.int64()), ("firsts", pa.list_(pa.int64())), ("lasts", pa.list_(pa.int64())),
-                      ("items", pa.list_(pa.int64()))])
-    out = docs.withColumn(name, F.expr("cast(null as struct<n_words:bigint,firsts:array<bigint>,"
-                                       "lasts:array<bigint>,items:array<bigint>>)"))
+    lists = ("firsts", "lasts", "starts", "ends", "items")
+    kind = pa.struct([("n_words", pa.int64()), *[(n, pa.list_(pa.int64())) for n in lists]])
+    out = docs.withColumn(name, F.expr(f"cast(null as struct<n_words:bigint,{','.join(f'{n}:array<bigint>' for n in lists)}>)"))
     schema = out.schema
-    for shard in _shards(benchmark, max_bytes):
+    for shard in _shards(benchmark, size, max_nodes):
         sent = docs.sparkSession.sparkContext.broadcast(shard)
         built: list = []
 
         def step(batch: pa.RecordBatch, sent=sent, built=built) -> pa.RecordBatch:
             if not built:
-                built.append(build_automaton(sent.value, size))
+                built.append(Windows(sent.value, size))
             rows = []
             for text, known in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
                 words = words_of(text)
-                ranges, ids = scan(built[0], words)
+                ranges, ids = built[0].scan(words)
                 if known is not None:
                     ranges = _merged(ranges + list(zip(known["firsts"], known["lasts"], strict=True)))
                     ids = ids | set(known["items"])
-                rows.append({"n_words": len(words), "firsts": [a for a, _ in ranges],
-                             "lasts": [b for _, b in ranges], "items": sorted(ids)})
+                firsts, lasts = [a for a, _ in ranges], [b for _, b in ranges]
+                spans = hit_spans(text, firsts, lasts) if ranges else []
+                rows.append({"n_words": len(words), "firsts": firsts, "lasts": lasts, "starts": [a for a, _ in spans],
+                             "ends": [b for _, b in spans], "items": sorted(ids)})
             return batch.set_column(batch.num_columns - 1, name, pa.array(rows, kind))
 
         out = out.mapInArrow(sliced(step), schema)
@@ -140,18 +162,14 @@ def _verdict(hits: Column, share: int) -> tuple[Column, Column]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20,
-                       max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+                       max_nodes: int = MAX_NODES) -> DataFrame:
     """The judgement of each row: doc_id, n_words, n_hit, items (item_ids with an occurring window), firsts and
-    lasts (hit word ranges, last exclusive) and contaminated.
-
-    An automaton, and so a broadcast, holds at most ``max_bytes`` of benchmark text.  A larger benchmark is cut
-    into shards; the rows pass one scan per shard, each adding to what the ones before found.
-    """
-    out = _scanned(docs.select("doc_id", "text"), benchmark, size, max_bytes)
+    lasts (hit word ranges, last exclusive), starts and ends (the same in code points of the text) and contaminated."""
+    out = _scanned(docs.select("doc_id", "text"), benchmark, size, max_nodes)
     hits = out[out.columns[-1]]
     n_hit, contaminated = _verdict(hits, share)
     return out.select("doc_id", hits["n_words"].alias("n_words"), n_hit.alias("n_hit"), hits["items"].alias("items"),
-                      hits["firsts"].alias("firsts"), hits["lasts"].alias("lasts"),
+                      *[hits[c].alias(c) for c in ("firsts", "lasts", "starts", "ends")],
                       contaminated.alias("contaminated"))
 
 
@@ -162,7 +180,7 @@ def hit_spans(text: str | None, firsts: list[int], lasts: list[int]) -> list[tup
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20,
-                      max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+                      max_nodes: int = MAX_NODES) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    out = _scanned(docs, benchmark, size, max_bytes)
+    out = _scanned(docs, benchmark, size, max_nodes)
     return out.where(~_verdict(out[out.columns[-1]], share)[1]).select(*[out[c] for c in docs.columns])

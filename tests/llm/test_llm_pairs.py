@@ -114,8 +114,8 @@ def brute_hits(text, items, size=13):
     return words, hit, ids
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 300])
-def test_decontamination_matches_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("max_nodes", [1 << 20, 400])
+def test_decontamination_matches_brute_force(spark, max_nodes):
     rng = random.Random(2)
     words = ["Ab", "c", "dé", "x1", "Zz", "日本"]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 12, 13, 14, 40])))) for k in range(30)]
@@ -129,13 +129,13 @@ def test_decontamination_matches_brute_force(spark, max_bytes):
     df = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, items long")
     bench = spark.createDataFrame(items + [items[0]], "item_id long, text string")
     got = sorted(str((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]))
-                 for r in decontaminate.find_contamination(df, bench, max_bytes=max_bytes).collect())
+                 for r in decontaminate.find_contamination(df, bench, max_nodes=max_nodes).collect())
     want = []
     for doc_id, text in docs:
         w, hit, ids = brute_hits(text, items)
         want.append(str((doc_id, len(w), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w))))
     assert got == sorted(want)
-    kept = decontaminate.drop_contaminated(df, bench, max_bytes=max_bytes)
+    kept = decontaminate.drop_contaminated(df, bench, max_nodes=max_nodes)
     assert kept.columns == df.columns and kept.count() == sum("False" in x for x in want)
 
 
@@ -146,11 +146,21 @@ def test_decontamination_spans_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     r = decontaminate.find_contamination(df, bench).first()
     (a, b), = decontaminate.hit_spans(text, r["firsts"], r["lasts"])
-    assert text[a:b] == item.upper().replace(" ", " - ")
+    assert (r["starts"], r["ends"]) == ([a], [b]) and text[a:b] == item.upper().replace(" ", " - ")
     assert decontaminate.find_contamination(df, bench.limit(0)).first()["n_hit"] == 0
     assert decontaminate.find_contamination(df.limit(0), bench).collect() == []
 
 
+def test_one_node_per_word_of_a_window():
+    rng = random.Random(6)
+    items = [(k, " ".join(f"word{rng.randrange(5000)}" for _ in range(60))) for k in range(400)]
+    windows = decontaminate.Windows(items, 13)
+    assert windows.automaton.get_stats()["nodes_count"] <= 13 * 60 * 400
+    text = " ".join(["q"] * 30 + items[7][1].split()[5:30] + ["q"] * 30 + items[9][1].split()[:12])
+    assert windows.scan(decontaminate.words_of(text)) == ([(30, 55)], {7})
+    assert decontaminate.Windows([(1, None), (2, "?")], 13).scan([b"a"]) == ([], set())
+
+
 def test_first_of_each_component_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {i for i, (n, c) in brute_jaccard([(r["doc_id"], r["text"]) for r in docs.collect()]).items() if not n or i == c}
