@@ -4,7 +4,11 @@
 crawls arrive: nothing in it can be read without inflating everything before it.  ``normalise`` inflates each
 such stream once, rewrites every record as a gzip member of its own and writes a sidecar index of offsets beside
 it; records pass through in blocks, so memory does not depend on their size.  ``read_records`` reads members by
-their offsets, any selection of them in any number of tasks.
+their offsets, any selection of them in any number of tasks, dealt by the bytes that they point at.
+
+Archives of other writers are read, too: any record id, type and payload digest (SHA-256 as hex, SHA-1 as base 32;
+others are not judged); what is not an HTTP response is given as it is.  Transfer and content encodings of a response are
+left as they are.
 
 A payload of ``least`` bytes or more that occurs again is written once: the row with the smallest page_id is the
 response, the others are revisits without payload that name it.
@@ -20,6 +24,7 @@ archives and an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import re
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.session import write_table
+from gridlake.sources.tables import number_rows
 
 BLOCK = 1 << 20
 INDEX = ("archive string, offset long, length long, record_id string, record_type string, target_uri string, "
@@ -67,9 +73,10 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def _page_id(urn: str) -> int | None:
-    own = urn.strip("<>").rpartition(":")[2]
-    return None if own == "none" else int(own)
+def _page_id(urn: str | None) -> int | None:
+    """The page_id in an id of this writer; null for any other id."""
+    own = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(own[1]) if own else None
 
 
 def record_head(page_id, url, size: int, digest: str, refers_to) -> tuple[bytes, bytes]:
@@ -215,7 +222,14 @@ def normalise(archives: DataFrame, folder: str, level: int = 6, most_head: int |
                 kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    return write_table(archives.select("archive").repartition("archive").mapInArrow(run, INDEX), "warc_index")
+    return write_table(dealt(archives).mapInArrow(run, INDEX), "warc_index")
+
+
+def dealt(archives: DataFrame) -> DataFrame:
+    """The column ``archive``, one row per partition: the archives are numbered, and each number is a partition."""
+    numbered = number_rows(archives.select("archive").distinct(), ["archive"])
+    n = numbered.count()
+    return numbered.repartitionById(max(n, 1), (F.col("row") - 1).cast("int")).select("archive")
 
 
 def _rewrite(stream: _Inflated, out, level: int, archive: str, rows: list, most_head: int | None) -> None:
@@ -239,30 +253,45 @@ def _rewrite(stream: _Inflated, out, level: int, archive: str, rows: list, most_
 
 
 RECORDS = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
-           "digest_ok boolean, payload binary")
+           "digest_ok boolean, record_id string, refers_to_id string, payload binary")
+#: Bytes of members that a task reads, about.
+PART_BYTES = 64 << 20
+
+
+def _digest_ok(named: str | None, payload: bytes, sha256: str) -> bool | None:
+    """Whether a head's digest is the payload's; null if there is none or of another kind."""
+    kind, _, value = (named or "").partition(":")
+    if kind.lower() == "sha256":
+        return value.lower() == sha256
+    if kind.lower() == "sha1":
+        return value.upper() == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return None
 
 
 def parse_record(raw: bytes) -> tuple:
     """The columns of RECORDS from the bytes of one member.  Bytes and digest of a revisit are those that its
-    heads name; those of a response are counted anew, and ``digest_ok`` says whether its head agrees."""
+    heads name (null if they do not); those of a response are counted anew, and ``digest_ok`` says whether its head
+    agrees.  Any other record's payload is its whole block, with its digest."""
     head, _, rest = zlib.decompress(raw, 31).partition(b"\r\n\r\n")
     fields = fields_of(head)
-    http, _, payload = rest[:int(fields["content-length"])].partition(b"\r\n\r\n")
-    named = fields["warc-payload-digest"].removeprefix("sha256:")
-    uri = fields.get("warc-target-uri")
-    url = None if uri is None else unquote(uri)
-    page_id, kind = _page_id(fields["warc-record-id"]), fields["warc-type"]
+    block = rest[:int(fields["content-length"])]
+    uri, named, record_id = fields.get("warc-target-uri"), fields.get("warc-payload-digest"), fields.get("warc-record-id")
+    url = uri if uri is None else unquote(uri)
+    page_id, kind, refers = _page_id(record_id), fields.get("warc-type"), fields.get("warc-refers-to")
     if kind == "revisit":
-        size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-        return page_id, url, kind, _page_id(fields["warc-refers-to"]), size, named, True, None
+        size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", block.partition(b"\r\n\r\n")[0])
+        known = named.removeprefix("sha256:") if named and named.startswith("sha256:") else None
+        return page_id, url, kind, _page_id(refers), int(size[1]) if size else None, known, True if known else None, record_id, refers, None
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" and block.startswith(b"HTTP/") else block
     digest = hashlib.sha256(payload).hexdigest()
-    return page_id, url, kind, None, len(payload), digest, digest == named, payload
+    return page_id, url, kind, None, len(payload), digest, _digest_ok(named, payload, digest), record_id, None, payload
 
 
-def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records that the rows of ``index`` point at, read by offset."""
+def read_records(index: DataFrame, with_payload: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The records that the rows of ``index`` point at, read by offset.  The rows are range-partitioned by archive and
+    offset into as many parts as their members have ``part_bytes``, so that a task reads forward."""
     schema = RECORDS if with_payload else RECORDS.removesuffix(", payload binary")
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.binary()]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +311,10 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
         if source:
             source.close()
 
-    return index.where("error is null").select("archive", "offset", "length").mapInArrow(run, schema)
+    found = index.where("error is null").select("archive", "offset", "length")
+    parts = (found.agg(F.sum("length")).first()[0] or 0) // part_bytes + 1
+    spread = found.repartitionByRange(max(parts, found.sparkSession.sparkContext.defaultParallelism), "archive", "offset")
+    return spread.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:

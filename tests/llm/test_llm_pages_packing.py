@@ -1,5 +1,6 @@
 """HTML extraction, WARC archives, packing and the pipeline."""
 
+import base64
 import gzip
 import hashlib
 import json
@@ -7,6 +8,8 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridlake.llm import html_extract, packing, warc
@@ -124,15 +127,57 @@ def test_warc_of_an_empty_table_and_of_damaged_files(spark, tmp_path):
     assert {bytes(r["payload"]) for r in warc.read_records(index).collect()} == {b"hello"}
 
 
-def whole_ids(encoder, text):
-    return [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def foreign(kind, body, **fields):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in fields.items()], f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    records = [foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:1>"),
+               foreign("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://a/"),
+               foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello", WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://a/%zz", WARC_Payload_Digest=sha1),
+               foreign("response", b"HTTP/1.1 200 OK\r\n\r\nhello", WARC_Payload_Digest="sha1:WRONG"),
+               foreign("revisit", b"", WARC_Record_ID="<urn:uuid:5>", WARC_Payload_Digest=sha1, WARC_Refers_To="<urn:uuid:3>"),
+               foreign("resource", b"raw", WARC_Record_ID="<urn:uuid:6>", WARC_Payload_Digest="md5:00"), foreign("metadata", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    index = warc.normalise(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "archive string"), f"{tmp_path}/out")
+    got = sorted((tuple(r[c] for c in ("record_id", "record_type", "page_id", "url", "payload_bytes", "digest_ok", "refers_to_id", "payload"))
+                  for r in warc.read_records(index).collect()), key=str)
+    hello = hashlib.sha256(b"hello").hexdigest()
+    assert got == sorted([
+        ("<urn:uuid:1>", "warcinfo", None, None, 13, None, None, b"software: x\r\n"),
+        ("<urn:uuid:2>", "request", None, "http://a/", 18, None, None, b"GET / HTTP/1.1\r\n\r\n"),
+        ("<urn:uuid:3>", "response", None, "http://a/%zz", 5, True, None, b"hello"), (None, "response", None, None, 5, False, None, b"hello"),
+        ("<urn:uuid:5>", "revisit", None, None, None, None, "<urn:uuid:3>", None),
+        ("<urn:uuid:6>", "resource", None, None, 3, None, None, b"raw"), (None, "metadata", None, None, 0, None, None, b"")], key=str)
+    assert {r["payload_digest"] for r in warc.read_records(index).where("record_type = 'response'").collect()} == {hello}
+
+
+def test_every_archive_is_a_task(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(foreign("resource", b"%d" % k, WARC_Record_ID=f"<urn:page:{k}>") * 3))
+    files = spark.createDataFrame([(str(f),) for f in tmp_path.glob("*.gz")], "archive string")
+    index = warc.normalise(files, f"{tmp_path}/out")
+    dealt = warc.dealt(files)
+    assert dealt.rdd.getNumPartitions() == 20 and set(dealt.rdd.glom().map(len).collect()) == {1}
+    spread = warc.read_records(index, part_bytes=100)
+    assert sorted(r["payload"] for r in spread.collect()) == sorted(b"%d" % k for k in range(20) for _ in range(3))
+    assert spread.rdd.getNumPartitions() > 20
+
+
+def whole_ids(text):
+    """Ids of the library as it is, and the end id."""
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def check_packing(rows, got, capacity=1024):
-    encoder = packing.WordEncoder("byte_bpe_50k.json")
     want = []
     for doc_id, text in rows:
-        ids = whole_ids(encoder, text)
+        ids = whole_ids(text)
         for k, (start, n) in enumerate(packing._spans(len(ids), capacity)):
             want.append((doc_id, k, start, n, zlib.crc32(np.array(ids[start:start + n], "<u4").tobytes())))
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in got)
@@ -156,22 +201,23 @@ def test_packing_is_whole_and_tight(spark, sf_dir):
 
 
 def test_packing_odd_rows(spark):
-    texts = [None, "", " ", "a  b", "\n\nx", "tab\tbed", "x " * 3000, "<|endoftext|>", "it's 'so'", "x" * 1023 + " y"]
+    texts = [None, "", " ", "a  b", "\n\nx", "tab\tbed", "x " * 3000, "<|endoftext|>", "a <|endoftext|> b", "it's 'so'", "x" * 1023 + " y"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "a"), (None, "a"), (3, "a  b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
     check_packing(rows, packing.pack(packing.token_pieces(df)).collect())
     check_packing(rows, packing.pack(packing.token_pieces(df, capacity=16), 16, bucket_rows=40).collect(), 16)
     assert packing.pack(packing.token_pieces(df.limit(0))).collect() == []
     ids = packing.sequences(packing.pack(packing.token_pieces(df, with_ids=True))).collect()
-    assert sum(len(r["ids"]) for r in ids) == sum(len(whole_ids(packing.WordEncoder("byte_bpe_50k.json"), t)) for _, t in rows)
+    assert sum(len(r["ids"]) for r in ids) == sum(len(whole_ids(t)) for _, t in rows)
 
 
 def test_word_encoder_equals_the_library():
     encoder, rng = packing.WordEncoder("byte_bpe_50k.json", limit=50), random.Random(8)
     parts = ["a", "b", " ", "'s", "t", "\n", "\t", "1", "23", ".", ",", "!", "é", "<|endoftext|>", "_", "ñ", "'re", "日本", "Word", " ", "ǅ"]
+    assert whole_ids("a <|endoftext|> b") == [64, 220, 50256, 275, 2]
     for _ in range(3000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
-        assert encoder(t) == np.array(whole_ids(encoder, t)[:-1], "<u4").tobytes()
+        assert encoder(t) == np.array(whole_ids(t)[:-1], "<u4").tobytes()
 
 
 def brute_sum_of_squares(lengths, capacity):
