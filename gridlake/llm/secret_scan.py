@@ -3,10 +3,14 @@
 Base patterns find assignments of long values, access keys and long runs of hexadecimal digits.  Beyond them,
 two first-order character Markov models, one of random strings and one of ordinary identifiers, are compared by
 the log-likelihood ratio of every other long token, and of its parts between equals signs and slashes; what looks
-random enough is a span of kind ``random``, which may hold a shorter access key or run of digits.  The models and the threshold are trained from labelled samples: what the base patterns find in a
-bounded sample of documents (with seeded random strings, so that no alphabet is missed) against the ordinary
-words of the same sample and the usual words of program names, alone and joined to identifiers; part of the
-tokens is held out for the threshold.
+random enough is a span of kind ``random``, which may hold a shorter access key or run of digits.
+
+Each model is the even mixture of two sources: random strings of fixed alphabets and what the base patterns find in a
+bounded sample of documents; identifiers of the usual words of program names and of that sample's ordinary words, in
+many styles (camel, snake and kebab case, constants, paths, media types, dates, versions, acronyms).  Counts are
+turned into shares before they are mixed and smoothed, so the models do not depend on how large the sample is.  The
+least ratio is set per length of token, where 0.9995 of held-out identifiers of that length stay below it, and
+MARGIN above that; it is never under LEAST.
 
 Defined cases: null or empty texts have no spans; rows are scanned one by one, so repeated or null doc_ids,
 very long texts and extra columns do no harm; with no document to train from, the seeded strings alone are
@@ -36,8 +40,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Tokens that the models judge: long whole runs of the letters of keys, whatever other letters stand beside them.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
-#: Documents that the models may be trained on, and ordinary tokens taken from them.
-TRAIN_DOCS, TRAIN_TOKENS = 4_000, 200_000
+#: Documents that the models may be trained on, and tokens taken from them, the longest part of a token included.
+TRAIN_DOCS, TRAIN_TOKENS, TRAIN_CHARS = 4_000, 20_000, 64
+#: Share of the even distribution in a model, distance of the least ratio from held-out identifiers, and its floor.
+SMOOTH, MARGIN, LEAST = 0.02, 0.1, 0.3
+#: Lengths of tokens from which each least ratio holds.
+LENGTHS = (0, 20, 28, 44)
 
 #: States of the models: 26 + 26 letters, 10 digits, other key characters, everything else, begin.
 _STATE = {c: k for k, c in enumerate(string.ascii_letters + string.digits + "+/_=-.")}
@@ -60,24 +68,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Markov:
-    """Log-likelihood ratio table (random over ordinary) by state and next state, and the least ratio."""
+    """Log-likelihood ratio table (random over ordinary) by state and next state, and the least ratio per LENGTHS."""
 
     table: np.ndarray
-    threshold: float
+    least: list[float]
 
     def ratio(self, token: str) -> float:
         """Mean log-likelihood ratio per character."""
         states = [_STATE.get(c, _OTHER) for c in token]
         return float(self.table[[_BEGIN, *states[:-1]], states].mean()) if states else 0.0
 
+    def excess(self, token: str) -> float:
+        """How far the ratio is above the least one for a token of that length."""
+        return self.ratio(token) - self.least[bisect_right(LENGTHS, len(token)) - 1]
+
 
-def _transitions(tokens: list[str]) -> np.ndarray:
+def _shares(tokens: list[str]) -> np.ndarray | None:
+    """Shares of the next states of each state; None without tokens."""
     counts = np.zeros((_N, _N))
     for token in tokens:
         states = [_STATE.get(c, _OTHER) for c in token]
         np.add.at(counts, ([_BEGIN, *states[:-1]], states), 1)
-    counts += 0.05
-    return np.log(counts / counts.sum(1, keepdims=True))
+    total = counts.sum(1, keepdims=True)
+    return np.where(total > 0, counts / np.maximum(total, 1), 1 / _N) if tokens else None
+
+
+def _log_model(*sources: list[str]) -> np.ndarray:
+    """Logarithms of the even mixture of the sources' shares, smoothed."""
+    shares = [s for s in map(_shares, sources) if s is not None]
+    return np.log((1 - SMOOTH) * sum(shares) / len(shares) + SMOOTH / _N)
 
 
 def seeded_random(count: int, seed: int = 7) -> list[str]:
@@ -114,39 +133,39 @@ NAME_WORDS = (
     "variable vector version video view visible wait watch week width window with word worker write year zone").split()
 
 
-def identifiers(words: list[str], seed: int = 11) -> list[str]:
-    """Ordinary words, and identifiers made of them: snake, kebab and camel case, constants, paths, numbered."""
+def identifiers(words: list[str], count: int, seed: int) -> list[str]:
+    """Identifiers made of words, in many styles."""
     rng = np.random.default_rng(seed)
-    out = list(words)
-    for k in range(len(words)):
-        few = [words[i] for i in rng.integers(0, len(words), 2 + k % 3)]
-        style = k % 7
-        out.append("_".join(few) if style == 0 else "-".join(few) if style == 1 else "".join(w.title() for w in few)
-                   if style == 2 else "_".join(few).upper() if style == 3 else "/".join(few) if style == 4
-                   else f"{'_'.join(few)}_{rng.integers(0, 2100)}" if style == 5 else "=".join(few))
+    out = []
+    for k in range(count):
+        few = [words[i].lower() for i in rng.integers(0, len(words), 2 + k // 16 % 4)]
+        title = [w.title() for w in few]
+        n, d = int(rng.integers(0, 10_000)), f"{rng.integers(1970, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
+        out.append((
+            "_".join(few), "-".join(few), "".join(title), few[0] + "".join(title[1:]), "_".join(few).upper(), "/".join(few), "/" + "/".join(few),
+            f"{'_'.join(few)}_{n}", f"{d}-{'-'.join(few)}", f"{'-'.join(few)}-{d}", f"{few[0]}/x-{'-'.join(few[1:])}", "=".join(few),
+            f"{few[0].upper()[:2 + n % 3]}{''.join(title)}", f"/usr/{'/'.join(few)}{n % 20}", f"https-www-{'-'.join(few)}",
+            f"{''.join(title)}{n % 100}{title[0]}")[k % 16])
     return out
 
 
-def fit_markov(positives: list[str], words: list[str]) -> Markov:
-    """Both models from three quarters of each side; the threshold from the rest, half way between the 0.999
-    quantile of ordinary tokens of judged length and the 0.01 quantile of random ones (never below the former)."""
-    random_ = sorted(set(positives)) + seeded_random(6_000)
-    ordinary = identifiers(sorted(set(words)))
-    ordinary += identifiers(NAME_WORDS * max(12, len(ordinary) // (8 * len(NAME_WORDS))), seed=13)
-    order = np.random.default_rng(5)
-    random_ = [random_[i] for i in order.permutation(len(random_))]
-    ordinary = [ordinary[i] for i in order.permutation(len(ordinary))]
-    cut, stop = 3 * len(random_) // 4, 3 * len(ordinary) // 4
-    model = Markov(_transitions(random_[:cut]) - _transitions(ordinary[:stop]), 0.0)
-    high = [model.ratio(t) for t in ordinary[stop:] if len(t) >= 16] or [0.0]
-    low = [model.ratio(t) for t in random_[cut:]]
-    top = float(np.quantile(high, 0.999))
-    model.threshold = max(top + 0.05, (top + float(np.quantile(low, 0.01))) / 2, 0.0)
+def fit_markov(positives: list[str], words: list[str], count: int = 16_000) -> Markov:
+    """Both models, and the least ratios from ``count`` more identifiers of each source."""
+    words = sorted(set(words))
+    table = _log_model(seeded_random(6_000), sorted(set(positives))) - _log_model(
+        identifiers(NAME_WORDS, count, 11), identifiers(words, count, 13) if words else [])
+    model = Markov(table, [LEAST] * len(LENGTHS))
+    held = identifiers(NAME_WORDS, count, 17) + (identifiers(words, count, 19) if words else [])
+    for k, (low, high) in enumerate(zip(LENGTHS, [*LENGTHS[1:], 1 << 30], strict=True)):
+        ratios = [model.ratio(t) for t in held if max(low, 16) <= len(t) < high]
+        if ratios:
+            model.least[k] = max(LEAST, float(np.quantile(ratios, 0.9995)) + MARGIN)
     return model
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_TOKENS) -> Markov:
-    """Models from at most ``max_docs`` documents (smallest hash of doc_id) and ``max_tokens`` of their words."""
+    """Models from at most ``max_docs`` documents (smallest hash of doc_id) and ``max_tokens`` of their tokens, of which
+    the first TRAIN_CHARS characters count."""
     ids = hash_sample(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(),
                       "doc_id", max_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
@@ -158,12 +177,12 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_T
             at, plain = 0, []
             for a, b, kind in base_spans(text):
                 m = ASSIGN.match(text, a) if kind == 0 else None
-                out.add((True, (m[2] if m else text[a:b]).strip("=.")[:64]))
+                out.add((True, (m[2] if m else text[a:b]).strip("=.")[:TRAIN_CHARS]))
                 plain.append(text[at:a])
                 at = max(at, b)
             plain.append(text[at:])
             for part in plain:
-                out.update((False, w) for w in re.findall(r"[A-Za-z]{3,}", part))
+                out.update((False, w[:TRAIN_CHARS]) for w in re.findall(r"[A-Za-z]{3,}", part))
         pairs = sorted(out)
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.bool_()),
                                            pa.array([t for _, t in pairs], pa.string())], ["random", "token"])
@@ -202,8 +221,7 @@ def _random_parts(text: str, a: int, b: int, cover: list[list[int]], model: Mark
     rest = _outside(a, b, cover) if b - a >= 16 else []
     if not rest:
         return []
-    if model.ratio(text[a:b]) > model.threshold and (rest == [(a, b)] or sum(
-            (model.ratio(text[x:y]) - model.threshold) * (y - x) for x, y in rest) > 0):
+    if model.excess(text[a:b]) > 0 and (rest == [(a, b)] or sum(model.excess(text[x:y]) * (y - x) for x, y in rest) > 0):
         return [(a, b, 3)]
     for sign in "=/":
         if sign in text[a:b]:

@@ -1,12 +1,15 @@
 """Quality rules, importance resampling, chat formatting, toxicity and secrets."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 
+import pytest
+
 from gridlake.llm import chat_format, importance, quality_rules, secret_scan, toxicity
 
 
@@ -251,17 +254,52 @@ def test_secret_spans(spark, sf_dir):
         assert all(b - a >= 16 for a, b, k in spans if k == 3)
 
 
-def test_secret_models_separate_held_out_samples(spark, sf_dir):
-    model = secret_scan.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    keys = secret_scan.seeded_random(2000, seed=99)
-    assert sum(model.ratio(k) > model.threshold for k in keys) / len(keys) > 0.97
-    for t in ("internationalization_of_things", "getUserAccountNameFromDatabase", "MAX_CONNECTION_RETRY_COUNT",
-              "some/path/to/a/file-name", "Donaudampfschifffahrt"):
-        assert model.ratio(t) <= model.threshold
+ORDINARY = ("getUserAccountById", "/usr/local/lib/python3", "XMLHttpRequestEventTarget", "application/x-www-form-urlencoded", "https-www-example",
+            "2024-01-15-release-notes", "internationalization_of_things", "MAX_CONNECTION_RETRY_COUNT", "some/path/to/a/file-name",
+            "Donaudampfschifffahrt", "AbstractSingletonProxyFactoryBean", "kubernetes-deployment-controller")
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_secret_models_do_not_move_with_the_sample(spark, sf):
+    model = secret_scan.train(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    assert all(secret_scan.LEAST <= x < 0.6 for x in model.least)
+    assert [t for t in ORDINARY if secret_scan.all_spans(t, model)] == []
+    rng = random.Random(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                    "abcdefghijklmnopqrstuvwxyz0123456789"):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.randint(16, 32))) for _ in range(1500)]
+        assert sum(model.excess(k) > 0 for k in keys) / len(keys) >= 0.95
     (a, b, k), = secret_scan.all_spans("see xK9fQ2zLp0Wv7TyB3nRd here", model)
     assert (a, b, k) == (4, 24, 3)
 
 
+def test_secret_ratio_matches_a_plain_sum():
+    model = secret_scan.fit_markov(["q7Zp2Lk9Xw3Rt5Yv"], ["garden", "window"], count=64)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+
+    def shares(tokens):
+        counts = [[0] * 70 for _ in range(70)]
+        for t in tokens:
+            at = 69
+            for ch in t:
+                to = alphabet.index(ch) if ch in alphabet else 68
+                counts[at][to] += 1
+                at = to
+        return [[x / sum(row) if sum(row) else 1 / 70 for x in row] for row in counts]
+
+    sources = [[shares(t) for t in pair] for pair in (
+        (secret_scan.seeded_random(6000), ["q7Zp2Lk9Xw3Rt5Yv"]),
+        (secret_scan.identifiers(secret_scan.NAME_WORDS, 64, 11), secret_scan.identifiers(["garden", "window"], 64, 13)))]
+    for token in ("q7Zp2Lk9Xw3Rt5Yv", "window_garden_2024", "é?"):
+        at, total = 69, 0.0
+        for ch in token:
+            to = alphabet.index(ch) if ch in alphabet else 68
+            p, q = (0.98 * (x[0][at][to] + x[1][at][to]) / 2 + 0.02 / 70 for x in sources)
+            total += math.log(p / q)
+            at = to
+        assert abs(model.ratio(token) - total / len(token)) < 1e-9
+
+
 def test_random_parts_of_tokens():
     model = secret_scan.fit_markov([], "house garden window summer letter bridge mountain river".split())
     key, of = "xK9fQ2zLp0Wv7TyB3nRd", lambda t: [(t[a:b], k) for a, b, k in secret_scan.all_spans(t, model)]
@@ -283,5 +321,5 @@ def test_secret_redaction_and_odd_rows(spark):
     assert out[0]["text"] == 'é token = "[ASSIGN]" end' and out[0]["n_chars"] == len(out[0]["text"])
     assert tuple(out[1]) == (None, None, None) and tuple(out[2]) == (2, "", 0)
     assert secret_scan.find_secrets(df.limit(0), model).collect() == []
-    assert secret_scan.train(df.limit(0)).threshold >= 0
+    assert min(secret_scan.train(df.limit(0)).least) >= secret_scan.LEAST
     assert hashlib.sha256(b"").hexdigest()  # digest of no spans is that of the empty text
