@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import sliced
+from gridlake.session import write_table
 
 FILTERS = "ABCDE"
 CAPITALS = bytes(range(65, 91))
@@ -60,7 +61,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): documents per part and set of failed filters, one bit each."""
-    counts = judged(docs).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n"))
+    counts = write_table(judged(docs).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n")), "judged")
     named = counts.where("doc_id is not null")
     label = labels.select(F.col("doc_id").cast("long").alias("l_id"), "quality", "toxic").where("l_id is not null").groupBy("l_id").agg(
         F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
