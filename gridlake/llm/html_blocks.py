@@ -5,6 +5,9 @@ Scripts, styles, titles, form controls, embedded media, comments and declaration
 references are decoded, white space inside a block becomes one blank, and empty blocks are left out.  An element of
 HIDDEN_TAGS gives no text if its own end tag comes before its parent's end; if there is none, as after an svg tag
 that ends in a slash, only the tag is left out and what follows is read.
+
+The work is linear in the page, however deep it is: open elements are found by name, blocks share the elements above
+them, and a missing end tag is looked for once.
 """
 
 from __future__ import annotations
@@ -36,15 +39,81 @@ _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@dataclass
+class Element:
+    """An element's tag and names and the element around it.  Like elements in one parent are one object; ``known`` is
+    free for what a reader works out about it."""
+
+    __slots__ = ("tag", "names", "parent", "inside", "known")
+
+    def __init__(self, tag: str, names: tuple, parent: Element | None):
+        self.tag, self.names, self.parent, self.inside, self.known = tag, names, parent, None, None
+
+    def child(self, tag: str, names: tuple) -> Element:
+        if self.inside is None:
+            self.inside = {}
+        found = self.inside.get((tag, names))
+        if found is None:
+            found = self.inside[tag, names] = Element(tag, names, self)
+        return found
+
+
+@dataclass(slots=True)
 class Block:
-    """A block's text, the (tag, names) of the elements above it, outermost first, and how many of its
-    characters stand in links."""
+    """A block's text, the innermost element around it (the page itself has no tag), and how many of its characters
+    stand in links."""
 
     text: str
-    path: tuple
+    within: Element
     linked: int
 
+    @property
+    def path(self) -> tuple:
+        """The (tag, names) of the elements above, outermost first."""
+        out, e = [], self.within
+        while e.parent is not None:
+            out.append((e.tag, e.names))
+            e = e.parent
+        return tuple(reversed(out))
+
+
+class _Open:
+    """The open elements, and where the innermost of a name or of a set of names is."""
+
+    def __init__(self, *groups: frozenset):
+        self.names: list[str] = []
+        self.values: list = []
+        self.at: dict[str, list[int]] = {}
+        self.groups: dict[frozenset, list[int]] = {g: [] for g in groups}
+
+    def push(self, name: str, value) -> None:
+        k = len(self.names)
+        self.names.append(name)
+        self.values.append(value)
+        self.at.setdefault(name, []).append(k)
+        for group, places in self.groups.items():
+            if name in group:
+                places.append(k)
+
+    def last(self, names) -> int:
+        places = self.groups.get(names) if isinstance(names, frozenset) else None
+        if places is not None:
+            return places[-1] if places else -1
+        return max((own[-1] for n in names if (own := self.at.get(n))), default=-1)
+
+    def innermost(self, names, stops) -> int:
+        """Place of the innermost open element of ``names``, or -1 if there is none or one of ``stops`` is inside it."""
+        k = self.last(names)
+        return k if k >= 0 and k >= self.last(stops) else -1
+
+    def cut(self, k: int) -> None:
+        """Ends the element at place k and all inside it."""
+        for name in self.names[k:]:
+            self.at[name].pop()
+            for group, places in self.groups.items():
+                if name in group:
+                    places.pop()
+        del self.names[k:], self.values[k:]
+
 
 def names_of(attrs: str) -> tuple[str, ...]:
     """Lower-case parts of the class, id and role names among a tag's attributes."""
@@ -57,42 +126,42 @@ def names_of(attrs: str) -> tuple[str, ...]:
 def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple] = []
+    open_ = _Open(BLOCK_TAGS)
+    root = Element("", (), None)
     parts: list[str] = []
-    linked = anchors = 0
-    path: tuple = ()
+    linked = 0
+    within = root
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, path, min(linked, len(text))))
+                out.append(Block(text, within, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def add(text: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, within
         if "&" in text:
             text = html.unescape(text)
         if not parts:
             if text.isspace():
                 return
-            path = tuple(stack)
+            within = open_.values[-1] if open_.values else root
         parts.append(text)
-        if anchors:
+        if open_.at.get("a"):
             linked += len(text.strip())
 
-    def close(names, stops=frozenset()) -> bool:
+    def close(names, stops=()) -> None:
         """Ends the innermost open element of ``names`` and all inside it; not past an element of ``stops``."""
-        nonlocal anchors
-        k = _innermost(stack, names, stops)
+        k = open_.innermost(names, stops)
         if k >= 0:
-            anchors -= sum(e[0] == "a" for e in stack[k:])
-            del stack[k:]
-        return k >= 0
+            open_.cut(k)
 
-    at, ends = 0, _hidden_ends(page)
+    at, raw_ends = 0, _RawEnds(page)
+    ends = _hidden_ends(page, raw_ends)
+    raw_ends = _RawEnds(page)
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
             add(page[at:m.start()])
@@ -105,12 +174,12 @@ def blocks_of(page: str | None) -> list[Block]:
         if m["end"]:
             if name in BLOCK_TAGS:
                 flush()
-                close({name})
+                close((name,))
             else:
-                close({name}, BLOCK_TAGS)
+                close((name,), BLOCK_TAGS)
             continue
         if name in RAW_TAGS or name in HIDDEN_TAGS:
-            at = _raw_end(page, name, at) if name in RAW_TAGS else ends.get(at, at)
+            at = raw_ends.after(name, at) if name in RAW_TAGS else ends.get(at, at)
             add(" ")
             continue
         if name == "br":
@@ -120,39 +189,37 @@ def blocks_of(page: str | None) -> list[Block]:
             flush()
             if name in ENDS:
                 close(*ENDS[name])
-            close({"p"}, _P_SCOPE)
+            close(("p",), _P_SCOPE)
         if name not in VOID_TAGS:
-            stack.append((name, names_of(m["attrs"])))
-            anchors += name == "a"
+            open_.push(name, (open_.values[-1] if open_.values else root).child(name, names_of(m["attrs"])))
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-def _innermost(stack: list[tuple], names, stops) -> int:
-    """Place of the innermost open element of ``names``, or -1 if there is none or one of ``stops`` is inside it."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in names:
-            return k
-        if stack[k][0] in stops:
-            return -1
-    return -1
+class _RawEnds:
+    """Where the texts of elements of RAW_TAGS end, asked for from left to right."""
 
+    def __init__(self, page: str):
+        self.page = page
+        self.next: dict[str, int] = {}  # the next end tag of a name that was looked for; -1: there is none
 
-def _raw_end(page: str, name: str, at: int) -> int:
-    """Where the text of an element of RAW_TAGS that begins at ``at`` ends, with its end tag.  An unclosed title is
-    only its tag."""
-    stop = _find(page, f"</{name}", at)
-    if stop < 0:
-        return at if name == "title" else len(page)
-    return page.find(">", stop) + 1 or len(page)
+    def after(self, name: str, at: int) -> int:
+        """The end, with its end tag, of the element that begins at ``at``.  An unclosed title is only its tag."""
+        stop = self.next.get(name, 0)
+        if 0 <= stop < at or name not in self.next:
+            m = re.compile(f"</{name}", re.IGNORECASE).search(self.page, at)
+            stop = self.next[name] = m.start() if m else -1
+        if stop < 0:
+            return at if name == "title" else len(self.page)
+        return self.page.find(">", stop) + 1 or len(self.page)
 
 
-def _hidden_ends(page: str) -> dict[int, int]:
+def _hidden_ends(page: str, raw_ends: _RawEnds) -> dict[int, int]:
     """{end of the start tag: end of the end tag} of the elements of HIDDEN_TAGS that are closed inside their parent."""
     ends: dict[int, int] = {}
-    stack: list[tuple] = []
+    open_ = _Open(BLOCK_TAGS, _HIDDEN_SCOPE)
     at = 0 if _HIDDEN.search(page) else len(page)
     while (m := _TAG.search(page, at)) is not None:
         at = m.end()
@@ -160,30 +227,24 @@ def _hidden_ends(page: str) -> dict[int, int]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            k = _innermost(stack, {name}, _HIDDEN_SCOPE if name in HIDDEN_TAGS else () if name in BLOCK_TAGS else BLOCK_TAGS)
+            k = open_.innermost((name,), _HIDDEN_SCOPE if name in HIDDEN_TAGS else () if name in BLOCK_TAGS else BLOCK_TAGS)
             if k >= 0:
                 if name in HIDDEN_TAGS:
-                    ends[stack[k][1]] = at
-                del stack[k:]
+                    ends[open_.values[k]] = at
+                open_.cut(k)
             continue
         if name in RAW_TAGS:
-            at = _raw_end(page, name, at)
+            at = raw_ends.after(name, at)
             continue
         if name in HIDDEN_TAGS:
             if name != "svg" or not m["attrs"].endswith("/"):
-                stack.append((name, at))
+                open_.push(name, at)
             continue
         if name in BLOCK_TAGS:
-            for names, stops in ((ENDS.get(name) or ((), ())), ({"p"}, _P_SCOPE)):
-                k = _innermost(stack, names, {*stops, *HIDDEN_TAGS})
+            for names, stops in ((ENDS.get(name) or ((), ())), (("p",), _P_SCOPE)):
+                k = open_.innermost(names, (*stops, *HIDDEN_TAGS))
                 if k >= 0:
-                    del stack[k:]
+                    open_.cut(k)
         if name not in VOID_TAGS:
-            stack.append((name, at))
+            open_.push(name, at)
     return ends
-
-
-def _find(page: str, closing: str, at: int) -> int:
-    """First place of ``closing`` in either case from ``at`` on, or -1."""
-    m = re.compile(re.escape(closing), re.IGNORECASE).search(page, at)
-    return m.start() if m else -1

@@ -7,7 +7,8 @@ main text or not.  The network is trained here, on generated labelled pages of m
 in some seconds on the driver; its weights (a fixed size) are broadcast.
 
 Defined cases: null or empty html gives an empty text, as does a page without main blocks; broken and unclosed
-markup is read as far as it goes; pages of any length are read whole; rows are handled one by one, so repeated or
+markup is read as far as it goes; pages of any length and depth are read whole, in linear time, and the network reads
+a page of very many blocks in windows, carrying its states from one to the next in both directions; rows are handled one by one, so repeated or
 null page_ids and extra columns do no harm; an empty table gives an empty result.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import functools
 import itertools
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import sliced
-from gridlake.llm.html_blocks import Block, blocks_of
+from gridlake.llm.html_blocks import Block, Element, blocks_of
 from gridlake.llm.html_pages import MAIN, OTHER, PageMaker
 
 PATH_DIM, WORD_DIM, STATS = 160, 64, 8
@@ -51,24 +53,50 @@ class _Buckets(dict):
 _WORDS, _PARTS = _Buckets(WORD_DIM), _Buckets(PATH_DIM)
 
 
+def _known(e: Element) -> tuple[int, int, int]:
+    """Buckets, as bits, of what stands on the way from the page to an element, and of the element alone: (any place,
+    far, near).  An element's parent is known before it, so each is worked out once."""
+    todo = []
+    while e.known is None:
+        todo.append(e)
+        if e.parent is None:
+            break
+        e = e.parent
+    for e in reversed(todo):
+        if e.parent is None:
+            e.known = (0, 0, 0)
+            continue
+        here, far, near = e.parent.known[0], e.parent.known[1], 0
+        for n in (f"<{e.tag}>", *e.names):
+            here |= 1 << _PARTS[f"any:{n}"]
+            far |= 1 << _PARTS[f"far:{n}"]
+            near |= 1 << _PARTS[f"near:{n}"]
+        e.known = (here, far, near)
+    return todo[0].known if todo else e.known
+
+
 @functools.lru_cache(maxsize=50_000)
-def _path_buckets(path: tuple) -> list[int]:
+def _places(bits: int) -> list[int]:
+    return [k for k in range(PATH_DIM) if bits >> k & 1]
+
+
+def _path_buckets(e: Element) -> list[int]:
     """Buckets of the tags and names above a block, the nearest two elements marked as near."""
-    out = set()
-    for k, (tag, names) in enumerate(path):
-        side = "near" if k >= len(path) - 2 else "far"
-        for n in (f"<{tag}>", *names):
-            out.update((_PARTS[f"{side}:{n}"], _PARTS[f"any:{n}"]))
-    return list(out)
+    here, _, near = _known(e)
+    if e.parent is not None:
+        near |= e.parent.known[2]
+        if e.parent.parent is not None:
+            near |= e.parent.parent.known[1]
+    return _places(here | near)
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block of a page."""
+def vectors(blocks: list[Block], sizes: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+    """One row per block of a page, or of its part from block ``first`` on; ``sizes``: characters of all its blocks."""
     x = np.zeros((len(blocks), WIDTH), np.float32)
     if not blocks:
         return x
     for k, b in enumerate(blocks):
-        x[k, _path_buckets(b.path)] = 1.0
+        x[k, _path_buckets(b.within)] = 1.0
     texts = [b.text for b in blocks]
     words = [t.lower().split() for t in texts]
     n_words = np.fromiter(map(len, words), np.int64, len(words))
@@ -77,11 +105,13 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     counts = np.bincount(cells, minlength=len(blocks) * WORD_DIM).reshape(-1, WORD_DIM)
     x[:, PATH_DIM:PATH_DIM + WORD_DIM] = np.sqrt(counts / np.maximum(n_words, 1)[:, None])
     n = np.fromiter(map(len, texts), np.int64, len(texts))
+    sizes = n if sizes is None else sizes
+    before = int(sizes[:first].sum())
     marks = np.fromiter((t.count(".") + t.count(",") for t in texts), np.int64, len(texts))
     linked = np.fromiter((b.linked for b in blocks), np.int64, len(blocks))
     x[:, PATH_DIM + WORD_DIM:] = np.stack([
-        np.log1p(n) / 5, np.log1p(n_words) / 4, linked / n, 10 * marks / n, (np.cumsum(n) - n) / n.sum(),
-        np.arange(len(n)) / len(n), [t[-1] in ".!?" for t in texts], np.ones(len(n))], 1)
+        np.log1p(n) / 5, np.log1p(n_words) / 4, linked / n, 10 * marks / n, (before + np.cumsum(n) - n) / sizes.sum(),
+        (first + np.arange(len(n))) / len(sizes), [t[-1] in ".!?" for t in texts], np.ones(len(n))], 1)
     return x
 
 
@@ -108,12 +138,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _forward(x: np.ndarray, mask: np.ndarray, w: dict, d: str) -> tuple[np.ndarray, list]:
-    """Hidden states [time, page, HIDDEN] of one direction; x is [time, page, WIDTH]; padded steps keep the state."""
+def _forward(x: np.ndarray, mask: np.ndarray, w: dict, d: str, state: tuple | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple]:
+    """Hidden states [time, page, HIDDEN] of one direction, what training needs of each step (if ``keep``), and the
+    last state, with which a next part can go on; x is [time, page, WIDTH]; padded steps keep the state."""
     t, n, _ = x.shape
     gates = x.reshape(t * n, -1) @ w[f"wx{d}"] + w[f"b{d}"]
     gates = gates.reshape(t, n, -1)
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, steps = np.zeros((t, n, HIDDEN), np.float32), []
     for k in range(t) if d == "f" else range(t - 1, -1, -1):
         a = gates[k] + h @ w[f"wh{d}"]
@@ -124,10 +155,11 @@ def _forward(x: np.ndarray, mask: np.ndarray, w: dict, d: str) -> tuple[np.ndarr
         c_new = f * c + i * g
         tc = np.tanh(c_new)
         h_new = o * tc
-        steps.append((k, h, c, i, f, o, g, tc, m))
+        if keep:
+            steps.append((k, h, c, i, f, o, g, tc, m))
         h, c = h + m * (h_new - h), c + m * (c_new - c)
         out[k] = h
-    return out, steps
+    return out, steps, (h, c)
 
 
 def _backward(x: np.ndarray, dout: np.ndarray, steps: list, w: dict, d: str, grad: dict) -> None:
@@ -165,13 +197,28 @@ def probabilities(net: Network, pages: list[np.ndarray]) -> list[np.ndarray]:
         n = max(1, min(len(order), BATCH_BLOCKS // max(1, len(pages[order[-1]]))))
         own, order = order[-n:], order[:-n]
         x, mask = _padded([pages[k] for k in own])
-        h = np.concatenate([_forward(x, mask, net.w, "f")[0], _forward(x, mask, net.w, "b")[0]], 2)
+        h = np.concatenate([_forward(x, mask, net.w, d, keep=False)[0] for d in "fb"], 2)
         p = _sigmoid(h @ net.w["wo"] + net.w["bo"])
         for j, k in enumerate(own):
             out[k] = p[:len(pages[k]), j]
     return out
 
 
+def long_probabilities(net: Network, blocks: list[Block], window: int = BATCH_BLOCKS) -> np.ndarray:
+    """The same for one page of any number of blocks: only a window's vectors and states are held, and a number per
+    block of what each direction adds to its verdict."""
+    sizes = np.fromiter((len(b.text) for b in blocks), np.int64, len(blocks))
+    score = np.full(len(blocks), net.w["bo"][0], np.float32)
+    starts = list(range(0, len(blocks), window))
+    for d, half in (("f", net.w["wo"][:HIDDEN]), ("b", net.w["wo"][HIDDEN:])):
+        state = None
+        for a in starts if d == "f" else reversed(starts):
+            x = vectors(blocks[a:a + window], sizes, a)[:, None, :]
+            h, _, state = _forward(x, np.ones(x.shape[:2], np.float32), net.w, d, state, keep=False)
+            score[a:a + window] += h[:, 0] @ half
+    return _sigmoid(score)
+
+
 def labelled_pages(count: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
     maker, out = PageMaker(seed), []
     for _ in range(count):
@@ -199,7 +246,7 @@ def train(pages: int = 1600, epochs: int = 6, seed: int = 3, rate: float = 0.01)
             y = np.zeros_like(mask)
             for k, (_, v) in enumerate(own):
                 y[:len(v), k] = v
-            (hf, sf), (hb, sb) = _forward(x, mask, w, "f"), _forward(x, mask, w, "b")
+            (hf, sf, _), (hb, sb, _) = _forward(x, mask, w, "f"), _forward(x, mask, w, "b")
             h = np.concatenate([hf, hb], 2)
             p = _sigmoid(h @ w["wo"] + w["bo"])
             err = ((p - y) * mask / mask.sum()).astype(np.float32)
@@ -215,10 +262,23 @@ def train(pages: int = 1600, epochs: int = 6, seed: int = 3, rate: float = 0.01)
     return Network({k: v.astype(np.float32) for k, v in w.items()})
 
 
-def label_blocks(net: Network, html: list[str | None]) -> list[tuple[list[Block], np.ndarray]]:
-    """The blocks of each page and which of them are main text."""
-    blocks = [blocks_of(h) for h in html]
-    return [(b, p >= 0.5) for b, p in zip(blocks, probabilities(net, [vectors(b) for b in blocks]), strict=True)]
+def label_blocks(net: Network, html: list[str | None]) -> Iterator[tuple[list[Block], np.ndarray]]:
+    """The blocks of each page and which of them are main text; pages go through the network together until they have
+    BATCH_BLOCKS blocks, longer ones alone."""
+    held: list[list[Block]] = []
+
+    def judged() -> Iterator[tuple[list[Block], np.ndarray]]:
+        short = [b for b in held if len(b) <= BATCH_BLOCKS]
+        found = iter(probabilities(net, [vectors(b) for b in short]))
+        for b in held:
+            yield b, (next(found) if len(b) <= BATCH_BLOCKS else long_probabilities(net, b)) >= 0.5
+
+    for page in html:
+        held.append(blocks_of(page))
+        if sum(map(len, held)) > BATCH_BLOCKS:
+            yield from judged()
+            held.clear()
+    yield from judged()
 
 
 def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
@@ -226,11 +286,14 @@ def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(net or train())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = label_blocks(sent.value, batch["html"].to_pylist())
-        texts = ["\n\n".join(b.text for b, own in zip(blocks, main, strict=True) if own) for blocks, main in found]
+        texts, n_blocks, n_main = [], [], []
+        for blocks, main in label_blocks(sent.value, batch["html"].to_pylist()):
+            texts.append("\n\n".join(b.text for b, own in zip(blocks, main, strict=True) if own))
+            n_blocks.append(len(blocks))
+            n_main.append(int(main.sum()))
         return pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(b) for b, _ in found], pa.int64()),
-             pa.array([int(m.sum()) for _, m in found], pa.int64())], ["page_id", "url", "text", "n_blocks", "n_main"])
+            [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(n_blocks, pa.int64()), pa.array(n_main, pa.int64())],
+            ["page_id", "url", "text", "n_blocks", "n_main"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return rows.mapInArrow(sliced(step), "page_id long, url string, text string, n_blocks long, n_main long")

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -106,6 +107,47 @@ def test_warc_round_trip(spark, tmp_path):
             assert gzip.decompress(f.read(s["length"])).startswith(b"WARC/1.1\r\n")
 
 
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        blocks = blocks_of(page)
+        html_extract.vectors(blocks[-50:], np.ones(len(blocks), np.int64), len(blocks) - 50)
+        return len(blocks), time.perf_counter() - began
+
+    for unit in ("<div>x", "<title>x<p>y", "<p>x", "<b>x<i>", "<li>x<td>", "<div><select>x"):
+        n = 150_000 // len(unit)
+        small, large = seconds(unit * n), seconds(unit * (6 * n))
+        assert large[1] < 20 * max(small[1], 0.05), unit
+    assert seconds("<div>x" * 170_000)[0] == 170_000
+
+
+def plain_chances(net, x):
+    """The bidirectional LSTM by single numbers."""
+    size, sig = html_extract.HIDDEN, lambda v: 1 / (1 + math.exp(-v))
+    score = [float(net.w["bo"][0])] * len(x)
+    for half, d in enumerate("fb"):
+        wx, wh, bias = (net.w[f"{n}{d}"].astype(float) for n in ("wx", "wh", "b"))
+        h, c = [0.0] * size, [0.0] * size
+        for k in range(len(x)) if d == "f" else reversed(range(len(x))):
+            gate = [bias[j] + sum(x[k][i] * wx[i][j] for i in range(len(x[k])) if x[k][i]) + sum(h[i] * wh[i][j] for i in range(size)) for j in range(4 * size)]
+            for j in range(size):
+                c[j] = sig(gate[size + j]) * c[j] + sig(gate[j]) * math.tanh(gate[3 * size + j])
+            h = [sig(gate[2 * size + j]) * math.tanh(c[j]) for j in range(size)]
+            score[k] += sum(h[j] * float(net.w["wo"][half * size + j]) for j in range(size))
+    return [sig(v) for v in score]
+
+
+def test_network_matches_plain_numbers_and_windows():
+    net = html_extract.train(pages=60, epochs=1)
+    pages = [b for b, _ in html_extract.labelled_pages(6, seed=12)]
+    together = html_extract.probabilities(net, [html_extract.vectors(b) for b in pages])
+    for blocks, found in zip(pages, together, strict=True):
+        assert np.allclose(found, html_extract.long_probabilities(net, blocks, window=7), atol=1e-4)
+    assert np.allclose(together[0], plain_chances(net, html_extract.vectors(pages[0]).tolist()), atol=1e-3)
+
+
 def test_warc_of_very_long_urls(spark, tmp_path):
     rows = [(1, "http://a/" + "% é" * 700_000, "x"), (2, "u", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
