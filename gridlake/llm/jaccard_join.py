@@ -5,7 +5,8 @@ A document's set holds its distinct ``size``-word shingles (64-bit hashes); two
 
 Each set is ordered rare first.  Two linked sets share a shingle among the first n - ceil(percent * n / 100) + 1 of
 each, so only these are joined.  A candidate pair must pass the length filter, the positional filter (the places of
-the shared shingle bound the overlap) and the suffix filter (the sets are cut at fixed points of the hash range; the
+the shared shingle among those that several documents hold bound the overlap; what only one holds adds nothing) and the
+suffix filter (the sets are cut at fixed points of the hash range; the
 smaller counts per part bound the overlap) before its sets are brought together, once.
 
 1. Documents that stand alone.  One that has a prefix full of shingles no other document holds links with nothing.  To
@@ -30,6 +31,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -191,8 +193,8 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
-    """(doc_id, digest, n, keys, parts) of the documents' sets in ``open_`` (doc_id, digest): their shingles and the
-    counts per part of the hash range of the suffix filter."""
+    """(sid, doc_id, n, keys, parts) of the documents' sets in ``open_`` (doc_id, digest): a number, the shingles and the
+    counts per part of the hash range of the suffix filter.  To be written at once, as the numbers are the tasks'."""
     ids = open_.select("doc_id").distinct()
     rows = _picked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
 
@@ -205,14 +207,17 @@ def shingle_sets(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
             ["doc_id", "digest", "n", "keys", "parts"])
 
     made = rows.mapInArrow(sliced(step), "doc_id long, digest binary, n long, keys array<long>, parts array<int>")
-    return made.join(open_, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return (made.join(open_, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).drop("digest")
+            .withColumn("sid", F.monotonically_increasing_id()))
 
 
 def _meets(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters of two prefix entries (columns n and pos with the given prefixes)."""
-    n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most >= least_overlap(n, m, percent))
+    """Length and positional filters of two prefix entries (columns n, m and place with the given prefixes): m shingles
+    are held by several documents, ``place`` of them come before the one that is met."""
+    n, o = F.col(f"{a}n"), F.col(f"{b}n")
+    left, right = F.col(f"{a}m") - F.col(f"{a}place"), F.col(f"{b}m") - F.col(f"{b}place")
+    most = F.least(f"{a}place", f"{b}place") + F.least(left, right)
+    return (100 * F.least(n, o) >= percent * F.greatest(n, o)) & (most >= least_overlap(n, o, percent))
 
 
 def _side(df: DataFrame, k: str, *cols: str) -> DataFrame:
@@ -251,10 +256,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
     for r in range(hub_rounds + 1):
         at = _with_component(entries, links)
         pairs = _hub_pairs(at, r, percent) if r < hub_rounds else _cross_pairs(at, percent)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        met = write_table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "met")
+        pairs = met if tried is None else met.join(tried, ["a", "b"], "left_anti")
         pairs = write_table(suffix_filter(pairs, sets, percent), "pairs")
+        drop_table(met)
         links = write_table(links.unionByName(verify(pairs, sets, percent)), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
     component = connected_components(links)
@@ -265,46 +270,93 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+ENTRIES = "s long, doc_id long, n long, m long, place long, typical int"
+
+
+def _prefixes(percent: int):
+    """A mapInArrow function from rows (sid, doc_id, n, s, f), sorted by sid, to the prefix entries of each set."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+
+    def entries(columns: list[np.ndarray]) -> pa.RecordBatch:
+        sid, doc_id, n, s, f = columns
+        order = np.lexsort((s, f, sid))
+        first = np.flatnonzero(np.diff(sid, prepend=sid[0] - 1))
+        sizes = np.diff(np.append(first, len(sid)))
+        m = np.repeat(sizes, sizes)
+        place = np.arange(len(sid)) - np.repeat(first, sizes)
+        typical = np.add.reduceat(np.log2(f.astype(float)), first) / n[first]
+        keep = place < (n - -(-percent * n // 100) + 1) - (n - m)
+        out = (s[order], doc_id, n, m, place, np.repeat((1000 * typical).astype(np.int32), sizes))
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], names)
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("sid", "doc_id", "n", "s", "f")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last set may go on in the next batch
+            if whole:
+                yield entries([x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield entries(held)
+
+    return run
+
+
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
-    """Prefix entries (s, doc_id, n, pos, typical) whose shingle another set has too.
+    """Prefix entries (s, doc_id, n, m, place, typical) whose shingle another set has too.
 
-    A set's order is: shingles of one holder, then the others by their number of holders.  The first kind is only
+    A set's order is: shingles of one holder, then its m others by their number of holders.  The first kind is only
     counted, so a set with a prefix of them has no entry.  ``typical``: how often its shingles occur, on average of
     their logarithms."""
-    held = sets.select("doc_id", "digest", "n", F.explode("keys").alias("s"))
+    held = sets.select("sid", "doc_id", "n", F.explode("keys").alias("s"))
     repeated = held.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").withColumnRenamed("s", "t")
-    shared = (held.join(repeated, F.col("s") == F.col("t")).groupBy("doc_id", "digest", "n")
-              .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared")))
-    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    alone = F.col("n") - F.size("shared")
-    typical = F.aggregate("shared", F.lit(0.0), lambda x, e: x + F.log2(e["f"].cast("double"))) / F.col("n")
-    return (shared.where(alone < prefix)
-            .select("doc_id", "n", (1000 * typical).cast("int").alias("typical"), alone.alias("alone"),
-                    F.posexplode(F.slice("shared", F.lit(1), (prefix - alone).cast("int"))).alias("place", "e"))
-            .select(F.col("e.s").alias("s"), "doc_id", "n", (F.col("alone") + F.col("place")).alias("pos"), "typical"))
+    shared = held.join(repeated, F.col("s") == F.col("t")).select("sid", "doc_id", "n", "s", "f")
+    return shared.repartition("sid").sortWithinPartitions("sid").mapInArrow(_prefixes(percent), ENTRIES)
 
 
 def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
     component = connected_components(links)
     return entries.join(component, F.col("doc_id") == F.col("node"), "left").select(
-        "s", "doc_id", "n", "pos", "typical", F.coalesce("component", "doc_id").alias("c"))
+        "s", "doc_id", "n", "m", "place", "typical", F.coalesce("component", "doc_id").alias("c"))
+
+
+_MET = ("doc_id", "n", "m", "place", "c")
 
 
 def _hub_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every entry with its shingle's hub: the most typical document in the first turn, a random one later."""
     by = F.col("typical").cast("long") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    hubs = entries.groupBy("s").agg(F.max(F.struct(by.alias("by"), "doc_id", "n", "pos", "c")).alias("h"))
-    hubs = hubs.select("s", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc_id", "n", "pos", "c")])
+    hubs = entries.groupBy("s").agg(F.max(F.struct(by.alias("by"), *_MET)).alias("h"))
+    hubs = hubs.select("s", *[F.col(f"h.{c}").alias(f"h_{c}") for c in _MET])
     return (entries.join(hubs, "s").where((F.col("c") != F.col("h_c")) & _meets("", "h_", percent))
             .select(F.col("doc_id").alias("a"), F.col("h_doc_id").alias("b")))
 
 
+def _band(n: Column) -> Column:
+    """Sizes in bands of two hundredths."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+
+
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every two entries of a shingle whose documents are still in different components."""
-    several = entries.groupBy("s").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("s")
-    open_ = write_table(entries.join(several, "s", "left_semi"), "open")
-    other = open_.select("s", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "pos", "c")])
-    return (open_.join(other, "s").where((F.col("c") < F.col("o_c")) & _meets("", "o_", percent))
+    """Entries of a shingle whose documents are still in different components and could link.
+
+    Of two such entries one at least is outside the shingle's largest component; it looks for the other among the
+    sizes o with 100 * m >= percent * (n + o) / (1 + percent / 100), since it can share no more than its m shingles,
+    and within the length filter: the sizes' bands are part of the join's key."""
+    sizes = entries.groupBy("s", "c").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("s").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select(
+        "s", F.col("top.c").alias("top"))
+    open_ = write_table(entries.join(top, "s"), "open")
+    least = F.ceil(percent * F.col("n") / 100)
+    most = F.least(F.floor(100 * F.col("n") / percent), F.floor(F.col("m") * (100 + percent) / percent) - F.col("n"))
+    lone = open_.where(F.col("c") != F.col("top")).withColumns({"_low": least, "_high": most}).where("_low <= _high")
+    lone = lone.withColumn("band", F.explode(F.sequence(_band(F.col("_low")), _band(F.col("_high")))))
+    other = open_.select("s", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"o_{c}") for c in _MET])
+    return (lone.join(other, ["s", "band"]).where((F.col("c") != F.col("o_c")) & _meets("", "o_", percent))
             .select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")))
 
 
