@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,16 +43,18 @@ def hashed_counts(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.
     """Sum over all tasks of a count table with a fixed number of buckets.
 
     ``count`` turns a task's batches into an int64 array of ``buckets`` counts (bounded memory however
-    large the task's input).  A task sends its table as chunks; every chunk is summed by one streaming
-    group, and only the summed table, ``8 * buckets`` bytes whatever the input, reaches the driver.
+    large the task's input).  A task sends its table as chunks.  They are added in two steps, first per slice of
+    tasks (as many slices as the tables' size asks for), then per chunk, so no task adds up what all tasks sent; only
+    the summed table, ``8 * buckets`` bytes whatever the input, reaches the driver.
     """
 
     def partial(batches):
         total = count(batches)
+        own = random.randrange(1 << 16)
         for k in range(0, buckets, chunk):
             part = total[k:k + chunk]
             if part.any():
-                yield batch_of({"chunk": ([k], pa.int64()), "counts": ([part.astype("<i8").tobytes()], pa.binary())})
+                yield batch_of({"chunk": ([k], pa.int64()), "counts": ([part.astype("<i8").tobytes()], pa.binary()), "slice": ([own], pa.int32())})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -64,7 +67,8 @@ def hashed_counts(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.
 
     schema = "chunk long, counts binary"
     n_chunks = -(-buckets // chunk)
-    rows = (df.mapInArrow(partial, schema)
+    rows = (df.mapInArrow(partial, schema + ", slice int")
+            .repartition("slice").mapInArrow(add, schema)
             .repartition(min(n_chunks, 64), "chunk")
             .mapInArrow(add, schema).collect())
     out = np.zeros(buckets, np.int64)
