@@ -33,6 +33,7 @@ from gridlake.operators.profile import complexity_score
 from gridlake.schema import CELL_COLUMNS
 from gridlake.session import write_table
 from gridlake.sources.files import open_path
+from gridlake.sources.tables import number_rows
 
 # Element names are matched in any namespace ("{*}name"), so transitional and strict workbooks, and
 # any namespace prefix, read alike.
@@ -159,7 +160,7 @@ def shared_strings(zf: zipfile.ZipFile) -> list[str]:
 _STRINGS: dict[str, pa.Array] = {}
 
 
-def _strings_of(path: str, zf: zipfile.ZipFile) -> pa.Array:
+def strings_of(path: str, zf: zipfile.ZipFile) -> pa.Array:
     """A workbook's shared strings; the last workbook's are kept, since the groups of one workbook often meet
     the same Python worker, if they are not over 64 MB."""
     info = zf.getinfo(_related(zf, "sharedStrings", "xl/sharedStrings.xml")) if _related(
@@ -338,12 +339,15 @@ def _unescape(b: bytes) -> str:
     return html.unescape(t) if "&" in t else t
 
 
-_OUT_FIELDS = [("row", pa.int64()), ("col", pa.int32()), ("value", pa.string()), ("formula", pa.string()),
+OUT_FIELDS = [("row", pa.int64()), ("col", pa.int32()), ("value", pa.string()), ("formula", pa.string()),
                ("is_date", pa.bool_()), ("serial", pa.float64())]
 
 
+OUT_KINDS = dict(OUT_FIELDS)
+
+
 def _empty_batch() -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], t) for _, t in _OUT_FIELDS], names=[n for n, _ in _OUT_FIELDS])
+    return pa.RecordBatch.from_arrays([pa.array([], t) for _, t in OUT_FIELDS], names=[n for n, _ in OUT_FIELDS])
 
 
 def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict) -> pa.RecordBatch | None:
@@ -426,7 +430,7 @@ def _fast_chunk(chunk: bytes, strings: pa.Array, dates: set[int], shared_f: dict
         formula = pa.nulls(n, pa.string())
     if is_date is None:
         is_date, serial = pa.repeat(pa.scalar(False), n), pa.nulls(n, pa.float64())
-    batch = pa.RecordBatch.from_arrays([row, col, value, formula, is_date, serial], names=[x for x, _ in _OUT_FIELDS])
+    batch = pa.RecordBatch.from_arrays([row, col, value, formula, is_date, serial], names=[x for x, _ in OUT_FIELDS])
     return batch.filter(pc.or_(pc.is_valid(value), pc.is_valid(formula)))
 
 
@@ -461,8 +465,8 @@ def parse_sheet_batches(zf: zipfile.ZipFile, part: str, strings: pa.Array, dates
             rows, row_no = _slow_chunk(chunk, py_strings, dates, shared_f, row_no)
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _OUT_FIELDS)],
-                                                 names=[x for x, _ in _OUT_FIELDS])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, OUT_FIELDS)],
+                                                 names=[x for x, _ in OUT_FIELDS])
 
 
 def parse_sheet_frames(zf: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[pd.DataFrame]:
@@ -484,7 +488,7 @@ DAMAGE = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, A
           zlib.error, NotImplementedError, RuntimeError, UnicodeDecodeError, OverflowError, pa.ArrowInvalid)
 
 
-def _reason(e: BaseException) -> str:
+def reason(e: BaseException) -> str:
     return f"{type(e).__name__}: {e}"
 
 
@@ -496,31 +500,30 @@ def _listing_fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with open_zip(path) as zf:
                     rows += [(path, i, name, part, size, None) for i, name, part, size in list_sheets(zf)]
             except DAMAGE as e:  # a bad file becomes an error row, the job goes on
-                rows.append((path, None, None, None, None, _reason(e)))
+                rows.append((path, None, None, None, None, reason(e)))
         yield pd.DataFrame(rows, columns=[f.name for f in LISTING_SCHEMA.fields])
 
 
 def _parse_fn(batch_rows: int):
     names = [f.name for f in RAW_CELLS_SCHEMA.fields]
-    kinds = dict(_OUT_FIELDS)
 
     def rows_of(path: str, sheet: dict, part: pa.RecordBatch | None, error: str | None = None) -> pa.RecordBatch:
         n = part.num_rows if part is not None else 1
         fixed = {"workbook": pa.scalar(path, pa.string()), "sheet": pa.scalar(sheet["sheet"], pa.string()),
                  "sheet_idx": pa.scalar(sheet["sheet_idx"], pa.int32()), "error": pa.scalar(error, pa.string())}
         return pa.RecordBatch.from_arrays(
-            [pa.repeat(fixed[x], n) if x in fixed else part.column(x) if part is not None else pa.nulls(1, kinds[x])
+            [pa.repeat(fixed[x], n) if x in fixed else part.column(x) if part is not None else pa.nulls(1, OUT_KINDS[x])
              for x in names], names=names)
 
     def sheets_of(path: str, zf: zipfile.ZipFile, sheets: list[dict]) -> Iterator[pa.RecordBatch]:
-        strings, dates = _strings_of(path, zf), date_styles(zf)
+        strings, dates = strings_of(path, zf), date_styles(zf)
         for s in sheets:
             try:
                 for batch in parse_sheet_batches(zf, s["part"], strings, dates):
                     for off in range(0, batch.num_rows, batch_rows):
                         yield rows_of(path, s, batch.slice(off, batch_rows))
             except DAMAGE as e:  # the cells before the fault stay, and the sheet gets an error row
-                yield rows_of(path, s, None, _reason(e))
+                yield rows_of(path, s, None, reason(e))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -530,7 +533,7 @@ def _parse_fn(batch_rows: int):
                         yield from sheets_of(task["path"], zf, task["sheets"])
                 except DAMAGE as e:  # shared strings, styles, or the zip itself
                     for s in task["sheets"]:
-                        yield rows_of(task["path"], s, None, _reason(e))
+                        yield rows_of(task["path"], s, None, reason(e))
     return fn
 
 
@@ -564,14 +567,15 @@ def sheet_listing(files: DataFrame) -> DataFrame:
 
 
 def read_raw(files: DataFrame, listing: DataFrame | None = None, target_bytes: int = 4 << 20,
-             batch_rows: int = 65_536) -> DataFrame:
+             batch_rows: int = 65_536, partition_bytes: int = 128 << 20) -> DataFrame:
     """S3 + S4 before typing: a row per cell, and a row with ``error`` for each sheet that could not be read to
     its end.
 
     Sheets are grouped per workbook by cumulative XML size (a window over the small sheet
     listing, one row per sheet); each (workbook, group) is one task that opens the zip
     itself and streams only its sheets, so no file content is shuffled.  The groups are written (a few
-    numbers each) and dealt round-robin, one to a partition, so large ones do not meet.  A sheet part is
+    numbers each), numbered in the order of their files, and cut into partitions of ``partition_bytes`` of XML or, if
+    that gives too few for the cluster's cores, some per core: neighbours share a workbook's strings.  A sheet part is
     compressed as a whole and cannot be entered in the middle, so one sheet is one task's work.
     """
     listing = sheet_listing(files) if listing is None else listing
@@ -579,9 +583,12 @@ def read_raw(files: DataFrame, listing: DataFrame | None = None, target_bytes: i
     w = Window.partitionBy("path").orderBy("sheet_idx").rowsBetween(Window.unboundedPreceding, 0)
     grouped = ok.withColumn("_grp", F.floor(F.sum("part_bytes").over(w) / F.lit(target_bytes)).cast("bigint"))
     tasks = write_table(grouped.groupBy("path", "_grp").agg(
-        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets")), "sheet_groups")
-    n = max(1, tasks.count())
-    return tasks.repartition(n).select("path", "sheets").mapInArrow(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
+        F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet", "part"))).alias("sheets"), F.sum("part_bytes").alias("bytes")), "sheet_groups")
+    groups, size = tasks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n = max(1, min(groups, max(size // partition_bytes, 4 * files.sparkSession.sparkContext.defaultParallelism)))
+    place = F.floor((F.col("row") - 1) * n / F.lit(max(groups, 1))).cast("int")
+    dealt = number_rows(tasks, ["path", "_grp"]).repartitionById(n, place)
+    return dealt.select("path", "sheets").mapInArrow(_parse_fn(batch_rows), RAW_CELLS_SCHEMA)
 
 
 def cells_of(raw: DataFrame) -> DataFrame:
