@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import budget as bg
 from gridlake.functions.a1 import col_letters, parse_location
-from gridlake.functions.cursor import decode_cursor, encode_cursor
+from gridlake.functions.cursor import checksum_matches, decode_cursor, encode_cursor
 from gridlake.functions.values import is_text, parse_money
 from gridlake.functions.values import sanitise as sanitise_text
 from gridlake.operators import budget as bo
@@ -28,10 +28,15 @@ from gridlake.operators import search as sr
 from gridlake.operators import spatial as sp
 from gridlake.operators import window as wn
 from gridlake.plans.grid import formula_cells, grid_cells, load
+from gridlake.schema import DELTA_SCHEMA
 from gridlake.sinks import events as evs
 from gridlake.sinks import export as xp
+from gridlake.sinks import workbooks as wbs
 from gridlake.session import checkpoint_dir
+from gridlake.sources import datasource as ds
+from gridlake.sources import workbook as wbk
 from gridlake.sources.tables import decimal_text, number_rows, with_cell_fields
+from gridlake.streaming import deltas as dl
 from gridlake.streaming import hotkeys as hk
 from gridlake.streaming import metrics as mt
 
@@ -738,3 +743,112 @@ def exact_range_counts(spark, d):
     ranges = load(spark, d, "part").select("p_partkey", far("p_partkey"), far("p_partkey", 2))
     orders = load(spark, d, "orders").select(far("o_custkey"))
     return sr.range_count(ranges, orders, ["p_partkey"], "x0", "x2", "x0")
+
+
+# ---------------------------------------------------------------- sources, stores and streams end to end
+
+
+def _fresh(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _books(spark, d):
+    """The sheets of formulas written as workbooks, one of two sheets (the last may have one)."""
+    cells = formula_cells(spark, d).withColumn("workbook", F.concat(F.lit("Book "), F.floor(F.col("sheet_idx") / 2)))
+    folder = _fresh(spark, "books")
+    wbs.write_workbooks(cells, folder).count()
+    return folder
+
+
+@query
+def workbook_source(spark, d):
+    """Workbooks written from a table and read back through the data source, with pushed filters."""
+    raw = spark.read.format(ds.register(spark)).option("splitBytes", 20_000).load(_books(spark, d))
+    wanted = raw.filter((F.col("row") > 100) & F.col("sheet").isin("calc0", "calc1", "calc3"))
+    return wbk.cells_of(wanted).select("sheet", "row", "col", "value", "num", "formula")
+
+
+@query
+def workbook_facts(spark, d):
+    """Sheets, complexity and memory estimate per workbook; no file is over the limit."""
+    files = wbk.workbook_files(spark, _books(spark, d), max_file_size=1 << 30)
+    listing = wbk.sheet_listing(files)
+    m = wbk.workbook_metadata(files, wbk.read_cells(files, listing), listing)
+    return m.select(F.regexp_extract(F.url_decode("workbook"), r"([^/]*)\.xlsx$", 1).alias("workbook"), F.length("checksum").alias("digits"),
+                    "sheets_count", F.round("complexity_score", 6).alias("complexity"), "memory_estimate")
+
+
+@query
+def delta_store(spark, d):
+    """The changes of the orders as JSON files, streamed into the store of cells; its state afterwards."""
+    cells, deltas = _changed_orders(spark, d)
+    root, feed = _fresh(spark, "store"), _fresh(spark, "feed")
+    dl.init_store(cells, root)
+    deltas.select(*[F.col(f.name).cast(f.dataType) for f in DELTA_SCHEMA.fields]).write.json(feed)
+    dl.start_updates(dl.stream_deltas(spark, feed), root, f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    return dl.current_cells(spark, root).select(F.col("row").alias("k"), F.col("value").alias("v"), F.col("formula").alias("f"))
+
+
+@query
+def hot_key_totals(spark, d):
+    """The events streamed through the state of hot keys; the last totals of each key."""
+    feed, out = _fresh(spark, "events"), _fresh(spark, "totals")
+    load(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "event_id").write.parquet(feed)
+    stream = spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed)
+    totals = hk.hot_key_stream(stream, ["k"], "ts", "event_id", ttl_seconds=600, hot_ttl_seconds=1200, promote_after=3)
+    (totals.writeStream.outputMode("update").foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/batch={b}"))
+     .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination())
+    last = spark.read.parquet(out).groupBy("k").agg(F.max(F.struct("batch", "accesses", "hits", "promotions")).alias("t"))
+    return last.select("k", "t.accesses", "t.hits", "t.promotions")
+
+
+@query
+def event_readback(spark, d):
+    """K6: the row events written as gzip text and read back."""
+    path = _fresh(spark, "row-events")
+    evs.write_events(evs.row_batch_events(grid_cells(spark, d), 100), path, compression="gzip")
+    return evs.read_events(spark, path).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stored_index(spark, d):
+    """K5: the stored index of the grid: an AND search of tokens, a number range and a rectangle over its tables."""
+    path = _fresh(spark, "index")
+    ix.write_index(grid_cells(spark, d), path, files_per_table=4)
+    t = ix.read_index(spark, path)
+    words = sr.search_text(t["postings"], "cold widget").select(F.lit("text").alias("q"), "sheet", "row", "col")
+    numbers = sr.search_numeric(t["numeric_index"], 10, 20).select(F.lit("range").alias("q"), "sheet", "row", "col")
+    rect = sp.search_rect_stored(spark, path, 1, 5, 2, 10).select(F.lit("rect").alias("q"), "sheet", "row", "col")
+    return words.unionByName(numbers).unionByName(rect)
+
+
+@query
+def has_more(spark, d):
+    """The first page of orders by price, probed and by the reference's rule."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    order = [("o_totalprice", False), ("o_orderkey", True)]
+    probe = pg.with_has_more(o, order, 50).select("o_orderkey", F.col("has_more").alias("probe"))
+    return probe.join(pg.with_has_more(o, order, 50, "at_least").select("o_orderkey", F.col("has_more").alias("at_least")), "o_orderkey")
+
+
+@query
+def formula_sample(spark, d):
+    """The formula class of each workbook from the corner of its first sheets alone, and from all cells."""
+    cells = formula_cells(spark, d).withColumn("workbook", F.concat(F.lit("b"), F.col("sheet_idx") % 2))
+    part = pf.formula_complexity(cells, sample_sheets=2, sample=600).select("workbook", F.col("n_formulas").alias("sampled"), F.col("cls").alias("sampled_class"))
+    return part.join(pf.formula_complexity(cells, sample_sheets=None, sample=None).select("workbook", "n_formulas", "cls"), "workbook")
+
+
+@query
+def cursor_checks(spark, d):
+    """whether a cursor carries the checksum that its reader expects."""
+    docs = load(spark, d, "documents")
+    enc = docs.select("doc_id", encode_cursor(F.concat(F.lit("chunk_"), "doc_id"), "n_chars", F.sha2("text", 256), F.lit(NOW_SECONDS)).alias("cursor"),
+                      F.sha2(F.when(F.col("doc_id") % 3 == 0, F.lit("other")).otherwise(F.col("text")), 256).alias("expected"))
+    return enc.select("doc_id", checksum_matches(decode_cursor("cursor", F.lit(NOW_SECONDS)), F.col("expected")).alias("ok"))
+
+
+@query
+def json_token_counts(spark, d):
+    """tokens of a number's JSON text."""
+    return load(spark, d, "documents").select("doc_id", bg.json_tokens("n_chars").alias("tokens"))

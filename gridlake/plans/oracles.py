@@ -436,3 +436,36 @@ SELECT sheet, col, COUNT(num) AS n, MIN(num) AS lo, MAX(num) AS hi, round(AVG(nu
 FROM cells WHERE num IS NOT NULL GROUP BY ALL""", cells=True)
 sql("exact_range_counts", """
 SELECT p_partkey, COUNT(*) AS n FROM part JOIN orders ON o_custkey >= p_partkey AND o_custkey < p_partkey + 2 GROUP BY p_partkey""")
+
+# ---------------------------------------------------------------- sources, stores and streams end to end
+sql("workbook_source", _CALC + _FORMULAS + """
+, c AS (SELECT p.r, 1 AS col, CAST(p.r - 1 AS VARCHAR) AS value, CAST(p.r - 1 AS DOUBLE) AS num, f AS formula FROM p JOIN fa USING (r)
+  UNION ALL SELECT p.r, 2, CAST(p_size AS VARCHAR), CAST(p_size AS DOUBLE), f FROM p LEFT JOIN fb USING (r)
+  UNION ALL SELECT r, 3, p_brand, NULL, NULL FROM p)
+SELECT 'calc' || (r - 1) // 500 AS sheet, r AS row, col, value, num, formula FROM c WHERE r > 100 AND (r - 1) // 500 IN (0, 1, 3)""")
+sql("workbook_facts", """
+WITH p AS (SELECT p_partkey + 1 AS r, p_partkey % 100 AS i, (p_partkey - p_partkey % 100) // 500 AS s FROM part),
+sh AS (SELECT s, MAX(r) AS n, COUNT(*) FILTER (r <= 10) + COUNT(*) FILTER (r <= 10 AND i % 10 = 0) AS f FROM p GROUP BY s)
+SELECT 'Book ' || s // 2 AS workbook, 64 AS digits, COUNT(*) AS sheets_count,
+  round(least(10.0, CAST(COUNT(*) * 0.1 + SUM(0.001 * n + 0.1 * f) AS DOUBLE)), 6) AS complexity, 1048576 + 512000 * COUNT(*) AS memory_estimate
+FROM sh GROUP BY s // 2""")
+sql("delta_store", _SQL["cell_changes"])
+sql("hot_key_totals", f"SELECT k, accesses, hits, promotions FROM ({_SQL['hot_keys'].strip()})")
+sql("event_readback", """
+, e AS (SELECT sheet, MAX(row) AS n FROM cells GROUP BY sheet)
+SELECT unnest(['metadata', 'complete', 'sheet_start', 'sheet_complete', 'rows']) AS type,
+  unnest([1, 1, COUNT(*), COUNT(*), CAST(SUM((n + 99) // 100) AS BIGINT)]) AS n FROM e""", cells=True)
+sql("stored_index", """
+SELECT 'text' AS q, sheet, row, col FROM cells WHERE list_has_all(string_split_regex(lower(value), '\\s+'), ['cold','widget'])
+UNION ALL SELECT 'range', sheet, row, col FROM cells WHERE num >= 10 AND num < 20
+UNION ALL SELECT 'rect', sheet, row, col FROM cells WHERE col BETWEEN 2 AND 3 AND row BETWEEN 6 AND 15""", cells=True)
+sql("has_more", """
+SELECT o_orderkey, (SELECT COUNT(*) FROM orders) > 50 AS probe, (SELECT COUNT(*) FROM orders) >= 50 AS at_least FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""")
+sql("formula_sample", """
+WITH p AS (SELECT p_partkey + 1 AS r, p_partkey % 100 AS i, (p_partkey - p_partkey % 100) // 500 AS s FROM part),
+c AS (SELECT 'b' || s % 2 AS workbook, s, r FROM p UNION ALL SELECT 'b' || s % 2, s, r FROM p WHERE i % 10 = 0)
+SELECT workbook, COUNT(*) FILTER (s < 2 AND r <= 600) AS sampled, 'simple' AS sampled_class, COUNT(*) AS n_formulas, 'simple' AS cls FROM c
+GROUP BY workbook HAVING COUNT(*) FILTER (s < 2 AND r <= 600) > 0""")
+sql("cursor_checks", "SELECT doc_id, doc_id % 3 <> 0 AS ok FROM documents")
+sql("json_token_counts", "SELECT doc_id, CAST(ceil((6 + length(CAST(n_chars AS VARCHAR))) / 4.0) AS BIGINT) AS tokens FROM documents")
