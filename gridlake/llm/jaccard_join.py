@@ -50,6 +50,8 @@ SHARE = 3
 CHUNK_KEYS, RANGE_KEYS, CHUNK_DOCS, MAX_RANGES = 1 << 20, 1 << 22, 1 << 15, 1 << 14
 #: Parts of the hash range for the suffix filter.
 PARTS = 64
+#: Shingles before an entry's own that it carries.
+BEFORE = 64
 #: Up to this many document ids are broadcast to pick documents; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -211,13 +213,19 @@ def shingle_sets(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
             .withColumn("sid", F.monotonically_increasing_id()))
 
 
-def _meets(a: str, b: str, percent: int) -> Column:
+def _meets(a: str, b: str, percent: int, first: bool = False) -> Column:
     """Length and positional filters of two prefix entries (columns n, m and place with the given prefixes): m shingles
-    are held by several documents, ``place`` of them come before the one that is met."""
+    are held by several documents, ``place`` of them come before the one that is met.
+
+    With ``first`` the pair meets at the first shingle that both prefixes hold, as far as their columns ``before`` tell
+    (the first BEFORE of those places), and nothing before that counts."""
     n, o = F.col(f"{a}n"), F.col(f"{b}n")
     left, right = F.col(f"{a}m") - F.col(f"{a}place"), F.col(f"{b}m") - F.col(f"{b}place")
-    most = F.least(f"{a}place", f"{b}place") + F.least(left, right)
-    return (100 * F.least(n, o) >= percent * F.greatest(n, o)) & (most >= least_overlap(n, o, percent))
+    passed = F.least(f"{a}place", f"{b}place")
+    if first:
+        passed = F.when(F.greatest(f"{a}place", f"{b}place") > BEFORE, passed).otherwise(0)
+    fits = (100 * F.least(n, o) >= percent * F.greatest(n, o)) & (passed + F.least(left, right) >= least_overlap(n, o, percent))
+    return fits & ~F.arrays_overlap(f"{a}before", f"{b}before") if first else fits
 
 
 def _side(df: DataFrame, k: str, *cols: str) -> DataFrame:
@@ -270,7 +278,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, hub_ro
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-ENTRIES = "s long, doc_id long, n long, m long, place long, typical int"
+ENTRIES = "s long, doc_id long, n long, m long, place long, typical int, before array<long>"
 
 
 def _prefixes(percent: int):
@@ -286,8 +294,13 @@ def _prefixes(percent: int):
         place = np.arange(len(sid)) - np.repeat(first, sizes)
         typical = np.add.reduceat(np.log2(f.astype(float)), first) / n[first]
         keep = place < (n - -(-percent * n // 100) + 1) - (n - m)
-        out = (s[order], doc_id, n, m, place, np.repeat((1000 * typical).astype(np.int32), sizes))
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], names)
+        s = s[order]
+        out = [pa.array(x[keep]) for x in (s, doc_id, n, m, place, np.repeat((1000 * typical).astype(np.int32), sizes))]
+        held = np.minimum(place[keep], BEFORE)
+        ends = np.concatenate([[0], np.cumsum(held)])
+        at = np.repeat(np.repeat(first, sizes)[keep] - ends[:-1], held) + np.arange(ends[-1])
+        out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[at])))
+        return pa.RecordBatch.from_arrays(out, names)
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -307,7 +320,7 @@ def _prefixes(percent: int):
 
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
-    """Prefix entries (s, doc_id, n, m, place, typical) whose shingle another set has too.
+    """Prefix entries (s, doc_id, n, m, place, typical, before) whose shingle another set has too.
 
     A set's order is: shingles of one holder, then its m others by their number of holders.  The first kind is only
     counted, so a set with a prefix of them has no entry.  ``typical``: how often its shingles occur, on average of
@@ -321,7 +334,7 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
 def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
     component = connected_components(links)
     return entries.join(component, F.col("doc_id") == F.col("node"), "left").select(
-        "s", "doc_id", "n", "m", "place", "typical", F.coalesce("component", "doc_id").alias("c"))
+        "s", "doc_id", "n", "m", "place", "typical", "before", F.coalesce("component", "doc_id").alias("c"))
 
 
 _MET = ("doc_id", "n", "m", "place", "c")
@@ -346,7 +359,7 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
     Of two such entries one at least is outside the shingle's largest component; it looks for the other among the
     sizes o with 100 * m >= percent * (n + o) / (1 + percent / 100), since it can share no more than its m shingles,
-    and within the length filter: the sizes' bands are part of the join's key."""
+    and within the length filter: the sizes' bands are part of the join's key.  A pair is given where it first meets."""
     sizes = entries.groupBy("s", "c").agg(F.count("*").alias("k"))
     top = sizes.groupBy("s").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select(
         "s", F.col("top.c").alias("top"))
@@ -355,8 +368,8 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     most = F.least(F.floor(100 * F.col("n") / percent), F.floor(F.col("m") * (100 + percent) / percent) - F.col("n"))
     lone = open_.where(F.col("c") != F.col("top")).withColumns({"_low": least, "_high": most}).where("_low <= _high")
     lone = lone.withColumn("band", F.explode(F.sequence(_band(F.col("_low")), _band(F.col("_high")))))
-    other = open_.select("s", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"o_{c}") for c in _MET])
-    return (lone.join(other, ["s", "band"]).where((F.col("c") != F.col("o_c")) & _meets("", "o_", percent))
+    other = open_.select("s", _band(F.col("n")).alias("band"), *[F.col(c).alias(f"o_{c}") for c in (*_MET, "before")])
+    return (lone.join(other, ["s", "band"]).where((F.col("c") != F.col("o_c")) & _meets("", "o_", percent, first=True))
             .select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")))
 
 
