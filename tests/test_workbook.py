@@ -201,6 +201,31 @@ def test_one_call_compositions(spark, books):
     q = wb.query_cells(a["cells"], text="hello", lo=1, hi=3, max_results=10, context=True)
     locs = {r["location"] for r in q["hits"].collect()}
     assert "Sheet1!A3" in locs and "Sheet1!A1" in locs
+    known = a["metadata"].filter(F.col("workbook").endswith("many.xlsx")).select("workbook", "checksum")
+    nav = wb.build_navigation(a["cells"], a["sheets"], window_size=100, metadata=a["metadata"], known=known, now_seconds=1_700_000_000)
+    rows = {r["workbook"].split("/")[-1]: r for r in nav["control"].collect()}
+    assert rows["many.xlsx"]["checksum_match"] and rows["many.xlsx"]["ttl"] == 600 and rows["many.xlsx"]["next_cursor"]
+    assert all(not r["checksum_match"] and r["ttl"] == 300 and r["next_cursor"] is None for n, r in rows.items() if n != "many.xlsx")
+    assert rows["many.xlsx"]["used"] > 100 and rows["many.xlsx"]["remaining"] == 180_000 - rows["many.xlsx"]["used"]
+
+
+def test_query_pages_and_budget(spark):
+    from gridlake.plans import workbooks as wb
+    from gridlake.sources.tables import with_cell_fields
+
+    rows = [("w", "S", 0, r, c, f"v{r}" if c == 1 else str(r * c)) for r in range(1, 21) for c in (1, 2, 3)]
+    cells = with_cell_fields(spark.createDataFrame(rows, "workbook string, sheet string, sheet_idx int, row long, col int, value string"))
+    seen, after = [], None
+    while True:
+        hits = wb.query_cells(cells, lo=10, hi=31, exact="v3", rect=(0, 17, 1, 9), max_results=7, after=after)["hits"].orderBy("row", "col").collect()
+        seen += [(r["row"], r["col"]) for r in hits]
+        if not hits or not hits[-1]["has_more"]:
+            break
+        after = {c: hits[-1][c] for c in ("workbook", "sheet", "row", "col")}
+    assert seen == sorted((r, c) for _, _, _, r, c, v in rows if v == "v3" or (c > 1 and 10 <= r * c < 31) or (c == 1 and r >= 18))
+    few = wb.query_cells(cells, rect=(0, 0, 1, 99), max_results=50, max_tokens=5)["hits"].collect()
+    assert [r["tokens_used"] for r in few] == [1, 2, 3, 4, 5] and all(r["has_more"] for r in few)
+    assert wb.query_cells(cells, rect=(0, 0, 1, 2), max_tokens=0)["hits"].count() == 1
 
 
 def sheet_xml(body, prefix="", ns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"):
