@@ -308,6 +308,26 @@ def test_pipeline(spark, sf_dir):
     check_packing([(r["doc_id"], r["text"]) for r in rows.collect()], got)
 
 
+def test_pipeline_on_odd_rows(spark, sf_dir):
+    """Null texts go at the first stage, repeated rows and copies at the second; other columns, also of the stages' own
+    names, stay until the last."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("ver", "mon", "tal", "ris") for b in ("a", "e", "o") for c in ("n", "st", "ndo", "l", "re")]
+    texts = [" ".join(rng.choice(words) + ("." if k % 9 == 8 else "") for k in range(80)) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (40, texts[5]), (41, texts[6] + " extra"), (None, texts[7]), (50, None), (51, ""), (None, None)]
+    names = ["kept", "n_words", "component_id", "items", "spans", "piece", "_id", "n_chars"]
+    df = spark.createDataFrame([(i, t, *[k] * 7, len(t or "")) for k, (i, t) in enumerate(rows)],
+                               "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns
+        df = spark.createDataFrame(out.collect(), df.schema)
+    left = [(r["doc_id"], r["text"]) for r in df.collect()]
+    assert sorted(i for i, _ in left if i is not None) == list(range(12))
+    assert [t for i, t in left if i is None] == [texts[7]]
+    check_packing(left, corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).collect())
+
+
 def test_pipeline_on_an_empty_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

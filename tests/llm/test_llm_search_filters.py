@@ -29,7 +29,7 @@ def brute_url(url, rules, words):
     return host, path, None, "block" if set(re.split("[^0-9a-z]+", host)) & set(words) - {""} else "allow"
 
 
-@pytest.mark.parametrize(("share", "max_bytes"), [(None, 1 << 20), (0.5, 1 << 20), (0.5, 40)])
+@pytest.mark.parametrize(("share", "max_bytes"), [(None, 1 << 20), (0.5, 40)])
 def test_urls_match_brute_force(spark, share, max_bytes):
     rng = random.Random(3)
     hosts = ["com", "example.com", "www.Example.com", "a.b.example.com", "net", "x.net", "free-bets.org", "bets.x.net", "b", "évil.org", "a..net"]
@@ -47,13 +47,13 @@ def test_urls_match_brute_force(spark, share, max_bytes):
 
 
 def test_cascade_is_exact_with_many_levels(spark):
-    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    universe = spark.range(4_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 7 = 0").unionByName(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
-    cascade = url_filter.build_cascade(listed.unionByName(listed), universe.unionByName(universe), 20_000, share=0.4)
+    cascade = url_filter.build_cascade(listed.unionByName(listed), universe.unionByName(universe), 4_000, share=0.4)
     assert len(cascade.levels) >= 4
     bad = universe.where(cascade.contains(F.col("key")) != (F.expr("hash(key) % 7 = 0")))
     assert bad.count() == 0
-    small = url_filter.build_cascade(listed, universe, 20_000)
+    small = url_filter.build_cascade(listed, universe, 4_000)
     assert universe.where(small.contains(F.col("key"))).count() == listed.where("key like 'k%'").count()
     assert url_filter.build_cascade(listed.limit(0), universe, 5).levels == []
 
