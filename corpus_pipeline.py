@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages over ``documents``, each written and read again as the next one's input."""
+"""The training-data pipeline: five stages over ``documents``, each written and read again as the next one's input.
+
+Defined cases: null and empty texts fail the base rules, so they go at the first stage; of rows with the same doc_id and
+text, and of each group of near copies, one row stays; rows with a null doc_id are judged by the other stages, but have no
+copies; other columns pass all stages but the last, whatever their names; an empty table passes every stage.
+"""
 
 from __future__ import annotations
 
