@@ -35,7 +35,7 @@ WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Nodes that one automaton may have: a window has one per word at most.
 MAX_NODES = 8 << 20
-#: Words at a window's beginning by which the places to scan are found, and bits of a word number.
+#: Words at a window's beginning by which the places to scan are found, and the bits of their numbers that count there.
 HEAD, NUMBER_BITS = 3, 21
 
 
@@ -60,8 +60,6 @@ class Windows:
             for window in windows_of(words_of(text), size):
                 owners[window].add(item_id)
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for window in owners for w in window}))}
-        if len(self.number) >> NUMBER_BITS:
-            raise ValueError("a benchmark shard has too many different words")
         self.owners = [tuple(i for i in ids if i is not None) for ids in owners.values()]
         self.sizes = [len(window) for window in owners]
         self.longest = max(self.sizes, default=0)
@@ -70,15 +68,16 @@ class Windows:
         for k, window in enumerate(owners):
             numbers = tuple(map(self.number.__getitem__, window))
             self.automaton.add_word(numbers, k)
-            heads[min(HEAD, len(numbers))].add(sum(x << NUMBER_BITS * i for i, x in enumerate(numbers[:HEAD])))
+            heads[min(HEAD, len(numbers))].add(sum(x % (1 << NUMBER_BITS) << NUMBER_BITS * i for i, x in enumerate(numbers[:HEAD])))
         self.heads = {n: np.array(sorted(found), np.int64) for n, found in heads.items()}
         if owners:
             self.automaton.make_automaton()
 
     def places(self, numbers: np.ndarray) -> list[tuple[int, int]]:
         """The stretches of a text in which all windows that occur lie: from every place where the first words of one
-        stand to the length of the longest."""
+        stand (or words whose numbers have the same last bits) to the length of the longest."""
         found = np.zeros(len(numbers), bool)
+        numbers = numbers % (1 << NUMBER_BITS)
         for n, heads in self.heads.items():
             if len(numbers) >= n:
                 m = len(numbers) - n + 1
