@@ -67,7 +67,8 @@ def index_stats(cells: DataFrame, postings: DataFrame, numeric: DataFrame,
 
 
 def write_index(cells: DataFrame, path: str, mode: str = "overwrite", files_per_table: int | None = None) -> None:
-    """K5: persist ``cells``, ``postings``, ``numeric_index``, ``spatial`` and ``shapes`` as Parquet under ``path``.
+    """K5: persist ``cells``, ``postings``, ``numeric_index``, ``spatial`` (locations and values) and ``shapes`` as Parquet
+    under ``path``.
 
     Each table is range-partitioned and sorted on its lookup key so Parquet min/max statistics
     prune row groups for equality and range predicates; ``value`` and ``token`` also get a
@@ -93,7 +94,7 @@ def write_index(cells: DataFrame, path: str, mode: str = "overwrite", files_per_
          .write.mode(mode).parquet(f"{path}/numeric_index"))
 
     with ThreadPoolExecutor(3) as pool:
-        for done in [pool.submit(f) for f in (postings, lambda: write_spatial(stored, path, mode, n), numbers)]:
+        for done in [pool.submit(f) for f in (postings, lambda: write_spatial(stored.select(*LOCATION, "value"), path, mode, n), numbers)]:
             done.result()
 
 
