@@ -14,6 +14,7 @@ doc_ids are packed row by row; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -50,8 +51,8 @@ class WordEncoder:
         self.limit = limit
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        special = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.irregular = regex.compile("|".join([r"^\s|\s\s|\s$", *special])).search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = re.compile(r"\s\s").search
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         # byte-level letters: printable bytes stand for themselves, the others for letters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,7 +83,7 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.irregular(text):
+        if text[0].isspace() or text[-1].isspace() or any(t in text for t in self.special) or self.irregular(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # a part is a word after a space, or a line feed and the word after it
         parts = text.replace("\n", " \n").split(" ")
