@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.operators.sequence import join_side
 from gridlake.session import write_table
 
 #: Edges of a piece that one task may hold: some 100 bytes each.
@@ -86,8 +87,8 @@ def _trimmed(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
     """The edges left after a few rounds of taking away nodes without predecessors or successors, and their number."""
     n = edges.count()
     for _ in range(rounds):
-        has_out = edges.select(F.col("a").alias("b")).distinct()
-        has_in = edges.select(F.col("b").alias("a")).distinct()
+        has_out = join_side(edges.select(F.col("a").alias("b")).distinct(), n)
+        has_in = join_side(edges.select(F.col("b").alias("a")).distinct(), n)
         edges = write_table(edges.join(has_out, "b", "left_semi").join(has_in, "a", "left_semi").select("a", "b"), "trimmed")
         left = edges.count()
         if left == n:
@@ -96,19 +97,19 @@ def _trimmed(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
     return edges, n
 
 
-def _coloured(edges: DataFrame, seed: int) -> DataFrame:
-    """(v, f, b): the node of greatest priority that reaches v, and that v reaches."""
+def _coloured(edges: DataFrame, n: int, seed: int) -> DataFrame:
+    """(v, f, b): the node of greatest priority that reaches v, and that v reaches.  ``n`` edges have at most 2 * n nodes."""
     top = F.struct(F.xxhash64("v", F.lit(seed)).alias("p"), F.col("v").alias("v"))
     state = write_table(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", top.alias("f"), top.alias("b")), "colours")
     while True:
-        at = state.select(F.col("v").alias("u"), F.col("f").alias("uf"), F.col("b").alias("ub"))
+        at = join_side(state.select(F.col("v").alias("u"), F.col("f").alias("uf"), F.col("b").alias("ub")), 2 * n)
         none = F.lit(None).cast("struct<p:bigint,v:bigint>")
         told = (edges.join(at, F.col("a") == F.col("u")).select(F.col("b").alias("v"), F.col("uf").alias("f"), none.alias("b"))
                 .unionByName(edges.join(at, F.col("b") == F.col("u")).select(F.col("a").alias("v"), none.alias("f"), F.col("ub").alias("b")))
                 .unionByName(state.join(at, F.col("f.v") == F.col("u")).select("v", F.col("uf").alias("f"), none.alias("b")))
                 .unionByName(state.join(at, F.col("b.v") == F.col("u")).select("v", none.alias("f"), F.col("ub").alias("b")))
                 .groupBy("v").agg(F.max("f").alias("nf"), F.max("b").alias("nb")).withColumnRenamed("v", "w"))
-        grown = state.join(told, F.col("v") == F.col("w"), "left")
+        grown = state.join(join_side(told, 2 * n), F.col("v") == F.col("w"), "left")
         new = write_table(grown.select("v", F.greatest("f", "nf").alias("f"), F.greatest("b", "nb").alias("b"),
                                        ((F.col("nf") > F.col("f")) | (F.col("nb") > F.col("b"))).alias("grew")), "colours")
         state = new.drop("grew")
@@ -125,7 +126,9 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", max
     # numbers instead of nodes from here on; 2**33 of them per partition
     names = write_table(raw.select(F.explode(F.array("s", "d")).alias("node")).distinct().select(
         "node", F.monotonically_increasing_id().alias("v")), "nodes")
-    a, b = names.select(F.col("node").alias("s"), F.col("v").alias("a")), names.select(F.col("node").alias("d"), F.col("v").alias("b"))
+    n_names = names.count()
+    a = join_side(names.select(F.col("node").alias("s"), F.col("v").alias("a")), n_names)
+    b = join_side(names.select(F.col("node").alias("d"), F.col("v").alias("b")), n_names)
     left, n = _trimmed(write_table(raw.filter("s <> d").join(a, "s").join(b, "d").select("a", "b"), "numbered"), trim_rounds)
     found: list[DataFrame] = []
     seed = 0
@@ -134,19 +137,19 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", max
             found.append(write_table(_local(left.withColumn("piece", F.lit(0))), "components"))
             break
         seed += 1
-        colour = _coloured(left, seed)
-        one = colour.select(F.col("v").alias("a"), F.col("f.v").alias("af"), F.col("b.v").alias("ab"))
-        two = colour.select(F.col("v").alias("b"), F.col("f.v").alias("bf"), F.col("b.v").alias("bb"))
+        colour = _coloured(left, n, seed)
+        one = join_side(colour.select(F.col("v").alias("a"), F.col("f.v").alias("af"), F.col("b.v").alias("ab")), 2 * n)
+        two = join_side(colour.select(F.col("v").alias("b"), F.col("f.v").alias("bf"), F.col("b.v").alias("bb")), 2 * n)
         kept = write_table(left.join(one, "a").join(two, "b").filter("af = bf and ab = bb").select(
             "a", "b", F.struct("af", "ab").alias("piece")), "pieces")
         m = kept.count()
         if m == n:  # every piece is a component
             nodes = kept.select("piece", F.explode(F.array("a", "b")).alias("v")).distinct()
             low = nodes.groupBy("piece").agg(F.min("v").alias("c")).withColumnRenamed("piece", "_piece")
-            found.append(nodes.join(low, F.col("piece") == F.col("_piece")).select("v", "c"))
+            found.append(nodes.join(join_side(low, m), F.col("piece") == F.col("_piece")).select("v", "c"))
             break
         size = kept.groupBy("piece").agg(F.count("*").alias("k")).withColumnRenamed("piece", "_piece")
-        sized = kept.join(size, F.col("piece") == F.col("_piece"))
+        sized = kept.join(join_side(size, m), F.col("piece") == F.col("_piece"))
         found.append(write_table(_local(sized.filter(F.col("k") <= max_local_edges).select("a", "b", "piece")), "components"))
         left, n = _trimmed(write_table(sized.filter(F.col("k") > max_local_edges).select("a", "b"), "large"), trim_rounds)
     out = loops.select("node", F.col("node").alias("component"))
@@ -154,9 +157,9 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", max
         parts = found[0]
         for f in found[1:]:
             parts = parts.unionByName(f)
-        member = parts.join(names, "v").select("node", "c")
+        member = parts.join(join_side(names, n_names), "v").select("node", "c")
         low = member.groupBy("c").agg(F.min("node").alias("component")).withColumnRenamed("c", "_c")
-        member = write_table(member.join(low, F.col("c") == F.col("_c")).select("node", "component"), "members")
-        alone = out.join(member.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+        member = write_table(member.join(join_side(low, n_names), F.col("c") == F.col("_c")).select("node", "component"), "members")
+        alone = out.join(join_side(member.select(F.col("node").alias("_n")), n_names), F.col("node") == F.col("_n"), "left_anti")
         out = member.unionByName(alone)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridlake.operators.cycles import strongly_connected
 from gridlake.operators.links import formula_links
-from gridlake.operators.sequence import null_safe_join
+from gridlake.operators.sequence import join_side, null_safe_join
 from gridlake.schema import LOCATION
 from gridlake.session import checkpoint_dir, write_table
 
@@ -86,11 +86,12 @@ def cell_blocks(cells: DataFrame, levels: list[tuple[int, int]]) -> DataFrame:
 
 def readers(cells: DataFrame, blocks: DataFrame, levels: list[tuple[int, int]] | None = None) -> DataFrame:
     """The formulas that read each cell: ``cells``' location as workbook, sheet, row, col and the formula's as
-    formula_sheet, formula_row, formula_col; each pair once.  An equi join on the block."""
+    formula_sheet, formula_row, formula_col; each pair once.  An equi join on the block, merged unless ``cells`` are
+    marked for a broadcast.  ``blocks`` are read twice without ``levels``, so they should be a written table."""
     at = cell_blocks(cells.select(*LOCATION), levels_in_use(blocks) if levels is None else levels)
     reads = blocks.select("workbook", F.col("target_sheet").alias("_sheet"), *BLOCK[2:], F.col("sheet").alias("formula_sheet"),
                           F.col("row").alias("formula_row"), F.col("col").alias("formula_col")).withColumnRenamed("_sheet", "sheet")
-    return null_safe_join(at, reads, BLOCK).select(*LOCATION, "formula_sheet", "formula_row", "formula_col").distinct()
+    return null_safe_join(at, reads.hint("merge"), BLOCK).select(*LOCATION, "formula_sheet", "formula_row", "formula_col").distinct()
 
 
 def _node(sheet: str, row_level, row_block, col_level, col_block) -> Column:
@@ -123,7 +124,7 @@ def formula_cycles(cells: DataFrame, max_local_edges: int | None = None) -> Data
         "component", F.struct(F.col("node.workbook").alias("workbook"), F.col("node.sheet").alias("sheet"),
                               (F.col("node.row_block") + 1).alias("row"), (F.col("node.col_block") + 1).cast("int").alias("col")).alias("cell"))
     first = on.groupBy("component").agg(F.min("cell").alias("first")).withColumnRenamed("component", "_component")
-    return (on.join(first, F.col("component") == F.col("_component")).select(
+    return (on.join(first.hint("merge"), F.col("component") == F.col("_component")).select(
         "cell.*", F.col("first.sheet").alias("cycle_sheet"), F.col("first.row").alias("cycle_row"), F.col("first.col").alias("cycle_col")))
 
 
@@ -141,15 +142,18 @@ def downstream(cells: DataFrame, changed: DataFrame, max_depth: int | None = Non
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/reached-{uuid.uuid4().hex[:12]}"
     seen = lambda: spark.read.option("basePath", path).parquet(f"{path}/depth=*")
     changed.select(*LOCATION).distinct().write.parquet(f"{path}/depth=0")
-    depth = 0
+    depth, n_seen = 0, 0
     while max_depth is None or depth < max_depth:
         last = spark.read.parquet(f"{path}/depth={depth}")
+        n_last = last.count()
+        if not n_last:
+            break
+        n_seen += n_last
+        last = join_side(last, n_last * len(levels))
         found = readers(last, blocks, levels).select("workbook", F.col("formula_sheet").alias("sheet"), F.col("formula_row").alias("row"),
                                                      F.col("formula_col").alias("col")).distinct()
         depth += 1
-        null_safe_join(found, seen().select(*LOCATION), LOCATION, "left_anti").write.parquet(f"{path}/depth={depth}")
-        if not spark.read.parquet(f"{path}/depth={depth}").head(1):
-            break
+        null_safe_join(found, join_side(seen().select(*LOCATION), n_seen), LOCATION, "left_anti").write.parquet(f"{path}/depth={depth}")
     return seen().select(*LOCATION, F.col("depth").cast("int").alias("depth"))
 
 
@@ -165,26 +169,28 @@ def hit_formulas(hits: DataFrame, cells: DataFrame, blocks: DataFrame | None = N
     the hit's location, relation, formula_sheet, formula_row, formula_col, formula.  ``blocks``: the stored
     references, else they are taken from the cells' formulas."""
     formulas = formula_cells(cells)
-    blocks = reference_blocks(formula_links(formulas)) if blocks is None else blocks
-    at = hits.select(*LOCATION).distinct()
+    blocks = write_table(reference_blocks(formula_links(formulas)), "references") if blocks is None else blocks
+    levels = levels_in_use(blocks)
+    at = write_table(hits.select(*LOCATION).distinct(), "hits")
     text = formulas.select("workbook", F.col("sheet").alias("formula_sheet"), F.col("row").alias("formula_row"),
                            F.col("col").alias("formula_col"), "formula")
     place = ["workbook", "formula_sheet", "formula_row", "formula_col"]
     own = at.select("*", F.lit("own").alias("relation"), F.col("sheet").alias("formula_sheet"), F.col("row").alias("formula_row"),
                     F.col("col").alias("formula_col"))
-    read = readers(at, blocks).select(*LOCATION, F.lit("reads").alias("relation"), "formula_sheet", "formula_row", "formula_col")
-    return null_safe_join(own.unionByName(read), text, place)
+    read = readers(join_side(at, at.count() * len(levels)), blocks, levels).select(*LOCATION, F.lit("reads").alias("relation"), "formula_sheet", "formula_row", "formula_col")
+    return null_safe_join(own.unionByName(read), text.hint("merge"), place)
 
 
 def hit_parts(hits: DataFrame, cells: DataFrame, k: int = 1, blocks: DataFrame | None = None) -> DataFrame:
     """The whole context of each hit, one row per part: the hit's location, ``part`` (``heading``: row 1 of its
     column; ``nearby``: the cells of its row within ``k`` columns; ``own`` and ``reads``: formulas), the part's
     sheet, row and column and its text."""
-    at = hits.select(*LOCATION).distinct()
+    at = write_table(hits.select(*LOCATION).distinct(), "hits")
+    few = join_side(at, at.count())
     text = cells.filter(F.col("value").isNotNull())
-    heading = null_safe_join(at, text.filter(F.col("row") == 1).select("workbook", "sheet", "col", F.col("value").alias("text")),
+    heading = null_safe_join(few, text.filter(F.col("row") == 1).select("workbook", "sheet", "col", F.col("value").alias("text")),
                              ["workbook", "sheet", "col"])
-    near = null_safe_join(at, text.select("workbook", "sheet", "row", F.col("col").alias("part_col"), F.col("value").alias("text")),
+    near = null_safe_join(few, text.select("workbook", "sheet", "row", F.col("col").alias("part_col"), F.col("value").alias("text")),
                           ["workbook", "sheet", "row"]).filter(F.abs(F.col("part_col") - F.col("col")).between(1, k))
     formulas = hit_formulas(at, cells, blocks)
     return (heading.select(*LOCATION, F.lit("heading").alias("part"), F.col("sheet").alias("part_sheet"), F.lit(1).cast("bigint").alias("part_row"),

@@ -27,6 +27,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+#: Rows that a join may send whole to every task: some 10 MB.
+SMALL_ROWS = 100_000
+
+
+def join_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows (or a bound of them) as a side of a join: sent whole when there are few, else sorted and merged.
+    Spark's own choice goes by file sizes, which say little of what comes to the driver once compressed columns are
+    unpacked or rows multiplied."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df.hint("merge")
+
+
 def epoch_micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP (an instant) or TIMESTAMP_NTZ (a wall
     clock, read as UTC) column, without going through the session time zone, so gaps between

@@ -32,7 +32,7 @@ from gridlake.schema import DELTA_SCHEMA
 from gridlake.sinks import events as evs
 from gridlake.sinks import export as xp
 from gridlake.sinks import workbooks as wbs
-from gridlake.session import checkpoint_dir
+from gridlake.session import checkpoint_dir, write_table
 from gridlake.sources import datasource as ds
 from gridlake.sources import workbook as wbk
 from gridlake.sources.tables import decimal_text, number_rows, with_cell_fields
@@ -693,7 +693,7 @@ def range_cycles(spark, d):
 def cell_readers(spark, d):
     """Per cell, the formulas that read it, alone or within a range."""
     cells = formula_cells(spark, d)
-    r = dp.readers(cells, dp.reference_blocks(lk.formula_links(dp.formula_cells(cells))))
+    r = dp.readers(cells, write_table(dp.reference_blocks(lk.formula_links(dp.formula_cells(cells))), "references"))
     return r.groupBy("sheet", "row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 

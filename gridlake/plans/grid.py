@@ -85,7 +85,8 @@ def formula_cells(spark: SparkSession, sf_dir: str, workbook: str = "book") -> D
     cycles, all of them through ranges.  Of two groups, one B cell of the first also reads the first A cell of the second:
     a path between cycles, at times to another sheet.
     """
-    p = load(spark, sf_dir, "part")
+    # a small file is one task's, whatever its rows become
+    p = load(spark, sf_dir, "part").repartition("p_partkey")
     i, base = F.col("p_partkey") % 100, F.col("p_partkey") - F.col("p_partkey") % 100
     lo = (i * 7 + 3) % 100
     sums = F.concat(F.lit("SUM(B"), base + lo + 1, F.lit(":$B$"), base + F.least(lo + F.col("p_size"), F.lit(99)) + 1, F.lit(")"))

@@ -13,7 +13,9 @@ from gridlake.operators import dependencies as dp
 from gridlake.operators import index as ix
 from gridlake.operators import profile as pf
 from gridlake.operators import search as sr
+from gridlake.operators import sequence as sq
 from gridlake.operators import spatial as sp
+from gridlake.session import write_table
 from gridlake.sources.tables import number_rows, with_cell_fields
 
 CELL = "workbook string, sheet string, sheet_idx int, row long, col int, value string, formula string"
@@ -314,3 +316,18 @@ def test_number_rows_spreads_a_hot_first_key(spark):
     want = sorted(((r["k"], r["id"]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
     assert [(r["k"], r["id"]) for r in out.orderBy("row").collect()] == want
     assert [r["row"] for r in out.orderBy("row").select("row").collect()] == list(range(1, 60_001))
+
+
+def test_joins_that_multiply_rows_are_not_broadcast(spark, tmp_path):
+    """A small file whose rows multiply in a join goes through a shuffle, not whole through the driver (it was broadcast)."""
+    spark.range(3000).select(F.lit("b").alias("workbook"), F.lit("s").alias("sheet"), (F.col("id") + 1).alias("row"), F.lit(1).alias("col"),
+                             F.concat(F.lit("SUM(A"), F.col("id") + 2, F.lit(":A"), F.col("id") + 40, F.lit(")")).alias("formula")
+                             ).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    blocks = write_table(dp.reference_blocks(links.formula_links(cells)), "references")
+    found = dp.readers(cells, blocks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+    assert found.filter("row = 100").count() == 39
+    few = dp.readers(sq.join_side(cells.filter("row = 100"), 1), blocks)
+    assert "BroadcastExchange" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 39
