@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import cell_ref, idiv
 from gridlake.functions.values import NAMING_PATTERNS, name_prefix, naming_flags
-from gridlake.operators.sequence import null_safe_join
+from gridlake.operators.sequence import join_side, null_safe_join
+from gridlake.session import write_table
 
 # Fixed values of the reference's estimates.
 BYTES_PER_CELL = 50
@@ -193,12 +194,12 @@ def column_stats(cells: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, group: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
     """Rows whose value is more than ``k`` sample standard deviations from its group mean.
 
-    Group statistics come from a partial aggregate and are joined back; the join lets AQE
-    broadcast the (small) statistics side after measuring it, so a group holding a third of
-    all rows is never gathered into one task.
+    Group statistics come from a partial aggregate, are written and joined back.  Statistics of few groups go whole to
+    every task, so the rows are not shuffled at all; those of many are merged, both sides straight from an exchange,
+    so that AQE splits a group that holds a large share of all rows.
     """
-    stats = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
-    return (df.join(stats, list(group)).filter(F.abs(F.col(value) - F.col("_m")) > k * F.col("_sd"))
+    stats = write_table(df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd")), "statistics")
+    return (df.join(join_side(stats, stats.count()), list(group)).filter(F.abs(F.col(value) - F.col("_m")) > k * F.col("_sd"))
             .drop("_m", "_sd"))
 
 
