@@ -272,13 +272,18 @@ def rect_join(rects: DataFrame, cells: DataFrame, x: str = "x", y: str = "y", w:
             .drop("_level", "_tr", "_tc", "_salt"))
 
 
+#: Meetings of two rectangles that a task of :func:`rects_join` is meant to test, and most tasks of one join.
+MEETINGS_PER_TASK, MAX_TASKS = 2_000_000, 20_000
+
+
 def rects_join(left: DataFrame, right: DataFrame, on: Sequence[str], tile_w: int, tile_h: int) -> DataFrame:
     """Pairs of overlapping rectangles (columns x, y, w, h of each, whole numbers) of equal ``on`` columns; the
     right side's columns come as ``r_...``.
 
     Each rectangle is dealt to the tiles it covers (choose a tile near the usual size) and meets only those of its
     tiles.  A pair is given by one tile alone, that of the overlap's first corner, so nothing is made twice and
-    no distinct follows; a crowded place is many tiles, and AQE splits a crowded tile."""
+    no distinct follows; a crowded place is many tiles, and AQE splits a crowded tile.  The work is the meetings within
+    tiles, which grow faster than the rows, so they are counted first and dealt over as many tasks as they ask for."""
 
     def tiled(df: DataFrame) -> DataFrame:
         side = lambda a, n, size: F.explode(F.sequence(F.floor(a / size), F.floor((a + n - 1) / size)))
@@ -287,7 +292,13 @@ def rects_join(left: DataFrame, right: DataFrame, on: Sequence[str], tile_w: int
 
     a, b = tiled(left), tiled(right)
     b = b.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col("_tx").alias("r__tx"), F.col("_ty").alias("r__ty"))
-    same = [F.col(c) == F.col(f"r_{c}") for c in [*on, "_tx", "_ty"]]
+    keys = [*on, "_tx", "_ty"]
+    same = [F.col(c) == F.col(f"r_{c}") for c in keys]
+    n_a = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
+    n_b = b.groupBy(*[f"r_{c}" for c in keys]).agg(F.count(F.lit(1)).alias("_nb"))
+    met = n_a.join(n_b.hint("merge"), reduce(Column.__and__, same)).agg(F.sum(F.col("_na").cast("double") * F.col("_nb"))).first()[0] or 0
+    tasks = int(min(max(met // MEETINGS_PER_TASK, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_TASKS))
+    a, b = a.repartition(tasks, *keys), b.repartition(tasks, *[f"r_{c}" for c in keys]).hint("merge")
     corner = ((F.floor(F.greatest("x", "r_x") / tile_w) == F.col("_tx")) & (F.floor(F.greatest("y", "r_y") / tile_h) == F.col("_ty")))
     return (a.join(b, reduce(Column.__and__, same))
             .filter(corner & rects_intersect("x", "y", "w", "h", "r_x", "r_y", "r_w", "r_h")).drop("_tx", "_ty", "r__tx", "r__ty"))

@@ -331,3 +331,23 @@ def test_joins_that_multiply_rows_are_not_broadcast(spark, tmp_path):
     assert found.filter("row = 100").count() == 39
     few = dp.readers(sq.join_side(cells.filter("row = 100"), 1), blocks)
     assert "BroadcastExchange" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 39
+
+
+def test_outliers_do_not_shuffle_the_rows(spark):
+    """One group of nearly all rows: the statistics go to the rows (all rows of a group were shuffled to one task)."""
+    df = spark.range(5000).select(F.when(F.col("id") % 100 == 0, "b").when(F.col("id") % 500 != 7, "a").alias("g"),
+                                  F.when(F.col("id") == 11, 1e6).otherwise(F.col("id") % 10).alias("v"))
+    found = pf.outliers(df, ["g"], "v")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["v"] for r in found.collect()] == [1e6]
+
+
+def test_rects_join_deals_meetings_over_tasks(spark, monkeypatch):
+    """As many tasks as the meetings within tiles ask for, however few the rows (their bytes decided)."""
+    monkeypatch.setattr(sr, "MEETINGS_PER_TASK", 1000)
+    df = spark.range(600).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), (F.col("id") % 7).alias("x"),
+                                 (F.col("id") % 5).alias("y"), F.lit(3).alias("w"), F.lit(3).alias("h"))
+    pairs = sr.rects_join(df, df, ["g"], 3, 3)
+    assert pairs.rdd.getNumPartitions() > 50
+    rows = df.collect()
+    assert pairs.count() == sum(a["g"] == b["g"] and abs(a["x"] - b["x"]) < 3 and abs(a["y"] - b["y"]) < 3 for a in rows for b in rows)
