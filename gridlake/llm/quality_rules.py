@@ -15,20 +15,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import hash_sample, sliced
+from gridlake.llm.common import sliced
+from gridlake.operators.sequence import scan_sum
+from gridlake.session import write_table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: Labelled rows that the forest and its threshold may be fitted on.
-MAX_LABELLED = 20_000
-
 #: Share of good labelled rows that the forest must keep.
 KEEP_GOOD = 0.998
 
@@ -112,28 +112,58 @@ def _mean_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+def grow_tree(rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Split features, split values and path lengths of one tree over all ``rows``."""
+    nodes = 2 ** (depth + 1) - 1
+    feature, value, path = np.full(nodes, -1, np.int16), np.zeros(nodes), np.zeros(nodes)
+    todo = [(0, 0, rows)]
+    while todo:
+        k, at, rows = todo.pop()
+        low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
+        open_ = np.flatnonzero(high > low)
+        if at == depth or len(rows) <= 1 or not len(open_):
+            path[k] = at + _mean_path(len(rows))
+            continue
+        c = int(rng.choice(open_))
+        cut = rng.uniform(low[c], high[c])
+        feature[k], value[k] = c, cut
+        left = rows[:, c] < cut
+        todo += [(2 * k + 1, at + 1, rows[left]), (2 * k + 2, at + 1, rows[~left])]
+    return feature, value, path
+
+
+def _depth(rows: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, rows)))))
+
+
 def fit_forest(x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 0) -> Forest:
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
-    depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
-    nodes = 2 ** (depth + 1) - 1
-    f = Forest(np.full((trees, nodes), -1, np.int16), np.zeros((trees, nodes)), np.zeros((trees, nodes)), depth,
-               max(_mean_path(sample), 1e-9))
-    for t in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
-        while todo:
-            k, at, rows = todo.pop()
-            low, high = rows.min(0), rows.max(0)
-            open_ = np.flatnonzero(high > low)
-            if at == depth or len(rows) <= 1 or not len(open_):
-                f.path[t, k] = at + _mean_path(len(rows))
-                continue
-            c = int(rng.choice(open_))
-            cut = rng.uniform(low[c], high[c])
-            f.feature[t, k], f.value[t, k] = c, cut
-            left = rows[:, c] < cut
-            todo += [(2 * k + 1, at + 1, rows[left]), (2 * k + 2, at + 1, rows[~left])]
-    return f
+    depth = _depth(sample)
+    grown = [grow_tree(x[rng.choice(len(x), sample, replace=False)], depth, rng) for _ in range(trees)]
+    return Forest(*(np.array(part) for part in zip(*grown, strict=True)), depth, max(_mean_path(sample), 1e-9))
+
+
+def fit_forest_on_all(rows: DataFrame, n: int, trees: int = 128, least: int = 256, seed: int = 0) -> Forest:
+    """A forest over every one of the ``n`` ``rows`` (doc_id, x): each is dealt to one tree, or to several until a tree has
+    some ``least`` rows, and each tree is grown by a task of its own.  Only the trees, of at most ``2 * least`` nodes,
+    reach the driver."""
+    copies = min(trees, -(-trees * least // n))
+    depth = _depth(min(least, n))
+    first = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(trees))
+    dealt = rows.select("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: F.pmod(
+        first + F.floor(k * F.lit(trees / copies)), F.lit(trees)))).alias("tree"))
+
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["x"].tolist(), float)
+        x = x[np.lexsort(x.T)]  # the same tree however the rows were dealt
+        grown = grow_tree(x, depth, np.random.default_rng([seed, int(key[0])]))
+        return pd.DataFrame([(int(key[0]), *(p.tolist() for p in grown))], columns=["tree", "feature", "value", "path"])
+
+    found = dealt.groupBy("tree").applyInPandas(grow, "tree long, feature array<int>, value array<double>, path array<double>")
+    grown = sorted(found.collect(), key=lambda r: r["tree"])
+    return Forest(np.array([r["feature"] for r in grown], np.int16), np.array([r["value"] for r in grown]),
+                  np.array([r["path"] for r in grown]), depth, max(_mean_path(-(-n * copies // trees)), 1e-9))
 
 
 def score_forest(f: Forest, x: np.ndarray) -> np.ndarray:
@@ -174,35 +204,58 @@ class Rules:
     threshold: float
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
-              keep_good: float = KEEP_GOOD) -> Rules:
-    """Forest and threshold from at most ``max_labelled`` labelled rows (those with the smallest hash of their
-    doc_id), without the rows that the base rules reject.  Their ids, a bounded list, are the only thing that is
-    broadcast."""
-    chosen = hash_sample(
-        labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")),
-        "doc_id", max_labelled)
-    wanted = {r["doc_id"]: r["quality"] for r in chosen.collect()}
-    if len(set(wanted.values())) < 2:
-        return Rules(None, 1.0)
-    ids = docs.sparkSession.createDataFrame(list(wanted.items()), "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, whether the base rules fail, and the forest's features x of each row of ``docs``."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [base_stats(t) for t in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array([base_failed(b[0], b[4]) for b, _ in found], pa.bool_()),
+             pa.array([x for _, x in found], pa.list_(pa.float64()))], ["doc_id", "failed", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        sliced(step), "doc_id long, failed boolean, x array<double>")
 
-    def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(q, base_stats(t)) for q, t in zip(batch["quality"].to_pylist(), batch["text"].to_pylist(), strict=True)]
-        found = [(q, x) for q, (base, x) in found if not base_failed(base[0], base[4])]
-        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int32()),
-                                           pa.array([x for _, x in found], pa.list_(pa.float64()))], ["quality", "x"])
 
-    fitted = rows.mapInArrow(sliced(stats), "quality int, x array<double>").collect()
-    if not fitted:
+def calibrate_all(rows: DataFrame, forest: Forest, keep_good: float = KEEP_GOOD) -> float:
+    """:func:`calibrate` over all ``rows`` (x, quality): running counts by score, added up in tasks."""
+    sent = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array(batch["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+        return pa.RecordBatch.from_arrays([pa.array(score_forest(sent.value, x)), batch["quality"]], ["score", "quality"])
+
+    counts = write_table(rows.select("x", "quality").mapInArrow(sliced(step), "score double, quality int").groupBy("score").agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")), "scores")
+    n = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not n["good"] or not n["bad"]:
+        return 1.0
+    run = scan_sum(counts.withColumn("_all", F.lit(0)).withColumn("_bucket", F.floor(F.col("score") * 4096)), ["_all"], ["score"],
+                   "_bucket", {"n_good": (F.col("good"), True), "n_bad": (F.col("bad"), True)})
+    kept, caught = F.col("n_good") / n["good"], 1 - F.col("n_bad") / n["bad"]
+    gains = write_table(run.select("score", F.when(kept >= keep_good, caught - (1 - kept)).otherwise(-1.0).alias("gain")), "gains")
+    top = gains.agg(F.max("gain")).first()[0]
+    if top <= 0:
+        return 1.0
+    low, high = gains.where(F.col("gain") >= top - 1e-12).agg(F.min("score"), F.max("score")).first()
+    above = gains.where(F.col("score") > high).agg(F.min("score")).first()[0]
+    return float((low + (high + 1e-9 if above is None else above)) / 2)
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> Rules:
+    """Forest and threshold from all labelled rows that the base rules do not reject.  Only the trees and the threshold
+    reach the driver."""
+    known = (labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+             .agg(F.min("quality").cast("int").alias("quality")))
+    kinds = {r["quality"] for r in known.select("quality").distinct().collect()}
+    if len(kinds) < 2:
+        return Rules(None, 1.0)
+    rows = write_table(measure(docs).where(~F.col("failed")).join(known, "doc_id").select("doc_id", "x", "quality"), "measured")
+    n = rows.count()
+    if not n:
         return Rules(None, 1.0)
-    x = np.array([r["x"] for r in fitted])
-    good = np.array([r["quality"] for r in fitted])
-    order = np.lexsort((good, *x.T))  # the same forest however the rows were dealt
-    x, good = x[order], good[order]
-    forest = fit_forest(x)
-    return Rules(forest, calibrate(score_forest(forest, x), good, keep_good))
+    forest = fit_forest_on_all(rows, n)
+    return Rules(forest, calibrate_all(rows, forest, keep_good))
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
