@@ -14,89 +14,167 @@ doc_ids are packed row by row; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import batch_of, sliced
+from gridlake.llm.common import batch_of
 from gridlake.session import write_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Classes of bytes: ASCII white space, ASCII letters, other visible ASCII, bytes of longer characters, controls.
+SPACE, LETTER, MARK, HIGH, CONTROL = range(5)
+CLASSES = np.full(256, CONTROL, np.uint8)
+CLASSES[128:], CLASSES[33:127], CLASSES[[9, 10, 11, 12, 13, 32]] = HIGH, MARK, SPACE
+CLASSES[65:91] = CLASSES[97:123] = LETTER
+#: Longer white-space characters, as the number that their last three bytes make (of two bytes: the last two).
+LONG_SPACES = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+
+#: A word whatever the version of Unicode: letters of the Latin, Greek and Cyrillic blocks after a space or none.
+WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f]+$"
+#: The byte-level letter of every byte, in UTF-8: visible ones stand for themselves, the others for letters from 256 on.
+#: A tab stands for the space between words.
+LETTERS = np.zeros((256, 2), np.uint8)
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+for _k, _byte in enumerate([*_SHOWN, *(b for b in range(256) if b not in _SHOWN)]):
+    _letter = chr(_byte if _k < len(_SHOWN) else 256 + _k - len(_SHOWN)).encode()
+    LETTERS[_byte, :len(_letter)] = list(_letter)
+LETTERS[9] = 32, 0
+
 
 class WordEncoder:
-    """Token ids of a text, as little-endian unsigned 32-bit bytes, by a byte-level BPE vocabulary of the
-    ``tokenizers`` library.
+    """Token ids of texts, as the ``tokenizers`` library gives them for a byte-level BPE vocabulary.
 
-    Its pre-tokeniser always starts a new token at a single space or line feed between two visible characters.
-    The text is cut there, each distinct part is encoded once and remembered (at most about ``2 * limit`` parts);
-    parts are split by the pre-tokeniser's own pattern and its pieces go through the vocabulary's BPE model.  A text with any run of two or more white-space characters, or white space at an
-    end, or with one of the vocabulary's special tokens spelled out, is encoded as a whole by the library.
+    Texts are taken together, as many as ``limit`` bytes hold (at least one), and cut where the vocabulary's
+    pre-tokeniser always starts a new token, whatever stands around: before a run of white space, around letters next to digits
+    or marks (not behind an apostrophe), after a single line feed before a letter.  Each distinct part goes to the
+    library once: words (letters after a space or none) by many straight to the vocabulary's BPE model, all others
+    one by one to the whole tokeniser.  A text with one of the special tokens spelled out is one part.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 500_000):
+    def __init__(self, vocabulary: str, limit: int = 2 << 20, most: int = 200_000):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.limit = limit
-        self.fresh: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        vocab = self.tokenizer.get_vocab()
+        self.known, self.ids, self.counts = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64)
+        self.feed = vocab["\u010a"]
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[0] == "\u0120" or i == self.feed]] = True
+        self.limit, self.most = limit, most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.irregular = re.compile(r"\s\s").search
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        # byte-level letters: printable bytes stand for themselves, the others for letters from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        self.marks = {m: self._piece(m) for m in ".,;:!?"}
-
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else (
-            piece.encode().decode("latin-1").translate(self.letters))
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """A word after a space.  Letters alone, or letters and one mark, are what the pattern takes as pieces."""
-        if word.isascii() or max(word) < "\u0250":
-            if word.isalpha():
-                return self._piece(" " + word)
-            stem, mark = word[:-1], self.marks.get(word[-1])
-            if mark and stem.isalpha():
-                known = self.fresh.get(stem)
-                if known is None:
-                    known = self.old.get(stem)
-                    self.fresh[stem] = known = self._piece(" " + stem) if known is None else known
-                return known + mark
-        return b"".join(map(self._piece, self.split(word if word[0] == "\n" else " " + word)))
+
+    def _cuts(self, texts: pa.StringArray, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Where the parts of all texts begin; ``at``: bounds of the texts in their bytes ``raw``."""
+        kind = CLASSES[raw]
+        space, letter, mark = kind == SPACE, kind == LETTER, kind == MARK
+        solid = letter | mark
+        before = np.flatnonzero(space[1:] & (kind[:-1] == HIGH))
+        if len(before):
+            two = raw[before - 1].astype(np.int64) << 8 | raw[before]
+            three = raw[before - 2].astype(np.int64) << 16 | two
+            solid[before] = ~(np.isin(two, LONG_SPACES) | np.isin(three, LONG_SPACES))
+        cut = np.zeros(len(raw), bool)
+        cut[at[:-1][at[1:] > at[:-1]]] = True
+        cut[1:] |= (space[1:] & solid[:-1]) | (mark[1:] & letter[:-1])
+        cut[1:] |= letter[1:] & ((mark & (raw != 39)) | (cut & (raw == 10)))[:-1]
+        for token in self.special:
+            for k in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                cut[at[k] + 1:at[k + 1]] = False
+        return np.flatnonzero(cut)
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str], together: int) -> Iterator[list[int]]:
+        """Ids of every text; the library's result, many times their size, is kept for so many texts only."""
+        for k in range(0, len(texts), together):
+            yield from (e.ids for e in tokenizer.encode_batch_fast(texts[k:k + together], add_special_tokens=False))
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end and the number of each word's.  A line of words, in byte-level letters, is one piece of
+        work for the library; a word begins at the id of a token with a space's letter, or behind that of a line feed."""
+        line = 256
+        bounds = np.append(np.arange(0, len(words), line), len(words)).astype(np.int32)
+        marked = pc.replace_substring_regex(words, "^([^ ])", "\n\t\\1")
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), marked), "\t")
+        at = np.frombuffer(lines.buffers()[1], np.int32)[:len(lines) + 1]
+        raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[:at[-1]]
+        at = np.concatenate([[0], np.cumsum(1 + (LETTERS[raw, 1] > 0))])[at].astype(np.int32)
+        letters = LETTERS[raw].reshape(-1)
+        lines = pa.StringArray.from_buffers(len(lines), pa.py_buffer(at), pa.py_buffer(letters[letters > 0])).to_pylist()
+        ids = np.fromiter(chain.from_iterable(self._ids(self.words, lines, 32)), "<u4")
+        own, real = np.cumsum(self.begins[ids]) - 1, ids != self.feed
+        return ids[real], np.bincount(own[real], minlength=len(words))
+
+    def _places(self, kinds: pa.StringArray) -> np.ndarray:
+        """Places of different parts among the known ones, after the new ones have joined them."""
+        if len(self.known) > self.most:
+            self.known, self.ids, self.counts = self.known[:0], self.ids[:0], self.counts[:0]
+        found = pc.index_in(kinds, self.known)
+        new = kinds.filter(found.is_null())
+        word = pc.match_substring_regex(new, WORD)
+        words, others = new.filter(word), new.filter(pc.invert(word))
+        ids, counts = self._words(words)
+        odd = list(self._ids(self.tokenizer, others.to_pylist(), 4096))
+        word = word.to_numpy(zero_copy_only=False)
+        place = np.where(word, np.cumsum(word) - 1, len(words) + np.cumsum(~word) - 1) + len(self.known)
+        out = found.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = place
+        self.known = pa.concat_arrays([self.known, words, others])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(chain.from_iterable(odd), "<u4")])
+        self.counts = np.concatenate([self.counts, counts, np.array([len(x) for x in odd], np.int64)])
+        return out
+
+    def encode(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the ids ``end``, and where each text's ids end."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        _, bounds, data = texts.buffers()
+        at = np.frombuffer(bounds, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        cuts = self._cuts(texts, at, raw)
+        until = pa.py_buffer(np.append(cuts, len(raw)).astype(np.int32))
+        parts = pa.StringArray.from_buffers(len(cuts), until, pa.py_buffer(raw)).dictionary_encode()
+        places = self._places(parts.dictionary)
+        ids, counts = np.concatenate([self.ids, np.array(end, "<u4")]), np.append(self.counts, len(end))
+        first = np.cumsum(counts) - counts
+        ends = np.searchsorted(cuts, at[1:])
+        row = np.insert(places[parts.indices.to_numpy()], ends, len(counts) - 1)
+        n = counts[row]
+        until = np.cumsum(n)
+        return ids[np.repeat(first[row] - until + n, n) + np.arange(n.sum())], until[ends + np.arange(len(ends))]
+
+    def together(self, batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+        """Slices of a batch with at most ``limit`` bytes of text, or one row."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        k = 0
+        while k < batch.num_rows:
+            until = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + self.limit, "right")))
+            yield batch.slice(k, until - k)
+            k = until
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or any(t in text for t in self.special) or self.irregular(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # a part is a word after a space, or a line feed and the word after it
-        parts = text.replace("\n", " \n").split(" ")
-        first = b"".join(map(self._piece, self.split(parts[0])))
-        del parts[0]
-        needed = set(parts)
-        if missing := needed.difference(self.fresh):
-            if len(self.fresh) > self.limit:
-                self.old, self.fresh, missing = self.fresh, {}, needed
-            for part in missing:
-                known = self.old.get(part)
-                self.fresh[part] = self._word(part) if known is None else known
-        return first + b"".join(map(self.fresh.__getitem__, parts))
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> WordEncoder:
+    """A worker process loads a vocabulary once."""
+    return WordEncoder(vocabulary)
 
 
 def _spans(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -109,27 +187,28 @@ def _spans(total: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2,
                  with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves on request."""
-    encoders: list[WordEncoder] = []
-
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encoders:
-            encoders.append(WordEncoder(vocabulary))
         rows, ids = [], []
-        end = np.array([end_id], "<u4").tobytes()
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = encoders[0](text or "") + end
-            for k, (start, length) in enumerate(_spans(len(raw) // 4, capacity)):
-                own = raw[4 * start:4 * (start + length)]
+        every, ends = _encoder(vocabulary).encode(batch.column(1), (end_id,))
+        at = 0
+        for doc_id, until in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+            for k, (start, length) in enumerate(_spans(until - at, capacity)):
+                own = every[at + start:at + start + length]
                 rows.append((doc_id, k, start, length, zlib.crc32(own)))
                 if with_ids:
-                    ids.append(np.frombuffer(own, "<u4").astype(np.int32))
+                    ids.append(own.astype(np.int32))
+            at = until
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ("doc_id", "piece", "start", "length", "ids_crc32")
         out = {n: ([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))}
         return batch_of(out | ({"ids": (ids, pa.list_(pa.int32()))} if with_ids else {}))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(cut, _encoder(vocabulary).together(batch, 1))
+
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(sliced(cut), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

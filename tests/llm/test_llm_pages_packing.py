@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -262,6 +263,48 @@ def test_word_encoder_equals_the_library():
         assert encoder(t) == np.array(whole_ids(t)[:-1], "<u4").tobytes()
 
 
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.own, self.chars = tokenizer, 0
+
+    def encode(self, text, **k):
+        self.chars += len(text)
+        return self.own.encode(text, **k)
+
+    def encode_batch_fast(self, texts, **k):
+        self.chars += sum(map(len, texts))
+        return self.own.encode_batch_fast(texts, **k)
+
+
+def test_repeated_parts_reach_the_library_once():
+    """Also those of texts with runs of white space, which used to be encoded whole, again and again."""
+    encoder = packing.WordEncoder("byte_bpe_50k.json")
+    text = "one  two\n\nthree (four)\tfive; naïve Ωμέγα words, 1234 times \u00a0 'so'"
+    want = np.array(whole_ids(text)[:-1], "<u4").tobytes()
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    assert all(encoder(text) == want for _ in range(100))
+    assert encoder.tokenizer.chars <= len(text)
+
+
+def test_texts_encoded_together_equal_the_library():
+    """White space of all kinds, controls, contractions and marks, over many small groups of texts and resets of the known parts."""
+    rng = random.Random(9)
+    parts = ["a", " ", " ", "'s", "'", "''", "s", "\n", "\t", "\r\n", "7", ".", "(", "é", "日本", "Word", " word", "\x1c", "\x85", "\u00a0", "\u2003",
+             "\u200b", "\u3000", "\u180e", "”", "\x00", "\ufeff", "\U0001f600", "<|endoftext|>", "ſ", "Ωμ", "  ", "\n\n"]
+    texts = [None if k % 50 == 0 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for k in range(6000)]
+    encoder = packing.WordEncoder("byte_bpe_50k.json", limit=3000, most=500)
+    column = pa.record_batch({"text": pa.array(["not read", *texts])}).slice(1)
+    got = []
+    for group in encoder.together(column, 0):
+        ids, ends = encoder.encode(group.column(0), (2,))
+        assert len(group) == 1 or sum(len((t or "").encode()) for t in group.column(0).to_pylist()) <= 3000
+        got += [x.tolist() for x in np.split(ids, ends)[:-1]]
+    assert got == [whole_ids(t) for t in texts]
+    assert len(encoder.known) < 2000
+
+
 def brute_sum_of_squares(lengths, capacity):
     gaps, out = [], []
     for s in lengths:
