@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -171,12 +170,6 @@ class WordEncoder:
         return self.encode(pa.array([text], pa.string()))[0].tobytes()
 
 
-@lru_cache(maxsize=1)
-def _encoder(vocabulary: str) -> WordEncoder:
-    """A worker process loads a vocabulary once."""
-    return WordEncoder(vocabulary)
-
-
 def _spans(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``total`` ids."""
     first = total % capacity or min(total, capacity)
@@ -187,9 +180,9 @@ def _spans(total: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2,
                  with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves on request."""
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(encoder: WordEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, ids = [], []
-        every, ends = _encoder(vocabulary).encode(batch.column(1), (end_id,))
+        every, ends = encoder.encode(batch.column(1), (end_id,))
         at = 0
         for doc_id, until in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
             for k, (start, length) in enumerate(_spans(until - at, capacity)):
@@ -204,8 +197,10 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
         return batch_of(out | ({"ids": (ids, pa.list_(pa.int32()))} if with_ids else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(vocabulary)  # the task's: an idle worker holds no vocabulary while other stages run
         for batch in batches:
-            yield from map(cut, _encoder(vocabulary).together(batch, 1))
+            for part in encoder.together(batch, 1):
+                yield cut(encoder, part)
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)

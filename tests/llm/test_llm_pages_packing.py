@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -305,6 +306,21 @@ def test_texts_encoded_together_equal_the_library():
     assert len(encoder.known) < 2000
 
 
+def test_memory_of_known_parts_is_bounded():
+    """300,000 different words: what the encoder keeps of them, in Python and in Arrow, stays under 16 MB."""
+    rng = random.Random(4)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(1000)) for _ in range(300)]
+    encoder = packing.WordEncoder("byte_bpe_50k.json")
+    encoder(lines[0])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for line in lines:
+        encoder(line)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 16 << 20
+
+
 def brute_sum_of_squares(lengths, capacity):
     gaps, out = [], []
     for s in lengths:
