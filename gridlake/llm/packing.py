@@ -57,7 +57,8 @@ class WordEncoder:
     pre-tokeniser always starts a new token, whatever stands around: before a run of white space, around letters next to digits
     or marks (not behind an apostrophe), after a single line feed before a letter.  Each distinct part goes to the
     library once: words (letters after a space or none) by many straight to the vocabulary's BPE model, all others
-    one by one to the whole tokeniser.  A text with one of the special tokens spelled out is one part.
+    one by one to the whole tokeniser.  Parts stay known until more than ``most`` are.
+    A text with one of the special tokens spelled out is one part.
     """
 
     def __init__(self, vocabulary: str, limit: int = 2 << 20, most: int = 200_000):
